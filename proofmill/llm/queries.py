@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, sharding, urls
+from . import chat, language, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.query,
+    "op2_language_id": language.query,
     "op6_url_filters": urls.query,
     "op8_sharding": sharding.query,
 }
