@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, quality, sharding, urls
+from . import chat, decontaminate, language, quality, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.query,
     "op2_language_id": language.query,
+    "op3_decontamination": decontaminate.query,
     "op6_url_filters": urls.query,
     "op7_quality_classifier": quality.query,
     "op8_sharding": sharding.query,
