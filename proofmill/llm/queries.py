@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, quality, sharding, urls
+from . import chat, decontaminate, language, minhash, quality, repeats, sharding, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.query,
     "op2_language_id": language.query,
     "op3_decontamination": decontaminate.query,
+    "op4_embedding_dedup": vectors.query,
+    "op5_suffix_dedup": repeats.query,
     "op6_url_filters": urls.query,
     "op7_quality_classifier": quality.query,
     "op8_sharding": sharding.query,
+    "op10_minhash_dedup": minhash.query,
 }
 
 #: DuckDB SQL by query; the others are tested against brute force, round trips or held-out rows.
