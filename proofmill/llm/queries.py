@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, minhash, quality, repeats, sharding, urls, vectors
+from . import chat, decontaminate, language, minhash, pieces, quality, repeats, sharding, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": urls.query,
     "op7_quality_classifier": quality.query,
     "op8_sharding": sharding.query,
+    "op9_sentencepiece": pieces.query,
     "op10_minhash_dedup": minhash.query,
 }
 
