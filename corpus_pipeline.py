@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from proofmill.llm import decontaminate, language, minhash, pieces, repeats
 from proofmill.llm.common import Scratch
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language.stage),
+    ("near_duplicates", minhash.stage),
+    ("suffix_dedup", repeats.stage),
+    ("decontamination", decontaminate.stage),
+    ("sentencepiece", pieces.stage),
+]
 
+#: No stage can be expressed in SQL; tests/llm/test_pipeline.py chains brute-force versions.
 ORACLE_SQL = None
 
 
