@@ -5,7 +5,7 @@ hashes of its distinct shingles of SHINGLE words; a shorter text is one shingle
 with equal sets form a class; only classes are compared. Two collections of SIDE tuples of ROWS
 minhashes are computed, and every pair of a tuple of the one and a tuple of the other keys a table:
 SIDE * SIDE tables from 2 * SIDE * ROWS minhashes instead of 2 * SIDE * SIDE * ROWS. At a similarity of
-0.8 a pair shares a table with a probability of 0.9994, at 0.9 of over 0.9999.
+0.8 a pair shares a table with a probability of 0.9993, at 0.9 of over 0.9999.
 
 Classes that share a bucket are compared with its leader on their full sets, other leaders follow in
 further rounds, and then, in every bucket that still holds several components, each member outside its
@@ -30,7 +30,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .common import LOWER, U64, Scratch, buffers, clean_text, mix, prefix_hash, slices, span_hash, spans
 from .graph import components
 
-SHINGLE, SIDE, ROWS, LEADERS = 5, 8, 2, 2
+SHINGLE, SIDE, ROWS, LEADERS = 5, 11, 3, 2
 #: Members that are compared with one copy of a leader's set.
 SALT_ROWS = 512
 WORD = np.ones(256, bool)
@@ -98,7 +98,8 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = np.arange(SIDE * SIDE, dtype=U64)
             key = mix(np.repeat(sign[:, :SIDE], SIDE, axis=1) * U64(0x9FB21C651E98DF25) + np.tile(sign[:, SIDE:], (1, SIDE)) + table)
             rows = np.repeat(np.arange(part.num_rows), SIDE * SIDE)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), part.column(0).take(pa.array(rows))], ["key", "node"])
+            short = np.frombuffer(b"".join(i[:8] for i in part.column(0).to_pylist()), ">i8").astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(short[rows])], ["key", "short"])
 
 
 def _checked(percent: int):
@@ -136,12 +137,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
     scratch, kind = Scratch(docs.sparkSession), dict(docs.dtypes)["doc_id"]
     slim = docs.select("doc_id", clean_text())
     rows = scratch.keep(slim.mapInArrow(_sets(size), f"doc_id {kind}, n_shingles long, set_id binary, sign binary"))
-    classes = scratch.keep(rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min("sign").alias("sign")))
-    entries = classes.select("set_id", "sign").mapInArrow(_entries, "key long, node binary")
-    bucket = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    classes = scratch.keep(rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min("sign").alias("sign"), F.min("n_shingles").alias("items")))
+    entries = classes.select("set_id", "sign").mapInArrow(_entries, "key long, short long")
+    shared = entries.groupBy("key").agg(F.min("short").alias("low"), F.max("short").alias("high")).filter("low <> high").select("key")
+    full = classes.select(F.col("set_id").alias("node"), "items", F.conv(F.hex(F.substring("set_id", 1, 8)), 16, -10).cast("long").alias("short"))
+    found = scratch.keep(entries.join(shared, "key").join(full, "short").select("key", "node", "items"))
+    bucket = found.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     # buckets with the same members are one
     bucket = bucket.filter("n > 1").groupBy("leader", "n", "x", "y").agg(F.min("key").alias("key")).select("key", "leader")
-    members = scratch.keep(entries.join(bucket, "key"))
+    members = scratch.keep(found.join(bucket, "key"))
     wanted = members.select(F.col("node").alias("set_id")).distinct().join(classes.select("set_id", "first"), "set_id")
     texts = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("set_id", "text")
 
@@ -159,7 +163,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
     links = scratch.keep(verified(tested, sets, percent))
     for turn in range(1, LEADERS + 2):
         label = components(scratch, links)
-        named = members.select("key", "node").join(label, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        named = members.select("key", "node", "items").join(label, "node", "left").select("key", "node", "items", F.coalesce("root", "node").alias("root"))
         mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
         named = scratch.keep(named.join(mixed, "key"))
         if named.isEmpty():
@@ -170,8 +174,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
         else:
             sizes = named.groupBy("key", "root").count()
             main = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-            rest = named.join(main, "key").filter("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), "main")
-            pairs = rest.join(named.withColumnRenamed("node", "b"), "key").filter("root <> ra and (root = main or a < b)").select("a", "b")
+            rest = named.join(main, "key").filter("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), "main", F.col("items").alias("other"))
+            pairs = rest.join(named.withColumnRenamed("node", "b"), "key").filter(f"root <> ra and (root = main or a < b) and 100 * least(items, other) >= {percent} * greatest(items, other)").select("a", "b")
         pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti").join(tested.toDF("b", "a"), ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs)
         tested = tested.unionAll(pairs)
