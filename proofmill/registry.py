@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import evidence
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(evidence.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(evidence.ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.flagship(spark, sf_dir)

@@ -1,0 +1,28 @@
+import duckdb
+import pytest
+from proofmill import registry
+from proofmill.operators.evidence import TABLES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_oracle(spark, duck, name):
+    got = registry.queries()[name](spark, SF)
+    want = duck.execute(registry.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    rows = sorted(map(str, (tuple(r) for r in got.select(*columns).collect())))
+    assert rows == sorted(map(str, want.fetchall()))
+
+
+def test_flagship(spark):
+    assert registry.flagship(spark, SF).count() > 0
