@@ -8,9 +8,11 @@ SIDE * SIDE tables from 2 * SIDE * ROWS minhashes instead of 2 * SIDE * SIDE * R
 0.8 a pair shares a table with a probability of 0.9993, at 0.9 of over 0.9999.
 
 Classes that share a bucket are compared with its leader on their full sets, other leaders follow in
-further rounds, and then, in every bucket that still holds several components, each member outside its
-largest component is compared with all members of other components. So a group of copies costs a
-comparison per member, yet no link between components that share a bucket is lost.
+further rounds. Members of buckets that still hold several components are then joined on the rarest
+shingles of their sets, as many as leave too few others for the threshold: two sets that are similar
+enough have one of these in common, and a passage that many documents share is rarely among them. Of
+each such shingle, members outside its largest component are compared with those of other components.
+So a group of copies costs a comparison per member, yet no link between members is lost.
 
 Cases: null and empty texts and those of white space alone have no set and stand alone; a null doc_id
 is a row like others, never the smallest id unless its component holds nothing else; repeated rows are
@@ -33,6 +35,8 @@ from .graph import components
 SHINGLE, SIDE, ROWS, LEADERS = 5, 11, 3, 2
 #: Members that are compared with one copy of a leader's set.
 SALT_ROWS = 512
+#: Counters of shingles, 8 bytes each.
+COUNTERS = 1 << 20
 WORD = np.ones(256, bool)
 WORD[32] = WORD[9:14] = False
 _SEEDS = mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -132,6 +136,40 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(_checked(percent), "a binary, b binary")
 
 
+def rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """token, node, root, items, place: each set's rarest shingles, one of which any similar set has too.
+
+    Shingles are ordered by how many sets have one of the same COUNTERS-th of all hashes, then by hash;
+    the counters are all that is sent to the driver and the workers.
+    """
+    given = nodes.join(sets.withColumnRenamed("set_id", "node"), "node")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for values in batch.column(0).to_pylist():
+                np.add.at(total, (np.frombuffer(values, U64) % U64(COUNTERS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["slot", "n"])
+
+    table = np.zeros(COUNTERS, np.int64)
+    counted = given.select("values").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    shared = nodes.sparkSession.sparkContext.broadcast(table)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, root, values in zip(*(c.to_pylist() for c in batch.columns)):
+                values = np.frombuffer(values, U64)
+                n = len(values)
+                order = np.lexsort((values, shared.value[(values % U64(COUNTERS)).astype(np.int64)]))
+                first = values[order[: n - -(-percent * n // 100) + 1]]
+                m = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array([node] * m, pa.binary()), pa.array([root] * m, pa.binary()), pa.array([n] * m, pa.int64()), pa.array(np.arange(m), pa.int64())], ["token", "node", "root", "items", "place"])
+
+    return given.select("node", "root", "values").mapInArrow(heads, "token long, node binary, root binary, items long, place long")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and set_id of every row."""
     scratch, kind = Scratch(docs.sparkSession), dict(docs.dtypes)["doc_id"]
@@ -172,10 +210,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
             head = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("root").alias("ra"))).alias("head")).select("key", "head.a", "head.ra")
             pairs = named.join(head, "key").filter("root <> ra").select("a", F.col("node").alias("b"))
         else:
-            sizes = named.groupBy("key", "root").count()
-            main = sizes.groupBy("key").agg(F.max(F.struct("count", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-            rest = named.join(main, "key").filter("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("ra"), "main", F.col("items").alias("other"))
-            pairs = rest.join(named.withColumnRenamed("node", "b"), "key").filter(f"root <> ra and (root = main or a < b) and 100 * least(items, other) >= {percent} * greatest(items, other)").select("a", "b")
+            heads = scratch.keep(rare(named.select("node", "root").distinct(), sets, percent))
+            sizes = heads.groupBy("token", "root").count()
+            main = sizes.groupBy("token").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("token", F.col("m.root").alias("main"))
+            heads = heads.join(main, "token")
+            rest = heads.filter("root <> main").toDF("token", "a", "ra", "na", "pa", "main").drop("main")
+            near = f"100 * least(items, na) >= {percent} * greatest(items, na)"
+            # what the two sets can have in common, given where this shingle stands in each
+            most = f"(100 + {percent}) * (least(place, pa) + least(items - place, na - pa)) >= {percent} * (items + na)"
+            pairs = rest.join(heads.withColumnRenamed("node", "b"), "token").filter(f"root <> ra and (root = main or a < b) and {near} and {most}").select("a", "b")
         pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti").join(tested.toDF("b", "a"), ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs)
         tested = tested.unionAll(pairs)
