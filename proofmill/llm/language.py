@@ -1,12 +1,15 @@
 """Operator 2: language identification by interpolated Kneser-Ney character models.
 
-Per language an interpolated Kneser-Ney model of order ORDER is estimated from a bounded sample of
-labelled rows: at most SAMPLE texts per language, each of at most SAMPLE_BYTES bytes, chosen by a
-hash of doc_id. The models of all languages share one sorted array of n-gram hashes per order, with a
-row of log probabilities, and one of context hashes with back-off weights. A whole text's score per
-language is its cross-entropy in nats per character; the lowest wins. A text is rejected if that
-lowest exceeds the language's threshold, calibrated on sample texts kept out of the estimates, or if
-it has no letter.
+For every language of a labelled row that has a text an interpolated Kneser-Ney model of order ORDER
+is estimated from a bounded sample: at most SAMPLE texts per language, each of at most SAMPLE_BYTES
+bytes, chosen by a hash of doc_id; a language without such a text is learned from its shortest texts,
+however long: the shortest one and further ones up to LONG_BYTES together. Languages are learned and
+scored in blocks; the models of a block share one sorted array of n-gram hashes per order, with a
+row of log probabilities, and one of context hashes with back-off weights. All blocks share one
+alphabet, so that their scores compare. A whole text's score per language is its cross-entropy in
+nats per character; the lowest wins. A text is rejected if that lowest exceeds the language's
+threshold, calibrated on sample texts kept out of the estimates (of fewer than five texts none is
+kept out), or if it has no letter.
 
 Characters: lower-cased letters; everything else is one separator, and a run of separators counts
 once. Inputs of a prediction are the text alone.
@@ -18,18 +21,19 @@ an empty table gives no rows; extra columns are not read by ``identify``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, buffers, clean_text, mix, slices
+from .common import U64, Scratch, buffers, clean_text, mix, slices
 
-ORDER, SAMPLE, SAMPLE_BYTES = 4, 200, 1 << 16
-#: Beyond so many languages the rarest of them are not learned from; it bounds the sample.
-LANGUAGES = 256
+ORDER, SAMPLE, SAMPLE_BYTES, LONG_BYTES = 4, 200, 1 << 16, 1 << 20
+#: Languages of a block, and bytes of their samples beyond which it ends; they bound what is in memory at once.
+BLOCK, BLOCK_BYTES = 32, 8 << 20
 PAD = ORDER - 1
 _BASE = U64(0x100000001B3)
 RESULT = "lang_pred string, score double, cross_entropy double, rejected boolean"
@@ -117,11 +121,11 @@ class HashArray:
 
 
 class Model:
-    """Interpolated Kneser-Ney models of several languages over the same arrays."""
+    """Interpolated Kneser-Ney models of a block of languages over the same arrays."""
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, samples: dict[str, list[str]], alphabet: Alphabet | None = None):
         self.languages = sorted(samples)
-        self.alphabet = Alphabet([t for ts in samples.values() for t in ts])
+        self.alphabet = alphabet or Alphabet([t for ts in samples.values() for t in ts])
         parts = []
         for lang in self.languages:
             raw = [t.encode() for t in samples[lang]]
@@ -208,68 +212,118 @@ class Model:
                 if (good := letters > 0).any():
                     self.limits[j] = h[good, j].max() + max(0.5, 3 * h[good, j].std())
 
+
+class Models:
+    """The models of all languages: broadcast blocks in order of name, of which a worker holds one at a time."""
+
+    def __init__(self, blocks: list[Broadcast]):
+        self.blocks = blocks
+
+    def each(self) -> Iterator[Model]:
+        for block in self.blocks:
+            yield block.value
+            if len(self.blocks) > 1 and getattr(block, "_path", None) is not None:  # it can be loaded again
+                vars(block).pop("_value", None)
+
     def predict(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-        if not self.languages:
-            return ["und"] * len(starts), np.zeros(len(starts)), np.zeros(len(starts)), np.ones(len(starts), bool)
-        h, n, letters = self.entropies(data, starts, stops)
-        best = h.argmin(axis=1)
-        lowest = h[np.arange(len(h)), best]
-        weight = np.exp(-(h - lowest[:, None]) * np.minimum(n, 64)[:, None])
-        none = letters == 0
-        rejected = none | (lowest > self.limits[best] + 4 / np.sqrt(np.maximum(n, 1)))
-        return [("und" if x else self.languages[b]) for b, x in zip(best, none)], np.where(none, 0, 1 / weight.sum(axis=1)), np.where(none, 0, lowest), rejected
-
-
-def sample(docs: DataFrame, per_language: int = SAMPLE) -> dict[str, list[str]]:
-    """At most so many texts per language, by hash of doc_id; ids first, then their texts."""
-    fit = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
-    common = [r.lang for r in fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not common:
-        return {}
+        rows = np.arange(len(starts))
+        lang, none, rejected = np.full(len(rows), "und", object), np.ones(len(rows), bool), np.ones(len(rows), bool)
+        lowest, total = np.full(len(rows), 1e9), np.zeros(len(rows))
+        for model in self.each():
+            h, n, letters = model.entropies(data, starts, stops)
+            best = h.argmin(axis=1)
+            low, weight = h[rows, best], np.minimum(n, 64)
+            both = np.minimum(low, lowest)
+            total = total * np.exp(-(lowest - both) * weight) + np.exp(-(h - both[:, None]) * weight[:, None]).sum(axis=1)
+            none = letters == 0
+            wins = low < lowest
+            lang[wins] = np.array(model.languages, object)[best[wins]]
+            rejected[wins] = (low > model.limits[best] + 4 / np.sqrt(np.maximum(n, 1)))[wins]
+            lowest = both
+        lang[none] = "und"
+        return lang.tolist(), np.where(none, 0, 1 / np.maximum(total, 1)), np.where(none, 0, lowest), rejected | none
+
+
+def sample(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[list[str]], Callable[[list[str]], dict[str, list[str]]], Scratch | None]:
+    """Blocks of languages in order of name, a call that fetches a block's texts, and where several blocks' texts are kept."""
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_n", F.octet_length("text"))
+    fits = F.col("doc_id").isNotNull() & (F.col("_n") <= SAMPLE_BYTES)
+    sizes = labelled.groupBy("lang").agg(F.count(F.when(fits, 1)).alias("fit"), F.avg(F.when(fits, F.col("_n"))).alias("mean"), F.min("_n").alias("least")).collect()
+    sizes.sort(key=lambda r: r.lang)
+    blocks: list[list[str]] = []
+    room = 0.0
+    for r in sizes:
+        size = min(r.fit, per_language) * r.mean if r.fit else max(r.least, LONG_BYTES)
+        if not blocks or len(blocks[-1]) == BLOCK or size > room:
+            blocks.append([])
+            room = BLOCK_BYTES
+        blocks[-1].append(r.lang)
+        room -= size
+    # ids first, then their texts; at most per_language ids a language
+    fit = labelled.filter(fits)
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = fit.filter(F.col("lang").isin(common)).select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language).select("doc_id").distinct()
-    # at most LANGUAGES * per_language ids
-    rows = fit.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", "text").toArrow()
-    rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("lang", "doc_id", "text"))))
-    found: dict[str, list[str]] = {}
-    for lang, _, text in rows:
-        if lang in common and len(found.setdefault(lang, [])) < per_language:
-            found[lang].append(text)
-    return found
-
-
-def learn(docs: DataFrame, per_language: int = SAMPLE) -> Model:
-    """Four fifths of the sample make the models, the rest their thresholds."""
-    texts = sample(docs, per_language)
-    model = Model({k: [t for i, t in enumerate(v) if i % 5 or len(v) < 5] for k, v in texts.items()} if texts else {}) if texts else None
-    if model is None:
-        model = Model.__new__(Model)
-        model.languages = []
-        return model
-    model.calibrate({k: v[::5] for k, v in texts.items()})
-    return model
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
+    ids = fit.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language).select("doc_id").distinct()
+    rows = fit.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", "text")
+    if long := [r.lang for r in sizes if not r.fit]:
+        rest = labelled.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in long], "lang string")), "lang", "left_semi").withColumn("_h", F.xxhash64("text"))
+        order = Window.partitionBy("lang").orderBy("_n", "_h")
+        keys = rest.select("lang", "_n", "_h").distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language)
+        keys = keys.withColumn("_s", F.sum("_n").over(order)).filter((F.col("_r") == 1) | (F.col("_s") <= LONG_BYTES)).select("lang", "_h")
+        texts = rest.join(F.broadcast(keys), ["lang", "_h"], "left_semi").groupBy("lang", "_h").agg(F.first("text").alias("text"))
+        rows = rows.unionByName(texts.select("lang", F.lit(None).cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "text"))
+    scratch = Scratch(docs.sparkSession) if len(blocks) > 1 else None
+    kept = scratch.keep(rows) if scratch else rows
+
+    def fetch(block: list[str]) -> dict[str, list[str]]:
+        table = (kept.filter(F.col("lang").isin(block)) if scratch else kept).toArrow()
+        found: dict[str, list[str]] = {x: [] for x in block}
+        for lang, _, text in sorted(zip(*(table.column(c).to_pylist() for c in ("lang", "doc_id", "text")))):
+            if len(found[lang]) < per_language:
+                found[lang].append(text)
+        return found
+
+    return blocks, fetch, scratch
+
+
+def learn(docs: DataFrame, per_language: int = SAMPLE) -> Models:
+    """Four fifths of a language's sample make its model, the rest its threshold."""
+    blocks, fetch, scratch = sample(docs, per_language)
+    if not blocks:
+        return Models([])
+    texts: dict[str, list[str]] = {}
+    letters: set[str] = set()
+    for block in blocks:  # all letters first: the blocks' scores compare only over one alphabet
+        texts = fetch(block)
+        letters.update(*(t for ts in texts.values() for t in ts))
+    alphabet, shared = Alphabet(["".join(letters)]), []
+    for block in blocks:
+        texts = fetch(block) if scratch else texts
+        model = Model({k: [t for i, t in enumerate(v) if i % 5 or len(v) < 5] for k, v in texts.items()}, alphabet)
+        model.calibrate({k: v[::5] for k, v in texts.items()})
+        shared.append(docs.sparkSession.sparkContext.broadcast(model))
+    if scratch:
+        scratch.drop(1)
+    return Models(shared)
+
+
+def identify(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy and rejected of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 19):
-            lang, score, entropy, rejected = shared.value.predict(*buffers(batch.column(1)))
+            lang, score, entropy, rejected = models.predict(*buffers(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return docs.select("doc_id", clean_text()).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {RESULT}")
 
 
-def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
     """The rows whose language is not rejected, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=1 << 19):
             column = batch.column(batch.schema.get_field_index("text"))
-            rejected = shared.value.predict(*buffers(column))[3]
+            rejected = models.predict(*buffers(column))[3]
             yield batch.filter(pa.array(~rejected))
 
     return docs.mapInArrow(run, docs.schema)

@@ -75,3 +75,37 @@ def test_held_out_accuracy(spark):
     rows = language.query(spark, d).join(docs, "doc_id").filter("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
     assert np.mean([r.rejected for r in rows]) < 0.01
+
+
+def invented(rng, n):
+    """A language of so many random words over its own part of the alphabet."""
+    own = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9, replace=False)
+    return ["".join(rng.choice(own, rng.integers(2, 8))) for _ in range(n)]
+
+
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(5)
+    names = [f"x{i:03}" for i in range(300)]
+    words = {x: invented(rng, 30) for x in names}
+    rows = [(i * 4 + k, " ".join(rng.choice(words[x], 60)), x) for i, x in enumerate(names) for k in range(3)]
+    rows += [(5000 + k, "длинный редкий язык " * 4000, "long") for k in range(2)] + [(None, "ένα κείμενο χωρίς αριθμό " * 9, "noid")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language.learn(df)
+    want = sorted((i if i is not None else -1, x) for i, _, x in rows)
+    got = language.identify(df, models).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.lang_pred) for r in got) == want
+    assert not any(r.rejected for r in got)
+    assert language.keep_identified(df, models).count() == len(rows)
+
+
+def test_blocks_score_like_one(spark, monkeypatch):
+    rows = [(i, f"{'abcde'[i % 5]}xyz {'uvwst'[i % 5]}q {i * 7919 % 9}kz " * 5 + "olm nop"[i % 7 :], "abcde"[i % 5]) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = {r.doc_id: r for r in language.identify(df, language.learn(df)).collect()}
+    monkeypatch.setattr(language, "BLOCK", 2)
+    models = language.learn(df)
+    assert len(models.blocks) == 3
+    for r in language.identify(df, models).collect():
+        w = one[r.doc_id]
+        assert (r.lang_pred, r.rejected) == (w.lang_pred, w.rejected)
+        assert abs(r.score - w.score) < 1e-4 and abs(r.cross_entropy - w.cross_entropy) < 1e-4
