@@ -80,20 +80,44 @@ SHARED = {
           ON o.o_orderkey = l.l_orderkey AND l.l_shipdate >= o.o_orderdate AND l.l_shipdate < o.o_orderdate + INTERVAL 30 DAY GROUP BY o.o_orderkey""",
 }
 
+_VALUE = r"""[A-Za-z0-9_-]{0,40}["\x27]?[ \t]*(?:=>|:=|=|:)[ \t]*(?:"[^"\r\n]*"|\x27[^\x27\r\n]*\x27|["\x27]?[^ \t\r\n"\x27,;]+)"""
+#: Detectors in the order in which they redact (FN-09): what they find, mark, pattern. Java and RE2 read the patterns alike.
+DETECTORS = (
+    ("private_keys", "[private key]", r"(?s)-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY[A-Z ]{0,20}-----.*?(?:-----END [A-Z0-9 ]{0,40}PRIVATE KEY[A-Z ]{0,20}-----|\z)"),
+    ("cookies", "[cookie]", r"(?i)(?:set-)?cookie[ \t]*[:=][ \t]*[A-Za-z0-9_.-]+=[^\r\n]*|(?i)(?:jsessionid|phpsessid|session_?id)[ \t]*[:=][ \t]*[^ \t\r\n;,&]+"),
+    ("tokens", "[token]", r"(?i:authorization[ \t]*:[ \t]*[a-z]+[ \t]+[^ \t\r\n]+|bearer[ \t]+[A-Za-z0-9._~+/=-]{8,})|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|A[KS]IA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-(?:[A-Za-z]{2,8}-)?[A-Za-z0-9_]{20,}|AIza[A-Za-z0-9_-]{35}|(?i:token)" + _VALUE),
+    ("credentials", "[credential]", r"(?i:password|passwd|passphrase|pwd|secret|api[_ -]?key|access[_ -]?key|private[_ -]?key|credentials?)" + _VALUE + r"|://[^/ \t\r\n:@]*:[^/ \t\r\n@]+@"),
+    ("emails", "[email]", r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*"),
+    ("ibans", "[iban]", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"),
+    ("addresses", "[address]", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"),
+    ("cards", "[card]", r"[0-9]{13,}|[0-9]{4,}(?:[ -][0-9]{4}){2}[ -][0-9]{4,}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"),
+    ("phones", "[phone]", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"),
+    ("ids", "[id]", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
+)
+
+
+def _redaction(wanted: str) -> tuple[str, str]:
+    """The chain for Spark and for DuckDB; each detector reads what those before it have left."""
+    counts = wanted.startswith("doc_id, {counts}")
+    spark = duck = "SELECT doc_id, text FROM documents"
+    kept = "doc_id"
+    for name, mark, pattern in DETECTORS:
+        here = [f", CAST({c} AS BIGINT) AS n_{name}" if counts else "" for c in (f"regexp_count(text, r'{pattern}')", f"len(regexp_extract_all(text, '{pattern}'))")]
+        spark = f"SELECT {kept}{here[0]}, regexp_replace(text, r'{pattern}', '{mark}') AS text FROM ({spark}) t"
+        duck = f"SELECT {kept}{here[1]}, regexp_replace(text, '{pattern}', '{mark}', 'g') AS text FROM ({duck}) t"
+        kept += f", n_{name}" if counts else ""
+    of = {"counts": ", ".join(f"n_{name}" for name, _, _ in DETECTORS)}
+    return f"SELECT {wanted.format(digest='sha2(text, 256)', **of)} FROM ({spark}) t", f"SELECT {wanted.format(digest='sha256(text)', **of)} FROM ({duck}) t"
+
+
 #: Statements whose functions differ: (Spark, DuckDB).
 OWN = {
     "content_digest_dupes": (
         "SELECT sha2(text, 256) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
         "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     ),
-    "redaction_findings": (
-        "SELECT doc_id, CAST(regexp_count(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+') AS BIGINT) AS n_emails FROM documents",
-        "SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+')) AS BIGINT) AS n_emails FROM documents",
-    ),
-    "redacted_documents": (
-        "SELECT doc_id, sha2(regexp_replace(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+', '[email]'), 256) AS digest FROM documents",
-        "SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+', '[email]', 'g')) AS digest FROM documents",
-    ),
+    "redaction_findings": _redaction("doc_id, {counts}, 'fn09-1' AS detectors"),
+    "redacted_documents": _redaction("doc_id, {digest} AS digest"),
     "root_partition_split": (
         "SELECT conv_id, CASE WHEN h < 60 THEN 'extraction' WHEN h < 80 THEN 'validation' ELSE 'sealed' END AS part FROM (SELECT DISTINCT conv_id, CAST(conv(substr(sha2('split-1:' || conv_id, 256), 1, 8), 16, 10) AS BIGINT) % 100 AS h FROM conversations) t",
         "SELECT conv_id, CASE WHEN h < 60 THEN 'extraction' WHEN h < 80 THEN 'validation' ELSE 'sealed' END AS part FROM (SELECT DISTINCT conv_id, CAST('0x' || substr(sha256('split-1:' || conv_id), 1, 8) AS BIGINT) % 100 AS h FROM conversations) t",
@@ -117,7 +141,7 @@ _SPELLING = {"LEFT ANTI JOIN": "ANTI JOIN", "LEFT SEMI JOIN": "SEMI JOIN"}
 
 def _run(statement: str) -> Callable[[SparkSession, str], DataFrame]:
     used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", statement)]
-    marked = statement
+    marked = statement.replace("{", "{{").replace("}", "}}")
     for t in used:
         marked = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", marked)
 
