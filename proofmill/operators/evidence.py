@@ -1,14 +1,16 @@
 """Evidence, authorization, evaluation and provenance queries over the driver's tables.
 
-Each is one declarative statement that Catalyst plans; those whose functions are named alike in both
+Each but log_hash_chain is one declarative statement that Catalyst plans; those whose functions are named alike in both
 engines share their text with the oracle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -45,11 +47,12 @@ SHARED = {
         FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
         LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON c.c_custkey = o.o_custkey
         WHERE n.n_nationkey IS NULL OR r.r_regionkey IS NULL OR o.o_custkey IS NULL""",
-    # what depends on a withdrawn supplier: its lines, their orders, those orders' customers
+    # what depends on a withdrawn supplier: its lines (line: their number), their orders, those orders' customers
     "purge_closure": """
-        WITH lines AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey = 1),
+        WITH lines AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey = 1),
              hit AS (SELECT o.o_orderkey, o.o_custkey FROM orders o LEFT SEMI JOIN lines ON o.o_orderkey = lines.l_orderkey)
-        SELECT 'order' AS kind, o_orderkey AS node_id FROM hit UNION ALL SELECT DISTINCT 'customer' AS kind, o_custkey AS node_id FROM hit""",
+        SELECT 'line' AS kind, l_orderkey AS node_id, l_linenumber AS line FROM lines
+        UNION ALL SELECT 'order' AS kind, o_orderkey AS node_id, NULL AS line FROM hit UNION ALL SELECT DISTINCT 'customer' AS kind, o_custkey AS node_id, NULL AS line FROM hit""",
     "illegal_transitions": """
         SELECT from_type, to_type, count(*) AS n FROM (
           SELECT event_type AS to_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_type FROM events) t
@@ -126,9 +129,10 @@ OWN = {
         "SELECT conv_id, count(*) AS n_events, sha2(array_join(transform(array_sort(collect_list(struct(turn, role, coalesce(text, '') AS text))), x -> x.turn || ':' || x.role || ':' || x.text), '\\n'), 256) AS digest FROM conversations GROUP BY conv_id",
         "SELECT conv_id, count(*) AS n_events, sha256(string_agg(turn || ':' || role || ':' || coalesce(text, ''), chr(10) ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id",
     ),
+    # a record's link covers the link before it, so a change shows in every later link of its conversation
     "log_hash_chain": (
-        "SELECT conv_id, turn, own, sha2(coalesce(lag(own) OVER (PARTITION BY conv_id ORDER BY turn), '') || own, 256) AS link FROM (SELECT conv_id, turn, sha2(coalesce(text, ''), 256) AS own FROM conversations) t",
-        "SELECT conv_id, turn, own, sha256(coalesce(lag(own) OVER (PARTITION BY conv_id ORDER BY turn), '') || own) AS link FROM (SELECT conv_id, turn, sha256(coalesce(text, '')) AS own FROM conversations) t",
+        None,
+        "WITH RECURSIVE records AS (SELECT conv_id, turn, sha256(coalesce(text, '')) AS own, row_number() OVER (PARTITION BY conv_id ORDER BY turn, sha256(coalesce(text, ''))) AS place FROM conversations), chain AS (SELECT conv_id, turn, own, place, sha256(own) AS link FROM records WHERE place = 1 UNION ALL SELECT r.conv_id, r.turn, r.own, r.place, sha256(c.link || r.own) FROM chain c JOIN records r ON r.conv_id = c.conv_id AND r.place = c.place + 1) SELECT conv_id, turn, own, link FROM chain",
     ),
     "set_digest_by_source": (
         "SELECT source, sha2(array_join(transform(array_sort(collect_set(doc_id)), x -> CAST(x AS STRING)), ','), 256) AS digest FROM documents GROUP BY source",
@@ -151,7 +155,26 @@ def _run(statement: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES = {k: _run(v) for k, v in SHARED.items()} | {k: _run(v[0]) for k, v in OWN.items()}
+
+def log_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, own and link of every record, in one pass over each conversation's records in order."""
+    logs = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("conv_id", "turn", "sha2(coalesce(text, ''), 256) AS own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, link = None, ""
+        for batch in batches:
+            links = []
+            for conv, own in zip(batch.column("conv_id").to_pylist(), batch.column("own").to_pylist()):
+                link = hashlib.sha256(((link if at == (conv,) else "") + own).encode()).hexdigest()
+                at = (conv,)
+                links.append(link)
+            yield batch.append_column("link", pa.array(links, pa.string()))
+
+    types = dict(logs.dtypes)
+    return logs.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "own").mapInArrow(run, f"conv_id {types['conv_id']}, turn {types['turn']}, own string, link string")
+
+
+QUERIES = {k: _run(v) for k, v in SHARED.items()} | {k: _run(v[0]) for k, v in OWN.items() if v[0]} | {"log_hash_chain": log_hash_chain}
 ORACLES = {k: v[1] for k, v in OWN.items()}
 for _name, _text in SHARED.items():
     for _a, _b in _SPELLING.items():
