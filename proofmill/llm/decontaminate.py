@@ -2,9 +2,10 @@
 
 Words are runs of letters, digits and non-ASCII bytes after lower-casing A-Z. The training texts'
 shards are slices of a partition's rows: each gets a suffix array of its word positions, sorted by
-their first WINDOW words, and every suffix of every benchmark item is searched in it by bisection,
-word by word, so that a search ends at the longest verbatim match and tells where it stands. A window
-is WINDOW consecutive item words (a shorter item is one window as a whole). Positions whose first two
+their first WINDOW words, and every window of every benchmark item is searched in it by bisection,
+word by word. A window is WINDOW consecutive item words (a shorter item is one window as a whole).
+Matches are not extended past their window: ``longest`` is the longest union of hit words, which may
+join windows of several items, and no longest verbatim match of one item. Positions whose first two
 words begin no window can't match two words of one and are left out of the array.
 
 Training texts are never shuffled. The benchmark is collected and broadcast in blocks of at most
