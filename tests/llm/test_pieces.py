@@ -1,3 +1,5 @@
+import random
+
 import pytest
 import sentencepiece
 
@@ -23,6 +25,22 @@ def test_cases(spark, model):
     assert all(back[k] == (t and t.replace("▁", " ")) for k, t in enumerate(TEXTS))
 
 
+def test_words_of_all_lengths(model, monkeypatch):
+    rng = random.Random(4)
+    letters = "abcdeéß日本😀 \n_0"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 400))) for _ in range(300)]
+    texts += ["".join(rng.choice("ab") for _ in range(k)) for k in (1, 127, 128, 129, 5000)] + ["of the " * 3000, "x" * 20_000]
+    vocabulary = pieces.Vocabulary()
+    monkeypatch.setattr(pieces, "BLOCK", 1000)
+    monkeypatch.setattr(pieces, "TOGETHER", 500)
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    encoder = pieces.Encoder(vocabulary)
+    for k in range(0, len(texts), 7):
+        ids, count = encoder.encode(texts[k : k + 7])
+        want = [model.encode(t) for t in texts[k : k + 7]]
+        assert count.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_empty(spark):
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
