@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that a Python worker handles at a time; only a single longer text exceeds it.
 SLICE_BYTES = 2 << 20
@@ -24,34 +29,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only in local mode without a setting."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that the driver and all executors share; of its own only in local mode, where one machine holds all."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="proofmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """names, made different from all columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 class Scratch:
-    """Tables written to the shared folder to cut lineage; they survive the loss of executors."""
+    """Tables written to the shared folder to cut lineage; they survive the loss of executors.
+
+    A table is dropped once all that reads it has been written; what a query returns reads the tables
+    that are left.
+    """
+
+    #: Seconds between two requests to let go of shuffle files that nothing reads any more.
+    EVERY = 4
 
     def __init__(self, spark: SparkSession):
         self.spark, self.at = spark, f"{scratch_dir(spark)}/proofmill-{uuid.uuid4().hex}"
-        self.count = 0
+        self.paths: dict[int, str] = {}
+        self.tables: list[DataFrame] = []  # all of them, so that no other gets the id of one
+        self.freed = time.monotonic()
 
     def keep(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.at}/{self.count}"
+        path = f"{self.at}/{len(self.tables) + 1}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        self.tables.append(out)
+        return out
 
-    def drop(self, number: int) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.at}/{number}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for t in tables:
+            path = hadoop(self.paths[id(t)])
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            del self.paths[id(t)]
+        # the driver's collector decides when shuffle files go
+        if time.monotonic() - self.freed > self.EVERY:
+            gc.collect()
+            self.spark._jvm.System.gc()
+            self.freed = time.monotonic()
+
+
+def map_rows(rows: DataFrame, run, names: list[str], kinds: StructType) -> DataFrame:
+    """rows.mapInArrow(run) to columns of these names and kinds; any name may hold dots."""
+    safe = [c if c.isidentifier() else f"column{k}_" for k, c in enumerate(rows.columns)]
+    out = StructType([StructField(f"out{k}", f.dataType) for k, f in enumerate(kinds.fields)])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch.rename_columns(out.names)
+
+    return rows.toDF(*safe).mapInArrow(numbered, out).toDF(*names)
 
 
 def clean_text(name: str = "text"):
@@ -138,6 +182,22 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     return mix((prefix[stops] - prefix[starts]) * down[starts])
 
 
+def word_hashes(texts: list[bytes | None], separators: bytes = b"") -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(SipHash of each word, number of words by text, words), after lower-casing A-Z.
+
+    Words are runs of bytes other than white space and separators.
+    """
+    blank = bytes.maketrans(separators, b" " * len(separators)) if separators else None
+    split = [t.lower().translate(blank).split() if t else [] for t in texts]
+    count = np.fromiter(map(len, split), np.int64, len(split))
+    words = list(chain.from_iterable(split))
+    if not words:
+        return np.zeros(0, U64), count, words
+    flat = np.empty(len(words), object)
+    flat[:] = words
+    return pd.util.hash_array(flat, categorize=False), count, words
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 

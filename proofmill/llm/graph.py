@@ -22,15 +22,16 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = scratch.keep(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("root")))
         steps.append(step)
-        left, right = step.toDF("a", "pa"), step.toDF("b", "pb")
+        left, right, before = step.toDF("a", "pa"), step.toDF("b", "pb"), edges
         edges = scratch.keep(edges.join(left, "a").join(right, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        scratch.drop(before)
     if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = steps.pop()
     while steps:
-        later = found.toDF("root", "top")
-        found = steps.pop().join(later, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        found = scratch.keep(found)
+        step, later = steps.pop(), found
+        found = scratch.keep(step.join(later.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        scratch.drop(step, later)
     return found
 
 

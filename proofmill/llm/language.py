@@ -302,7 +302,7 @@ def learn(docs: DataFrame, per_language: int = SAMPLE) -> Models:
         model.calibrate({k: v[::5] for k, v in texts.items()})
         shared.append(docs.sparkSession.sparkContext.broadcast(model))
     if scratch:
-        scratch.drop(1)
+        scratch.drop(*scratch.tables)
     return Models(shared)
 
 
