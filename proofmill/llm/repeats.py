@@ -1,22 +1,26 @@
 """Operator 5: removal of repeated byte strings by suffix arrays.
 
 A byte of a document goes if a string of LENGTH bytes covers it that also starts earlier: in a document
-with a smaller doc_id, or in the same one before. Equal whole texts are one text first, the smallest
-doc_id's; a copy of it loses every byte if it is long enough.
+with a smaller doc_id, or in the same one before. Equal whole texts are one text, the smallest doc_id's;
+a copy of it loses every byte if it is long enough.
 
 Each string of LENGTH bytes names an anchor, the smallest hash of its substrings of GRAM bytes, so equal
 strings name equal anchors wherever they stand. Consecutive strings with the same anchor place are a
-segment. Segments whose anchor occurs once are done; equal segments are one, the earliest; where
-different segments share an anchor, they are concatenated and their suffix array is built by two-stage
-sorting: suffixes smaller than their successors are sorted directly, the others are induced by scans of
-the buckets of first bytes. Adjacent suffixes with a common prefix of LENGTH bytes are equal strings.
-Anchors shared by more than GROUP different segments are resolved by string hashes that are aggregated
-before the shuffle, so that no task holds an unbounded group.
-
-Cases: a null text is empty; texts under LENGTH bytes stay as they are; a null doc_id comes after all
-others; rows with the same doc_id and text are one document and get the same result; of rows with the
-same doc_id and other texts the one with the smaller text hash is earlier; an empty table gives no rows;
-extra columns are not read by ``find``.
+segment, at most SPAN strings. Texts never travel for this: a segment is a row of four numbers, its
+anchor, the SipHash of its bytes, the text's name and where it stands. Rows are dealt by anchor once,
+and those whose anchor occurs once are done. Of equal segments all but the earliest are repeated. Only
+where different segments share an anchor their bytes are fetched, one segment of each kind, concatenated
+and indexed: two-stage sorting sorts directly the suffixes that are smaller than their successors and
+induces the others by scans of the buckets of first bytes. Adjacent suffixes with a common prefix of
+LENGTH bytes are equal strings. Arrays hold all segments of one anchor; anchors shared by over GROUP
+kinds of segments (2.5 MB, for which an array takes 100 MB of memory) are resolved by string hashes that
+are aggregated before the shuffle, so that no task holds an unbounded group.
+
+Cases: a null text is empty; texts under LENGTH bytes stay as they are; very long texts are cut into
+pieces of PIECE strings that overlap; a null doc_id comes after all others; rows with the same doc_id
+and text are one document and get the same result; of rows with the same doc_id and other texts the one
+with the smaller SHA-256 is earlier; an empty table gives no rows; extra columns are not read by
+``find`` and kept by ``deduplicated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,23 +29,30 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import U64, Scratch, buffers, clean_text, prefix_hash, slices, span_hash
+from .common import U64, Scratch, buffers, clean_text, map_rows, mix, prefix_hash, slices, span_hash, unused
+from .suffixes import suffix_array, windows
 
-LENGTH, GRAM, GROUP = 100, 50, 2048
+LENGTH, GRAM, GROUP = 100, 50, 1 << 14
 SPAN = LENGTH - GRAM + 1
-#: Bytes of segments that one suffix array covers, or one anchor's segments.
-ARRAY_BYTES = 1 << 17
-#: Strings of a text whose anchors are found at a time.
+#: Bytes of segments after which an array is closed; it holds one anchor's segments at least.
+ARRAY_BYTES = 1 << 18
+#: Strings whose anchors are found at a time.
 PIECE = 1 << 20
+#: A segment's place in one number: 25 bits of the text's name, 31 of the start, 1 if an equal one stands before it in the same text, 6 of the number of strings.
+TAG, START, AGAIN, COUNT = 38, 7, 6, 63
 
 
 def text_name(text: bytes | None) -> bytes:
-    return hashlib.blake2b(text or b"", digest_size=16).digest()
+    return hashlib.sha256(text or b"").digest()[:16]
+
+
+def name_of(text: Column) -> Column:
+    return F.substring(F.unhex(F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256)), 1, 16)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -53,92 +64,53 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def segments(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first string, number of strings) of a text's segments."""
-    n = len(data) - LENGTH + 1
-    none = np.zeros(0, np.int64)
-    if n < 1:
-        return none, none, none
-    anchors, places = [], []
-    for begin in range(0, n, PIECE):
-        part = data[begin : min(begin + PIECE, n) + LENGTH - 1]
-        prefix = prefix_hash(part)
+def segments(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first string, number of strings, text) of the segments of all texts in data."""
+    found = []
+    for begin in range(0, max(len(data) - LENGTH + 1, 0), PIECE):
+        part = data[begin : begin + PIECE + LENGTH - 1]
+        n = len(part) - LENGTH + 1
         at = np.arange(len(part) - GRAM + 1)
-        value = span_hash(prefix, at, at + GRAM)
+        value = span_hash(prefix_hash(part), at, at + GRAM)
         low = sliding_min((value & ~U64((1 << 22) - 1)) | at.astype(U64), SPAN)
-        place = (low & U64((1 << 22) - 1)).astype(np.int64)
-        anchors.append(value[place].view(np.int64))
-        places.append(place + begin)
-    anchor, place = np.concatenate(anchors), np.concatenate(places)
-    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    return anchor[first], first, np.diff(np.append(first, n))
-
-
-def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes in the order of their first depth bytes, by two-stage sorting; no byte is 0 but separators and the last one."""
-    n = len(text)
-    if not n:
-        return np.zeros(0, np.int64)
-    after = np.append(text[1:], np.uint8(0)).astype(np.int16)
-    step = np.sign(after - text)
-    step[-1] = -1
-    # a run of equal bytes is smaller than its successor if its last byte is
-    decided = np.flatnonzero(step)
-    small = step[decided[np.searchsorted(decided, np.arange(n))]] > 0
-    wide = np.concatenate([text, np.zeros(depth, np.uint8)])
-    rows = np.lib.stride_tricks.sliding_window_view(wide, depth)
-    direct = np.flatnonzero(small)
-    padded = np.zeros((len(direct), -(-depth // 8) * 8), np.uint8)
-    padded[:, :depth] = rows[direct]
-    order = direct[np.lexsort(padded.view(">u8").astype(U64).T[::-1])]
-    begin = np.searchsorted(text[order], np.arange(257))
-    induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    out = []
-    for c in range(256):
-        if c == 0:  # separators in text order; the last suffix is the smallest
-            induced[0] = [np.flatnonzero((text == 0) & ~small)[::-1]]
-        level = np.concatenate(induced[c]) if induced[c] else np.zeros(0, np.int64)
-        front = [level]
-        while c and len(level):
-            before = level[level > 0] - 1
-            level = before[(text[before] == c) & ~small[before]]
-            front.append(level)
-        bucket = np.concatenate([*front, order[begin[c] : begin[c + 1]]])
-        out.append(bucket)
-        before = bucket[bucket > 0] - 1
-        before = before[(text[before] > c) & ~small[before]]
-        if len(before):
-            byte = text[before]
-            by = np.argsort(byte, kind="stable")
-            cut = np.flatnonzero(np.diff(byte[by])) + 1
-            for part in np.split(before[by], cut):
-                induced[text[part[0]]].append(part)
-    return np.concatenate(out)
-
-
-def repeated(parts: list[bytes]) -> list[int]:
+        # strings that stand in one text
+        a = int(np.searchsorted(stops, begin, "right"))
+        b = int(np.searchsorted(starts, begin + n))
+        first = np.maximum(starts[a:b], begin) - begin
+        room = np.maximum(np.minimum(stops[a:b] - LENGTH + 1, begin + n) - begin - first, 0)
+        owner = np.repeat(np.arange(a, b), room)
+        string = np.arange(len(owner)) + np.repeat(first - (np.cumsum(room) - room), room)
+        place = (low[string] & U64((1 << 22) - 1)).astype(np.int64)
+        new = np.ones(len(string), bool)
+        new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
+        head = np.flatnonzero(new)
+        found.append((value[place[head]].view(np.int64), string[head] + begin, np.diff(np.append(head, len(string))), owner[head]))
+    if not found:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def repeated(parts: list[bytes]) -> np.ndarray:
     """Per segment, earliest first: bits of its strings that an earlier segment holds too."""
-    coded = b"".join(p.translate(_UP) + b"\0" for p in parts)
-    text = np.frombuffer(coded, np.uint8)
-    owner = np.repeat(np.arange(len(parts)), [len(p) + 1 for p in parts])
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    starts = ends - np.array([len(p) + 1 for p in parts])
-    order = suffix_array(text)
+    size = np.array([len(p) + 1 for p in parts])
+    text = np.frombuffer(b"".join(p.translate(_UP) + b"\0" for p in parts), np.uint8)
+    owner = np.repeat(np.arange(len(parts)), size)
+    ends = np.cumsum(size)
+    keys = windows(text)
+    order = suffix_array(text, LENGTH, keys)
     order = order[ends[owner[order]] - 1 - order >= LENGTH]  # strings within a segment
-    if not len(order):
-        return [0] * len(parts)
-    rows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
-    same = np.empty(len(order), bool)
-    same[0] = False
-    for k in range(1, len(order), 8192):  # is the common prefix of adjacent suffixes long enough?
-        same[k : k + 8192] = (rows[order[k : k + 8192]] == rows[order[k - 1 : k - 1 + len(order[k : k + 8192])]]).all(axis=1)
-    group = np.cumsum(~same) - 1
-    low = np.full(group[-1] + 1, len(parts))
-    np.minimum.at(low, group, owner[order])
-    late = owner[order] > low[group]
-    masks = [0] * len(parts)
-    for at in order[late].tolist():
-        masks[owner[at]] |= 1 << int(at - starts[owner[at]])
+    masks = np.zeros(len(parts), np.int64)
+    if len(order):
+        # is the common prefix of adjacent suffixes long enough?
+        same = np.append(False, np.ones(len(order) - 1, bool))
+        for d in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+            key = keys[order + d]
+            same[1:] &= key[1:] == key[:-1]
+        group = np.cumsum(~same) - 1
+        low = np.full(group[-1] + 1, len(parts))
+        np.minimum.at(low, group, owner[order])
+        late = order[owner[order] > low[group]]
+        np.bitwise_or.at(masks, owner[late], np.int64(1) << (late - (ends - size)[owner[late]]))
     return masks
 
 
@@ -146,46 +118,122 @@ def repeated(parts: list[bytes]) -> list[int]:
 _UP = bytes(min(b + 1, 255) for b in range(256))
 
 
-def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, text): each text's segments as (key, seg, short, at), once per task."""
+    seen: set[bytes] = set()
     for batch in slices(batches):
+        names = batch.column(0).to_pylist()
+        fresh = np.array([not (n in seen or seen.add(n)) for n in names], bool)
+        batch = batch.filter(pa.array(fresh))
+        if not batch.num_rows:
+            continue
         data, starts, stops = buffers(batch.column(1))
-        for k, (a, b) in enumerate(zip(starts.tolist(), stops.tolist())):
-            anchor, first, _ = segments(data[a:b])
-            if len(anchor):
-                yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array([batch.column(0)[k].as_py()] * len(anchor), pa.binary()), pa.array(first, pa.int64())], ["anchor", "name", "start"])
+        anchor, first, count, owner = segments(data, starts, stops)
+        if not len(anchor):
+            continue
+        whole = data.tobytes()
+        parts = np.empty(len(first), object)
+        parts[:] = [whole[a:b] for a, b in zip(first.tolist(), (first + count + (LENGTH - 1)).tolist())]
+        seg = pd.util.hash_array(parts, categorize=False)
+        name = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u8").reshape(-1, 2).astype(U64)
+        short, tag = name[owner, 0], name[owner, 1] >> U64(64 - 25)
+        # equal segments in one text: all but the first are repeated whatever stands elsewhere
+        order = np.lexsort((first, seg, anchor, owner))
+        again = np.zeros(len(first), bool)
+        x, y = order[1:], order[:-1]
+        again[x] = (seg[x] == seg[y]) & (anchor[x] == anchor[y]) & (owner[x] == owner[y])
+        start = (first - starts[owner]).astype(U64)
+        at = (tag << U64(TAG)) | (start << U64(START)) | (again.astype(U64) << U64(AGAIN)) | count.astype(U64)
+        key = np.where(again, mix(short + start), anchor.view(U64))
+        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (key, seg, short, at)], ["key", "seg", "short", "at"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, seg, short, at) in this order those that share a key, without repeats, and those that are repeated anyway."""
+    held, given = np.zeros((4, 0), np.int64), False
+    for batch in batches:
+        rows = np.stack([c.to_numpy() for c in batch.columns]) if batch.num_rows else np.zeros((4, 0), np.int64)
+        again = (rows[3] >> AGAIN & 1) == 1
+        out = [rows[:, again]]
+        rows = np.concatenate([held, rows[:, ~again]], axis=1)
+        new = np.append(True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)) if rows.shape[1] else np.zeros(0, bool)
+        rows = rows[:, new]
+        if rows.shape[1]:
+            same = rows[0, 1:] == rows[0, :-1]
+            many = np.append(False, same) | np.append(same, False)
+            if held.shape[1]:
+                many[0] |= given
+            show = many.copy()
+            show[0] &= not (held.shape[1] and given)
+            out.append(rows[:, show])
+            held, given = rows[:, -1:], bool(many[-1])
+        rows = np.concatenate(out, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["key", "seg", "short", "at"])
+
+
+def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, seg, ord, at) in this order: with null key and seg those that are repeated, with them the earliest of each kind where a key has several."""
+    last, wait = None, np.zeros((4, 0), np.int64)  # key and seg of the last row; the only kind of its key so far
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy() for c in batch.columns])
+        again = (rows[3] >> AGAIN & 1) == 1
+        late, rows = rows[:, again], rows[:, ~again]
+        kinds = rows[:, :0]
+        if rows.shape[1]:
+            before = np.concatenate([[last[0] if last else rows[0, 0]], rows[0, :-1]]), np.concatenate([[last[1] if last else rows[1, 0]], rows[1, :-1]])
+            new_key = rows[0] != before[0]
+            new = new_key | (rows[1] != before[1])
+            if not last:
+                new_key[0], new[0] = True, True
+            run = np.cumsum(new_key)  # 0: the last batch's last key goes on
+            n = np.bincount(run, new, minlength=run[-1] + 1).astype(np.int64)
+            open_ = last is not None
+            n[0] += open_
+            kinds = rows[:, new & (n[run] > 1)]
+            if wait.shape[1] and n[0] > 1:
+                kinds = np.concatenate([wait, kinds], axis=1)
+            if run[-1]:
+                wait = rows[:, new & (run == run[-1])] if n[-1] == 1 else wait[:, :0]
+            elif n[0] > 1:
+                wait = wait[:, :0]
+            late = np.concatenate([late, rows[:, ~new]], axis=1)
+            last = rows[0, -1], rows[1, -1]
+        none = pa.nulls(late.shape[1], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(kinds[0]), none]), pa.concat_arrays([pa.array(kinds[1]), none]), pa.array(np.append(kinds[2], late[2])), pa.array(np.append(kinds[3], late[3]))], ["key", "seg", "ord", "at"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """name, text, starts: the segments that begin there."""
+    """Rows (ord, text, wanted): the segments' bytes."""
     for batch in slices(batches):
-        for name, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
-            anchor, first, count = segments(np.frombuffer(text, np.uint8))
-            at = np.searchsorted(first, np.sort(np.array(wanted, np.int64)))
-            parts = [text[first[k] : first[k] + count[k] - 1 + LENGTH] for k in at]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.binary()), pa.array(first[at], pa.int64()), pa.array(anchor[at], pa.int64()), pa.array(count[at], pa.int32()), pa.array([text_name(p) for p in parts], pa.binary()), pa.array(parts, pa.binary())], ["name", "start", "anchor", "count", "segment", "bytes"])
+        out = []
+        for number, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            for w in wanted:
+                start, count = w["at"] >> START & 0x7FFFFFFF, w["at"] & COUNT
+                out.append((w["key"], number, w["at"], text[start : start + count - 1 + LENGTH]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "ord", "at", "bytes"])
 
 
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, segment, bytes) by anchor, earliest first: the bits of strings that are earlier elsewhere."""
-    held: list[list[tuple]] = []
+    """Rows (key, ord, at, bytes) in this order: the bits of strings that are earlier elsewhere."""
+    held: list[tuple] = []
     size = 0
 
-    def close(groups: list[list[tuple]]):
-        flat = [r for g in groups for r in g]
-        masks = repeated([r[2] for r in flat])
-        found = [(r[1], m) for r, m in zip(flat, masks) if m]
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64())], ["segment", "mask"])
+    def close(rows: list[tuple]) -> pa.RecordBatch:
+        masks = repeated([r[3] for r in rows])
+        some = np.flatnonzero(masks)
+        return pa.RecordBatch.from_arrays([pa.array([rows[k][1] for k in some], pa.int64()), pa.array([rows[k][2] for k in some], pa.int64()), pa.array(masks[some])], ["ord", "at", "mask"])
 
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if held and held[-1][0][0] == row[0]:
-                held[-1].append(row)
-            else:
-                if size > ARRAY_BYTES:
-                    yield close(held)
-                    held, size = [], 0
-                held.append([row])
-            size += len(row[2])
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[-1][:3] == row[:3]:  # of repeated rows
+                continue
+            if size > ARRAY_BYTES and held[-1][0] != row[0]:
+                yield close(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[3])
     if held:
         yield close(held)
 
@@ -193,88 +241,91 @@ def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 1024):
-            rows = list(zip(*(c.to_pylist() for c in batch.slice(begin, 1024).columns)))
-            flat = [(text_name(b[k : k + LENGTH]), s, k) for s, b in rows for k in range(len(b) - LENGTH + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.binary()), pa.array([f[1] for f in flat], pa.binary()), pa.array([f[2] for f in flat], pa.int32())], ["string", "segment", "bit"])
+            rows = zip(*(c.to_pylist() for c in batch.slice(begin, 1024).columns))
+            flat = [(hashlib.blake2b(b[k : k + LENGTH], digest_size=16).digest(), o, at, k) for o, at, b in rows for k in range(len(b) - LENGTH + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in flat], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.int32()))], ["string", "ord", "at", "bit"])
 
 
 def covered(n: int, found: list) -> list[int]:
-    """Removed byte spans [start, end, ...] from (start, count, mask) of a text's segments; a null mask is all of them."""
+    """Removed byte spans [start, end, ...] from (at, mask) of a text's segments; a null mask is all of them."""
     gone = np.zeros(n + 1, np.int64)
-    for start, count, mask in found or []:
-        if mask is None:
-            at, stop = np.array([start]), np.array([start + count - 1 + LENGTH])
-        else:
-            at = start + np.flatnonzero([mask >> k & 1 for k in range(count)])
-            stop = at + LENGTH
-        np.add.at(gone, at, 1)
-        np.add.at(gone, stop, -1)
+    at = np.array([f["at"] for f in found], np.int64)
+    start, count = at >> START & 0x7FFFFFFF, at & COUNT
+    mask = np.array([-1 if f["mask"] is None else f["mask"] for f in found], np.int64)
+    whole = mask == -1
+    np.add.at(gone, start[whole], 1)
+    np.add.at(gone, (start + count + (LENGTH - 1))[whole], -1)
+    if not whole.all():
+        bits = (mask[~whole, None] >> np.arange(SPAN)) & 1
+        string = (start[~whole, None] + np.arange(SPAN))[bits == 1]
+        np.add.at(gone, string, 1)
+        np.add.at(gone, string + LENGTH, -1)
     step = np.diff(np.concatenate([[0], (np.cumsum(gone)[:-1] > 0).astype(np.int8), [0]]))
     return np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], axis=1).ravel().tolist()
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        rows = []
-        for name, text, first, found in zip(*(c.to_pylist() for c in batch.columns)):
-            cut = covered(len(text), [tuple(f.values()) for f in found or []])
-            edges = [0, *cut, len(text)]
-            kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if cut else text
-            rows.append((name, first, cut, kept))
-        kinds = [pa.binary(), batch.column(2).type, pa.list_(pa.int32()), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["name", "first", "cut", "kept"])
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    """docs and the column _name, a hash of its text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            text = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_name(t) for t in text.to_pylist()], pa.binary())], [*batch.schema.names, "_name"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_name", BinaryType())]))
+def left(text: bytes, found: list | None) -> tuple[list[int], bytes]:
+    """Removed spans and what is left of a text."""
+    cut = covered(len(text), found) if found else []
+    edges = [0, *cut, len(text)]
+    return cut, b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if cut else text
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """name (hash of text), first (its smallest doc_id), cut (removed spans) and kept (bytes) of every distinct text."""
+    """first (smallest doc_id), name and found (segments with repeated strings, or null) of every distinct text."""
     scratch = Scratch(docs.sparkSession)
-    slim = _named(docs.select("doc_id", clean_text())).select("doc_id", F.coalesce("text", F.lit(b"")).alias("text"), F.col("_name").alias("name"))
-    texts = scratch.keep(slim.groupBy("name").agg(F.min("doc_id").alias("first"), F.first("text").alias("text")))
-    runs = texts.select("name", "text").mapInArrow(_anchors, "anchor long, name binary, start long")
-    shared = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    wanted = scratch.keep(runs.join(shared, "anchor").select("name", "start")).groupBy("name").agg(F.collect_list("start").alias("starts"))
-    parts = texts.join(wanted, "name").select("name", "text", "starts").mapInArrow(_cut, "name binary, start long, anchor long, count int, segment binary, bytes binary")
-    parts = scratch.keep(parts.join(texts.select("name", "first"), "name"))
-    earliest = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "name", "start")).alias("at")
-    kinds = scratch.keep(parts.groupBy("segment").agg(earliest, F.first("anchor").alias("anchor"), F.first("bytes").alias("bytes")))
-    sizes = kinds.groupBy("anchor").count().filter("count > 1")
-    mixed = scratch.keep(kinds.join(sizes, "anchor"))
-    small = mixed.filter(F.col("count") <= GROUP).select("anchor", "segment", "bytes", "at").repartition("anchor").sortWithinPartitions("anchor", "at")
-    masks = small.select("anchor", "segment", "bytes").mapInArrow(_arrays, "segment binary, mask long")
-    large = mixed.filter(F.col("count") > GROUP)
-    strings = large.select("segment", "bytes").mapInArrow(_strings, "string binary, segment binary, bit int").join(large.select("segment", "at"), "segment")
-    strings = scratch.keep(strings)
-    low = strings.groupBy("string").agg(F.min("at").alias("low"))
-    late = strings.join(low, "string").filter("at > low").groupBy("segment").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
-    known = scratch.keep(kinds.select("segment", "at").join(masks.unionAll(late), "segment", "left"))
-    placed = parts.select("name", "start", "count", "segment").join(known, "segment")
-    own = (F.col("name") == F.col("at.name")) & (F.col("start") == F.col("at.start"))
-    placed = placed.withColumn("mask", F.when(own, F.coalesce("mask", F.lit(0).cast("long")))).filter("mask is null or mask <> 0")
-    found = placed.groupBy("name").agg(F.collect_list(F.struct("start", "count", "mask")).alias("found"))
-    return scratch.keep(texts.join(found, "name", "left").select("name", "text", "first", "found").mapInArrow(_removed, f"name binary, first {dict(docs.dtypes)['doc_id']}, cut array<int>, kept binary"))
+    slim = docs.select("doc_id", clean_text()).withColumn("name", name_of(F.col("text")))
+    texts = slim.groupBy("name").agg(F.min("doc_id").alias("first")).orderBy(F.col("first").isNull(), "first", "name")
+    word = F.conv(F.hex(F.substring("name", 1, 8)), 16, -10).cast("long")
+    tag = F.conv(F.hex(F.substring("name", 9, 4)), 16, 10).cast("long")
+    texts = scratch.keep(texts.select("name", "first", F.monotonically_increasing_id().alias("ord"), word.alias("short"), F.shiftright(tag, 7).alias("tag")))
+    rows = slim.filter(F.octet_length("text") >= LENGTH).select("name", "text").mapInArrow(_rows, "key long, seg long, short long, at long")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "seg", "short", "at")
+    shared = scratch.keep(dealt.mapInArrow(_shared, "key long, seg long, short long, at long"))
+    known = shared.withColumn("tag", F.shiftright("at", TAG)).join(texts.select("short", "tag", "ord"), ["short", "tag"]).select("key", "seg", "ord", "at")
+    known = known.repartition("key").sortWithinPartitions("key", "seg", "ord", "at")
+    marked = scratch.keep(known.mapInArrow(_earliest, "key long, seg long, ord long, at long"))
+    scratch.drop(shared)
+    kinds = marked.filter("key is not null").select("key", "ord", "at")
+    wanted = kinds.groupBy("ord").agg(F.collect_list(F.struct("key", "at")).alias("wanted")).join(texts.select("ord", "first", F.col("name").alias("text_name")), "ord")
+    cut = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("name") == F.col("text_name"))).select("ord", "text", "wanted")
+    parts = scratch.keep(cut.mapInArrow(_cut, "key long, ord long, at long, bytes binary"))
+    big = scratch.keep(kinds.groupBy("key").count().filter(F.col("count") > GROUP).select("key"))
+    small = parts.join(big, "key", "left_anti").repartition("key").sortWithinPartitions("key", "ord", "at")
+    masks = scratch.keep(small.mapInArrow(_arrays, "ord long, at long, mask long"))
+    found = marked.filter("key is null").select("ord", "at", F.lit(None).cast("long").alias("mask")).unionAll(masks)
+    if not big.isEmpty():
+        strings = scratch.keep(parts.join(big, "key", "left_semi").select("ord", "at", "bytes").mapInArrow(_strings, "string binary, ord long, at long, bit int"))
+        place = F.struct("ord", "at", "bit")
+        low = strings.groupBy("string").agg(F.min(place).alias("low"))
+        late = strings.withColumn("own", place).join(low, "string").filter("own > low").groupBy("ord", "at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+        found = found.unionAll(scratch.keep(late))
+        scratch.drop(strings)
+    scratch.drop(parts, big)
+    found = found.groupBy("ord").agg(F.collect_list(F.struct("at", "mask")).alias("found"))
+    done = scratch.keep(texts.join(found, "ord", "left").select("first", "name", "found"))
+    scratch.drop(marked, masks, texts)
+    return done
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    done = removals(docs).select("name", "first", F.size("cut").alias("edges"), F.octet_length("kept").cast("long").alias("n_kept"), F.sha2("kept", 256).alias("sha"))
-    rows = _named(docs.select("doc_id", clean_text())).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("_name").alias("name"))
-    copy = ~F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("n_bytes") >= LENGTH)
-    return rows.join(done, "name").select(
-        "doc_id", "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.col("n_bytes") - F.col("n_kept")).alias("n_removed"),
-        F.when(copy, 1).otherwise(F.col("edges") / 2).cast("long").alias("n_spans"),
-        F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
-    )
+    kind = dict(docs.dtypes)["doc_id"]
+    done = removals(docs).select("first", F.col("name").alias("text_name"), "found", F.lit(True).alias("own"))
+    rows = docs.select("doc_id", clean_text()).withColumn("name", name_of(F.col("text")))
+    rows = rows.join(done, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("name") == F.col("text_name")), "left")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for text, found, own in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                text = text or b""
+                cut, kept = left(text, found) if own or len(text) < LENGTH else ([0, len(text)], b"")
+                out.append((len(text), len(text) - len(kept), len(cut) // 2, hashlib.sha256(kept).hexdigest()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return rows.select("doc_id", "text", "found", "own").mapInArrow(count, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -282,20 +333,28 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     A UTF-8 character that a cut splits goes as a whole.
     """
-    done = removals(docs).select(F.col("name").alias("_name"), F.col("first").alias("_first"), F.col("kept").alias("_kept"), (F.size("cut") > 0).alias("_cut"))
-    rows = _named(docs).join(done, "_name")
-    copy = ~F.col("doc_id").eqNullSafe(F.col("_first")) & (F.coalesce(F.octet_length("text"), F.lit(0)) >= LENGTH)
-    rows = rows.filter(~copy & ~(F.col("_cut") & (F.octet_length("_kept") == 0)))
+    name, first, text_name, found, own = unused(docs.columns, "name", "first", "text_name", "found", "own")
+    done = removals(docs).select(F.col("first").alias(first), F.col("name").alias(text_name), F.col("found").alias(found), F.lit(True).alias(own))
+    rows = docs.withColumn(name, name_of(F.col("text")))
+    rows = rows.join(done, F.col("doc_id").eqNullSafe(F.col(first)) & (F.col(name) == F.col(text_name)), "left")
+    rows = rows.filter(F.col(own) | (F.coalesce(F.octet_length("text"), F.lit(0)) < LENGTH))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    place = docs.columns.index("text") if "text" in docs.columns else next(k for k, c in enumerate(docs.columns) if c.lower() == "text")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            k = batch.schema.get_field_index("text")
-            texts = [b.decode("utf-8", "ignore") if c else t for t, b, c in zip(batch.column(k).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
-            columns = batch.columns[:-2]
-            columns[k] = pa.array(texts, batch.column(k).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-2])
-
-    return rows.select(*docs.columns, "_kept", "_cut").mapInArrow(put, docs.schema)
+        for batch in slices(batches, docs_text):
+            texts, stay = batch.column(place).to_pylist(), np.ones(batch.num_rows, bool)
+            for k, segments_ in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if segments_:
+                    cut, kept = left(texts[k].encode(), segments_)
+                    if cut:
+                        texts[k], stay[k] = kept.decode("utf-8", "ignore"), bool(kept)
+            out = batch.columns[:-1]
+            out[place] = pa.array(texts, batch.column(place).type)
+            yield pa.RecordBatch.from_arrays(out, batch.schema.names[:-1]).filter(pa.array(stay))
+
+    docs_text = docs.columns[place]
+    return map_rows(rows.select(*columns, F.col(found)), put, docs.columns, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
