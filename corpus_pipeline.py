@@ -20,10 +20,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to documents, in order."""
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
-    for number, (_, stage) in enumerate(STAGES, 1):
+    """Applies all stages to documents, in order; null texts, repeated rows and empty tables pass as each stage says."""
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), []
+    for _, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir))
-        if number > 1:
-            scratch.drop(number - 1)
+        scratch.drop(*before)
+        before = [docs]
     return docs
