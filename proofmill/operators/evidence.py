@@ -1,87 +1,16 @@
-"""Evidence, authorization, evaluation and provenance queries over the driver's tables.
-
-Each but log_hash_chain is one declarative statement that Catalyst plans; those whose functions are named alike in both
-engines share their text with the oracle.
-"""
+"""Evidence: pairing, digests, redaction, partitions and prefixes of the driver's own tables."""
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-#: Statements that Spark and DuckDB read alike.
-SHARED = {
-    # a stream's events must be numbered without gaps, from zero
-    "event_sequence_violations": """
-        SELECT conv_id, turn, previous FROM (
-          SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations) t
-        WHERE turn <> coalesce(previous, -1) + 1""",
-    "turn_reply_pairing": """
-        SELECT conv_id, turn, reply_turn FROM (
-          SELECT conv_id, turn, role, lead(turn) OVER w AS reply_turn, lead(role) OVER w AS reply_role
-          FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) t
-        WHERE role = 'user' AND reply_role = 'assistant'""",
-    "manifest_overflow": """
-        SELECT source, count(*) AS n_candidates, greatest(count(*) - 100, 0) AS n_overflow FROM documents GROUP BY source""",
-    "budget_running_total": """
-        SELECT doc_id, source, spent, spent > 52428800 AS over_budget FROM (
-          SELECT doc_id, source, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM documents) t""",
-    "capability_ranking": """
-        SELECT p_brand, n_parts, total_size, row_number() OVER (ORDER BY total_size DESC, n_parts DESC, p_brand) AS place FROM (
-          SELECT p_brand, count(*) AS n_parts, CAST(sum(p_size) AS BIGINT) AS total_size FROM part GROUP BY p_brand) t""",
-    "trigger_confusion": """
-        SELECT count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) AS tp, count(CASE WHEN quality = 0 AND toxic = 0 THEN 1 END) AS fp,
-               count(CASE WHEN quality = 1 AND toxic = 1 THEN 1 END) AS fn, count(CASE WHEN quality = 0 AND toxic = 1 THEN 1 END) AS tn,
-               coalesce(10 * count(CASE WHEN quality = 1 AND toxic = 0 THEN 1 END) >= 9 * count(CASE WHEN quality = 1 THEN 1 END) AND count(CASE WHEN quality = 1 THEN 1 END) > 0, false) AS recall_gate
-        FROM labels""",
-    "ungranted_documents": """
-        SELECT d.doc_id, d.source FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l.doc_id""",
-    "provenance_chain_gaps": """
-        SELECT c.c_custkey, CASE WHEN n.n_nationkey IS NULL THEN 'nation' WHEN r.r_regionkey IS NULL THEN 'region' ELSE 'order' END AS missing
-        FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
-        LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON c.c_custkey = o.o_custkey
-        WHERE n.n_nationkey IS NULL OR r.r_regionkey IS NULL OR o.o_custkey IS NULL""",
-    # what depends on a withdrawn supplier: its lines (line: their number), their orders, those orders' customers
-    "purge_closure": """
-        WITH lines AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey = 1),
-             hit AS (SELECT o.o_orderkey, o.o_custkey FROM orders o LEFT SEMI JOIN lines ON o.o_orderkey = lines.l_orderkey)
-        SELECT 'line' AS kind, l_orderkey AS node_id, l_linenumber AS line FROM lines
-        UNION ALL SELECT 'order' AS kind, o_orderkey AS node_id, NULL AS line FROM hit UNION ALL SELECT DISTINCT 'customer' AS kind, o_custkey AS node_id, NULL AS line FROM hit""",
-    "illegal_transitions": """
-        SELECT from_type, to_type, count(*) AS n FROM (
-          SELECT event_type AS to_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_type FROM events) t
-        WHERE from_type = to_type GROUP BY from_type, to_type""",
-    "attestation_asof": """
-        SELECT event_id, user_id, attested_id FROM (
-          SELECT event_id, user_id, event_type, max(CASE WHEN event_type <> 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS attested_id FROM events) t
-        WHERE event_type = 'purchase'""",
-    "consent_first_claim": """
-        SELECT user_id, event_type, event_id FROM (
-          SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS place FROM events) t WHERE place = 1""",
-    "retention_sweep": """
-        SELECT event_id, ts < (SELECT max(ts) FROM events) - INTERVAL 30 DAY AS expired FROM events""",
-    "active_document_flags": """
-        SELECT page_id, contains(lower(html), '<script') AS has_script, contains(lower(html), '<iframe') AS has_frame FROM pages""",
-    "small_group_suppression": """
-        SELECT c_nationkey, CASE WHEN count(*) >= 5 THEN count(*) END AS n_principals FROM customer GROUP BY c_nationkey""",
-    "partition_disjointness": """
-        SELECT d.source, count(DISTINCT CASE WHEN l.quality = 1 THEN d.doc_id END) AS n_good, count(DISTINCT CASE WHEN l.quality = 0 THEN d.doc_id END) AS n_bad
-        FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source""",
-    "clean_generation": """
-        SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_suppkey = 1""",
-    "rubric_case_scores": """
-        SELECT l_orderkey AS case_id, CAST(sum(CASE WHEN l_returnflag = 'N' THEN l_linenumber ELSE 0 END) AS BIGINT) AS got, CAST(sum(l_linenumber) AS BIGINT) AS possible,
-               10 * sum(CASE WHEN l_returnflag = 'N' THEN l_linenumber ELSE 0 END) >= 8 * sum(l_linenumber) AS passed FROM lineitem GROUP BY l_orderkey""",
-    "grant_coverage_range": """
-        SELECT o.o_orderkey, count(l.l_linenumber) AS n_covered FROM orders o LEFT JOIN lineitem l
-          ON o.o_orderkey = l.l_orderkey AND l.l_shipdate >= o.o_orderdate AND l.l_shipdate < o.o_orderdate + INTERVAL 30 DAY GROUP BY o.o_orderkey""",
-}
+from ..functions.streams import digests
+from ..plans.relations import Reader
 
 _VALUE = r"""[A-Za-z0-9_-]{0,40}["\x27]?[ \t]*(?:=>|:=|=|:)[ \t]*(?:"[^"\r\n]*"|\x27[^\x27\r\n]*\x27|["\x27]?[^ \t\r\n"\x27,;]+)"""
 #: Detectors in the order in which they redact (FN-09): what they find, mark, pattern. Java and RE2 read the patterns alike.
@@ -113,52 +42,12 @@ def _redaction(wanted: str) -> tuple[str, str]:
     return f"SELECT {wanted.format(digest='sha2(text, 256)', **of)} FROM ({spark}) t", f"SELECT {wanted.format(digest='sha256(text)', **of)} FROM ({duck}) t"
 
 
-#: Statements whose functions differ: (Spark, DuckDB).
-OWN = {
-    "content_digest_dupes": (
-        "SELECT sha2(text, 256) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
-        "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
-    ),
-    "redaction_findings": _redaction("doc_id, {counts}, 'fn09-1' AS detectors"),
-    "redacted_documents": _redaction("doc_id, {digest} AS digest"),
-    "root_partition_split": (
-        "SELECT conv_id, CASE WHEN h < 60 THEN 'extraction' WHEN h < 80 THEN 'validation' ELSE 'sealed' END AS part FROM (SELECT DISTINCT conv_id, CAST(conv(substr(sha2('split-1:' || conv_id, 256), 1, 8), 16, 10) AS BIGINT) % 100 AS h FROM conversations) t",
-        "SELECT conv_id, CASE WHEN h < 60 THEN 'extraction' WHEN h < 80 THEN 'validation' ELSE 'sealed' END AS part FROM (SELECT DISTINCT conv_id, CAST('0x' || substr(sha256('split-1:' || conv_id), 1, 8) AS BIGINT) % 100 AS h FROM conversations) t",
-    ),
-    "event_prefix_digest": (
-        "SELECT conv_id, count(*) AS n_events, sha2(array_join(transform(array_sort(collect_list(struct(turn, role, coalesce(text, '') AS text))), x -> x.turn || ':' || x.role || ':' || x.text), '\\n'), 256) AS digest FROM conversations GROUP BY conv_id",
-        "SELECT conv_id, count(*) AS n_events, sha256(string_agg(turn || ':' || role || ':' || coalesce(text, ''), chr(10) ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id",
-    ),
-    # a record's link covers the link before it, so a change shows in every later link of its conversation
-    "log_hash_chain": (
-        None,
-        "WITH RECURSIVE records AS (SELECT conv_id, turn, sha256(coalesce(text, '')) AS own, row_number() OVER (PARTITION BY conv_id ORDER BY turn, sha256(coalesce(text, ''))) AS place FROM conversations), chain AS (SELECT conv_id, turn, own, place, sha256(own) AS link FROM records WHERE place = 1 UNION ALL SELECT r.conv_id, r.turn, r.own, r.place, sha256(c.link || r.own) FROM chain c JOIN records r ON r.conv_id = c.conv_id AND r.place = c.place + 1) SELECT conv_id, turn, own, link FROM chain",
-    ),
-    "set_digest_by_source": (
-        "SELECT source, sha2(array_join(transform(array_sort(collect_set(doc_id)), x -> CAST(x AS STRING)), ','), 256) AS digest FROM documents GROUP BY source",
-        "SELECT source, sha256(string_agg(DISTINCT doc_id, ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY source",
-    ),
-}
-
-_SPELLING = {"LEFT ANTI JOIN": "ANTI JOIN", "LEFT SEMI JOIN": "SEMI JOIN"}
-
-
-def _run(statement: str) -> Callable[[SparkSession, str], DataFrame]:
-    used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", statement)]
-    marked = statement.replace("{", "{{").replace("}", "}}")
-    for t in used:
-        marked = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", marked)
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(marked, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+def log_hash_chain(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, own and link of every record: a link covers the link before it, so a change shows in every later one.
 
-    return query
-
-
-
-def log_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, turn, own and link of every record, in one pass over each conversation's records in order."""
-    logs = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("conv_id", "turn", "sha2(coalesce(text, ''), 256) AS own")
+    One pass over each conversation's records in order.
+    """
+    logs = turns.selectExpr("conv_id", "turn", "sha2(coalesce(text, ''), 256) AS own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, link = None, ""
@@ -174,16 +63,81 @@ def log_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "own").mapInArrow(run, f"conv_id {types['conv_id']}, turn {types['turn']}, own string, link string")
 
 
-QUERIES = {k: _run(v) for k, v in SHARED.items()} | {k: _run(v[0]) for k, v in OWN.items() if v[0]} | {"log_hash_chain": log_hash_chain}
-ORACLES = {k: v[1] for k, v in OWN.items()}
-for _name, _text in SHARED.items():
-    for _a, _b in _SPELLING.items():
-        _text = _text.replace(_a, _b)
-    ORACLES[_name] = _text
+def pairs(turns: DataFrame) -> DataFrame:
+    """User turns that the next turn answers."""
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("reply_turn"), F.col("role").alias("reply_role"))
+    return turns.filter("role = 'user'").join(after.filter("reply_role = 'assistant'"), ["conv_id", "turn"]).select("conv_id", "turn", "reply_turn")
+
+
+def ranked(parts: DataFrame, k: int = 10) -> DataFrame:
+    """The k brands with the highest total, then the most parts, then by name; totals are aggregated before they are sorted."""
+    g = parts.groupBy("p_brand").agg(F.count("*").alias("n_parts"), F.sum("p_size").cast("long").alias("total_size"))
+    return g.orderBy(F.desc("total_size"), F.desc("n_parts"), "p_brand").limit(k)
+
+
+def split(cases: DataFrame, salt: str = "split-1") -> DataFrame:
+    """Every case's partition by a stable keyed hash of its root id."""
+    h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{salt}:"), F.col("conv_id").cast("string")), 256), 1, 8), 16, 10).cast("long") % 100
+    return cases.select("conv_id").distinct().select("conv_id", F.when(h < 60, "extraction").when(h < 80, "validation").otherwise("sealed").alias("part"))
+
+
+def prefixes(turns: DataFrame) -> DataFrame:
+    """Events and prefix digest of every conversation."""
+    line = F.concat_ws(":", F.col("turn").cast("string"), "role", F.coalesce("text", F.lit("")))
+    return digests(turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"), line.alias("line")), "conv_id", ["turn", "role", "text"], "\n").withColumnRenamed("n", "n_events")
+
+
+def set_digests(documents: DataFrame) -> DataFrame:
+    """A digest over each source's ids, once each, in bytewise order."""
+    ids = documents.select("source", F.col("doc_id").cast("string").alias("line")).distinct()
+    return digests(ids, "source", ["line"], ",").drop("n")
+
+
+def copies(documents: DataFrame) -> DataFrame:
+    """Texts that several documents hold."""
+    return documents.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+
+
+_FINDINGS, _REDACTED = _redaction("doc_id, {counts}, 'fn09-1' AS detectors"), _redaction("doc_id, {digest} AS digest")
+QUERIES = {
+    "turn_reply_pairing": (
+        lambda t: pairs(t("conversations")),
+        "SELECT conv_id, turn, reply_turn FROM (SELECT conv_id, turn, role, lead(turn) OVER w AS reply_turn, lead(role) OVER w AS reply_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) t WHERE role = 'user' AND reply_role = 'assistant'",
+    ),
+    "capability_ranking": (
+        lambda t: ranked(t("part")),
+        "SELECT p_brand, n_parts, total_size FROM (SELECT *, row_number() OVER (ORDER BY total_size DESC, n_parts DESC, p_brand) AS place FROM (SELECT p_brand, count(*) AS n_parts, CAST(sum(p_size) AS BIGINT) AS total_size FROM part GROUP BY p_brand) g) r WHERE place <= 10",
+    ),
+    "ungranted_documents": (
+        lambda t: t("documents").join(t("labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source"),
+        "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    ),
+    "content_digest_dupes": (lambda t: copies(t("documents")), "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1"),
+    "redaction_findings": (lambda t: t.sql(_FINDINGS[0]), _FINDINGS[1]),
+    "redacted_documents": (lambda t: t.sql(_REDACTED[0]), _REDACTED[1]),
+    "root_partition_split": (
+        lambda t: split(t("conversations")),
+        "SELECT conv_id, CASE WHEN h < 60 THEN 'extraction' WHEN h < 80 THEN 'validation' ELSE 'sealed' END AS part FROM (SELECT DISTINCT conv_id, CAST('0x' || substr(sha256('split-1:' || conv_id), 1, 8) AS BIGINT) % 100 AS h FROM conversations) t",
+    ),
+    "event_prefix_digest": (
+        lambda t: prefixes(t("conversations")),
+        "SELECT conv_id, count(*) AS n_events, sha256(string_agg(turn || ':' || role || ':' || coalesce(text, ''), chr(10) ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id",
+    ),
+    "log_hash_chain": (
+        lambda t: log_hash_chain(t("conversations")),
+        "WITH RECURSIVE records AS (SELECT conv_id, turn, sha256(coalesce(text, '')) AS own, row_number() OVER (PARTITION BY conv_id ORDER BY turn, sha256(coalesce(text, ''))) AS place FROM conversations), chain AS (SELECT conv_id, turn, own, place, sha256(own) AS link FROM records WHERE place = 1 UNION ALL SELECT r.conv_id, r.turn, r.own, r.place, sha256(c.link || r.own) FROM chain c JOIN records r ON r.conv_id = c.conv_id AND r.place = c.place + 1) SELECT conv_id, turn, own, link FROM chain",
+    ),
+    "set_digest_by_source": (
+        lambda t: set_digests(t("documents")),
+        "SELECT source, sha256(string_agg(DISTINCT CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR))) AS digest FROM documents GROUP BY source",
+    ),
+}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation without a sequence violation: its evaluation partition and prefix digest."""
-    broken = QUERIES["event_sequence_violations"](spark, sf_dir).select("conv_id")
-    sound = QUERIES["event_prefix_digest"](spark, sf_dir).join(broken, "conv_id", "left_anti")
-    return sound.join(QUERIES["root_partition_split"](spark, sf_dir), "conv_id")
+    """Every conversation: its evaluation partition and prefix digest, and whether prohibited losses quarantine it."""
+    from .sessions import quarantine
+
+    t = Reader(spark, sf_dir)
+    quarantined = quarantine(t("nodes"), t("edges")).withColumnRenamed("root_id", "conv_id")
+    return prefixes(t("conversations")).join(split(t("conversations")), "conv_id").join(quarantined, "conv_id")

@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import evidence
+from .operators import artifacts, evaluation, evidence, grants, lineage, sessions
+from .plans import states
+from .plans.relations import Reader, duckdb
+from .sources import adapters
+
+FAMILIES = (evidence, sessions, grants, evaluation, states, lineage, artifacts, adapters)
+
+
+def _bound(query: Callable[[Reader], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(Reader(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(evidence.QUERIES)
+    return {name: _bound(query) for family in FAMILIES for name, (query, _) in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(evidence.ORACLES)
+    return {name: duckdb(sql) for family in FAMILIES for name, (_, sql) in family.QUERIES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
