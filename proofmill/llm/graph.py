@@ -13,14 +13,22 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(node, root) of every node in links (a, b); root is the same for nodes joined by links.
 
     Each round points every node at its smallest neighbour or itself and contracts the links by these
-    pointers until none is left; then the pointers are followed back. Minima are aggregated before the
-    shuffle, so a hub costs no more than other nodes. Every round is written to the shared folder.
+    pointers until none is left; then the pointers are followed back. From the second round on, pointers
+    are first followed to their ends by doubling, so a long chain ends after as few rounds as a star.
+    Minima are aggregated before the shuffle, so a hub costs no more than other nodes. Every round is
+    written to the shared folder.
     """
     edges = scratch.keep(links.filter("a <> b").distinct())
     steps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = scratch.keep(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("root")))
+        while steps:  # from the second round on
+            jump = step.join(step.toDF("root", "top"), "root").select("node", "root", "top")
+            if jump.filter("root <> top").isEmpty():
+                break
+            nearer, step = step, scratch.keep(jump.select("node", F.col("top").alias("root")))
+            scratch.drop(nearer)
         steps.append(step)
         left, right, before = step.toDF("a", "pa"), step.toDF("b", "pb"), edges
         edges = scratch.keep(edges.join(left, "a").join(right, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
