@@ -137,6 +137,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             begin = end
 
 
+def spread(text: bytes, limit: int, piece: int) -> bytes:
+    """A text of at most limit bytes: whole pieces that stand evenly over all of a longer one."""
+    if len(text) <= limit:
+        return text
+    n = limit // piece
+    return b"".join(text[a : a + piece] for a in (k * (len(text) - piece) // (n - 1) for k in range(n)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose output bits all depend on all input bits."""
     x = x ^ (x >> U64(32))

@@ -1,9 +1,10 @@
 """Operator 2: language identification by interpolated Kneser-Ney character models.
 
 For every language of a labelled row that has a text an interpolated Kneser-Ney model of order ORDER
-is estimated from a bounded sample: at most SAMPLE texts per language, each of at most SAMPLE_BYTES
-bytes, chosen by a hash of doc_id; a language without such a text is learned from its shortest texts,
-however long: the shortest one and further ones up to LONG_BYTES together. Languages are learned and
+is estimated from a bounded sample: at most SAMPLE texts per language, chosen by a hash of doc_id
+whatever their length; a text of over SAMPLE_BYTES bytes counts with whole pieces that stand evenly
+over all of it. A language whose texts have no doc_id is learned from its shortest ones: the shortest
+and further ones up to LONG_BYTES together. Languages are learned and
 scored in blocks; the models of a block share one sorted array of n-gram hashes per order, with a
 row of log probabilities, and one of context hashes with back-off weights. All blocks share one
 alphabet, so that their scores compare. A whole text's score per language is its cross-entropy in
@@ -29,9 +30,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, buffers, clean_text, mix, slices
+from .common import U64, Scratch, buffers, clean_text, map_rows, mix, slices, spread
 
-ORDER, SAMPLE, SAMPLE_BYTES, LONG_BYTES = 4, 200, 1 << 16, 1 << 20
+ORDER, SAMPLE, SAMPLE_BYTES, PIECE, LONG_BYTES = 4, 200, 1 << 16, 1 << 10, 1 << 20
 #: Languages of a block, and bytes of their samples beyond which it ends; they bound what is in memory at once.
 BLOCK, BLOCK_BYTES = 32, 8 << 20
 PAD = ORDER - 1
@@ -43,11 +44,11 @@ class Alphabet:
     """Code point to character number: 0 separator, 1 a letter not seen in training."""
 
     def __init__(self, texts: list[str]):
-        table = np.zeros(0x110000, np.uint16)
+        table = np.zeros(0x110000, np.uint32)
         letters = [c for c in range(0x110000) if chr(c).isalpha()]
         table[letters] = 1
         seen = {c.lower() for t in texts for c in set(t) if c.isalpha() and len(c.lower()) == 1}
-        number = {c: i for i, c in enumerate(sorted(seen)[:60_000], 2)}
+        number = {c: i for i, c in enumerate(sorted(seen), 2)}
         for c in letters:
             if (low := chr(c).lower()) in number:
                 table[c] = number[low]
@@ -246,9 +247,9 @@ class Models:
 
 def sample(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[list[str]], Callable[[list[str]], dict[str, list[str]]], Scratch | None]:
     """Blocks of languages in order of name, a call that fetches a block's texts, and where several blocks' texts are kept."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_n", F.octet_length("text"))
-    fits = F.col("doc_id").isNotNull() & (F.col("_n") <= SAMPLE_BYTES)
-    sizes = labelled.groupBy("lang").agg(F.count(F.when(fits, 1)).alias("fit"), F.avg(F.when(fits, F.col("_n"))).alias("mean"), F.min("_n").alias("least")).collect()
+    labelled = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_n", F.octet_length("text"))
+    fits = F.col("doc_id").isNotNull()
+    sizes = labelled.groupBy("lang").agg(F.count(F.when(fits, 1)).alias("fit"), F.avg(F.when(fits, F.least("_n", F.lit(SAMPLE_BYTES)))).alias("mean"), F.min("_n").alias("least")).collect()
     sizes.sort(key=lambda r: r.lang)
     blocks: list[list[str]] = []
     room = 0.0
@@ -263,7 +264,14 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> tuple[list[list[str]]
     fit = labelled.filter(fits)
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
     ids = fit.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language).select("doc_id").distinct()
-    rows = fit.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", "text")
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [spread(t, SAMPLE_BYTES, PIECE).decode("utf-8", "ignore") for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["lang", "doc_id", "text"])
+
+    chosen = fit.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", "text")
+    rows = chosen.mapInArrow(shorten, chosen.schema)
     if long := [r.lang for r in sizes if not r.fit]:
         rest = labelled.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in long], "lang string")), "lang", "left_semi").withColumn("_h", F.xxhash64("text"))
         order = Window.partitionBy("lang").orderBy("_n", "_h")
@@ -326,7 +334,7 @@ def keep_identified(docs: DataFrame, models: Models) -> DataFrame:
             rejected = models.predict(*buffers(column))[3]
             yield batch.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.columns, docs.schema)
 
 
 def held_out(of: str, modulus: int, remainder: int):
