@@ -2,8 +2,10 @@
 
 A conversation's turns stand in order of (turn, role, text). Prefix sums of their token counts
 choose turn-aligned spans: each window takes the longest run of new turns that fits the budget, and
-one turn at least. A leading system turn is retained in every window, and the last turns before the
-span are repeated while they fit the history budget. Only assistant texts among the new turns are
+one turn at least. A leading system turn is retained in every window (a later one is a turn like
+others), and the last turns before the span are repeated while they fit the history budget and leave
+room for the next turn: the oldest go first, so only a turn that exceeds the budget with the system turn
+alone makes a window that does. Only assistant texts among the new turns are
 under the loss mask, so every assistant text is a target once.
 
 Template: ``<s>`` and then, per turn, ``[INST]role[/INST]text</s>``. Inside roles and texts a
@@ -88,6 +90,8 @@ class _Conversation:
         while at < len(self.open):
             head = [] if self.seen == 0 else self.system + self.before
             room = self.budget - sum(t[2] for t in head)
+            while len(head) > len(self.system) and room < self.open[at][2]:  # the oldest history goes first
+                room += head.pop(len(self.system))[2]
             end = max(int(np.searchsorted(prefix, prefix[at] + room, "right")) - 1, at + 1)
             if end >= len(self.open) and not last:
                 break

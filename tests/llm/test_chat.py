@@ -38,7 +38,7 @@ def test_digests_against_brute_force(spark):
     df = spark.createDataFrame([(*r, "extra") for r in rows], SCHEMA + ", window string")
     windows = chat.format_windows(df, budget=200, history=40)
     for w in windows.collect():
-        assert w.n_tokens <= 200 or w.n_new == 1
+        assert w.n_tokens <= 200 or (w.n_new == 1 and w.n_repeated <= (w.conv_id == 1))
         turns = chat.parse(w.text)
         assert len(turns) == w.n_new + w.n_repeated
         if w.conv_id == 1 and w.window:
@@ -47,6 +47,22 @@ def test_digests_against_brute_force(spark):
     assert got == brute(rows)
 
 
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=30), st.booleans(), st.integers(1, 60))
+def test_budget_holds(sizes, system, history):
+    turns = [("system" if system and k == 0 else "user", f"t{k}", n) for k, n in enumerate(sizes)]
+    told, c = [], chat._Conversation(1, 60, history)
+    for k in range(0, len(turns), 4):
+        told += c.add(turns[k : k + 4], False)
+    told += c.add([], True)
+    seen = 0
+    for _, _, new, repeated, tokens, text, _ in told:
+        lead = turns[0][2] if system and seen else 0
+        assert tokens <= 60 or (new == 1 and repeated == (lead > 0) and lead + turns[seen][2] > 60)
+        assert [t for _, t in chat.parse(text)][repeated:] == [t[1] for t in turns[seen : seen + new]]
+        seen += new
+    assert seen == len(turns)
+
+
 def test_empty_table(spark):
     assert chat.digests(chat.format_windows(spark.createDataFrame([], SCHEMA))).count() == 0
 
