@@ -4,14 +4,16 @@ A text's bytes are cut into overlapping chunks that cover all of it. Each byte h
 learned filters of WIDTH bytes slide over a chunk at every STRIDE-th byte, and each filter's highest
 response in the chunk is kept. A document's chunks are combined by the mean and the maximum of these
 responses, and a logistic layer makes one probability of them. Training is plain gradient descent
-(Adam) on a bounded sample: at most SAMPLE texts per class, each of at most SAMPLE_BYTES bytes, chosen
-by a hash of doc_id; the intercept is then set back to the classes' true shares.
+(Adam) over all chunks of a bounded sample: at most SAMPLE texts per class, chosen by a hash of doc_id
+whatever their length; a text of over SAMPLE_BYTES bytes counts with whole chunks that stand evenly
+over all of it. The intercept is then set back to the classes' true shares.
 
 Inputs of a score are the text's bytes alone.
 
 Cases: null and empty texts are one empty chunk and get a score like any other; without labels of
 both classes the score is the labels' share of 1, or 0.5 without labels; repeated rows are scored
-each; an empty table gives no rows; extra columns are not read.
+each; of chunks with the same highest response all share it; a text of any length is scored whole, in
+memory at once; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, clean_text, slices
+from .common import buffers, clean_text, slices, spread
 
 CHUNK, OVERLAP, WIDTH, STRIDE, VECTOR, FILTERS = 512, 64, 8, 4, 8, 24
 SAMPLE, SAMPLE_BYTES = 1200, 1 << 16
-EPOCHS, BATCH, CHUNKS_A_TEXT, RATE = 10, 32, 6, 0.01
+EPOCHS, BATCH, RATE = 10, 32, 0.01
 THRESHOLD = 0.3
 PADDING = 256
 
@@ -100,7 +102,7 @@ class Network:
             order = r.permutation(len(texts))
             for begin in range(0, len(order), BATCH):
                 step += 1
-                gradient = self._gradient([texts[i] for i in order[begin : begin + BATCH]], labels[order[begin : begin + BATCH]], r)
+                gradient = self._gradient([texts[i] for i in order[begin : begin + BATCH]], labels[order[begin : begin + BATCH]])
                 for k, g in gradient.items():
                     m, v = moments[k]
                     m += 0.1 * (g - m)
@@ -111,16 +113,11 @@ class Network:
         drawn = np.bincount(labels.astype(int), minlength=2)
         self.p["intercept"] += np.float32(np.log(shares[1] / max(shares[0], 1)) - np.log(drawn[1] / drawn[0]))
 
-    def _gradient(self, texts: list[bytes], y: np.ndarray, r: np.random.Generator) -> dict:
+    def _gradient(self, texts: list[bytes], y: np.ndarray) -> dict:
         ends = np.cumsum([len(t) for t in texts])
         data = np.frombuffer(b"".join(texts), np.uint8)
         first, last, owner = chunk_starts(ends - [len(t) for t in texts], ends)
-        rank = np.empty(len(owner), np.int64)  # a draw of each text's chunks
-        order = np.lexsort((r.random(len(owner)), owner))
-        rank[order] = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        keep = rank < CHUNKS_A_TEXT
-        owner = owner[keep]
-        chunks = chunk_bytes(data, first[keep], last[keep])
+        chunks = chunk_bytes(data, first, last)
         pooled, at = self.responses(chunks)
         features = self.pool(pooled, owner, len(texts))
         p = 1 / (1 + np.exp(-np.clip(features @ self.p["out"] + self.p["intercept"][0], -30, 30)))
@@ -153,7 +150,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     if not ids:
         return network
     chosen = docs.sparkSession.createDataFrame(list({r[0]: r for r in ids}.values()), "doc_id long, _y int")
-    found = docs.select("doc_id", clean_text()).filter(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id").toArrow()
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [spread(t, SAMPLE_BYTES, CHUNK) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], ["doc_id", "text", "_y"])
+
+    drawn = docs.select("doc_id", clean_text()).filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    found = drawn.mapInArrow(shorten, f"doc_id {dict(docs.dtypes)['doc_id']}, text binary, _y int").toArrow()
     rows = sorted({i: (i, t, y) for i, t, y in sorted(zip(*(found.column(c).to_pylist() for c in ("doc_id", "text", "_y"))))}.values())
     network.train([t for _, t, _ in rows], np.array([y for _, _, y in rows], float), shares)
     return network

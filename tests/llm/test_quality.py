@@ -1,6 +1,7 @@
 import numpy as np
 
 from proofmill.llm import quality
+from proofmill.llm.common import spread
 
 
 def test_chunks_cover_every_byte():
@@ -10,6 +11,43 @@ def test_chunks_cover_every_byte():
         assert (first[1:] <= last[:-1]).all() and (np.diff(first) == quality.CHUNK - quality.OVERLAP).all()
 
 
+def test_spread_covers_long_texts():
+    text = bytes(k % 251 for k in range(200_000))
+    short = spread(text, 1 << 16, 512)
+    assert len(short) == 1 << 16 and short[:512] == text[:512] and short[-512:] == text[-512:] and spread(b"ab", 4, 2) == b"ab"
+    places = [text.index(short[k : k + 300]) % 251 for k in range(0, len(short), 512)]
+    assert len(set(places)) > 20
+
+
+def test_scores_against_plain_loops():
+    """The forward pass, byte by byte and filter by filter."""
+    network = quality.Network(5)
+    network.trained = True
+    network.p["intercept"][0] = 0.3
+    texts = [b"", b"a", b"hello plain world " * 3, bytes(range(256)) * 5, "é日本".encode() * 200]
+    p = network.p
+    want = []
+    for t in texts:
+        chunks = [t[k : k + quality.CHUNK] for k in range(0, max(len(t) - quality.OVERLAP, 1), quality.CHUNK - quality.OVERLAP)] or [b""]
+        highest = []
+        for c in chunks:
+            padded = list(c) + [quality.PADDING] * (quality.CHUNK - len(c))
+            row = []
+            for f in range(quality.FILTERS):
+                best = 0.0
+                for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                    x = np.concatenate([p["vectors"][b] for b in padded[at : at + quality.WIDTH]])
+                    best = max(best, float(x @ p["filters"][:, f] + p["bias"][f]))
+                row.append(best)
+            highest.append(row)
+        h = np.array(highest)
+        logit = np.concatenate([h.mean(axis=0), h.max(axis=0)]) @ p["out"] + 0.3
+        want.append(1 / (1 + np.exp(-logit)))
+    ends = np.cumsum([len(t) for t in texts])
+    got = network.score(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends)
+    assert np.allclose(got, want, atol=1e-5)
+
+
 def test_gradient_matches_differences():
     network = quality.Network(3)
     for k, v in network.p.items():
@@ -22,7 +60,7 @@ def test_gradient_matches_differences():
         p = network.score(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends)
         return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
 
-    gradient = network._gradient(texts, y, np.random.default_rng(0))
+    gradient = network._gradient(texts, y)
     for name, at in (("filters", (3, 5)), ("vectors", (70, 2)), ("vectors", (120, 1)), ("out", (30,)), ("bias", (2,)), ("intercept", (0,))):
         before = network.p[name][at]
         network.p[name][at] = before + 1e-5
