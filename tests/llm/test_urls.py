@@ -37,6 +37,47 @@ def test_trees_learn():
     assert ((model.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.97
 
 
+def test_features_against_plain_python(spark):
+    texts = ["http://A.b.example.org/x/y-1.html?a=1&b=2#t", "https://q.com/", "x", None, "ftp://é.net/dir/é"]
+    frame = urls.described(urls.with_rule(urls.with_host_and_path(spark.createDataFrame(list(enumerate(texts)), "page_id long, url string"))))
+    none = urls.Rates(*(np.zeros(0, np.int64) for _ in range(4)))
+    got = urls.features(frame.orderBy("page_id").toArrow(), none)
+    for row, t in zip(got, texts):
+        t = t or ""
+        raw = t.encode()
+        share = [raw.count(b) / max(1, len(raw)) for b in set(raw)]
+        host, path = brute(t)[:2]
+        query = t.partition("#")[0].partition("?")[2]
+        want = [len(t), len(host), len(path), path.count("/"), query.count("&") + 1 if query else 0, host.count(".") + 1 if host else 0, len(path.rpartition("/")[2]), sum(48 <= b < 58 for b in raw) / max(1, len(raw)), sum(65 <= b < 91 for b in raw) / max(1, len(raw)), raw.count(45), b"#" in raw, -sum(x * np.log2(x) for x in share), 0, 0, 0]
+        assert np.allclose(row, want, atol=1e-4), t
+
+
+def test_rates_leave_the_own_fold_out():
+    rates = urls.Rates(np.array([3, 3, 5]), np.array([0, 1, 0]), np.array([10, 30, 60]), np.array([10, 0, 0]))
+    slots = np.array([[3, 3, 3]] * 2)
+    overall = 10 / 100
+    assert np.allclose(rates.of(slots)[0], (10 + 20 * overall) / 60)
+    assert np.allclose(rates.of(slots, np.array([0, 1]))[:, 0], [(0 + 20 * overall) / 50, (10 + 20 * overall) / 30])
+
+
+def test_held_out_urls(spark):
+    """Trees that never saw a fold, nor its labels in the rates, judge it better than its base rate does."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    judged = urls.described(urls.with_rule(urls.with_host_and_path(pages.select("page_id", "url"))))
+    model, rates = urls.train(judged.filter("fold <> 0"))
+    test = urls.sample(judged.filter("fold = 0"))
+    y, p = test.column("blocked").to_numpy(), np.clip(model.score(urls.features(test, rates)), 1e-6, 1 - 1e-6)
+    loss = lambda p: -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+    print(len(y), y.mean(), ((p > 0.5) == y).mean(), loss(p), loss(np.full(len(y), y.mean())))
+    assert ((p > 0.5) == y).mean() > max(y.mean(), 1 - y.mean()) + 0.1
+    assert loss(p) < 0.7 * loss(np.full(len(y), y.mean()))
+
+
+def test_no_labelled_url(spark):
+    rows = urls.judge(spark.createDataFrame([(1, "http://a.net/x"), (2, None)], "page_id long, url string")).collect()
+    assert [r.verdict for r in rows] == ["allow", "allow"]
+
+
 def test_query_and_empty(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
     out = {r.page_id: r for r in urls.query(spark, "/root/testdata/sf0.001").collect()}
