@@ -1,20 +1,21 @@
 """Operator 3: benchmark decontamination by suffix arrays over the training texts.
 
-Words are runs of letters, digits and non-ASCII bytes after lower-casing A-Z. The training texts'
-shards are slices of a partition's rows: each gets a suffix array of its word positions, sorted by
-their first WINDOW words, and every window of every benchmark item is searched in it by bisection,
-word by word. A window is WINDOW consecutive item words (a shorter item is one window as a whole).
-Matches are not extended past their window: ``longest`` is the longest union of hit words, which may
-join windows of several items, and no longest verbatim match of one item. Positions whose first two
-words begin no window can't match two words of one and are left out of the array.
-
-Training texts are never shuffled. The benchmark is collected and broadcast in blocks of at most
-BLOCK_BYTES of text (or one item); with more than one block, each block is a pass of its own over the
-texts and the passes' hits are merged by row.
-
-Cases: null and empty texts have no words; a null item_id is an item that is named by an empty
-string; items without words have no windows; repeated rows are judged each; empty tables give no rows
-or no hits; extra columns are not read by ``find``.
+Words are runs of letters, digits and non-ASCII bytes after lower-casing A-Z, known by their SipHash.
+The training texts' shards are slices of a partition's rows: each gets a suffix array of all its word
+positions, and every suffix of every benchmark item is searched in it by bisection, word by word. A
+window is WINDOW consecutive item words (a shorter item is one window as a whole), so a suffix that
+reaches WINDOW words has all places of its window as a range of the array; their words are compared as
+bytes. Windows that follow each other both in the document and in the item are one longest verbatim
+match, with its length and its place in either. A document's words inside matches are hit.
+
+Training texts are never shuffled. The benchmark is read in blocks of at most BLOCK_BYTES of text (or
+one item) and one block is broadcast at a time. With more than one block, each block is a pass over the
+texts whose hits are written before the next block is read, and the passes' hits are merged by row.
+
+Cases: null and empty texts have no words; a null item_id is an item that is named by an empty string;
+items without words have no windows; of longest matches the earliest in the document, then the smallest
+item_id counts; repeated rows are judged each; a very long text is a shard of its own; empty tables give
+no rows or no hits; extra columns are not read by ``find`` and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,139 +29,111 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, buffers, clean_text, mix, prefix_hash, slices, span_hash, spans
+from .common import U64, Scratch, clean_text, map_rows, slices, word_hashes
+from .suffixes import bisect
 
 WINDOW, BLOCK_BYTES = 10, 4 << 20
-WORD = np.zeros(256, bool)
-WORD[48:58] = WORD[97:123] = WORD[128:] = True
-BITS = 22
-RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, spans array<int>"
-
-
-def words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (never 0) and the text it is in."""
-    data = LOWER[data]
-    first, last, owner = spans(WORD, data, starts, stops)
-    return span_hash(prefix_hash(data), first, last) | U64(1), owner
-
-
-def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * U64(0x9FB21C651E98DF25) + second) >> U64(64 - BITS)
-
-
-def columns(word: np.ndarray, owner: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Row d: the word d places after each position, 0 beyond its text."""
-    out = np.zeros((depth, len(at)), U64)
-    for d in range(depth):
-        there = at + d
-        inside = np.minimum(there, len(word) - 1)
-        out[d] = np.where((there < len(word)) & (owner[inside] == owner[at]), word[inside], 0)
-    return out
-
-
-class Windows:
-    """The distinct windows of benchmark items, sorted, and the items of each."""
+#: Bytes of a shard: so many times the block's, within these bounds.
+SHARD, LEAST, MOST = 8, 2 << 20, 16 << 20
+#: Bytes that part words.
+SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_item string, longest_at long, longest_from long, spans array<int>"
+_NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_item", "longest_at", "longest_from", "spans"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+
+
+class Words:
+    """The words of several texts: hashes, bytes, number of the text and first place by text."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.hash, self.count, words = word_hashes(texts, SEPARATORS)
+        self.hash |= U64(1)  # 0 is beyond a text
+        self.bytes = np.empty(len(words), object)
+        self.bytes[:] = words
+        self.owner = np.repeat(np.arange(len(texts)), self.count)
+        self.begin = np.cumsum(self.count) - self.count
+        self.end = (self.begin + self.count)[self.owner]
+
+    def at(self, places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return np.where(places < ends, self.hash[np.minimum(places, len(self.hash) - 1)], U64(0))
+
+
+def suffix_array(words: Words, depth: int) -> np.ndarray:
+    """Word positions in the order of the first depth words from there within their text; a word more at a time of those that still tie."""
+    order = np.argsort(words.hash)
+    now = words.hash[order]
+    if not len(order):
+        return order
+    tied, group = np.arange(len(order)), np.append(0, np.cumsum(now[1:] != now[:-1]))
+    for d in range(1, depth):
+        many = (np.bincount(group, minlength=group[-1] + 1)[group] > 1) & (now > 0)
+        tied, group = tied[many], group[many]
+        if not len(tied):
+            break
+        part = order[tied]
+        now = words.at(part + d, words.end[part])
+        by = np.lexsort((now, group))
+        order[tied] = part[by]
+        now, group = now[by], group[by]
+        group = np.append(0, np.cumsum((group[1:] != group[:-1]) | (now[1:] != now[:-1])))
+    return order
+
+
+class Items:
+    """A block of benchmark items."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.window, self.ids = window, [i for i, _ in items]
-        ends = np.cumsum([len(t) for _, t in items]) if items else np.zeros(0, np.int64)
-        starts = ends - np.array([len(t) for _, t in items], np.int64)
-        word, owner = words(np.frombuffer(b"".join(t for _, t in items), np.uint8), starts, ends)
-        n = np.bincount(owner, minlength=len(items))[owner] if len(word) else np.zeros(0, np.int64)
-        place = np.arange(len(word)) - np.searchsorted(owner, owner)
-        at = np.flatnonzero((place + window <= n) | ((n < window) & (place == 0)))
-        rows = columns(word, owner, at, window) if len(at) else np.zeros((window, 0), U64)
-        order = np.lexsort(rows[::-1])
-        rows, at = rows[:, order], at[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
-        self.rows, group = rows[:, new], np.cumsum(new) - 1
-        self.length = (self.rows > 0).sum(axis=0)
-        # items by window, as offsets into one array
-        pair = np.unique(np.stack([group, owner[at]]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-        self.item, self.offset = pair[1], np.searchsorted(pair[0], np.arange(self.rows.shape[1] + 1))
-        self.pairs, self.singles = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, bool)
-        long = self.length > 1
-        if window > 1:
-            self.pairs[pairs(self.rows[0, long], self.rows[1, long]).astype(np.int64)] = True
-        self.singles[(self.rows[0, ~long] >> U64(64 - BITS)).astype(np.int64)] = True
-        self.short = bool((~long).any())
-
-    def search(self, word: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (word position, window) matches in a shard."""
+        self.bytes = sum(len(t or b"") for _, t in items)
+        self.words = w = Words([t for _, t in items])
+        # words that a window from each place has; 0 where none begins
+        place = np.arange(len(w.hash))
+        n = w.count[w.owner] if len(place) else place
+        self.length = np.where(w.end - place >= window, window, np.where((place == w.begin[w.owner]) & (n < window), n, 0)) if len(place) else place
+
+    def search(self, texts: Words) -> tuple[np.ndarray, np.ndarray]:
+        """All (item place, text place) of windows in a shard."""
         none = np.zeros(0, np.int64)
-        if not len(word) or not self.rows.shape[1]:
-            return none, none
-        keep = np.zeros(len(word), bool)
-        keep[:-1] = self.pairs[pairs(word[:-1], word[1:]).astype(np.int64)]
-        if self.short:
-            keep |= self.singles[(word >> U64(64 - BITS)).astype(np.int64)]
-        at = np.flatnonzero(keep)
-        if not len(at):
+        mine = self.words
+        if not len(texts.hash) or not len(mine.hash):
             return none, none
-        suffix = columns(word, owner, at, self.window)
-        order = np.lexsort(suffix[::-1])  # the shard's suffix array
-        at, suffix = at[order], suffix[:, order]
-        n = self.rows.shape[1]
-        low, high, alive = np.zeros(n, np.int64), np.full(n, len(at)), np.arange(n)
-        done = []
+        order = suffix_array(texts, self.window)
+        place = np.arange(len(mine.hash))
+        low, high = np.zeros(len(place), np.int64), np.full(len(place), len(order))
+        found = []
+        alive = place
         for d in range(self.window):
+            want = mine.at(alive + d, mine.end[alive])
+            alive, want = alive[want > 0], want[want > 0]
+            column = texts.at(order + d, texts.end[order])
+            a = bisect(column, want, low[alive], high[alive], False)
+            high[alive] = bisect(column, want, a, high[alive], True)
+            low[alive] = a
             alive = alive[low[alive] < high[alive]]
-            ended = self.length[alive] == d
-            done.append(alive[ended])
-            alive = alive[~ended]
+            found.append(alive[self.length[alive] == d + 1])
             if not len(alive):
                 break
-            want = self.rows[d, alive]
-            a = bisect(suffix[d], want, low[alive], high[alive], False)
-            high[alive] = bisect(suffix[d], want, a, high[alive], True)
-            low[alive] = a
-        done = np.concatenate([*done, alive[low[alive] < high[alive]]])
-        count = high[done] - low[done]
-        window = np.repeat(done, count)
-        place = np.repeat(low[done] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return at[place], window
-
-
-def bisect(column: np.ndarray, want: np.ndarray, low: np.ndarray, high: np.ndarray, right: bool) -> np.ndarray:
-    """Insertion places of want between low and high, where column is sorted."""
-    low, high = low.copy(), high.copy()
-    while (open_ := low < high).any():
-        middle = (low + high) >> 1
-        seen = column[np.minimum(middle, len(column) - 1)]
-        up = open_ & ((seen <= want) if right else (seen < want))
-        low = np.where(up, middle + 1, low)
-        high = np.where(open_ & ~up, middle, high)
-    return low
-
-
-def shard_hits(windows: Windows, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, list, list]:
-    """Per text: number of words; hit word spans as [start, end, ...]; names of its items."""
-    word, owner = words(data, starts, stops)
-    n_words = np.bincount(owner, minlength=len(starts))
-    found, ids = [[] for _ in starts], [[] for _ in starts]
-    at, window = windows.search(word, owner)
-    if len(at):
-        cover = np.zeros(len(word) + 1, np.int64)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + windows.length[window], -1)
-        hit = np.zeros(len(word) + 2, np.int8)
-        hit[1:-1] = np.cumsum(cover)[:-1] > 0
-        begin = np.searchsorted(owner, np.arange(len(starts) + 1))
-        step = np.diff(hit)
-        first, last = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        cut = begin[1:-1][(begin[1:-1] > 0) & (begin[1:-1] < len(word))]
-        cut = np.unique(cut[(hit[cut] == 1) & (hit[cut + 1] == 1)])
-        first, last = np.sort(np.append(first, cut)), np.sort(np.append(last, cut))
-        for a, b in zip(first.tolist(), last.tolist()):
-            o = int(owner[a])
-            found[o] += [a - int(begin[o]), b - int(begin[o])]
-        pair = np.unique(np.stack([owner[at], window]), axis=1)
-        count = windows.offset[pair[1] + 1] - windows.offset[pair[1]]
-        place = np.repeat(windows.offset[pair[1]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        for o, i in np.unique(np.stack([np.repeat(pair[0], count), windows.item[place]]), axis=1).T.tolist():
-            ids[o].append(windows.ids[i])
-    return n_words, found, ids
+        found = np.concatenate(found)
+        count = high[found] - low[found]
+        item = np.repeat(found, count)
+        text = order[np.repeat(low[found] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        right = np.ones(len(item), bool)
+        for d in range(self.window):  # equal hashes, equal words?
+            inside = np.flatnonzero(self.length[item] > d)
+            right[inside] &= mine.bytes[item[inside] + d] == texts.bytes[text[inside] + d]
+        return item[right], text[right]
+
+    def matches(self, texts: Words) -> list[np.ndarray]:
+        """Longest verbatim matches: text, place in the text, item, place in the item, words."""
+        item, text = self.search(texts)
+        order = np.lexsort((text, text - item))
+        item, text = item[order], text[order]
+        new = np.ones(len(item), bool)
+        new[1:] = (text[1:] != text[:-1] + 1) | (item[1:] != item[:-1] + 1) | (self.words.owner[item[1:]] != self.words.owner[item[:-1]]) | (texts.owner[text[1:]] != texts.owner[text[:-1]])
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(item))) - 1 + self.length[item[head]]
+        at, number = texts.owner[text[head]], self.words.owner[item[head]]
+        return [at, text[head] - texts.begin[at], number, item[head] - self.words.begin[number], size]
 
 
 def merged(spans_: list[int]) -> list[int]:
@@ -174,14 +147,25 @@ def merged(spans_: list[int]) -> list[int]:
     return out
 
 
-def summary(n: int, spans_: list[int], ids: list[str]) -> tuple:
-    ids = sorted(set(ids))
-    lengths = [b - a for a, b in zip(spans_[::2], spans_[1::2])]
-    return (n, sum(lengths), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(lengths), max(lengths, default=0), spans_)
+_NO_ITEMS = hashlib.sha256(b"").hexdigest()
+
 
+def shard_hits(items: Items, texts: list[bytes | None]) -> tuple[np.ndarray, dict[int, list[tuple]]]:
+    """Number of words by text, and for texts with matches these as (place, words, item_id, place in the item)."""
+    words = Words(texts)
+    found: dict[int, list[tuple]] = {}
+    for text, at, item, start, size in zip(*(c.tolist() for c in items.matches(words))):
+        found.setdefault(text, []).append((at, size, items.ids[item], start))
+    return words.count, found
 
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.int32())]
-_NAMES = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "spans"]
+
+def summary(n: int, found: list[tuple] | None) -> tuple:
+    if not found:
+        return (n, 0, 0, _NO_ITEMS, False, 0, None, None, None, [])
+    spans = merged([x for at, size, _, _ in found for x in (at, at + size)])
+    ids = sorted({i for _, _, i, _ in found})
+    at, size, item, start = min(found, key=lambda m: (-m[1], m[0], m[2], m[3]))
+    return (n, sum(spans[1::2]) - sum(spans[::2]), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), True, size, item, at, start, spans)
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
@@ -196,51 +180,83 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
             yield sorted(zip(*(found.column(c).to_pylist() for c in ("item_id", "text"))))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest and spans (of hit words) of every row."""
-    context, kind = docs.sparkSession.sparkContext, dict(docs.dtypes)["doc_id"]
-    shared = [context.broadcast(Windows(items, window)) for items in blocks(benchmark, block_bytes)]
-    slim = docs.select("doc_id", clean_text())
-    if len(shared) == 1:
-        return slim.mapInArrow(_scan(shared[0], True), f"doc_id {kind}, {RESULT}")
-    slim = slim.withColumn("_row", F.sha2(F.coalesce("text", F.lit(b"")), 256))
-    passes = [slim.mapInArrow(_scan(s, False), f"doc_id {kind}, _row string, n_words long, spans array<int>, ids array<string>").dropDuplicates(["doc_id", "_row"]) for s in shared]
-    each = reduce(DataFrame.unionAll, passes).groupBy("doc_id", "_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("ids")).alias("ids"))
+def _shards(items: Items, batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    return slices(batches, column, min(max(SHARD * items.bytes, LEAST), MOST))
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [summary(r["n_words"], merged(r["spans"]), r["ids"]) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], ["doc_id", "_row", *_NAMES])
 
-    done = each.mapInArrow(finish, f"doc_id {kind}, _row string, {RESULT}").withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "_text")
-    return slim.select("doc_id", "_row").join(done, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_text"))).select("doc_id", *_NAMES)
+MATCH = "array<struct<at: int, size: int, item: string, start: int>>"
+_MATCH = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("item", pa.string()), ("start", pa.int32())]))
 
 
-def _scan(shared, last: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            n, found, ids = shard_hits(shared.value, *buffers(batch.column(1)))
-            if last:
-                rows = [summary(*r) for r in zip(n.tolist(), found, ids)]
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the longest match (longest, longest_item, longest_at, longest_from) and spans of hit words of every row."""
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    slim = docs.select("doc_id", clean_text())
+    every = blocks(benchmark, block_bytes)
+    first, second = next(every), next(every, None)
+    if second is None:
+        shared = spark.sparkContext.broadcast(Items(first, window))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _shards(shared.value, batches):
+                n, found = shard_hits(shared.value, batch.column(1).to_pylist())
+                rows = [summary(w, found.get(k)) for k, w in enumerate(n.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], ["doc_id", *_NAMES])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))], ["doc_id", "_row", "n_words", "spans", "ids"])
 
-    return run
+        return slim.mapInArrow(run, f"doc_id {kind}, {RESULT}")
+    scratch = Scratch(spark)
+    slim = slim.withColumn("name", F.sha2(F.coalesce("text", F.lit(b"")), 256))
+    passes: list[DataFrame] = []
+    block: list | None = first
+    while block is not None:
+        shared = spark.sparkContext.broadcast(Items(block, window))
+
+        def hits(batches: Iterator[pa.RecordBatch], shared=shared, every_row=not passes) -> Iterator[pa.RecordBatch]:
+            for batch in _shards(shared.value, batches):
+                n, found = shard_hits(shared.value, batch.column(1).to_pylist())
+                rows = [[dict(zip(("at", "size", "item", "start"), m)) for m in found.get(k, [])] for k in range(batch.num_rows)]
+                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(rows, _MATCH)], ["doc_id", "name", "n_words", "matches"])
+                yield out if every_row else out.filter(pa.array([bool(r) for r in rows], pa.bool_()))
+
+        passes.append(scratch.keep(slim.mapInArrow(hits, f"doc_id {kind}, name string, n_words long, matches {MATCH}")))
+        shared.destroy()
+        block, second = (second, None) if second is not None else (next(every, None), None)
+    # a row may be repeated; the first pass has all of them, the others one of each text and doc_id at least
+    more = reduce(DataFrame.unionAll, passes[1:]).dropDuplicates(["doc_id", "name", "matches"])
+    more = more.groupBy("doc_id", "name").agg(F.flatten(F.collect_list("matches")).alias("more")).toDF("other_id", "other_name", "more")
+    joined = passes[0].join(more, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("name") == F.col("other_name")), "left")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [summary(r["n_words"], [tuple(m.values()) for m in (r["matches"] or []) + (r["more"] or [])]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array([r[k] for r in rows], t) for k, t in enumerate(_TYPES)], ["doc_id", *_NAMES])
+
+    return joined.select("doc_id", "n_words", "matches", "more").mapInArrow(finish, f"doc_id {kind}, {RESULT}")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows without a hit, with all their columns; block after block, each in a pass that drops rows."""
-    for items in blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(Windows(items, window))
+    """The rows without a hit, with all their columns; block after block, each but the last in a pass that is written."""
+    spark, scratch, kept = docs.sparkSession, None, []
+    every = blocks(benchmark, block_bytes)
+    block, later = next(every), next(every, None)
+    place = next(k for k, c in enumerate(docs.columns) if c.lower() == "text")
+    while True:
+        shared = spark.sparkContext.broadcast(Items(block, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches):
-                _, found, _ = shard_hits(shared.value, *buffers(batch.column(batch.schema.get_field_index("text"))))
-                yield batch.filter(pa.array([not f for f in found], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+            for batch in _shards(shared.value, batches, "text"):
+                _, found = shard_hits(shared.value, batch.column(place).cast(pa.binary()).to_pylist())
+                yield batch.filter(pa.array([k not in found for k in range(batch.num_rows)], pa.bool_()))
+
+        docs = map_rows(docs, run, docs.columns, docs.schema)
+        if later is None:
+            return docs
+        scratch = scratch or Scratch(spark)
+        docs = scratch.keep(docs)
+        scratch.drop(*kept)
+        kept = [docs]
+        shared.destroy()
+        block, later = later, next(every, None)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

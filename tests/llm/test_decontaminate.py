@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -49,6 +50,53 @@ def test_cases(spark, block):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r[0]) for r in want if not r[5])
 
 
+def longest(docs, items):
+    """(length, item, place in the document, place in the item) by document, by extending every pair of equal words."""
+    out = []
+    for _, t in docs:
+        w, best = tokens(t), None
+        for i, u in items:
+            v = tokens(u)
+            for a in range(len(w)):
+                for b in range(len(v)):
+                    if w[a] == v[b] and (not a or not b or w[a - 1] != v[b - 1]):
+                        n = 1
+                        while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                            n += 1
+                        if n >= min(10, len(v)):
+                            rank = (-n, a, "" if i is None else str(i), b)
+                            best = min(best or rank, rank)
+        out.append((-best[0], best[2], best[1], best[3]) if best else (0, None, None, None))
+    return out
+
+
+@pytest.mark.parametrize("block", [d.BLOCK_BYTES, 100])
+def test_longest_matches(spark, block):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    items = [(k, text(30)) for k in range(6)] + ITEMS
+    docs = [(k, text(60) + " " + (rng.choice(items)[1] or "")[:40] if k % 2 else text(50)) for k in range(30)]
+    docs += [(100 + k, r[1]) for k, r in enumerate(DOCS) if len(r[1] or "") < 1000]
+    items = [(i, t or "") for i, t in items]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    found = d.find(frame, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block)
+    got = {r.doc_id: (r.longest, r.longest_item, r.longest_at, r.longest_from) for r in found.collect()}
+    assert got == dict(zip((k for k, _ in docs), longest(docs, items)))
+
+
+def test_words_of_structure(spark):
+    """Words that polynomial hashes modulo a power of two confuse."""
+    a, b = ("".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(1024)) for flip in (0, 1))
+    docs, items = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"), spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in d.find(docs, items).collect()} == {1: 1, 2: 0}
+
+
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "solo"), (2, "fine")], "doc_id long, text string").selectExpr("*", "1 AS name", "2 AS matches", "3 AS `odd.name`")
+    kept = d.clean(frame, spark.createDataFrame(ITEMS, "item_id long, text string"), block_bytes=100)
+    assert kept.columns == frame.columns and [r.doc_id for r in kept.collect()] == [2]
+
+
 def test_empty(spark):
     docs, items = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
     assert d.find(docs.limit(0), items).count() == 0
