@@ -262,7 +262,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", *_NAMES[:5])
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, language, minhash, pieces, quality, repeats, sharding, urls, vectors
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.query,
@@ -21,5 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_dedup": minhash.query,
 }
 
-#: DuckDB SQL by query; the others are tested against brute force, round trips or held-out rows.
-ORACLES: dict[str, str] = {}
+

@@ -37,3 +37,14 @@ def test_cases(spark):
 
 def test_empty_table(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string"), 4).count() == 0
+
+
+def test_query(spark):
+    d = "/root/testdata/sf0.01"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = sharding.query(spark, d).collect()
+    assert len(rows) == len(texts) and {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
+    assert all((r.size, r.text_crc32) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id])) for r in rows)
+    counts = Counter(r.shard for r in rows)
+    assert set(counts) == set(range(40)) and max(counts.values()) - min(counts.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(40) for k in range(counts[s])]
