@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import artifacts, evaluation, evidence, grants, lineage, sessions
+from .operators import artifacts, evaluation, evidence, grants, lineage, policies, sessions
 from .plans import states
 from .plans.relations import Reader, duckdb
 from .sources import adapters
 
-FAMILIES = (evidence, sessions, grants, evaluation, states, lineage, artifacts, adapters)
+FAMILIES = (evidence, sessions, grants, evaluation, states, lineage, artifacts, policies, adapters)
 
 
 def _bound(query: Callable[[Reader], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -36,3 +36,14 @@ def test_columns(spark):
     assert len({r[0] for r in keys}) == 4
     folded = rows.select(a.casefold(rows.p), a.crc32c_of(rows.p.cast("binary"))).collect()
     assert folded[0][0] == "a/./b//c" and folded[3][0] is None and folded[3][1] is None and folded[4][1] == 0
+
+
+def test_signatures(spark):
+    """Known values of RFC 8032, section 7.1."""
+    from proofmill.functions.signatures import allowed, verified
+
+    key = bytes.fromhex("3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c")
+    sign = bytes.fromhex("92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00")
+    assert verified(spark, key, b"\x72", sign) and not verified(spark, key, b"\x73", sign)
+    assert not verified(spark, key[:-1], b"\x72", sign) and not verified(spark, key, b"\x72", sign[:-1])
+    assert allowed(spark, {"k1": key}, "k1", b"\x72", sign) and not allowed(spark, {"k1": key}, "k2", b"\x72", sign)
