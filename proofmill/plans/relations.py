@@ -148,7 +148,7 @@ RELATIONS: dict[str, str] = {
     # claims, their evidence and decisions
     "claims": """
         SELECT doc_id AS claim_id, doc_id % 40 AS capability_id, CASE doc_id % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'provisional' WHEN 2 THEN 'rejected' ELSE 'confirmed' END AS status, doc_id % 7 = 1 AS is_inference, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence,
-          doc_id % 5 = 2 AS invariant, CASE WHEN doc_id % 9 = 4 THEN doc_id + 1 END AS contradicts, doc_id % 6 = 3 AS adjudicated, CASE doc_id % 8 WHEN 0 THEN 'high' ELSE 'other' END AS impact, lang AS sensitivity FROM documents""",
+          doc_id % 5 = 2 AS invariant, CASE WHEN doc_id % 9 = 4 THEN doc_id + 1 END AS contradicts, doc_id % 6 = 3 AS adjudicated, CASE doc_id % 5 WHEN 0 THEN 'high' ELSE 'other' END AS impact, lang AS sensitivity FROM documents""",
     "supports": "SELECT doc_id AS claim_id, (doc_id * 7 + k.k) % 97 AS source_id FROM documents CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) k WHERE doc_id % 7 <> 1 OR k.k < doc_id % 3",
     "rules": """
         SELECT p_partkey AS rule_id, p_partkey % 100 AS subject, p_size AS rank, TIMESTAMP '2024-01-01 00:00:00' + (p_partkey % 25) * INTERVAL 1 DAY AS effective_from,
