@@ -15,7 +15,7 @@ from .lineage import reevaluated
 SCORES = ("recurrence", "decision_impact", "evidence_coverage", "testability")
 #: Changes whose impact is high.
 HIGH = ("invariant", "prohibited_action", "authorization", "side_effect", "classification", "deliverable", "promotion", "user_label")
-#: What each principal may read.
+#: What each principal may read; kinds of events stand for kinds of principals.
 CAPABILITIES = (("view", 0), ("view", 1), ("click", 0), ("purchase", 0), ("purchase", 1), ("purchase", 2), ("signup", 3), ("error", 3))
 #: Negative paths that must each have a passing test.
 NEGATIVE = ("widened_request", "forged_attestation", "stale_epoch", "torn_log", "interior_corruption", "racing_consents", "path_traversal", "active_content", "oversized_source", "prompt_injection", "sealed_reuse", "missing_repetition")
