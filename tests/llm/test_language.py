@@ -98,6 +98,21 @@ def test_every_language_is_learned(spark):
     assert language.keep_identified(df, models).count() == len(rows)
 
 
+def test_ties_go_to_the_first_name(spark):
+    rows = [(i, "the same words in both of them " * 4, "ab"[i % 2] * 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.identify(df, language.learn(df)).collect()} == {"aa"}
+
+
+def test_long_texts_count(spark):
+    """A language that only the middle of long texts shows."""
+    long = ["zz zy " * 8000 + "мир и дом " * 6000 + "zz zy " * 8000, "мир и дом " * 12]
+    rows = [(i, long[i % 2] if i < 8 else "plain words for all", "ru" if i < 8 else "en") for i in range(16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, language.learn(df)).collect()}
+    assert all(got[i] == ("ru" if i < 8 else "en") for i in range(16))
+
+
 def test_blocks_score_like_one(spark, monkeypatch):
     rows = [(i, f"{'abcde'[i % 5]}xyz {'uvwst'[i % 5]}q {i * 7919 % 9}kz " * 5 + "olm nop"[i % 7 :], "abcde"[i % 5]) for i in range(90)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
