@@ -1,22 +1,25 @@
 """Operator 10: near-duplicate documents by MinHash with tensored banding.
 
-Words are runs of bytes other than white space after lower-casing A-Z. A document's set holds the
-hashes of its distinct shingles of SHINGLE words; a shorter text is one shingle as a whole. Documents
-with equal sets form a class; only classes are compared. Two collections of SIDE tuples of ROWS
-minhashes are computed, and every pair of a tuple of the one and a tuple of the other keys a table:
-SIDE * SIDE tables from 2 * SIDE * ROWS minhashes instead of 2 * SIDE * SIDE * ROWS. At a similarity of
-0.8 a pair shares a table with a probability of 0.9993, at 0.9 of over 0.9999.
-
-Classes that share a bucket are compared with its leader on their full sets, other leaders follow in
-further rounds. Members of buckets that still hold several components are then joined on the rarest
-shingles of their sets, as many as leave too few others for the threshold: two sets that are similar
-enough have one of these in common, and a passage that many documents share is rarely among them. Of
-each such shingle, members outside its largest component are compared with those of other components.
-So a group of copies costs a comparison per member, yet no link between members is lost.
+Words are runs of bytes other than white space after lower-casing A-Z; each is hashed by SipHash. A
+document's set holds the hashes of its distinct shingles of SHINGLE words; a shorter text is one
+shingle as a whole. Documents with equal sets form a class; only classes are compared. Two collections
+of SIDE tuples of ROWS minhashes are computed, and every pair of a tuple of the one and a tuple of the
+other keys a table: SIDE * SIDE tables from 2 * SIDE * ROWS minhashes instead of 2 * SIDE * SIDE * ROWS.
+At a similarity of 0.8 a pair shares a table with a probability of 0.9993, at 0.9 of over 0.9999.
+
+Table entries are dealt and sorted by key once; a run of several classes is a bucket. Classes of a
+bucket are compared with its leader on their full sets, another leader follows in a second round. Of
+buckets that then still hold several components, all pairs are compared that can be similar enough:
+of two such sets, ordered by the frequency of shingles in these buckets, the first shingle that both
+have stands early enough in each to leave room for the threshold. Only pairs that pass this exact
+bound, are not in one component yet and share a table are linked. So a group of copies costs a
+comparison per member, and a passage that many otherwise different documents share costs none.
 
 Cases: null and empty texts and those of white space alone have no set and stand alone; a null doc_id
 is a row like others, never the smallest id unless its component holds nothing else; repeated rows are
-one class; an empty table gives no rows; extra columns are not read.
+one class; of components with the same smallest doc_id each keeps its row; a text of any length is one
+set, in memory while it is read; an empty table gives no rows; extra columns are not read by
+``near_duplicates`` and kept by ``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import LOWER, U64, Scratch, buffers, clean_text, mix, prefix_hash, slices, span_hash, spans
+from .common import U64, Scratch, buffers, clean_text, mix, slices, unused, word_hashes
 from .graph import components
 
 SHINGLE, SIDE, ROWS, LEADERS = 5, 11, 3, 2
@@ -37,58 +39,68 @@ SHINGLE, SIDE, ROWS, LEADERS = 5, 11, 3, 2
 SALT_ROWS = 512
 #: Counters of shingles, 8 bytes each.
 COUNTERS = 1 << 20
-WORD = np.ones(256, bool)
-WORD[32] = WORD[9:14] = False
+#: Hashes of shingles that are worked on at a time, and pairs of one shingle.
+CHUNK, PAIRS = 1 << 15, 1 << 21
 _SEEDS = mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+_FACTORS = mix(_SEEDS) | U64(1)
 
 
-def shingles(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets by text): each text's distinct shingle hashes in ascending order."""
-    data = LOWER[data]
-    first, last, owner = spans(WORD, data, starts, stops)
-    word = span_hash(prefix_hash(data), first, last)
-    count = np.bincount(owner, minlength=len(starts))
+    word, count, _ = word_hashes(texts)
     begin = np.cumsum(count) - count
     n = np.where(count >= size, count - size + 1, np.minimum(count, 1))
-    text = np.repeat(np.arange(len(starts)), n)
-    at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    offsets = np.append(0, np.cumsum(n))
+    text = np.repeat(np.arange(len(texts)), n)
+    at = np.arange(len(text)) + np.repeat(begin - offsets[:-1], n)
     value = np.zeros(len(at), U64)
     for k in range(size):
-        inside = k < count[text]
-        value = mix(value + np.where(inside, word[np.minimum(at + k, max(len(word) - 1, 0))] if len(word) else U64(0), U64(k + 1)))
-    order = np.lexsort((value, text))
-    value, text = value[order], text[order]
+        there = k < count[text]
+        value = mix(value + np.where(there, word[np.where(there, at + k, 0)], U64(k + 1))) if len(at) else value
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        value[a:b].sort()
     new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
-    value, text = value[new], text[new]
-    return value, np.searchsorted(text, np.arange(len(starts) + 1))
-
-
-def set_id(values: np.ndarray) -> bytes:
-    """A 128-bit name of a set of shingles."""
-    return np.array([mix(values).sum(dtype=U64), mix(values ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)], ">u8").tobytes()
-
-
-def signature(values: np.ndarray) -> np.ndarray:
-    """2 * SIDE tuples of ROWS minhashes, a hash of each tuple."""
-    low = np.empty(len(_SEEDS), U64)
-    for k, seed in enumerate(_SEEDS):
-        low[k] = mix(values ^ seed).min()
-    out = np.zeros(2 * SIDE, U64)
+    new[1:] = value[1:] != value[:-1]
+    new[offsets[:-1][n > 0]] = True
+    return value[new], np.append(0, np.cumsum(new))[offsets]
+
+
+def set_ids(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """A 128-bit name of each set of shingles; none is empty."""
+    if not len(starts):
+        return []
+    both = [np.add.reduceat(mix(values ^ U64(seed)), starts) for seed in (0, 0x5851F42D4C957F2D)]
+    whole = np.stack(both, axis=1).astype(">u8").tobytes()
+    return [whole[k : k + 16] for k in range(0, len(whole), 16)]
+
+
+def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Per set 2 * SIDE tuples of ROWS minhashes, a hash of each tuple; no set is empty."""
+    low = np.full((len(_SEEDS), len(starts)), np.iinfo(U64).max, U64)
+    for begin in range(0, len(values), CHUNK):
+        part = values[begin : begin + CHUNK]
+        a = int(np.searchsorted(starts, begin, "right")) - 1
+        b = int(np.searchsorted(starts, begin + len(part)))
+        cut = np.maximum(starts[a:b] - begin, 0)
+        for k in range(len(_SEEDS)):
+            low[k, a:b] = np.minimum(low[k, a:b], np.minimum.reduceat((part ^ _SEEDS[k]) * _FACTORS[k], cut))
+    out = np.zeros((len(starts), 2 * SIDE), U64)
     for k in range(ROWS):
-        out = mix(out + low[k :: ROWS] + U64(k + 1))
+        out = mix(out + low[k::ROWS].T + U64(k + 1))
     return out
 
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            values, offsets = shingles(*buffers(batch.column(1)), size)
+            values, offsets = shingles(batch.column(1).to_pylist(), size)
             n = np.diff(offsets)
-            parts = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-            ids = [set_id(p) if len(p) else None for p in parts]
-            signs = [signature(p).tobytes() if len(p) else None for p in parts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "set_id", "sign"])
+            full = np.flatnonzero(n)
+            ids, signs = [None] * len(n), [None] * len(n)
+            tables = signatures(values, offsets[full])
+            for row, name, sign in zip(full.tolist(), set_ids(values, offsets[full]), tables):
+                ids[row], signs[row] = name, sign.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "name", "n_shingles", "set_id", "sign"])
 
     return run
 
@@ -98,31 +110,57 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 4096):
             part = batch.slice(begin, 4096)
-            sign = np.frombuffer(b"".join(part.column(1).to_pylist()), U64).reshape(-1, 2 * SIDE)
+            sign = buffers(part.column(1))[0].view(U64).reshape(-1, 2 * SIDE)
             table = np.arange(SIDE * SIDE, dtype=U64)
             key = mix(np.repeat(sign[:, :SIDE], SIDE, axis=1) * U64(0x9FB21C651E98DF25) + np.tile(sign[:, SIDE:], (1, SIDE)) + table)
-            rows = np.repeat(np.arange(part.num_rows), SIDE * SIDE)
-            short = np.frombuffer(b"".join(i[:8] for i in part.column(0).to_pylist()), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(short[rows])], ["key", "short"])
+            node, items = (np.repeat(part.column(k).to_numpy(), SIDE * SIDE) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(node, pa.int64()), pa.array(items, pa.int64())], ["key", "node", "items"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, items) in this order those of keys with several nodes, with the key's first node and its items."""
+    held = None  # the last row with its key's first node and items, and whether it was given out
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node, items = (c.to_numpy() for c in batch.columns)
+        if held:
+            key, node, items = (np.append(h, c) for h, c in zip(held, (key, node, items)))
+        new = np.append(True, key[1:] != key[:-1])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        first, first_items = node[head], items[head]
+        many = ~new
+        many[:-1] |= ~new[1:]
+        out = many
+        if held:
+            run = int(new[1:].argmax()) + 1 if new[1:].any() else len(key)
+            first[:run], first_items[:run] = held[3], held[4]
+            many[0] |= held[5]
+            out = many.copy()
+            out[0] &= not held[5]
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, node, items, first, first_items)], ["key", "node", "items", "leader", "na"])
+        held = key[-1], node[-1], items[-1], first[-1], first_items[-1], bool(many[-1])
 
 
 def _checked(percent: int):
-    """Leader rows (kind 0) come before their members (kind 1): yields the linked pairs."""
+    """Leader rows (null b) come before their members: yields the linked pairs that share a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, None
+        at, held, tuples = None, None, None
         for batch in batches:
             out = []
-            for a, salt, b, values in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for a, salt, b, values, sign in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 values = np.frombuffer(values, U64)
                 if b is None:
-                    at, held = (a, salt), values
-                elif at == (a, salt) and 100 * min(len(values), len(held)) >= percent * max(len(values), len(held)):
+                    at, held, tuples = (a, salt), values, np.frombuffer(sign, U64)
+                elif at == (a, salt):
                     place = np.searchsorted(held, values)
                     common = int((held[np.minimum(place, len(held) - 1)] == values).sum())
                     if 100 * common >= percent * (len(values) + len(held) - common):
-                        out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+                        same = np.frombuffer(sign, U64) == tuples
+                        if same[:SIDE].any() and same[SIDE:].any():
+                            out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -130,26 +168,26 @@ def _checked(percent: int):
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; a's set is sent once per SALT_ROWS partners."""
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
-    members = pairs.join(load, "a").join(sets.toDF("b", "values"), "b").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b", "values")
-    heads = load.join(sets.toDF("a", "values"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("b"), "values")
+    members = pairs.join(load, "a").join(sets.toDF("b", "values", "sign"), "b").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b", "values", "sign")
+    heads = load.join(sets.toDF("a", "values", "sign"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "values", "sign")
     dealt = heads.unionAll(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return dealt.mapInArrow(_checked(percent), "a binary, b binary")
+    return dealt.mapInArrow(_checked(percent), "a long, b long")
 
 
-def rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def early(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """token, node, root, items, place: each set's rarest shingles, one of which any similar set has too.
 
     Shingles are ordered by how many sets have one of the same COUNTERS-th of all hashes, then by hash;
     the counters are all that is sent to the driver and the workers.
     """
-    given = nodes.join(sets.withColumnRenamed("set_id", "node"), "node")
+    given = nodes.join(sets.select("node", "values"), "node")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for values in batch.column(0).to_pylist():
-                np.add.at(total, (np.frombuffer(values, U64) % U64(COUNTERS)).astype(np.int64), 1)
-        used = np.flatnonzero(total)
+            slot = buffers(batch.column(0))[0].view(U64) % U64(COUNTERS)
+            total += np.bincount(slot.astype(np.int64), minlength=COUNTERS)
+        used = np.flatnonzero(total)  # once a task
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["slot", "n"])
 
     table = np.zeros(COUNTERS, np.int64)
@@ -159,105 +197,165 @@ def rare(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, root, values in zip(*(c.to_pylist() for c in batch.columns)):
-                values = np.frombuffer(values, U64)
-                n = len(values)
-                order = np.lexsort((values, shared.value[(values % U64(COUNTERS)).astype(np.int64)]))
-                first = values[order[: n - -(-percent * n // 100) + 1]]
-                m = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array([node] * m, pa.binary()), pa.array([root] * m, pa.binary()), pa.array([n] * m, pa.int64()), pa.array(np.arange(m), pa.int64())], ["token", "node", "root", "items", "place"])
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                values, starts, stops = buffers(part.column(2))
+                values, n = values.view(U64), (stops - starts) // 8
+                owner = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((values, shared.value[(values % U64(COUNTERS)).astype(np.int64)], owner))
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+                chosen = place < np.repeat(n - -(-percent * n // 100) + 1, n)
+                rows = owner[chosen]
+                columns = [pa.array(values[order][chosen].view(np.int64)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(n[rows]), pa.array(place[chosen])]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "root", "items", "place"])
+
+    return given.select("node", "root", "values").mapInArrow(heads, "token long, node long, root long, items long, place long")
+
+
+def partners(node: np.ndarray, root: np.ndarray, items: np.ndarray, place: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets with a shingle in common that may be similar enough and have other roots; items ascend.
+
+    What two sets have in common from this shingle on is at most what follows in the shorter rest. So
+    the smaller set allows partners up to a size of its own, and its partner must allow it.
+    """
+    most = (items - place) * (100 + percent) // percent - items  # the largest partner that leaves room
+    size = np.bincount(np.unique(root, return_inverse=True)[1])
+    if len(size) < 2:
+        return
+    names = np.unique(root)
+    main = root == names[size.argmax()]
+    for own, others in ((np.flatnonzero(~main), np.arange(len(node))), (np.flatnonzero(main), np.flatnonzero(~main))):
+        own = own[most[own] >= items[own]]
+        if not len(own) or not len(others):
+            continue
+        low = np.searchsorted(others, own, "right")
+        high = np.searchsorted(items[others], most[own], "right")
+        count = np.maximum(high - low, 0)
+        cuts = np.searchsorted(np.cumsum(count), np.arange(PAIRS, int(count.sum()) + PAIRS, PAIRS)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)]):
+            n = count[a:b]
+            i = np.repeat(own[a:b], n)
+            j = others[np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            good = (root[i] != root[j]) & (most[j] >= items[i])
+            i, j = i[good], j[good]
+            if len(i):
+                yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+
+
+def _partners(percent: int):
+    """Rows (token, node, root, items, place) by token, then items: pairs to be verified."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((5, 0), np.int64)
+
+        def close(rows: np.ndarray):
+            start = np.append(0, np.flatnonzero(np.diff(rows[0])) + 1)
+            size = np.diff(np.append(start, rows.shape[1]))
+            able = ((rows[3] - rows[4]) * (100 + percent) // percent - rows[3] >= rows[3]).astype(np.int8)
+            # several roots, and a set that another of its size or more can be similar to
+            open_ = (np.minimum.reduceat(rows[2], start) != np.maximum.reduceat(rows[2], start)) & (np.maximum.reduceat(able, start) > 0)
+            for a, n in zip(start[open_].tolist(), size[open_].tolist()):
+                for x, y in partners(*rows[1:, a : a + n], percent):
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            last = int(np.searchsorted(rows[0], rows[0, -1]))
+            yield from close(rows[:, :last]) if last else ()
+            held = rows[:, last:]
+        yield from close(held) if held.shape[1] else ()
 
-    return given.select("node", "root", "values").mapInArrow(heads, "token long, node binary, root binary, items long, place long")
+    return run
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and set_id of every row."""
+    """doc_id, n_shingles, component_id, kept, set_id, head and name (MD5 of the text) of every row."""
     scratch, kind = Scratch(docs.sparkSession), dict(docs.dtypes)["doc_id"]
-    slim = docs.select("doc_id", clean_text())
-    rows = scratch.keep(slim.mapInArrow(_sets(size), f"doc_id {kind}, n_shingles long, set_id binary, sign binary"))
-    classes = scratch.keep(rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min("sign").alias("sign"), F.min("n_shingles").alias("items")))
-    entries = classes.select("set_id", "sign").mapInArrow(_entries, "key long, short long")
-    shared = entries.groupBy("key").agg(F.min("short").alias("low"), F.max("short").alias("high")).filter("low <> high").select("key")
-    full = classes.select(F.col("set_id").alias("node"), "items", F.conv(F.hex(F.substring("set_id", 1, 8)), 16, -10).cast("long").alias("short"))
-    found = scratch.keep(entries.join(shared, "key").join(full, "short").select("key", "node", "items"))
-    bucket = found.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    slim = docs.select("doc_id", clean_text()).withColumn("name", F.md5("text"))
+    rows = scratch.keep(slim.mapInArrow(_sets(size), f"doc_id {kind}, name string, n_shingles long, set_id binary, sign binary"))
+    classes = rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("sign").alias("sign"), F.first("n_shingles").alias("items"))
+    classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))
+    entries = classes.select("node", "sign", "items").mapInArrow(_entries, "key long, node long, items long")
+    found = scratch.keep(entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets, "key long, node long, items long, leader long, na long"))
     # buckets with the same members are one
-    bucket = bucket.filter("n > 1").groupBy("leader", "n", "x", "y").agg(F.min("key").alias("key")).select("key", "leader")
+    bucket = found.groupBy("key").agg(F.min("leader").alias("leader"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    bucket = bucket.groupBy("leader", "n", "x", "y").agg(F.min("key").alias("key")).select("key")
     members = scratch.keep(found.join(bucket, "key"))
-    wanted = members.select(F.col("node").alias("set_id")).distinct().join(classes.select("set_id", "first"), "set_id")
-    texts = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("set_id", "text")
+    scratch.drop(found)
+    near = f"100 * least(items, na) >= {percent} * greatest(items, na)"  # sizes that allow the threshold
+
+    def paired(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+
+    tested = scratch.keep(members.filter(f"node <> leader and {near}").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    wanted = members.select("node").distinct().join(classes.select("node", "set_id", "first", "sign"), "node")
+    texts = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "set_id", "sign", "text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            values, offsets = shingles(*buffers(batch.column(1)), size)
-            parts = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+            values, offsets = shingles(batch.column(3).to_pylist(), size)
+            full = np.flatnonzero(np.diff(offsets))
             # another row may have the same doc_id
-            right = [bool(len(p)) and set_id(p) == want for p, want in zip(parts, batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in parts], pa.binary())], ["set_id", "values"]).filter(pa.array(right, pa.bool_()))
-
-    sets = scratch.keep(texts.mapInArrow(whole, "set_id binary, values binary").dropDuplicates(["set_id"]))
+            names, right = batch.column(1).to_pylist(), np.zeros(batch.num_rows, bool)
+            right[full] = [names[k] == i for k, i in zip(full.tolist(), set_ids(values, offsets[full]))]
+            lists = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int64)), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists.cast(pa.binary()), batch.column(2)], ["node", "values", "sign"]).filter(pa.array(right))
 
-    tested = scratch.keep(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    sets = scratch.keep(texts.mapInArrow(whole, "node long, values binary, sign binary").dropDuplicates(["node"]))
     links = scratch.keep(verified(tested, sets, percent))
-    for turn in range(1, LEADERS + 2):
-        label = components(scratch, links)
+    label = components(scratch, links)
+    for turn in range(1, LEADERS + 1):
         named = members.select("key", "node", "items").join(label, "node", "left").select("key", "node", "items", F.coalesce("root", "node").alias("root"))
         mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
         named = scratch.keep(named.join(mixed, "key"))
         if named.isEmpty():
             break
-        if turn <= LEADERS:
-            head = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("root").alias("ra"))).alias("head")).select("key", "head.a", "head.ra")
-            pairs = named.join(head, "key").filter("root <> ra").select("a", F.col("node").alias("b"))
+        if turn < LEADERS:
+            head = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("items").alias("na"))).alias("head")).select("key", "head.a", "head.ra", "head.na")
+            pairs = named.join(head, "key").filter(f"root <> ra and {near}").select("a", F.col("node").alias("b")).distinct()
         else:
-            heads = scratch.keep(rare(named.select("node", "root").distinct(), sets, percent))
-            sizes = heads.groupBy("token", "root").count()
-            main = sizes.groupBy("token").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("token", F.col("m.root").alias("main"))
-            heads = heads.join(main, "token")
-            rest = heads.filter("root <> main").toDF("token", "a", "ra", "na", "pa", "main").drop("main")
-            near = f"100 * least(items, na) >= {percent} * greatest(items, na)"
-            # what the two sets can have in common, given where this shingle stands in each
-            most = f"(100 + {percent}) * (least(place, pa) + least(items - place, na - pa)) >= {percent} * (items + na)"
-            pairs = rest.join(heads.withColumnRenamed("node", "b"), "token").filter(f"root <> ra and (root = main or a < b) and {near} and {most}").select("a", "b")
-        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti").join(tested.toDF("b", "a"), ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs)
+            heads = early(named.select("node", "root").distinct(), sets, percent)
+            heads = heads.repartition("token").sortWithinPartitions("token", "items", "node")
+            pairs = heads.mapInArrow(_partners(percent), "a long, b long").distinct()
+        pairs = pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(paired(tested), ["low", "high"], "left_anti")
+        pairs = scratch.keep(pairs.select("a", "b"))
         tested = tested.unionAll(pairs)
         links = links.unionAll(scratch.keep(verified(pairs, sets, percent)))
-    label = components(scratch, links)
-    named = classes.select("set_id", "first").join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "first", F.coalesce("root", "set_id").alias("root"))
+        scratch.drop(named)
+        label = components(scratch, links)
+    named = classes.select("set_id", "first", "node").join(label, "node", "left").select("set_id", "first", F.coalesce("root", "node").alias("root"))
     # of classes with the same smallest doc_id, or none, the smallest by name stands for the component
     lowest = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", F.col("set_id").alias("head"))).alias("m"))
     result = scratch.keep(named.join(lowest, "root").select("set_id", F.col("m.first").alias("component"), F.col("m.head").alias("head")))
-    out = rows.select("doc_id", "n_shingles", "set_id").join(result, "set_id", "left")
+    scratch.drop(sets, members, classes)
+    out = rows.select("doc_id", "n_shingles", "set_id", "name").join(result, "set_id", "left")
     out = out.withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set_id", "head")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "set_id", "head", "name")
 
 
 def keep_first(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
     """One row of each group, with all its columns: of the smallest doc_id, of repeats any one.
 
-    Rows without words all stay.
+    Rows without words all stay. Of several texts of the smallest doc_id in a component, the one of the
+    smallest name stays.
     """
-    heads = near_duplicates(docs, size, percent).filter("kept and set_id = head").select(F.col("doc_id").alias("_id"), F.col("set_id").alias("_head")).distinct()
-    kinds = StructType([*docs.schema.fields, StructField("_set", BinaryType())])
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            values, offsets = shingles(*buffers(batch.column(batch.schema.get_field_index("text"))), size)
-            ids = [set_id(values[a:b]) if b > a else None for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], [*batch.schema.names, "_set"])
-
-    columns = docs.columns
-    rows = docs.mapInArrow(name, kinds)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_set") == F.col("_head"))
-    first = rows.filter("_set is not null").join(heads, same, "left_semi").dropDuplicates(["doc_id", "_set"])
-    return first.unionAll(rows.filter("_set is null")).select(*columns)
+    found = near_duplicates(docs, size, percent)
+    bare = found.filter("set_id is null").select("doc_id", "name", F.lit(False).alias("one"))
+    heads = found.filter("kept and set_id = head").groupBy("doc_id", "set_id").agg(F.min("name").alias("name")).select("doc_id", "name", F.lit(True).alias("one"))
+    name, key, text, one = unused(docs.columns, "text_name", "kept_id", "kept_name", "one_row")
+    chosen = bare.distinct().unionAll(heads).toDF(key, text, one)
+    rows = docs.withColumn(name, F.md5(F.col("text").cast("binary")))
+    rows = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col(key)) & F.col(name).eqNullSafe(F.col(text)))
+    first = rows.filter(F.col(one)).dropDuplicates(["doc_id", name])
+    return first.unionAll(rows.filter(~F.col(one))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return near_duplicates(table(spark, sf_dir, "documents"), 4).drop("set_id", "head")
+    return near_duplicates(table(spark, sf_dir, "documents"), 4).drop("set_id", "head", "name")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

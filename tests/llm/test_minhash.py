@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from proofmill.llm import minhash
 
 
@@ -52,6 +55,86 @@ def test_cases(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, want))
 
 
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "", "z")], "doc_id long, text string, one_row string").withColumnsRenamed({"one_row": "text_name"})
+    frame = frame.selectExpr("*", "1 AS kept_id", "2 AS kept_name", "3 AS one_row", "4 AS _set", "5 AS set_id", "6 AS `odd.name`")
+    kept = minhash.keep_first(frame)
+    assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+def test_words_of_structure(spark):
+    """Words that polynomial hashes modulo a power of two confuse."""
+    frame = spark.createDataFrame([(1, thue_morse(1024, 0)), (2, thue_morse(1024, 1))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(frame, 4).collect()) == [(1, 1), (2, 2)]
+
+
+def test_signatures():
+    rng = np.random.default_rng(1)
+    parts = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 5, 70_000, 3)]
+    starts = np.cumsum([0] + [len(p) for p in parts])[:-1]
+    whole = minhash.signatures(np.concatenate(parts), starts)
+    for k, part in enumerate(parts):
+        low = [min((int(v) ^ int(s)) * int(f) % 2**64 for v in part[:5]) for s, f in zip(minhash._SEEDS, minhash._FACTORS)] if len(part) <= 5 else None
+        assert (minhash.signatures(part, np.zeros(1, np.int64))[0] == whole[k]).all()
+        if low:
+            out = np.zeros(2 * minhash.SIDE, np.uint64)
+            for r in range(minhash.ROWS):
+                out = minhash.mix(out + np.array(low[r :: minhash.ROWS], np.uint64) + np.uint64(r + 1))
+            assert (out == whole[k]).all()
+
+
+def test_buckets_across_batches():
+    rng = random.Random(8)
+    rows = sorted((rng.randrange(30), k) for k in range(60))
+    for size in (1, 2, 7, 60):
+        batches = [pa.RecordBatch.from_pylist([{"key": a, "node": b, "items": 10 * b} for a, b in rows[k : k + size]]) for k in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in minhash._buckets(iter(batches)) for r in b.to_pylist()]
+        by = {}
+        for a, b in rows:
+            by.setdefault(a, []).append(b)
+        assert got == [(a, b, 10 * b, by[a][0], 10 * by[a][0]) for a, b in rows if len(by[a]) > 1]
+
+
+def test_partners_keep_every_similar_pair():
+    rng = random.Random(6)
+    common = list(range(100))
+    sets = [set(rng.sample(common, rng.randrange(20, 100))) | {1000 * k + j for j in range(rng.randrange(12))} for k in range(60)]
+    seen = {}
+    for s in sets:
+        for t in s:
+            seen[t] = seen.get(t, 0) + 1
+    by, found = {}, set()
+    for k, s in enumerate(sets):
+        order = sorted(s, key=lambda t: (seen[t], t))
+        for place, t in enumerate(order[: len(s) - -(-80 * len(s) // 100) + 1]):
+            by.setdefault(t, []).append((len(s), k, k % 50, place))
+    for rows in by.values():
+        items, node, root, place = (np.array(c) for c in zip(*sorted(rows)))
+        for a, b in minhash.partners(node, root, items, place, 80):
+            found |= set(zip(a.tolist(), b.tolist()))
+    want = {(i, j) for j in range(60) for i in range(j) if i % 50 != j % 50 and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert want <= found and len(want) > 3 and all(i % 50 != j % 50 for i, j in found)
+
+
+def test_recall_above_the_threshold(spark):
+    rng = random.Random(11)
+    docs, pairs = [], 300
+    for k in range(pairs):  # one word replaced inside spoils four shingles: similarity 0.80 to 0.82
+        words = [f"w{rng.randrange(10**9)}" for _ in range(115 + k % 8)]
+        other = list(words)
+        for at in (20, 50, 80):
+            other[at] = f"v{rng.randrange(10**9)}"
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 4).collect()}
+    want = {r[0]: r[2] for r in brute(docs[:8], 4)}
+    assert all(want[d] == d - d % 2 for d in want)
+    assert sum(got[2 * k + 1] == 2 * k for k in range(pairs)) >= 0.99 * pairs
+
+
 def test_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
