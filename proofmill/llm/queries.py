@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, minhash, pieces, quality, repeats, sharding, urls, vectors
-from .oracles import ORACLES  # noqa: F401
+from . import centroids, chat, decontaminate, language, minhash, mixing, pieces, quality, repeats, sharding, tries, urls, vectors
+from .oracles import ORACLES as _EARLIER
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": chat.query,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding.query,
     "op9_sentencepiece": pieces.query,
     "op10_minhash_dedup": minhash.query,
+    "op11_centroid_clustering": centroids.query,
+    "op12_source_mixing": mixing.query,
+    "op13_prefix_trie": tries.query,
 }
-
-
+ORACLES: dict[str, str] = _EARLIER | {"op11_centroid_clustering": centroids.ORACLE, "op12_source_mixing": mixing.ORACLE, "op13_prefix_trie": tries.ORACLE}
