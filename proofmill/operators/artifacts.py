@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import math
 import unicodedata
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checksums import crc32c, crc32c_array  # noqa: F401
+
 #: Kinds of files that may leave, by extension: MIME type and first bytes (empty: text).
 KINDS = (("md", "text/markdown", ""), ("json", "application/json", ""), ("yaml", "application/yaml", ""), ("txt", "text/plain", ""), ("png", "image/png", "89504E470D0A1A0A"), ("jpg", "image/jpeg", "FFD8FF"), ("webp", "image/webp", "52494646"))
 EXPORTED = r"^(SKILL\.md|references/.+|assets/.+)$"
@@ -120,24 +121,16 @@ def audit(requests: DataFrame) -> DataFrame:
 # --- functions without a built-in ---------------------------------------------------------------
 
 
-def _crc32c_table() -> np.ndarray:
-    x = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        x = np.where(x & 1, (x >> 1) ^ np.uint32(0x82F63B78), x >> 1).astype(np.uint32)
-    return x
-
+def _unique(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("a member is repeated")
+    return out
 
-_CRC = _crc32c_table()
 
-
-def crc32c(data: bytes | None) -> int | None:
-    """The Castagnoli checksum of bytes."""
-    if data is None:
-        return None
-    c, table = 0xFFFFFFFF, _CRC
-    for b in data:
-        c = int(table[(c ^ b) & 0xFF]) ^ (c >> 8)
-    return c ^ 0xFFFFFFFF
+def parsed(text: str):
+    """JSON text as RFC 8785 reads it: every number is a double, and no member comes twice."""
+    return json.loads(text, parse_int=float, object_pairs_hook=_unique)
 
 
 def canonical(value) -> str:
@@ -146,7 +139,8 @@ def canonical(value) -> str:
         return "{" + ",".join(f"{canonical(str(k))}:{canonical(v)}" for k, v in sorted(value.items(), key=lambda kv: str(kv[0]).encode("utf-16-be", "surrogatepass"))) + "}"
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, float):
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        value = float(value)
         if not math.isfinite(value):
             raise ValueError("JSON has no such number")
         return number(value)
@@ -190,7 +184,13 @@ def _series(function, kind: str):
 
 
 def crc32c_of(data: Column) -> Column:
-    return _series(crc32c, "long")(data)
+    """CRC32C of a binary column, a batch at a time."""
+
+    def run(column: pd.Series) -> pd.Series:
+        return crc32c_array(pa.array(column, pa.binary(), from_pandas=True)).to_pandas(integer_object_nulls=True)
+
+    run.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "long")(data)
 
 
 def casefold(text: Column) -> Column:
@@ -199,26 +199,7 @@ def casefold(text: Column) -> Column:
 
 def canonical_json(text: Column) -> Column:
     """JSON text in its canonical form."""
-    return _series(lambda t: canonical(json.loads(t)), "string")(text)
-
-
-def frames(log: DataFrame) -> DataFrame:
-    """Length-prefixed frames of a task log with their checksum, read back: (task_id, seq, n_bytes, sound)."""
-
-    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            bodies = [f"{t}|{s}|{e}".encode() for t, s, e in zip(p.task_id, p.seq, p.event)]
-            raw = [len(b).to_bytes(4, "big") + b + crc32c(b).to_bytes(4, "big") for b in bodies]
-            yield pd.DataFrame({"task_id": p.task_id, "seq": p.seq, "frame": [r[:-1] if (t + s) % 17 == 0 else r for t, s, r in zip(p.task_id, p.seq, raw)]})
-
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            n = [int.from_bytes(f[:4], "big") for f in p.frame]
-            ok = [len(f) == k + 8 and crc32c(f[4 : 4 + k]) == int.from_bytes(f[4 + k :], "big") for f, k in zip(p.frame, n)]
-            yield pd.DataFrame({"task_id": p.task_id, "seq": p.seq, "n_bytes": n, "sound": ok})
-
-    framed = log.select("task_id", "seq", "event").mapInPandas(pack, "task_id long, seq long, frame binary")
-    return framed.mapInPandas(read, "task_id long, seq long, n_bytes long, sound boolean")
+    return _series(lambda t: canonical(parsed(t)), "string")(text)
 
 
 _PARTS = "list_filter(string_split(rel_path, '/'), lambda p: p <> '' AND p <> '.')"
@@ -285,8 +266,4 @@ QUERIES = {
         lambda t: audit(t("requests")),
         "SELECT principal, operation, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS n_bytes, min(request_id) AS first_id FROM requests GROUP BY principal, operation",
     ),
-    "log_frames_read": (
-        lambda t: frames(t("task_log")),
-        "SELECT task_id, seq, length(CAST(task_id AS VARCHAR) || '|' || CAST(seq AS VARCHAR) || '|' || event) AS n_bytes, (task_id + seq) % 17 <> 0 AS sound FROM task_log",
-    ),
 }

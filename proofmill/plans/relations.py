@@ -2,7 +2,8 @@
 
 The tables hold no grants, logs or evaluation runs, so each relation stands on a table of similar
 shape: its rows are the table's rows, its faults follow from ids. A relation is one SELECT that both
-engines read; ``sha{x}`` is a SHA-256 in hex and ``div{a, b}`` a whole division in each.
+engines read; ``sha{x}`` is a SHA-256 in hex of a text, ``shax{x}`` of bytes that are given in hex, and ``div{a, b}``
+a whole division in each.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ TRANSITIONS = (
     ("REVISION_REVIEW", "revision_rejected", "DONE_PARTIAL"),
     ("VERSION_REVIEW", "approved", "EXPORT_REVIEW"),
     ("VERSION_REVIEW", "version_rejected", "REVISION_REVIEW"),
+    ("VERSION_REVIEW", "version_rejected", "CANCELLED"),
     ("EXPORT_REVIEW", "consented", "DONE"),
     ("EXPORT_REVIEW", "export_deferred", "DONE_APPROVED"),
     ("SUSPENDED", "resume", "+"),
@@ -53,6 +55,8 @@ TRANSITIONS = (
 ANYWHERE = (("pause", "SUSPENDED"), ("exhaust", "SUSPENDED_EXHAUSTED"), ("authority_lost", "AUTH_STALE"), ("cancel", "CANCELLED"))
 TERMINAL = ("DONE", "DONE_APPROVED", "DONE_PARTIAL", "CANCELLED", "FAILED_PERMANENT")
 RESUMABLE = ("SUSPENDED", "SUSPENDED_EXHAUSTED", "AUTH_STALE")
+#: Phases that a revision or a renewed authority leads back to, in a new run epoch.
+REENTRIES = ("revise_extract", "revise_claims", "revise_compile", "revise_evaluate", "authority_renewed")
 
 
 def values(rows, columns: str) -> str:
@@ -64,6 +68,20 @@ def values(rows, columns: str) -> str:
 _STEPS = ("start_discover", "search_done", "content_granted", "all_snapshotted_discover", "map_done", "capability_chosen", "evidence_ok", "compiled", "passed", "approved", "consented")
 _AT = {e: (f, t) for f, e, t in TRANSITIONS}
 
+
+
+def _chained() -> str:
+    """A task's records side by side: head and tail of each body, and between them the hash of the body before."""
+    head = "'01' || lpad(hex(CASE WHEN task_id % 13 = 4 AND seq >= 7 THEN seq + 1 ELSE seq END), 16, '0') || lpad(hex(CAST(fencing_epoch AS BIGINT)), 16, '0')"
+    tail = "sha{CASE WHEN task_id % 11 = 2 AND seq = 4 THEN 'other' ELSE event || ':' || CAST(event_id AS STRING) END} || hex(event || ':' || CAST(event_id AS STRING))"
+    sql = "SELECT task_id, max(seq) AS last, " + ", ".join(f"max(CASE WHEN seq = {k} THEN a END) AS a{k}, max(CASE WHEN seq = {k} THEN z END) AS z{k}" for k in range(11))
+    sql += f" FROM (SELECT task_id, seq, {head} AS a, {tail} AS z FROM task_log) r GROUP BY task_id"
+    for k in range(11):
+        before = f"'{'0' * 64}'" if k == 0 else f"CASE WHEN task_id % 12 = 7 THEN sha{{'forged'}} ELSE h{k - 1} END" if k == 3 else f"h{k - 1}"
+        sql = f"SELECT *, shax{{a{k} || p{k} || z{k}}} AS h{k} FROM (SELECT *, {before} AS p{k} FROM ({sql}) x{k}) y{k}"
+    return sql
+
+
 RELATIONS: dict[str, str] = {
     "transitions": values([t for t in TRANSITIONS if t[2] != "+"], "from_phase event to_phase"),
     "phases": values([(p, k) for k, p in enumerate(PHASES)], "phase ordinal"),
@@ -74,19 +92,22 @@ RELATIONS: dict[str, str] = {
           SELECT event_id, ts, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS place FROM events) e""",
     "task_log": """
         SELECT t.task_id, t.step AS seq, t.event_id, t.ts,
-          CASE WHEN t.task_id % 11 = 4 AND t.step = 6 THEN 'MAP' WHEN t.task_id % 11 = 5 AND t.step = 8 THEN 'SUSPENDED' ELSE s.from_phase END AS from_phase,
-          CASE WHEN t.task_id % 11 = 3 AND t.step = 5 THEN 'compiled' WHEN t.task_id % 11 = 5 AND t.step = 7 THEN 'pause' WHEN t.task_id % 11 = 5 AND t.step = 8 THEN 'resume' ELSE s.event END AS event,
-          CASE WHEN t.task_id % 11 = 5 AND t.step = 7 THEN 'SUSPENDED' WHEN t.task_id % 11 = 5 AND t.step = 8 THEN CASE WHEN t.event_id % 3 = 0 THEN 'EXTRACT' ELSE 'COMPILE' END ELSE s.to_phase END AS to_phase,
+          CASE WHEN t.task_id % 11 = 4 AND t.step = 6 THEN 'MAP' WHEN t.task_id % 11 IN (5, 9) AND t.step = 8 THEN 'SUSPENDED' WHEN t.task_id % 11 = 8 AND t.step = 8 THEN 'AUTH_STALE' ELSE s.from_phase END AS from_phase,
+          CASE WHEN t.task_id % 11 = 3 AND t.step = 5 THEN 'compiled' WHEN t.task_id % 11 = 5 AND t.step = 7 THEN 'pause' WHEN t.task_id % 11 = 5 AND t.step = 8 THEN 'resume' WHEN t.task_id % 11 = 8 AND t.step = 7 THEN 'authority_lost' WHEN t.task_id % 11 = 8 AND t.step = 8 THEN 'authority_renewed' WHEN t.task_id % 11 = 9 AND t.step IN (7, 8) THEN 'pause' ELSE s.event END AS event,
+          CASE WHEN t.task_id % 11 IN (5, 9) AND t.step = 7 OR t.task_id % 11 = 9 AND t.step = 8 THEN 'SUSPENDED' WHEN t.task_id % 11 = 5 AND t.step = 8 THEN CASE WHEN t.event_id % 3 = 0 THEN 'EXTRACT' ELSE 'COMPILE' END WHEN t.task_id % 11 = 8 AND t.step = 7 THEN 'AUTH_STALE' WHEN t.task_id % 11 = 8 AND t.step = 8 THEN CASE WHEN t.event_id % 3 = 0 THEN 'COMPILE' ELSE 'EXTRACT' END ELSE s.to_phase END AS to_phase,
+          CASE WHEN t.task_id % 11 = 8 AND t.step = 8 THEN 'EXTRACT' END AS earliest_phase,
+          CASE WHEN t.event_id % 3 = 0 THEN 'questions' WHEN t.event_id % 3 = 1 THEN 'pages,threshold' ELSE 'retries,scope' END AS extends,
           CASE WHEN t.task_id % 11 = 6 AND t.step = 8 THEN 1 WHEN t.step >= 6 THEN 2 ELSE 1 END AS fencing_epoch,
-          CASE WHEN t.task_id % 11 = 7 AND t.step = 9 THEN 1 WHEN t.step >= 7 THEN 2 ELSE 1 END AS run_epoch
+          CASE WHEN t.task_id % 11 = 7 AND t.step = 9 THEN 1 WHEN t.task_id % 11 = 8 AND t.step = 8 THEN CASE WHEN t.event_id % 5 = 1 THEN 2 ELSE 3 END WHEN t.task_id % 11 = 8 AND t.step > 8 THEN 3 WHEN t.step >= 7 THEN 2 ELSE 1 END AS run_epoch
         FROM task_steps t JOIN steps s ON t.step = s.step""",
-    # framed log records: digest of the payload, the previous record's hash, faults by task
+    # how long a task's evidence is kept: a default, a choice, and one above the maximum
+    "task_retention": "SELECT DISTINCT task_id, CASE task_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 1 WHEN 2 THEN 7 ELSE 400 END AS retention_days FROM task_log",
+    # bodies of framed log records, in hex, each with the hash of the one before; faults by task
+    "log_chain": _chained(),
     "log_frames": """
-        SELECT task_id, CASE WHEN task_id % 13 = 4 AND seq >= 7 THEN seq + 1 ELSE seq END AS seq, payload_digest, prev_hash,
-          CASE WHEN task_id % 11 = 5 AND seq = 4 THEN 'bad' WHEN task_id % 11 = 6 AND seq = last THEN 'torn' ELSE payload_digest END AS stored_digest,
-          sha{prev_hash || payload_digest} AS record_hash FROM (
-          SELECT task_id, seq, max(seq) OVER (PARTITION BY task_id) AS last, sha{CAST(event_id AS STRING)} AS payload_digest,
-            CASE WHEN seq = 0 THEN '' WHEN task_id % 12 = 7 AND seq = 3 THEN 'forged' ELSE sha{'link:' || CAST(task_id AS STRING) || ':' || CAST(seq AS STRING)} END AS prev_hash FROM task_log) f""",
+        SELECT c.task_id, s.step AS place, lower(CASE s.step """ + " ".join(f"WHEN {k} THEN a{k} || p{k} || z{k}" for k in range(11)) + """ END) AS body,
+          c.task_id % 17 = 3 AND s.step = 2 OR c.task_id % 17 = 4 AND s.step = c.last AS flip, CASE WHEN c.task_id % 11 = 6 AND s.step = c.last THEN 40 WHEN c.task_id % 19 = 7 AND s.step = c.last THEN 2 END AS kept
+        FROM log_chain c JOIN steps s ON s.step <= c.last""",
     # canonical event nodes of agent sessions: a root case per conversation
     "nodes": """
         SELECT conv_id AS root_id, conv_id % 5 AS snapshot_id, turn AS native_offset,
@@ -165,7 +186,8 @@ RELATIONS: dict[str, str] = {
     "versions": """
         SELECT p_partkey AS version_id, p_partkey % 50 AS capability_id, CASE WHEN p_partkey >= 50 AND p_partkey % 61 <> 7 THEN p_partkey - 50 END AS parent_id, CAST(div{p_partkey, 50} % 12 AS STRING) || '.' || CAST(p_size AS STRING) || '.' || CAST(p_partkey % 10 AS STRING) AS version,
           CASE p_partkey % 7 WHEN 0 THEN 'draft' WHEN 1 THEN 'evaluated' WHEN 2 THEN 'version-approved' WHEN 3 THEN 'exported' WHEN 4 THEN 'stale' WHEN 5 THEN 'superseded' ELSE 'revoked' END AS state,
-          sha{p_name} AS digest, sha{CASE WHEN p_partkey % 13 = 4 THEN p_name || '*' ELSE p_name END} AS approved_digest FROM part""",
+          sha{p_name} AS digest, sha{CASE WHEN p_partkey % 13 = 4 THEN p_name || '*' ELSE p_name END} AS approved_digest,
+          CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN sha{p_name} ELSE sha{CASE WHEN p_partkey % 13 = 4 THEN p_name || '*' ELSE p_name END} END AS found_digest, p_partkey % 3 = 0 AS repair FROM part""",
     # one-way protocols: which records of a transaction exist
     "protocol": """
         SELECT o_orderkey AS txn, k.kind, o_orderkey * 10 + k.place AS seq, CASE WHEN o_orderkey % 9 = 4 AND k.kind = 'RECEIPT' THEN 1 ELSE 2 END AS epoch FROM orders
@@ -194,6 +216,8 @@ _NAME = re.compile(r"\b(FROM|JOIN)\s+([a-z_]+)\b")
 
 def _engine(text: str, spark: bool) -> str:
     text = re.sub(r"div\{([^{},]*),\s*([^{},]*)\}", r"CAST(floor((\1) / \2) AS BIGINT)", text)
+    while "shax{" in text:
+        text = re.sub(r"shax\{([^{}]*)\}", r"sha2(unhex(\1), 256)" if spark else r"sha256(unhex(\1))", text)
     while "sha{" in text:
         text = re.sub(r"sha\{([^{}]*)\}", r"sha2(\1, 256)" if spark else r"sha256(\1)", text)
     return text

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relations import ANYWHERE, PHASES, RESUMABLE, TERMINAL, TRANSITIONS
+from ..sources import binlog
+from .durable import cut
+from .relations import ANYWHERE, PHASES, REENTRIES, RESUMABLE, TERMINAL, TRANSITIONS
 
 #: A task's limits by what is counted.
 BUDGETS = {"redacted_bytes": 52_428_800, "events": 100_000, "questions": 12, "retries": 3, "passes": 3, "iterations": 3, "pages": 5, "candidates": 100, "active_seconds": 5400}
@@ -27,18 +31,31 @@ def transition_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "from_phase string, event string, to_phase string")
 
 
+def _prior() -> Column:
+    """The phase before the suspension that a record stands in."""
+    return F.last(F.when(~F.col("to_phase").isin(*RESUMABLE), F.col("to_phase")), ignorenulls=True).over(before())
+
+
+def _returns(prior: str) -> Column:
+    """Does a return lead where it must: to the phase that was left, or after a loss of authority to the earliest invalidated one?"""
+    to = F.when(F.col("event") == "authority_renewed", F.col("earliest_phase")).otherwise(F.col(prior))
+    return F.coalesce(F.col("to_phase") == to, F.lit(False))
+
+
 def illegal(log: DataFrame) -> DataFrame:
-    """Records whose transition the table does not have."""
+    """Records whose transition the table does not have.
+
+    What any phase admits holds for active ones only, but for a cancellation, which any phase that is not
+    terminal admits; a suspended task leads back where it was left.
+    """
     table = transition_table(log.sparkSession)
-    named = F.broadcast(table.filter("from_phase <> '*' and to_phase <> '+'").withColumn("legal", F.lit(True)))
-    free = {e: to for e, to in ANYWHERE}
-    back = [(f, e) for f, e, to in TRANSITIONS if to == "+"]
-    anywhere = ~F.col("from_phase").isin(*TERMINAL) & F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in free.items() for x in pair]), F.col("event")) == F.col("to_phase"), F.lit(False))
-    returns = F.lit(False)
-    for f, e in back:
-        returns = returns | ((F.col("from_phase") == f) & (F.col("event") == e))
-    out = log.join(named, ["from_phase", "event", "to_phase"], "left").filter(F.col("legal").isNull() & ~anywhere & ~returns)
-    return out.select("task_id", "seq", "from_phase", "event", "to_phase")
+    named = F.broadcast(table.filter("from_phase <> '*' and to_phase <> '+'").withColumn("legal", F.lit(True)))  # the table's rows
+    free = F.element_at(F.create_map(*[F.lit(x) for pair in ANYWHERE for x in pair]), F.col("event"))
+    barred = F.col("from_phase").isin(*TERMINAL) | (F.col("from_phase").isin(*RESUMABLE) & (F.col("event") != "cancel"))
+    anywhere = ~barred & F.coalesce(free == F.col("to_phase"), F.lit(False))
+    back = reduce(Column.__or__, [(F.col("from_phase") == f) & (F.col("event") == e) for f, e, to in TRANSITIONS if to == "+"])
+    rows = log.withColumn("prior", _prior()).join(named, ["from_phase", "event", "to_phase"], "left")
+    return rows.filter(F.col("legal").isNull() & ~anywhere & ~(back & _returns("prior"))).select("task_id", "seq", "from_phase", "event", "to_phase")
 
 
 def replay(log: DataFrame) -> DataFrame:
@@ -50,32 +67,36 @@ def replay(log: DataFrame) -> DataFrame:
 
 
 def breaks(log: DataFrame) -> DataFrame:
-    """Records that leave another phase than the last one entered, fall behind the fencing epoch, or step back in run epoch."""
+    """Records that leave another phase than the last one entered, fall behind the fencing epoch, step back in run epoch, or re-enter without a new one."""
     seen = log.withColumns({"entered": F.lag("to_phase").over(task()), "fence": F.max("fencing_epoch").over(before()), "epoch": F.lag("run_epoch").over(task())})
-    no = F.lit(False)
-    out = seen.select("task_id", "seq", F.coalesce(F.col("entered") != F.col("from_phase"), no).alias("jumped"), F.coalesce(F.col("fencing_epoch") < F.col("fence"), no).alias("fenced"), F.coalesce(F.col("run_epoch") < F.col("epoch"), no).alias("went_back"))
-    return out.filter("jumped or fenced or went_back")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    stale = F.col("event").isin(*REENTRIES) & (F.col("run_epoch") <= F.col("epoch"))
+    out = seen.select("task_id", "seq", no(F.col("entered") != F.col("from_phase")).alias("jumped"), no(F.col("fencing_epoch") < F.col("fence")).alias("fenced"), no(F.col("run_epoch") < F.col("epoch")).alias("went_back"), no(stale).alias("old_epoch"))
+    return out.filter("jumped or fenced or went_back or old_epoch")
 
 
 def resumed(log: DataFrame) -> DataFrame:
-    """Every resumption: the phase that was recorded before the suspension, and whether the task went back to it."""
-    prior = log.withColumn("prior", F.last(F.when(~F.col("to_phase").isin(*RESUMABLE), F.col("to_phase")), ignorenulls=True).over(before()))
-    return prior.filter(F.col("from_phase").isin(*RESUMABLE)).select("task_id", "seq", "prior", F.coalesce(F.col("prior") == F.col("to_phase"), F.lit(False)).alias("restored"))
+    """Every return from a suspension: the phase that was recorded before it, and whether the task went where it must."""
+    events = [e for _, e, to in TRANSITIONS if to == "+"]
+    rows = log.withColumn("prior", _prior()).filter(F.col("from_phase").isin(*RESUMABLE) & F.col("event").isin(*events))
+    return rows.select("task_id", "seq", "prior", _returns("prior").alias("restored"))
 
 
-def verified(frames: DataFrame) -> DataFrame:
-    """Every log: how many records verify from the start, and the verdict.
+def logs(records: DataFrame) -> DataFrame:
+    """The bytes of every task's log, written to the shared folder, as (log, content)."""
+    return cut(binlog.packed(records.withColumnRenamed("task_id", "log")))
+
+
+def verified(records: DataFrame) -> DataFrame:
+    """Every log, read back from its bytes: frames, how many verify from the start and up to which byte, and the verdict."""
+    return binlog.verified(binlog.frames(logs(records), "log")).withColumnRenamed("log", "task_id")
 
-    A record is sound if its sequence number follows, it holds the previous record's hash and its
-    payload's digest is right. Only a torn last frame is cut off; anything bad before it is permanent.
-    """
-    frames = frames.withColumn("prev_hash", F.when(F.col("prev_hash") == F.sha2(F.concat(F.lit("link:"), F.col("task_id").cast("string"), F.lit(":"), F.col("seq").cast("string")), 256), "").otherwise(F.col("prev_hash")))
-    w = Window.partitionBy("task_id").orderBy("seq")
-    sound = (F.col("seq") == F.row_number().over(w) - 1) & (F.col("stored_digest") == F.col("payload_digest")) & (F.col("prev_hash") == "")
-    marked = frames.withColumns({"sound": sound, "nth": F.row_number().over(w)})
-    g = marked.groupBy("task_id").agg(F.count("*").alias("n_records"), F.min(F.when(~F.col("sound"), F.col("nth"))).alias("first_bad"), F.max(F.when(~F.col("sound") & (F.col("stored_digest") == "torn"), F.col("nth"))).alias("torn"))
-    status = F.when(F.col("first_bad").isNull(), "sound").when((F.col("first_bad") == F.col("n_records")) & (F.col("torn") == F.col("first_bad")), "truncated").otherwise("FAILED_PERMANENT")
-    return g.select("task_id", "n_records", F.coalesce(F.col("first_bad") - 1, F.col("n_records")).cast("long").alias("n_verified"), status.alias("status"))
+
+def frames(records: DataFrame) -> DataFrame:
+    """Every frame of every log as it is read back: its place in the bytes, what it says, and whether it is whole and its checksum right."""
+    found = binlog.frames(logs(records), "log")
+    sound = F.col("whole") & F.coalesce("checksum_ok", F.lit(False))
+    return found.select(F.col("log").alias("task_id"), "byte_offset", "n_bytes", "seq", "fencing_epoch", "record_hash", sound.alias("sound"))
 
 
 def commits(records: DataFrame, epoch: int = 2) -> DataFrame:
@@ -98,17 +119,23 @@ def claims(attempts: DataFrame) -> DataFrame:
 
 
 def overlaps(leases: DataFrame) -> DataFrame:
-    """Leases that another writer took while one of the same task was valid."""
-    w = Window.partitionBy("task_id").orderBy("starts", "lease_id").rowsBetween(Window.unboundedPreceding, -1)
-    return leases.withColumn("until", F.max("ends").over(w)).filter("starts < until").select("task_id", "lease_id", "writer")
+    """Leases that a writer took while another writer's of the same task was valid; its own it may renew.
+
+    A sweep over starts and ends counts the leases that are open at each start, of the task and of the
+    writer: if the task has more, another writer holds one. An end comes before a start of the same time.
+    """
+    start = leases.select("task_id", "writer", "lease_id", F.col("starts").alias("at"), F.lit(1).alias("step"))
+    end = leases.filter("ends > starts").select("task_id", "writer", "lease_id", F.col("ends").alias("at"), F.lit(-1).alias("step"))
+    steps = start.join(leases.filter("ends <= starts").select("lease_id"), "lease_id", "left_anti").unionByName(end).unionByName(leases.filter("ends <= starts").select("task_id", "writer", "lease_id", F.col("starts").alias("at"), F.lit(0).alias("step")))
+    open_ = lambda *by: F.sum("step").over(Window.partitionBy(*by).orderBy("at", F.when(F.col("step") < 0, 0).otherwise(1), "lease_id").rowsBetween(Window.unboundedPreceding, -1))
+    counted = steps.withColumns({"others": F.coalesce(open_("task_id"), F.lit(0)) - F.coalesce(open_("task_id", "writer"), F.lit(0))})
+    return counted.filter("step >= 0 and others > 0").select("task_id", "lease_id", "writer")
 
 
 def exports(versions: DataFrame) -> DataFrame:
     """What recovery does with an export, by what stands at the destination; and whether the approval still binds its subject."""
-    there = F.when(F.col("version_id") % 4 == 0, None).when(F.col("version_id") % 4 == 1, F.col("digest")).otherwise(F.col("approved_digest"))
-    v = versions.withColumn("found", there)
-    action = F.when(F.col("found").isNull(), "retry").when(F.col("found") == F.col("digest"), "complete").otherwise("new consent")
-    return v.select("version_id", action.alias("action"), (F.col("digest") != F.col("approved_digest")).alias("approval_stale"))
+    action = F.when(F.col("found_digest").isNull(), "retry").when(F.col("found_digest") == F.col("digest"), "complete").otherwise("new consent")
+    return versions.select("version_id", action.alias("action"), (F.col("digest") != F.col("approved_digest")).alias("approval_stale"))
 
 
 def routed(invalid: DataFrame) -> DataFrame:
@@ -118,9 +145,17 @@ def routed(invalid: DataFrame) -> DataFrame:
 
 
 def spent(log: DataFrame) -> DataFrame:
-    """Per task and run epoch: seconds between records, revisions and resumptions."""
-    step = F.coalesce(F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(task()).cast("timestamp")), F.lit(0))
-    return log.withColumn("step", step).groupBy("task_id", "run_epoch").agg(F.sum("step").cast("long").alias("active_seconds"), F.count(F.when(F.col("event") == "resume", 1)).alias("n_resumed"), F.count("*").alias("n_records"))
+    """Per task and run epoch: active seconds, returns, revisions and failed attempts.
+
+    The time up to a record counts only if the record before it left the task active; a suspension costs
+    nothing, however long.
+    """
+    idle = F.lag("to_phase").over(task()).isin(*RESUMABLE, *TERMINAL)
+    passed = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(task()).cast("timestamp"))
+    rows = log.withColumn("step", F.when(idle, 0).otherwise(F.coalesce(passed, F.lit(0))))
+    n = lambda c: F.count(F.when(c, 1))
+    back = [e for _, e, to in TRANSITIONS if to == "+"]
+    return rows.groupBy("task_id", "run_epoch").agg(F.sum("step").cast("long").alias("active_seconds"), n(F.col("event").isin(*back)).alias("n_resumed"), n(F.col("event") == "evidence_ok").alias("n_passes"), n(F.col("event").startswith("revise_")).alias("n_iterations"), F.count("*").alias("n_records"))
 
 
 def exhausted(turns: DataFrame, limit: int = 4096) -> DataFrame:
@@ -131,15 +166,26 @@ def exhausted(turns: DataFrame, limit: int = 4096) -> DataFrame:
     return g.withColumn("state", F.when(F.col("exceeded_at").isNull(), "within").otherwise("SUSPENDED_EXHAUSTED"))
 
 
+#: Days that evidence is kept by default and at most; records that are neither a user's command nor a transition that was committed for one.
+KEPT_DAYS, MOST_DAYS = 30, 90
+SYSTEM = ("exhaust", "authority_lost")
+
+
 def activity(log: DataFrame) -> DataFrame:
-    """Last time that counts as activity: a committed transition, not a pause or a check; and the end of default retention."""
-    g = log.filter("event <> 'pause' and event <> 'resume'").groupBy("task_id").agg(F.max("ts").alias("last_active"))
-    return g.withColumn("retained_until", F.expr("last_active + INTERVAL 30 DAY"))
+    """Last time that counts as activity, a user's command or a committed transition but not a check, and the end of default retention."""
+    g = log.filter(~F.col("event").isin(*SYSTEM)).groupBy("task_id").agg(F.max("ts").alias("last_active"))
+    return g.withColumn("retained_until", F.expr(f"last_active + INTERVAL {KEPT_DAYS} DAY"))
+
 
+def sweep(log: DataFrame, retention: DataFrame, now: DataFrame) -> DataFrame:
+    """Deletion report: tasks whose evidence is past its retention, by day of last activity.
 
-def sweep(log: DataFrame, now) -> DataFrame:
-    """Deletion report: tasks whose evidence is past retention of ten days, by day of last activity."""
-    g = activity(log).filter(F.col("last_active") + F.expr("INTERVAL 10 DAY") <= now)
+    retention (task_id, retention_days) is the user's choice; without one the default holds, and none
+    goes beyond the maximum. now is a table of one row.
+    """
+    days = F.least(F.coalesce("retention_days", F.lit(KEPT_DAYS)), F.lit(MOST_DAYS)).cast("int")
+    g = activity(log).join(retention, "task_id", "left").crossJoin(F.broadcast(now))  # now: one row
+    g = g.filter(F.col("last_active") + F.make_dt_interval(days=days) <= F.col("now"))
     return g.select(F.to_date("last_active").alias("day")).groupBy("day").agg(F.count("*").alias("n_deleted"))
 
 
@@ -158,21 +204,21 @@ def staged(documents: DataFrame, usage: DataFrame, limits: DataFrame) -> DataFra
 
 def budget_decisions(log: DataFrame) -> DataFrame:
     """Decisions on suspended epochs: only named limits may change, never thresholds or the scope of sources."""
-    fields = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("questions"))).when(F.col("event_id") % 3 == 1, F.array(F.lit("pages"), F.lit("threshold"))).otherwise(F.array(F.lit("scope"), F.lit("retries")))
-    beyond = F.array_except(fields, F.array(*map(F.lit, BUDGETS)))
-    return log.filter("event = 'pause'").select("task_id", F.array_join(F.array_sort(beyond), ",").alias("beyond"), (F.size(beyond) == 0).alias("allowed"))
+    beyond = F.array_except(F.split("extends", ","), F.array(*map(F.lit, BUDGETS)))
+    return log.filter("event = 'pause'").select("task_id", "seq", F.array_join(F.array_sort(beyond), ",").alias("beyond"), (F.size(beyond) == 0).alias("allowed"))
 
 
 _NOW = "(SELECT max(ts) FROM events)"
-_ANY = " OR ".join(f"(event = '{e}' AND to_phase = '{to}')" for e, to in ANYWHERE)
+_ANY = " OR ".join(f"(event = '{e}' AND to_phase = '{to}'" + (")" if e == "cancel" else " AND from_phase NOT IN ('" + "', '".join(RESUMABLE) + "'))") for e, to in ANYWHERE)
 _OVER = "', '".join(TERMINAL)
 _REST = "', '".join(RESUMABLE)
-_FREE = ", ".join(f"'{b}'" for b in BUDGETS)
+_FRAMES = """f AS MATERIALIZED (SELECT *, coalesce(lag(record) OVER w, repeat('0', 64)) AS before, max(epoch) OVER (w ROWS UNBOUNDED PRECEDING) AS fence FROM (SELECT task_id, place, body, flip, kept, coalesce(kept, CAST(length(body) / 2 AS BIGINT) + 8) AS n_bytes,
+  CAST('0x' || substr(body, 3, 16) AS BIGINT) AS seq, CAST('0x' || substr(body, 19, 16) AS BIGINT) AS epoch, substr(body, 35, 64) AS prev, substr(body, 99, 64) AS digest, sha256(unhex(substr(body, 163))) AS of_payload, sha256(unhex(body)) AS record FROM log_frames) r WINDOW w AS (PARTITION BY task_id ORDER BY place))"""
 QUERIES = {
     "transition_table": (lambda t: transition_table(t.spark), "SELECT * FROM (VALUES " + ", ".join(str(x) for x in [*TRANSITIONS, *(("*", e, to) for e, to in ANYWHERE)]) + ") v(from_phase, event, to_phase)"),
     "illegal_transitions": (
         lambda t: illegal(t("task_log")),
-        f"SELECT task_id, seq, from_phase, event, to_phase FROM task_log l WHERE (from_phase, event, to_phase) NOT IN (SELECT (from_phase, event, to_phase) FROM transitions) AND NOT (from_phase NOT IN ('{_OVER}') AND ({_ANY})) AND NOT (from_phase || event IN ('SUSPENDEDresume', 'SUSPENDED_EXHAUSTEDbudget_extended', 'AUTH_STALEauthority_renewed'))",
+        f"SELECT task_id, seq, from_phase, event, to_phase FROM task_log l WHERE (from_phase, event, to_phase) NOT IN (SELECT (from_phase, event, to_phase) FROM transitions) AND NOT (from_phase NOT IN ('{_OVER}') AND ({_ANY})) AND NOT (from_phase || event IN ('SUSPENDEDresume', 'SUSPENDED_EXHAUSTEDbudget_extended') AND to_phase = (SELECT arg_max(b.to_phase, b.seq) FROM task_log b WHERE b.task_id = l.task_id AND b.seq < l.seq AND b.to_phase NOT IN ('{_REST}'))) AND NOT (from_phase || event = 'AUTH_STALEauthority_renewed' AND to_phase = earliest_phase)",
     ),
     "task_states": (
         lambda t: replay(t("task_log")),
@@ -181,19 +227,24 @@ QUERIES = {
     ),
     "log_breaks": (
         lambda t: breaks(t("task_log")),
-        """WITH j AS (SELECT a.task_id, a.seq, coalesce(p.to_phase <> a.from_phase, false) AS jumped, EXISTS (SELECT 1 FROM task_log b WHERE b.task_id = a.task_id AND b.seq < a.seq AND b.fencing_epoch > a.fencing_epoch) AS fenced, coalesce(p.run_epoch > a.run_epoch, false) AS went_back
-          FROM task_log a LEFT JOIN task_log p ON p.task_id = a.task_id AND p.seq = a.seq - 1) SELECT * FROM j WHERE jumped OR fenced OR went_back""",
+        """WITH j AS (SELECT a.task_id, a.seq, coalesce(p.to_phase <> a.from_phase, false) AS jumped, EXISTS (SELECT 1 FROM task_log b WHERE b.task_id = a.task_id AND b.seq < a.seq AND b.fencing_epoch > a.fencing_epoch) AS fenced, coalesce(p.run_epoch > a.run_epoch, false) AS went_back, coalesce(a.event IN ('authority_renewed') AND a.run_epoch <= p.run_epoch, false) AS old_epoch
+          FROM task_log a LEFT JOIN task_log p ON p.task_id = a.task_id AND p.seq = a.seq - 1) SELECT * FROM j WHERE jumped OR fenced OR went_back OR old_epoch""",
     ),
     "resumed_phases": (
         lambda t: resumed(t("task_log")),
         f"""SELECT a.task_id, a.seq, (SELECT arg_max(b.to_phase, b.seq) FROM task_log b WHERE b.task_id = a.task_id AND b.seq < a.seq AND b.to_phase NOT IN ('{_REST}')) AS prior,
-          coalesce((SELECT arg_max(b.to_phase, b.seq) FROM task_log b WHERE b.task_id = a.task_id AND b.seq < a.seq AND b.to_phase NOT IN ('{_REST}')) = a.to_phase, false) AS restored FROM task_log a WHERE a.from_phase IN ('{_REST}')""",
+          coalesce(CASE a.event WHEN 'authority_renewed' THEN a.earliest_phase ELSE (SELECT arg_max(b.to_phase, b.seq) FROM task_log b WHERE b.task_id = a.task_id AND b.seq < a.seq AND b.to_phase NOT IN ('{_REST}')) END = a.to_phase, false) AS restored FROM task_log a WHERE a.from_phase IN ('{_REST}') AND a.event IN ('resume', 'budget_extended', 'authority_renewed')""",
     ),
     "log_verification": (
         lambda t: verified(t("log_frames")),
-        """WITH r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS nth FROM log_frames), b AS (SELECT task_id, nth, stored_digest FROM r WHERE seq <> nth - 1 OR stored_digest <> payload_digest OR prev_hash = 'forged' OR (prev_hash <> '' AND prev_hash <> sha{'link:' || CAST(task_id AS STRING) || ':' || CAST(seq AS STRING)})),
-        g AS (SELECT r.task_id, count(*) AS n_records, (SELECT min(nth) FROM b WHERE b.task_id = r.task_id) AS bad, (SELECT arg_min(stored_digest, nth) FROM b WHERE b.task_id = r.task_id) AS what FROM r GROUP BY r.task_id)
-        SELECT task_id, n_records, coalesce(bad - 1, n_records) AS n_verified, CASE WHEN bad IS NULL THEN 'sound' WHEN bad = n_records AND what = 'torn' THEN 'truncated' ELSE 'FAILED_PERMANENT' END AS status FROM g""",
+        f"""WITH {_FRAMES}, b AS (SELECT task_id, min(place) AS bad, arg_min(flip OR kept IS NOT NULL, place) AS torn FROM f WHERE flip OR kept IS NOT NULL OR seq <> place OR fence > epoch OR prev <> before OR digest <> of_payload GROUP BY task_id)
+        SELECT f.task_id, count(*) AS n_records, coalesce(any_value(b.bad), count(*)) AS n_verified, CAST(coalesce(sum(f.n_bytes) FILTER (WHERE b.bad IS NULL OR f.place < b.bad), 0) AS BIGINT) AS verified_bytes,
+          CASE WHEN any_value(b.bad) IS NULL THEN 'sound' WHEN any_value(b.bad) = count(*) - 1 AND any_value(b.torn) THEN 'truncated' ELSE 'FAILED_PERMANENT' END AS status FROM f LEFT JOIN b ON f.task_id = b.task_id GROUP BY f.task_id""",
+    ),
+    "log_frames_read": (
+        lambda t: frames(t("log_frames")),
+        f"""WITH {_FRAMES} SELECT task_id, CAST(coalesce(sum(n_bytes) OVER (PARTITION BY task_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset, n_bytes,
+          CASE WHEN kept IS NULL THEN seq END AS seq, CASE WHEN kept IS NULL THEN epoch END AS fencing_epoch, CASE WHEN kept IS NULL THEN CASE WHEN flip THEN sha256(unhex(left(body, length(body) - 2) || lpad(hex(xor(CAST('0x' || right(body, 2) AS INT), 1)), 2, '0'))) ELSE record END END AS record_hash, NOT flip AND kept IS NULL AS sound FROM f""",
     ),
     "commit_verdicts": (
         lambda t: commits(t("protocol")),
@@ -208,11 +259,11 @@ QUERIES = {
     ),
     "lease_overlaps": (
         lambda t: overlaps(t("leases")),
-        "SELECT a.task_id, a.lease_id, a.writer FROM leases a WHERE EXISTS (SELECT 1 FROM leases b WHERE b.task_id = a.task_id AND (b.starts < a.starts OR b.starts = a.starts AND b.lease_id < a.lease_id) AND b.ends > a.starts)",
+        "SELECT a.task_id, a.lease_id, a.writer FROM leases a WHERE EXISTS (SELECT 1 FROM leases b WHERE b.task_id = a.task_id AND (b.starts < a.starts OR b.starts = a.starts AND b.lease_id < a.lease_id) AND b.ends > a.starts AND b.writer <> a.writer)",
     ),
     "export_recovery": (
         lambda t: exports(t("versions")),
-        "SELECT version_id, CASE WHEN version_id % 4 = 0 THEN 'retry' WHEN version_id % 4 = 1 OR digest = approved_digest THEN 'complete' ELSE 'new consent' END AS action, digest <> approved_digest AS approval_stale FROM versions",
+        "SELECT version_id, CASE coalesce(found_digest, '') WHEN '' THEN 'retry' WHEN digest THEN 'complete' ELSE 'new consent' END AS action, digest <> approved_digest AS approval_stale FROM versions",
     ),
     "revision_routing": (
         lambda t: routed(t("task_log").filter("event_id % 7 = 3")),
@@ -220,7 +271,8 @@ QUERIES = {
     ),
     "time_spent": (
         lambda t: spent(t("task_log")),
-        "SELECT a.task_id, a.run_epoch, CAST(sum(coalesce(date_diff('second', b.ts, a.ts), 0)) AS BIGINT) AS active_seconds, count(*) FILTER (WHERE a.event = 'resume') AS n_resumed, count(*) AS n_records FROM task_log a LEFT JOIN task_log b ON a.task_id = b.task_id AND b.seq = a.seq - 1 GROUP BY a.task_id, a.run_epoch",
+        f"""SELECT a.task_id, a.run_epoch, CAST(sum(CASE WHEN b.to_phase IN ('{_OVER}', '{_REST}') THEN 0 ELSE coalesce(date_diff('second', b.ts, a.ts), 0) END) AS BIGINT) AS active_seconds, count(*) FILTER (WHERE a.event IN ('resume', 'budget_extended', 'authority_renewed')) AS n_resumed,
+          count(*) FILTER (WHERE a.event = 'evidence_ok') AS n_passes, count(*) FILTER (WHERE a.event LIKE 'revise%') AS n_iterations, count(*) AS n_records FROM task_log a LEFT JOIN task_log b ON a.task_id = b.task_id AND b.seq = a.seq - 1 GROUP BY a.task_id, a.run_epoch""",
     ),
     "budget_exhaustion": (
         lambda t: exhausted(t("conversations"), 500),
@@ -229,11 +281,12 @@ QUERIES = {
     ),
     "last_activity": (
         lambda t: activity(t("task_log")),
-        "SELECT task_id, max(ts) AS last_active, max(ts) + INTERVAL 30 DAY AS retained_until FROM task_log WHERE event NOT IN ('pause', 'resume') GROUP BY task_id",
+        "SELECT task_id, max(ts) AS last_active, max(ts) + INTERVAL 30 DAY AS retained_until FROM task_log WHERE event NOT IN ('exhaust', 'authority_lost') GROUP BY task_id",
     ),
     "retention_deletions": (
-        lambda t: sweep(t("task_log"), F.lit(t("events").agg(F.max("ts")).first()[0]).cast("timestamp_ntz")),
-        f"SELECT CAST(last AS DATE) AS day, count(*) AS n_deleted FROM (SELECT max(ts) AS last FROM task_log WHERE event NOT IN ('pause', 'resume') GROUP BY task_id) a WHERE last <= {_NOW} - INTERVAL 10 DAY GROUP BY 1",
+        lambda t: sweep(t("task_log"), t("task_retention"), t("events").agg(F.max("ts").alias("now"))),
+        f"""SELECT CAST(last AS DATE) AS day, count(*) AS n_deleted FROM (SELECT task_id, max(ts) AS last FROM task_log WHERE event NOT IN ('exhaust', 'authority_lost') GROUP BY task_id) a JOIN task_retention r ON a.task_id = r.task_id
+        WHERE date_diff('microsecond', last, {_NOW}) >= 86400000000 * CASE WHEN retention_days IS NULL THEN 30 WHEN retention_days > 90 THEN 90 ELSE retention_days END GROUP BY 1""",
     ),
     "ceiling_violations": (
         lambda t: ceilings(t("usage"), t("limits")),
@@ -245,6 +298,6 @@ QUERIES = {
     ),
     "budget_decisions": (
         lambda t: budget_decisions(t("task_log")),
-        "SELECT task_id, CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'threshold' ELSE 'scope' END AS beyond, event_id % 3 = 0 AS allowed FROM task_log WHERE event = 'pause'",
+        "SELECT task_id, seq, CASE WHEN extends LIKE '%threshold%' THEN 'threshold' WHEN extends LIKE '%scope%' THEN 'scope' ELSE '' END AS beyond, extends NOT LIKE '%threshold%' AND extends NOT LIKE '%scope%' AS allowed FROM task_log WHERE event = 'pause'",
     ),
 }
