@@ -44,8 +44,14 @@ def crc32c_array(column: pa.Array) -> pa.Array:
     return pa.array(crc32c_spans(bytes_, ends[:-1], ends[1:]).astype(np.int64), mask=np.asarray(column.is_null()))
 
 
+_WORDS = _TABLE.tolist()
+
+
 def crc32c(data: bytes | None) -> int | None:
-    """The checksum of one byte string."""
+    """The checksum of one byte string; for many of them the functions above."""
     if data is None:
         return None
-    return int(crc32c_spans(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))[0])
+    c = 0xFFFFFFFF
+    for b in data:
+        c = _WORDS[(c ^ b) & 0xFF] ^ (c >> 8)
+    return c ^ 0xFFFFFFFF

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import cut, reach
+from ..plans.durable import cut
+from ..plans.reachability import earlier, labels
 from ..plans.relations import Reader
 
 #: Losses that leave the meaning whole; every other one quarantines the root case.
@@ -26,17 +27,34 @@ def gaps(nodes: DataFrame) -> DataFrame:
     return nodes.select("root_id", "native_offset", "stream_seq", F.lag("stream_seq").over(w).alias("previous")).filter(F.col("stream_seq") != F.coalesce("previous", F.lit(-1)) + 1)
 
 
-def calls(nodes: DataFrame) -> DataFrame:
-    """Per call: how often it was made and ended, and whether its chunks are 0, 1, ... and its result follows it."""
+def places(nodes: DataFrame) -> DataFrame:
+    """(event_id, chain, place) of every event: its root's stream and its offset there; the first of several with one id."""
+    first = nodes.groupBy("event_id").agg(F.min(F.struct("root_id", "native_offset")).alias("p"))
+    return first.select("event_id", F.col("p.root_id").alias("chain"), F.col("p.native_offset").alias("place"))
+
+
+def order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels of what is earlier, from the streams' own order and all edges between events."""
+    return labels(places(nodes), edges)
+
+
+def calls(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """Per call: how often it was made and ended, whether its chunks are 0, 1, ..., and whether call and result match.
+
+    They match if there is one of each and every chunk and the result can be reached from the call.
+    """
     of = lambda kind, value: F.when(F.col("event_type") == kind, value)
-    found = nodes.filter("call_id is not null").groupBy("root_id", "call_id").agg(
+    mine = nodes.filter("call_id is not null")
+    found = mine.groupBy("root_id", "call_id").agg(
         F.count(of("call", 1)).alias("n_calls"), F.count(of("result", 1)).alias("n_results"), F.count(of("chunk", 1)).alias("n_chunks"),
-        F.count_distinct(of("chunk", F.col("chunk_no"))).alias("kinds"), F.max(of("chunk", F.col("chunk_no"))).alias("top"),
-        F.min(of("call", F.col("native_offset"))).alias("made"), F.min(of("result", F.col("native_offset"))).alias("ended"),
+        F.count_distinct(of("chunk", F.col("chunk_no"))).alias("kinds"), F.max(of("chunk", F.col("chunk_no"))).alias("top"), F.min(of("call", F.col("native_offset"))).alias("a_place"),
     )
+    ends = mine.filter("event_type in ('chunk', 'result')").select("root_id", "call_id", F.col("native_offset").alias("b_place"))
+    pairs = ends.join(found.select("root_id", "call_id", "a_place"), ["root_id", "call_id"]).withColumns({"a_chain": F.col("root_id"), "b_chain": F.col("root_id")})
+    after = earlier(pairs, known, "a", "b").groupBy("root_id", "call_id").agg(F.min("earlier").alias("after"))
     contiguous = (F.col("n_chunks") == 0) | ((F.col("kinds") == F.col("n_chunks")) & (F.col("top") == F.col("n_chunks") - 1))
-    single = (F.col("n_calls") == 1) & (F.col("n_results") == 1) & F.coalesce(F.col("made") < F.col("ended"), F.lit(False))
-    return found.select("root_id", "call_id", "n_calls", "n_results", contiguous.alias("contiguous"), single.alias("matched"))
+    matched = (F.col("n_calls") == 1) & (F.col("n_results") == 1) & F.coalesce("after", F.lit(False))
+    return found.join(after, ["root_id", "call_id"], "left").select("root_id", "call_id", "n_calls", "n_results", contiguous.alias("contiguous"), matched.alias("matched"))
 
 
 def references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -46,20 +64,34 @@ def references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(known, "dst", "left").select("root_id", "src", "dst", "edge_type", status.alias("status"))
 
 
-def spawns(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Child roots (odd ones) without exactly one spawn edge from an event of another root that exists."""
-    known = nodes.select(F.col("event_id").alias("src"), F.col("root_id").alias("parent")).distinct()
-    good = edges.filter("edge_type = 'spawned-by'").join(known, "src").filter("parent <> root_id").groupBy("root_id").agg(F.count("*").alias("n_spawns"))
-    children = nodes.filter("root_id % 2 = 1").select("root_id").distinct()
+def spawns(nodes: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Child roots without exactly one spawn edge from an event of another root that precedes them.
+
+    An event that the child's first event leads to does not precede it.
+    """
+    at = places(nodes)
+    src = at.select(F.col("event_id").alias("src"), F.col("chain").alias("b_chain"), F.col("place").alias("b_place"))
+    dst = at.select(F.col("event_id").alias("dst"), F.col("chain").alias("a_chain"), F.col("place").alias("a_place"))
+    pairs = edges.filter("edge_type = 'spawned-by'").join(src, "src").filter("b_chain <> root_id").join(dst, "dst")
+    good = earlier(pairs, known, "a", "b").filter("not earlier").groupBy("root_id").agg(F.count("*").alias("n_spawns"))
+    children = nodes.filter("is_child").select("root_id").distinct()
     return children.join(good, "root_id", "left").select("root_id", F.coalesce("n_spawns", F.lit(0)).cast("long").alias("n_spawns")).filter("n_spawns <> 1")
 
 
-def joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every child's join: is the parent's event missing (an orphan), or before the event that spawned the child?"""
-    known = nodes.select(F.col("event_id").alias("dst"), F.lit(True).alias("there")).distinct()
-    made = edges.filter("edge_type = 'spawned-by'").groupBy("root_id").agg(F.min("src").alias("spawned"))
-    joined = edges.filter("edge_type = 'joined'").join(known, "dst", "left").join(made, "root_id", "left")
-    return joined.select("root_id", F.col("there").isNull().alias("orphan"), F.coalesce(F.col("dst") <= F.col("spawned"), F.lit(True)).alias("early"))
+def joins(nodes: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Every child's join: is the parent's event missing (an orphan), or not after the event that spawned the child?
+
+    The join edge itself leads there from the child's last event, so an early one closes a cycle: its event
+    is then before the spawning one.
+    """
+    at = places(nodes)
+    spot = lambda key, p: at.select(F.col("event_id").alias(key), F.col("chain").alias(f"{p}_chain"), F.col("place").alias(f"{p}_place"))
+    made = edges.filter("edge_type = 'spawned-by'").select("root_id", "src").join(spot("src", "b"), "src").drop("src")
+    joined = edges.filter("edge_type = 'joined'").select("root_id", "dst").join(spot("dst", "a"), "dst", "left").join(made, "root_id", "left")
+    before = earlier(joined, known, "a", "b")
+    same = (F.col("a_chain") == F.col("b_chain")) & (F.col("a_place") == F.col("b_place"))
+    early = F.col("b_place").isNull() | F.col("earlier") | F.coalesce(same, F.lit(False))
+    return before.groupBy("root_id", "dst").agg(F.max(F.col("a_place").isNull()).alias("orphan"), F.max(early).alias("early")).select("root_id", "orphan", "early")
 
 
 def messages(records: DataFrame) -> DataFrame:
@@ -78,13 +110,17 @@ def owned(nodes: DataFrame) -> DataFrame:
 
 def quarantine(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Every root case with the number of kinds of prohibited loss in it; one quarantines all its events."""
-    event_roots = nodes.select("event_id", "root_id").distinct()
+    event_roots, known = nodes.select("event_id", "root_id").distinct(), order(nodes, edges)
+    own = earlier(nodes.select(F.col("root_id").alias("a_chain"), F.col("native_offset").alias("a_place"), F.col("root_id").alias("b_chain"), F.col("native_offset").alias("b_place")), known, "a", "b")
     bad = [
         collisions(nodes).join(event_roots, "event_id").select("root_id", F.lit("collision").alias("reason")),
         gaps(nodes).select("root_id", F.lit("gap").alias("reason")),
-        calls(nodes).filter("not contiguous or not matched").select("root_id", F.lit("call").alias("reason")),
+        calls(nodes, known).filter("not contiguous or not matched").select("root_id", F.lit("call").alias("reason")),
         references(edges, nodes).filter("status = 'unresolved'").select("root_id", F.lit("reference").alias("reason")),
-        spawns(nodes, edges).select("root_id", F.lit("spawn").alias("reason")),
+        spawns(nodes, edges, known).select("root_id", F.lit("spawn").alias("reason")),
+        joins(nodes, edges, known).filter("orphan or early").select("root_id", F.lit("join").alias("reason")),
+        own.filter("earlier").select(F.col("a_chain").alias("root_id"), F.lit("cycle").alias("reason")).distinct(),
+        nodes.filter("actor_id is null and claim_bearing").select("root_id", F.lit("owner").alias("reason")),
         nodes.filter(~F.col("loss").isin(*HARMLESS)).select("root_id", F.lit("loss").alias("reason")),
     ]
     reasons = bad[0]
@@ -115,11 +151,19 @@ def levels(edges: DataFrame) -> DataFrame:
     return out
 
 
-def earlier(edges: DataFrame) -> DataFrame:
-    """All pairs (root_id, src, dst) of a root's events where src is earlier than dst."""
-    edges = cut(edges.select("root_id", "src", "dst"))
-    step = lambda front: front.withColumnRenamed("dst", "middle").join(edges.select("root_id", F.col("src").alias("middle"), "dst"), ["root_id", "middle"])
-    return reach(edges, step, ["root_id", "src", "dst"])
+def reached(spots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per root the number of pairs of its events of which one is earlier, and whether there is a cycle.
+
+    Pairs are counted, not listed: an event is before all that follow it in its stream, and before all from
+    the earliest place to which its labels lead back.
+    """
+    known = labels(spots, edges).filter("chain = to_chain").select("chain", "place", "earliest")
+    later = Window.partitionBy("chain").orderBy(F.desc("place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = spots.select("chain", "place").withColumn("earliest", F.lit(None).cast("long")).unionByName(known.select("chain", "place", F.col("earliest").cast("long").alias("earliest")))
+    back = rows.withColumns({"back": F.min("earliest").over(later), "is_event": F.col("earliest").isNull()}).filter("is_event")
+    last = spots.groupBy("chain").agg(F.max("place").alias("last"))
+    n = F.col("last") + 1 - F.least(F.col("place") + 1, F.coalesce("back", F.col("place") + 1))
+    return back.join(last, "chain").groupBy(F.col("chain").alias("root_id")).agg(F.sum(n).cast("long").alias("n_pairs"), F.max(F.coalesce(F.col("back") <= F.col("place"), F.lit(False))).alias("cyclic")).filter("n_pairs > 0")
 
 
 def current(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -141,27 +185,34 @@ def markers(nodes: DataFrame) -> DataFrame:
 
 
 ORDER = "edge_type = 'order'"
-_CALLS = """SELECT c.root_id, c.call_id, (SELECT count(*) FROM nodes n WHERE n.root_id = c.root_id AND n.call_id = c.call_id AND n.event_type = 'call') AS n_calls,
+#: Events by place: the first of several with one id, every edge between them, and what can be reached; a stream's own order is an edge to the next place.
+_REACH = """spot AS MATERIALIZED (SELECT event_id, min((root_id, native_offset)) AS p FROM nodes GROUP BY event_id),
+  jump AS MATERIALIZED (SELECT DISTINCT a.p AS a, b.p AS b FROM edges e JOIN spot a ON a.event_id = e.src JOIN spot b ON b.event_id = e.dst WHERE a.p[1] <> b.p[1] OR b.p[2] <= a.p[2]),
+  hop AS (SELECT a, b FROM jump UNION SELECT h.a, j.b FROM hop h JOIN jump j ON j.a[1] = h.b[1] AND j.a[2] >= h.b[2])"""
+_BEFORE = "({a}[1] = {b}[1] AND {a}[2] < {b}[2] OR EXISTS (SELECT 1 FROM hop h WHERE h.a[1] = {a}[1] AND h.a[2] >= {a}[2] AND h.b[1] = {b}[1] AND h.b[2] <= {b}[2]))"
+_CALLS = f"""SELECT c.root_id, c.call_id, (SELECT count(*) FROM nodes n WHERE n.root_id = c.root_id AND n.call_id = c.call_id AND n.event_type = 'call') AS n_calls,
   (SELECT count(*) FROM nodes n WHERE n.root_id = c.root_id AND n.call_id = c.call_id AND n.event_type = 'result') AS n_results,
   (SELECT coalesce(list(n.chunk_no ORDER BY n.chunk_no) = range(count(*)), true) FROM nodes n WHERE n.root_id = c.root_id AND n.call_id = c.call_id AND n.event_type = 'chunk') AS contiguous,
-  coalesce((SELECT min(n.native_offset) FROM nodes n WHERE n.root_id = c.root_id AND n.call_id = c.call_id AND n.event_type = 'result') > (SELECT min(n.native_offset) FROM nodes n WHERE n.root_id = c.root_id AND n.call_id = c.call_id AND n.event_type = 'call'), false) AS after
+  coalesce((SELECT bool_and({_BEFORE.format(a='m.p', b='e.p')}) FROM (SELECT (n.root_id, min(n.native_offset)) AS p FROM nodes n WHERE n.root_id = c.root_id AND n.call_id = c.call_id AND n.event_type = 'call' GROUP BY n.root_id) m, (SELECT (n.root_id, n.native_offset) AS p FROM nodes n WHERE n.root_id = c.root_id AND n.call_id = c.call_id AND n.event_type IN ('chunk', 'result')) e), false) AS after
   FROM (SELECT DISTINCT root_id, call_id FROM nodes WHERE call_id IS NOT NULL) c"""
-_SPAWNS = "SELECT c.root_id, (SELECT count(*) FROM edges e WHERE e.edge_type = 'spawned-by' AND e.root_id = c.root_id AND EXISTS (SELECT 1 FROM nodes n WHERE n.event_id = e.src AND n.root_id <> e.root_id)) AS n_spawns FROM (SELECT DISTINCT root_id FROM nodes WHERE root_id % 2 = 1) c"
+_SPAWNS = f"SELECT c.root_id, (SELECT count(*) FROM edges e JOIN spot s ON s.event_id = e.src AND s.p[1] <> e.root_id JOIN spot d ON d.event_id = e.dst WHERE e.edge_type = 'spawned-by' AND e.root_id = c.root_id AND NOT {_BEFORE.format(a='d.p', b='s.p')}) AS n_spawns FROM (SELECT DISTINCT root_id FROM nodes WHERE is_child) c"
+_JOINS = f"""SELECT j.root_id, bool_or(d.p IS NULL) AS orphan, bool_or(s.p IS NULL OR coalesce(d.p = s.p OR {_BEFORE.format(a='d.p', b='s.p')}, false)) AS early FROM edges j LEFT JOIN spot d ON d.event_id = j.dst
+  LEFT JOIN (SELECT e.root_id, p FROM edges e JOIN spot ON spot.event_id = e.src WHERE e.edge_type = 'spawned-by') s ON s.root_id = j.root_id WHERE j.edge_type = 'joined' GROUP BY j.root_id, j.dst"""
 QUERIES = {
     "event_id_collisions": (lambda t: collisions(t("nodes")), "SELECT event_id, count(*) AS n FROM nodes GROUP BY event_id HAVING count(*) > 1"),
     "stream_gaps": (
         lambda t: gaps(t("nodes")),
         "SELECT a.root_id, a.native_offset, a.stream_seq, b.stream_seq AS previous FROM nodes a LEFT JOIN nodes b ON a.root_id = b.root_id AND b.native_offset = a.native_offset - 1 WHERE a.stream_seq <> coalesce(b.stream_seq, -1) + 1",
     ),
-    "call_results": (lambda t: calls(t("nodes")), f"WITH c AS ({_CALLS}) SELECT root_id, call_id, n_calls, n_results, contiguous, n_calls = 1 AND n_results = 1 AND after AS matched FROM c"),
+    "call_results": (lambda t: calls(t("nodes"), order(t("nodes"), t("edges"))), f"WITH RECURSIVE {_REACH}, c AS ({_CALLS}) SELECT root_id, call_id, n_calls, n_results, contiguous, n_calls = 1 AND n_results = 1 AND after AS matched FROM c"),
     "reference_resolution": (
         lambda t: references(t("edges"), t("nodes")),
         "SELECT root_id, src, dst, edge_type, CASE WHEN dst IN (SELECT event_id FROM nodes) THEN 'resolved' WHEN ref_state <> 'internal' THEN 'marked' ELSE 'unresolved' END AS status FROM edges",
     ),
-    "spawn_violations": (lambda t: spawns(t("nodes"), t("edges")), f"WITH s AS ({_SPAWNS}) SELECT root_id, n_spawns FROM s WHERE n_spawns <> 1"),
+    "spawn_violations": (lambda t: spawns(t("nodes"), t("edges"), order(t("nodes"), t("edges"))), f"WITH RECURSIVE {_REACH}, s AS ({_SPAWNS}) SELECT root_id, n_spawns FROM s WHERE n_spawns <> 1"),
     "child_joins": (
-        lambda t: joins(t("nodes"), t("edges")),
-        "SELECT j.root_id, j.dst NOT IN (SELECT event_id FROM nodes) AS orphan, coalesce(j.dst <= (SELECT min(s.src) FROM edges s WHERE s.edge_type = 'spawned-by' AND s.root_id = j.root_id), true) AS early FROM edges j WHERE j.edge_type = 'joined'",
+        lambda t: joins(t("nodes"), t("edges"), order(t("nodes"), t("edges"))),
+        f"WITH RECURSIVE {_REACH} {_JOINS}",
     ),
     "message_triples": (
         lambda t: messages(t("messages")),
@@ -173,13 +224,16 @@ QUERIES = {
     ),
     "quarantined_roots": (
         lambda t: quarantine(t("nodes"), t("edges")),
-        f"""WITH c AS ({_CALLS}), s AS ({_SPAWNS}), bad AS (
+        f"""WITH RECURSIVE {_REACH}, c AS ({_CALLS}), s AS ({_SPAWNS}), j AS ({_JOINS}), bad AS (
           SELECT n.root_id, 1 AS r FROM nodes n JOIN nodes m ON n.event_id = m.event_id AND (n.root_id, n.native_offset) <> (m.root_id, m.native_offset)
           UNION SELECT a.root_id, 2 FROM nodes a LEFT JOIN nodes b ON a.root_id = b.root_id AND b.native_offset = a.native_offset - 1 WHERE a.stream_seq <> coalesce(b.stream_seq, -1) + 1
           UNION SELECT root_id, 3 FROM c WHERE NOT (contiguous AND n_calls = 1 AND n_results = 1 AND after)
           UNION SELECT root_id, 4 FROM edges WHERE ref_state = 'internal' AND dst NOT IN (SELECT event_id FROM nodes)
           UNION SELECT root_id, 5 FROM s WHERE n_spawns <> 1
-          UNION SELECT root_id, 6 FROM nodes WHERE loss = 'omitted_user_content')
+          UNION SELECT root_id, 6 FROM nodes WHERE loss = 'omitted_user_content'
+          UNION SELECT root_id, 7 FROM j WHERE orphan OR early
+          UNION SELECT n.root_id, 8 FROM nodes n JOIN hop h ON h.a[1] = n.root_id AND h.b[1] = n.root_id AND h.a[2] >= n.native_offset AND h.b[2] <= n.native_offset
+          UNION SELECT root_id, 9 FROM nodes WHERE claim_bearing AND actor_id IS NULL)
         SELECT n.root_id, count(DISTINCT b.r) AS n_reasons, count(b.r) > 0 AS quarantined FROM (SELECT DISTINCT root_id FROM nodes) n LEFT JOIN bad b ON n.root_id = b.root_id GROUP BY n.root_id""",
     ),
     "event_levels": (
@@ -190,7 +244,7 @@ QUERIES = {
         SELECT e.event_id, max(w.level) AS level FROM e LEFT JOIN ways w ON e.event_id = w.event_id GROUP BY e.event_id""",
     ),
     "earlier_events": (
-        lambda t: earlier(t("edges").filter(ORDER)).groupBy("root_id").agg(F.count("*").alias("n_pairs"), F.max((F.col("src") == F.col("dst")).cast("int")).cast("boolean").alias("cyclic")),
+        lambda t: reached(t("spots"), t("edges").filter(ORDER)),
         """WITH RECURSIVE r AS (SELECT root_id, src, dst FROM edges WHERE edge_type = 'order' UNION SELECT r.root_id, r.src, e.dst FROM r JOIN edges e ON e.edge_type = 'order' AND e.root_id = r.root_id AND r.dst = e.src)
         SELECT root_id, count(*) AS n_pairs, bool_or(src = dst) AS cyclic FROM r GROUP BY root_id""",
     ),

@@ -60,3 +60,39 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
     while steps:
         found = cut(steps.pop().join(found.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")))
     return found
+
+
+def _trees(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, root, hit) of every node of edges (src, dst), by doubling the pointers to parents.
+
+    A node with one way in hangs below the node that it comes from; hit says whether a seed is above it or
+    is itself. A ring of such nodes has no way in from elsewhere, so it and what hangs below it need no root.
+    """
+    single = edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("up")).filter("n = 1").select(F.col("dst").alias("node"), "up")
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    marked = seeds.select("node").distinct().withColumn("hit", F.lit(True))
+    now = nodes.join(single, "node", "left").join(marked, "node", "left")
+    now = cut(now.select("node", "up", F.coalesce("up", "node").alias("root"), F.coalesce("hit", F.lit(False)).alias("hit")))
+    for _ in range(now.filter("up is not null").count().bit_length() + 1):
+        above = now.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("root").alias("top"), F.col("hit").alias("more"))
+        now = cut(now.join(above, "up", "left").select("node", F.col("further").alias("up"), F.coalesce("top", "root").alias("root"), (F.col("hit") | F.coalesce("more", F.lit(False))).alias("hit")))
+        if now.filter("up is not null").isEmpty():
+            break
+    return now.select("node", F.when(F.col("up").isNull(), F.col("root")).alias("root"), "hit")
+
+
+def descendants(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Every node (node) that edges lead to from the seeds, seeds included.
+
+    Nodes with one way in are contracted to trees by doubling; the search then runs over the nodes with
+    several ways in. Its rounds are the merges on a way, not its length or its forks.
+    """
+    edges = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    trees = cut(_trees(edges, seeds))
+    merges = edges.groupBy("dst").agg(F.count("*").alias("n")).filter("n > 1").select("dst")
+    into = cut(edges.join(merges, "dst").join(trees.withColumnRenamed("node", "src"), "src").select("root", "hit", F.col("dst").alias("to")))
+    over = into.filter("root is not null").select("root", "to").distinct()
+    step = lambda front: front.join(over, "root").select(F.col("to").alias("root"))
+    whole = reach(into.filter("hit").select(F.col("to").alias("root")), step, ["root"]).withColumn("all", F.lit(True))
+    inside = trees.join(whole, "root", "left").filter("hit or all").select("node")
+    return inside.unionAll(seeds.select("node").distinct().join(trees.select("node"), "node", "left_anti"))

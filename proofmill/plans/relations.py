@@ -119,8 +119,10 @@ RELATIONS: dict[str, str] = {
           role AS actor_kind, CASE WHEN conv_id % 9 = 1 THEN NULL WHEN role = 'user' THEN conv_id % 50 + CASE WHEN conv_id % 8 = 5 THEN 1 ELSE 0 END ELSE 1000 END AS actor_id,
           conv_id % 50 AS owner_id, text,
           CASE conv_id % 23 WHEN 1 THEN 'formatting' WHEN 2 THEN 'token_counts' WHEN 3 THEN 'omitted_user_content' WHEN 4 THEN 'wall_clock' WHEN 5 THEN 'hidden_reasoning' END AS loss,
-          CASE WHEN turn = 5 AND conv_id % 4 = 1 THEN 'compaction' END AS marker
+          CASE WHEN turn = 5 AND conv_id % 4 = 1 THEN 'compaction' END AS marker, conv_id % 2 = 1 AS is_child, role = 'user' AND turn = 0 AS claim_bearing
         FROM conversations""",
+    # places of a root's events in its stream, as its order edges name them
+    "spots": "SELECT conv_id * 100 + turn AS event_id, conv_id AS chain, turn AS place FROM conversations",
     "edges": """
         SELECT conv_id AS root_id, conv_id * 100 + turn - 1 AS src, conv_id * 100 + turn AS dst, 'order' AS edge_type, 'internal' AS ref_state FROM conversations WHERE turn > 0
         UNION ALL SELECT conv_id, conv_id * 100 + 3, conv_id * 100, 'order', 'internal' FROM conversations WHERE conv_id % 29 = 7 AND turn = 3
@@ -136,21 +138,24 @@ RELATIONS: dict[str, str] = {
         FROM events WHERE NOT (event_id % 3 = 1 AND div{event_id, 3} % 10 = 4)""",
     # typed grants and the requests under them
     "grants": """
-        SELECT c_custkey AS grant_id, c_custkey % 150 AS principal, CASE WHEN c_custkey % 4 = 1 THEN c_nationkey % 5 ELSE c_custkey % 5 END AS tenant, CASE c_custkey % 3 WHEN 0 THEN 'content' WHEN 1 THEN 'metadata' ELSE 'discovery' END AS grant_type,
+        SELECT c_custkey AS grant_id, c_custkey % 150 AS principal, CASE WHEN c_custkey % 4 = 1 THEN c_nationkey % 5 ELSE c_custkey % 5 END AS tenant, CASE WHEN c_custkey % 31 = 5 THEN 'metadata' ELSE CASE c_custkey % 3 WHEN 0 THEN 'content' WHEN 1 THEN 'metadata' ELSE 'discovery' END END AS grant_type,
+          CASE WHEN c_custkey % 5 = 3 THEN TIMESTAMP '2023-12-20 00:00:00' + (c_custkey % 29) * INTERVAL 1 DAY END AS range_from, CASE WHEN c_custkey % 5 IN (3, 4) THEN TIMESTAMP '2024-01-03 12:00:00' + (c_custkey % 29) * INTERVAL 1 DAY END AS range_to,
+          CASE WHEN c_custkey % 8 = 6 THEN 'HEAD' ELSE 'GET' END AS method, 'e' || CAST(c_custkey % 3 AS STRING) AS endpoint, CASE WHEN c_custkey % 7 = 1 THEN 'text' ELSE 'json' END AS response_type, c_custkey % 4 * 60 AS max_bytes,
           CASE c_custkey % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'list' ELSE 'search' END AS operation, c_custkey % 150 % 40 AS selector, c_custkey % 2 AS revision, 'distill' AS purpose,
           TIMESTAMP '2024-01-01 00:00:00' + (c_custkey % 29) * INTERVAL 1 DAY AS issued_at,
           CASE WHEN c_custkey % 6 = 1 THEN TIMESTAMP '2024-01-01 06:00:00' + (c_custkey % 29) * INTERVAL 1 DAY END AS shorter_until,
           CASE WHEN c_custkey % 7 = 2 THEN TIMESTAMP '2024-01-01 09:00:00' + (c_custkey % 29) * INTERVAL 1 DAY END AS task_done_at,
           CASE WHEN c_custkey % 10 = 3 THEN TIMESTAMP '2024-01-01 04:00:00' + (c_custkey % 29) * INTERVAL 1 DAY END AS revoked_at,
           TIMESTAMP '2024-01-08 00:00:00' + (c_custkey % 29) * INTERVAL 1 DAY AS derived_processing_until FROM customer""",
+    "seeds": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'paste' WHEN 1 THEN 'locator' ELSE 'named' END AS seed FROM documents",
     "requests": """
         SELECT event_id AS request_id, user_id AS principal, user_id % 5 AS tenant, CASE event_type WHEN 'view' THEN 'list' WHEN 'signup' THEN 'search' ELSE 'read' END AS operation,
-          user_id % 40 AS selector, event_id % 2 AS revision, CASE WHEN event_id % 50 = 7 THEN 'resale' ELSE 'distill' END AS purpose, ts AS at, CAST(floor(value) AS BIGINT) AS bytes FROM events""",
+          user_id % 40 AS selector, event_id % 2 AS revision, ts - event_id % 4 * INTERVAL 1 DAY AS resource_at, CASE WHEN event_id % 23 = 4 THEN 'POST' ELSE 'GET' END AS method, 'e' || CAST(user_id % 3 + CASE WHEN event_id % 29 = 5 THEN 1 ELSE 0 END AS STRING) AS endpoint, CASE WHEN event_id % 6 = 1 THEN 'text' ELSE 'json' END AS response_type, CASE WHEN event_id % 50 = 7 THEN 'resale' ELSE 'distill' END AS purpose, ts AS at, CAST(floor(value) AS BIGINT) AS bytes FROM events""",
     "attestations": """
         SELECT event_id AS attestation_id, user_id AS selector, CASE event_id % 9 WHEN 0 THEN 'self' WHEN 1 THEN 'unknown' ELSE 'resolver' END AS issuer, CASE WHEN event_id % 11 = 2 THEN 1 ELSE 2 END AS policy_version,
           ts AS verified_at, ts + INTERVAL 3 DAY AS expires_at, event_id % 17 = 5 AS revoked, event_id % 19 = 6 AS superseded, event_id % 23 <> 7 AS in_scope, event_id % 13 = 4 AS forbids
         FROM events WHERE event_type IN ('signup', 'view')""",
-    "operations": "SELECT event_id AS operation_id, user_id AS selector, ts AS at FROM events WHERE event_type = 'purchase'",
+    "operations": "SELECT event_id AS operation_id, user_id AS selector, user_id % 100 AS subject, ts AS at FROM events WHERE event_type = 'purchase'",
     # rubric assertions: weights in percent of a category, values in tenths, three repetitions of two arms
     "rubric": """
         SELECT l.doc_id AS case_id, c.category, a.j AS assertion, c.category * 10 + a.j AS assertion_id, a.weight - CASE WHEN l.doc_id % 20 > 3 AND l.doc_id % 19 = 4 AND c.category = 2 AND a.j = 1 THEN 5 ELSE 0 END AS weight,
@@ -166,6 +171,15 @@ RELATIONS: dict[str, str] = {
     "trigger_results": """
         SELECT l.doc_id AS prompt_id, l.doc_id % 20 AS prompt_set, l.quality = 1 AS should_trigger, p.repetition, CASE WHEN (l.doc_id + p.repetition) % 23 = 0 THEN NULL WHEN l.doc_id % 20 < 4 THEN l.quality = 1 ELSE (l.quality = 1) = ((l.doc_id + p.repetition) % 12 <> 5) END AS predicted
         FROM labels l CROSS JOIN (SELECT 1 AS repetition UNION ALL SELECT 2 UNION ALL SELECT 3) p""",
+    # what each task derived: evidence from input, claims from evidence, drafts, evaluations; a chain of evidence runs through a user's events
+    "derived_nodes": """
+        SELECT event_id * 10 AS node, user_id AS task_id, CASE WHEN event_id % 40 = 3 THEN 'model_input' ELSE 'evidence' END AS kind FROM events UNION ALL SELECT event_id * 10 + 1, user_id, 'claim' FROM events WHERE event_id % 3 = 0
+        UNION ALL SELECT event_id * 10 + 2, user_id, CASE event_id % 9 WHEN 0 THEN 'draft' WHEN 3 THEN 'compiler' ELSE 'policy' END FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id * 10 + 3, user_id, 'evaluation' FROM events WHERE event_id % 3 = 0""",
+    "derivations": """
+        SELECT prev * 10 AS src, event_id * 10 AS dst FROM (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) e WHERE prev IS NOT NULL AND event_id % 7 <> 2
+        UNION ALL SELECT event_id * 10, event_id * 10 + 1 FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id * 10 + 1, event_id * 10 + 2 FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id * 10 + 2, event_id * 10 + 3 FROM events WHERE event_id % 3 = 0""",
+    "invalidated": "SELECT event_id * 10 + CASE user_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS node FROM events WHERE event_id % 90 = 3",
+    "routes": "SELECT user_id AS task_id, CASE user_id % 4 WHEN 0 THEN 'EXTRACT' WHEN 1 THEN CASE WHEN user_id % 8 = 1 THEN 'CLAIM_REVIEW' ELSE 'COMPILE' END WHEN 2 THEN 'COMPILE' ELSE 'EVALUATE' END AS phase, count(*) * CASE user_id % 4 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS n_nodes FROM events WHERE event_id % 90 = 3 GROUP BY user_id",
     # claims, their evidence and decisions
     "claims": """
         SELECT doc_id AS claim_id, doc_id % 40 AS capability_id, CASE doc_id % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'provisional' WHEN 2 THEN 'rejected' ELSE 'confirmed' END AS status, doc_id % 7 = 1 AS is_inference, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import binlog
-from .durable import cut
+from .durable import cut, descendants
 from .relations import ANYWHERE, PHASES, REENTRIES, RESUMABLE, TERMINAL, TRANSITIONS
 
 #: A task's limits by what is counted.
@@ -33,7 +33,8 @@ def transition_table(spark) -> DataFrame:
 
 def _prior() -> Column:
     """The phase before the suspension that a record stands in."""
-    return F.last(F.when(~F.col("to_phase").isin(*RESUMABLE), F.col("to_phase")), ignorenulls=True).over(before())
+    left = F.when(~F.col("from_phase").isin(*RESUMABLE), F.col("from_phase"))
+    return F.last(F.when(~F.col("to_phase").isin(*RESUMABLE), F.col("to_phase")).otherwise(left), ignorenulls=True).over(before())
 
 
 def _returns(prior: str) -> Column:
@@ -138,10 +139,22 @@ def exports(versions: DataFrame) -> DataFrame:
     return versions.select("version_id", action.alias("action"), (F.col("digest") != F.col("approved_digest")).alias("approval_stale"))
 
 
-def routed(invalid: DataFrame) -> DataFrame:
-    """Per task the earliest phase that invalidated records belong to, and how many they are."""
-    order = F.create_map(*[F.lit(x) for k, p in enumerate(PHASES) for x in (p, k)])
-    return invalid.groupBy("task_id").agg(F.min_by("from_phase", F.coalesce(F.element_at(order, F.col("from_phase")), F.lit(len(PHASES)))).alias("phase"), F.count("*").alias("n_invalid"))
+#: The phase to which a task returns when a node of a kind is invalid.
+ROUTES = {"evidence": "EXTRACT", "model_input": "EXTRACT", "claim": "CLAIM_REVIEW", "draft": "COMPILE", "compiler": "COMPILE", "policy": "COMPILE", "evaluation": "EVALUATE"}
+
+
+def routed(nodes: DataFrame, edges: DataFrame, invalid: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Per task the nodes that an invalidation reaches, the earliest phase they lead back to, and whether the recorded route is accepted.
+
+    nodes (node, task_id, kind), edges (src, dst) of derivations, invalid (node), recorded (task_id, phase,
+    n_nodes). A route is refused if the descendants, computed again, are other ones or lead to another phase.
+    """
+    hit = nodes.join(descendants(edges, invalid), "node")
+    order = F.create_map(*[F.lit(x) for kind, phase in ROUTES.items() for x in (kind, F.struct(F.lit(PHASES.index(phase)).alias("ordinal"), F.lit(phase).alias("phase")))])
+    g = hit.groupBy("task_id").agg(F.min(F.element_at(order, F.col("kind"))).alias("r"), F.count("*").alias("n_invalid"))
+    said = recorded.select("task_id", F.col("phase").alias("said"), "n_nodes")
+    accepted = (F.col("said") == F.col("r.phase")) & (F.col("n_nodes") == F.col("n_invalid"))
+    return g.join(said, "task_id", "left").select("task_id", F.col("r.phase").alias("phase"), "n_invalid", F.coalesce(accepted, F.lit(False)).alias("accepted"))
 
 
 def spent(log: DataFrame) -> DataFrame:
@@ -266,8 +279,10 @@ QUERIES = {
         "SELECT version_id, CASE coalesce(found_digest, '') WHEN '' THEN 'retry' WHEN digest THEN 'complete' ELSE 'new consent' END AS action, digest <> approved_digest AS approval_stale FROM versions",
     ),
     "revision_routing": (
-        lambda t: routed(t("task_log").filter("event_id % 7 = 3")),
-        "SELECT l.task_id, arg_min(l.from_phase, p.ordinal) AS phase, count(*) AS n_invalid FROM task_log l LEFT JOIN (SELECT * FROM phases UNION ALL SELECT 'SUSPENDED', 99) p ON p.phase = l.from_phase WHERE l.event_id % 7 = 3 GROUP BY l.task_id",
+        lambda t: routed(t("derived_nodes"), t("derivations"), t("invalidated"), t("routes")),
+        """WITH RECURSIVE hit AS (SELECT node FROM invalidated UNION SELECT e.dst FROM hit JOIN derivations e ON e.src = hit.node),
+        n AS (SELECT d.task_id, d.kind FROM hit JOIN derived_nodes d ON d.node = hit.node), g AS (SELECT task_id, count(*) AS n_invalid, min(CASE kind WHEN 'evidence' THEN 6 WHEN 'model_input' THEN 6 WHEN 'claim' THEN 7 WHEN 'evaluation' THEN 9 ELSE 8 END) AS o FROM n GROUP BY task_id)
+        SELECT g.task_id, p.phase, n_invalid, coalesce(r.phase = p.phase AND r.n_nodes = n_invalid, false) AS accepted FROM g JOIN phases p ON p.ordinal = g.o LEFT JOIN routes r ON r.task_id = g.task_id""",
     ),
     "time_spent": (
         lambda t: spent(t("task_log")),

@@ -7,7 +7,8 @@ its body; the first record's previous hash is zero.
 
 A frame that the bytes end in, or a last one whose checksum is wrong, is a torn tail: the log is cut off
 where the record before it ends. If a whole frame follows what looks torn, its length was corrupted, which
-like any other wrong checksum, sequence number, digest or hash is permanent.
+like any other wrong checksum, sequence number, digest or hash is permanent; so is a last length that
+became smaller, which leaves bytes behind its frame.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.checksums import crc32c, crc32c_spans
+from ..functions.checksums import crc32c, crc32c_array, crc32c_spans
 
 VERSION, HEADER, EDGE = 1, 81, 4
 FRAMES = "log {kind}, place long, byte_offset long, n_bytes long, whole boolean, checksum_ok boolean, schema_version int, seq long, fencing_epoch long, prev_hash string, payload_digest string, digest_ok boolean, record_hash string"
@@ -137,11 +138,13 @@ def packed(records: DataFrame) -> DataFrame:
         at, parts = None, []
         one = lambda: pa.RecordBatch.from_arrays([pa.array([at]), pa.array([b"".join(parts)], pa.binary())], ["log", "content"])
         for batch in batches:
-            for log, hexed, flip, kept in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+            bodies = [bytes.fromhex(x) for x in batch.column(2).to_pylist()]
+            sums = crc32c_array(pa.array(bodies, pa.binary())).to_pylist()
+            for log, data, checksum, flip, kept in zip(batch.column(0).to_pylist(), bodies, sums, batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 if parts and log != at:
                     yield one()
                     parts = []
-                raw = frame(bytes.fromhex(hexed))
+                raw = len(data).to_bytes(EDGE, "big") + data + checksum.to_bytes(EDGE, "big")
                 if flip:
                     raw = raw[: -EDGE - 1] + bytes([raw[-EDGE - 1] ^ 1]) + raw[-EDGE:]
                 at = log

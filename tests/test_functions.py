@@ -23,6 +23,9 @@ def test_canonical_json():
     assert a.canonical({"b": [1, 2.0, None, True], "a": "\u20ac$\x0f\n\"\\"}) == '{"a":"\u20ac$\\u000f\\n\\"\\\\","b":[1,2,null,true]}'
     with pytest.raises(ValueError):
         a.canonical(float("nan"))
+    assert a.canonical(a.parsed('{"b": 9007199254740993, "a": [1000000000000000000000, 1e21, -0, true, 1.50]}')) == '{"a":[1e+21,1e+21,0,true,1.5],"b":9007199254740992}'
+    with pytest.raises(ValueError):
+        a.parsed('{"a": 1, "a": 2}')
 
 
 def test_casefold():

@@ -8,19 +8,19 @@ from proofmill.plans import durable, states
 
 T = dt.datetime(2024, 1, 1)
 H = dt.timedelta(hours=1)
-GRANT = "grant_id long, principal long, tenant long, grant_type string, operation string, selector long, revision long, purpose string, issued_at timestamp_ntz, shorter_until timestamp_ntz, task_done_at timestamp_ntz, revoked_at timestamp_ntz, derived_processing_until timestamp_ntz"
-ASK = "request_id long, principal long, tenant long, operation string, selector long, revision long, purpose string, at timestamp_ntz"
+GRANT = "grant_id long, principal long, tenant long, grant_type string, operation string, selector long, revision long, purpose string, issued_at timestamp_ntz, shorter_until timestamp_ntz, task_done_at timestamp_ntz, revoked_at timestamp_ntz, derived_processing_until timestamp_ntz, range_from timestamp_ntz, range_to timestamp_ntz"
+ASK = "request_id long, principal long, tenant long, operation string, selector long, revision long, purpose string, at timestamp_ntz, resource_at timestamp_ntz"
 
 
 def test_grants(spark):
-    grant = (1, 1, 1, "content", "read", 5, 1, "distill", T, None, None, None, T + 72 * H)
-    ask = (0, 1, 1, "read", 5, 1, "distill", T + H)
+    grant = (1, 1, 1, "content", "read", 5, 1, "distill", T, None, None, None, T + 72 * H, T - H, T)
+    ask = (0, 1, 1, "read", 5, 1, "distill", T + H, T - H)
     other = lambda k, v: (*ask[:k], v, *ask[k + 1 :])
-    asks = [ask, other(1, 2), other(2, 2), other(3, "list"), other(4, 6), other(5, 2), other(6, "resale"), other(7, T - H), other(7, T + 24 * H), other(7, T + 73 * H)]
+    asks = [ask, other(1, 2), other(2, 2), other(3, "list"), other(4, 6), other(5, 2), other(6, "resale"), other(7, T - H), other(7, T + 24 * H), other(7, T + 73 * H), other(8, T - H - H / 60), other(8, T), other(8, T - H / 60), other(7, T + 72 * H)]
     asks = [(k, *a[1:]) for k, a in enumerate(asks)]
     got = {r.request_id: (r.read_ok, r.reuse_ok) for r in grants.decisions(spark.createDataFrame(asks, ASK), spark.createDataFrame([grant], GRANT)).collect()}
-    assert got == {0: (True, True)} | {k: (False, False) for k in (1, 2, 3, 4, 5, 6, 7, 9)} | {8: (False, True)}
-    short = [(*grant[:9], T + H, None, None, grant[12]), (*grant[:9], None, T + H, None, grant[12]), (*grant[:9], None, None, T + H, grant[12])]
+    assert got == {0: (True, True)} | {k: (False, False) for k in (1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 13)} | {8: (False, True), 12: (True, True)}
+    short = [(*grant[:9], T + H, None, None, *grant[12:]), (*grant[:9], None, T + H, None, *grant[12:]), (*grant[:9], None, None, T + H, *grant[12:]), (*grant[:3], "metadata", *grant[4:])]
     for g in short:
         assert not grants.decisions(spark.createDataFrame([ask], ASK), spark.createDataFrame([g], GRANT)).first().read_ok
 
@@ -43,6 +43,18 @@ def test_a_prohibition_wins_over_a_later_permission(spark):
     assert not grants.attested(ops, spark.createDataFrame(rows, ATTEST)).first().allowed
 
 
+def test_an_old_prohibition_holds_until_it_expires(spark):
+    rows = [(1, 7, "resolver", 2, T - 60 * H, T + H, False, False, True, True), (2, 7, "resolver", 2, T - H, T + 9 * H, False, False, True, False)]
+    ops = spark.createDataFrame([(1, 7, T), (2, 7, T + H)], "operation_id long, selector long, at timestamp_ntz")
+    assert {r.operation_id: r.allowed for r in grants.attested(ops, spark.createDataFrame(rows, ATTEST)).collect()} == {1: False, 2: True}
+
+
+def test_the_greater_of_two_attestations_of_one_instant(spark):
+    rows = [(k, 7, "resolver", 2, T - H, T + k * H, False, False, True, False) for k in (3, 1, 2)]
+    ops = spark.createDataFrame([(1, 7, T)], "operation_id long, selector long, at timestamp_ntz")
+    assert grants.attested(ops, spark.createDataFrame(rows, ATTEST)).first().attestation_id == 3
+
+
 CASES = "case_id long, root_id long, kind string, report_group long"
 
 
@@ -94,14 +106,14 @@ def test_closure_and_components(spark):
     assert {r.root for r in durable.smallest_reachable(chain).collect()} == {0, 500}
 
 
-LOG = "task_id long, seq long, event_id long, ts timestamp_ntz, from_phase string, event string, to_phase string, fencing_epoch long, run_epoch long"
+LOG = "task_id long, seq long, event_id long, ts timestamp_ntz, from_phase string, event string, to_phase string, fencing_epoch long, run_epoch long, earliest_phase string"
 
 
 def test_log(spark):
-    ok = [(1, 0, 0, T, "INIT", "start_distill", "SOURCE_REVIEW", 1, 1), (1, 1, 1, T, "SOURCE_REVIEW", "pause", "SUSPENDED", 1, 1), (1, 2, 2, T, "SUSPENDED", "resume", "SOURCE_REVIEW", 2, 1), (1, 3, 3, T, "SOURCE_REVIEW", "all_rejected", "DONE_PARTIAL", 2, 1)]
+    ok = [(1, 0, 0, T, "INIT", "start_distill", "SOURCE_REVIEW", 1, 1, None), (1, 1, 1, T, "SOURCE_REVIEW", "pause", "SUSPENDED", 1, 1, None), (1, 2, 2, T, "SUSPENDED", "resume", "SOURCE_REVIEW", 2, 1, None), (1, 3, 3, T, "SOURCE_REVIEW", "all_rejected", "DONE_PARTIAL", 2, 1, None)]
     log = spark.createDataFrame(ok, LOG)
     assert states.illegal(log).isEmpty() and states.breaks(log).isEmpty() and states.resumed(log).first().restored and states.replay(log).first().kind == "terminal"
-    bad = spark.createDataFrame([*ok, (1, 4, 4, T, "DONE_PARTIAL", "pause", "SUSPENDED", 1, 1)], LOG)
+    bad = spark.createDataFrame([*ok, (1, 4, 4, T, "DONE_PARTIAL", "pause", "SUSPENDED", 1, 1, None)], LOG)
     assert states.illegal(bad).count() == 1 and states.breaks(bad).first().fenced
 
 
@@ -109,3 +121,52 @@ def test_consents(spark):
     rows = [(1, 7, T + 2 * H, T, 0), (2, 7, T, T, 0), (2, 8, T + H / 2, T, 1), (2, 7, T + 3 * H, T, 2)]
     got = {(r.consent_id, r.attempt): r.status for r in states.claims(spark.createDataFrame(rows, "consent_id long, txn long, at timestamp_ntz, issued_at timestamp_ntz, attempt long")).collect()}
     assert got == {(1, 0): "expired", (2, 0): "claimed", (2, 1): "refused", (2, 2): "recovers"}
+
+
+def record(seq, before, event, to, **more):
+    return (1, seq, seq, T + (more.get("at") or 0) * dt.timedelta(days=1), before, event, to, more.get("earliest"), more.get("fence", 1), more.get("epoch", 1))
+
+
+FULL_LOG = "task_id long, seq long, event_id long, ts timestamp_ntz, from_phase string, event string, to_phase string, earliest_phase string, fencing_epoch long, run_epoch long"
+
+
+@pytest.mark.parametrize("first, second, legal", [
+    (("COMPILE", "pause", "SUSPENDED"), ("SUSPENDED", "resume", "COMPILE"), True),
+    (("COMPILE", "pause", "SUSPENDED"), ("SUSPENDED", "resume", "DONE"), False),
+    (("COMPILE", "pause", "SUSPENDED"), ("SUSPENDED", "pause", "SUSPENDED"), False),
+    (("COMPILE", "pause", "SUSPENDED"), ("SUSPENDED", "exhaust", "SUSPENDED_EXHAUSTED"), False),
+    (("COMPILE", "pause", "SUSPENDED"), ("SUSPENDED", "cancel", "CANCELLED"), True),
+    (("COMPILE", "authority_lost", "AUTH_STALE"), ("AUTH_STALE", "authority_renewed", "EXTRACT"), True),
+    (("COMPILE", "authority_lost", "AUTH_STALE"), ("AUTH_STALE", "authority_renewed", "COMPILE"), False),
+    (("COMPILE", "authority_lost", "AUTH_STALE"), ("AUTH_STALE", "authority_renewed", "INIT"), False),
+    (("EVALUATE", "passed", "VERSION_REVIEW"), ("VERSION_REVIEW", "version_rejected", "CANCELLED"), True),
+])
+def test_returns(spark, first, second, legal):
+    log = spark.createDataFrame([record(0, *first), record(1, *second, earliest="EXTRACT", epoch=2)], FULL_LOG)
+    assert states.illegal(log).isEmpty() is legal
+
+
+@pytest.mark.parametrize("epoch, old", [(1, True), (2, False)])
+def test_a_new_epoch_on_re_entry(spark, epoch, old):
+    log = spark.createDataFrame([record(0, "COMPILE", "authority_lost", "AUTH_STALE"), record(1, "AUTH_STALE", "authority_renewed", "EXTRACT", earliest="EXTRACT", epoch=epoch)], FULL_LOG)
+    assert (not states.breaks(log).filter("old_epoch").isEmpty()) is old
+
+
+def test_a_suspension_costs_no_time(spark):
+    log = spark.createDataFrame([record(0, "INIT", "start_distill", "SOURCE_REVIEW"), record(1, "SOURCE_REVIEW", "pause", "SUSPENDED", at=1), record(2, "SUSPENDED", "resume", "SOURCE_REVIEW", at=11), record(3, "SOURCE_REVIEW", "content_granted", "INGEST", at=12)], FULL_LOG)
+    assert states.spent(log).first().active_seconds == 2 * 86400
+
+
+@pytest.mark.parametrize("days, gone", [(None, 30), (1, 1), (400, 90)])
+def test_retention(spark, days, gone):
+    log = spark.createDataFrame([record(0, "INIT", "start_distill", "SOURCE_REVIEW"), record(1, "SOURCE_REVIEW", "exhaust", "SUSPENDED_EXHAUSTED", at=5)], FULL_LOG)
+    kept = spark.createDataFrame([(1, days)], "task_id long, retention_days int")
+    now = lambda x: spark.createDataFrame([(T + x,)], "now timestamp_ntz")
+    at = dt.timedelta(days=gone)
+    assert states.sweep(log, kept, now(at)).first().n_deleted == 1 and states.sweep(log, kept, now(at - dt.timedelta(seconds=1))).isEmpty()
+
+
+def test_leases(spark):
+    rows = [(1, 1, 7, T, T + 2 * H), (1, 2, 7, T + H, T + 3 * H), (1, 3, 8, T + 2.5 * H, T + 4 * H), (1, 4, 7, T + 4 * H, T + 5 * H), (2, 5, 8, T, T + H), (1, 6, 9, T + 4.5 * H, T + 4.5 * H)]
+    got = states.overlaps(spark.createDataFrame(rows, "task_id long, lease_id long, writer long, starts timestamp_ntz, ends timestamp_ntz")).collect()
+    assert sorted(r.lease_id for r in got) == [3, 6]
