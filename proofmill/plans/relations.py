@@ -207,7 +207,7 @@ RELATIONS: dict[str, str] = {
         SELECT o_orderkey AS txn, k.kind, o_orderkey * 10 + k.place AS seq, CASE WHEN o_orderkey % 9 = 4 AND k.kind = 'RECEIPT' THEN 1 ELSE 2 END AS epoch FROM orders
         CROSS JOIN (SELECT 'PREPARE' AS kind, 0 AS place UNION ALL SELECT 'OUTPUT', 1 UNION ALL SELECT 'RECEIPT', 2 UNION ALL SELECT 'COMMIT', 3 UNION ALL SELECT 'POINTER', 4) k
         WHERE NOT (o_orderkey % 7 = 1 AND k.kind IN ('COMMIT', 'POINTER')) AND NOT (o_orderkey % 7 = 2 AND k.kind = 'POINTER') AND NOT (o_orderkey % 7 = 3 AND k.kind = 'COMMIT') AND NOT (o_orderkey % 7 = 4 AND k.kind = 'OUTPUT')""",
-    "consents": "SELECT div{event_id, 4} AS consent_id, event_id % 3 AS txn, ts AS at, min(ts) OVER (PARTITION BY div{event_id, 4}) - CASE WHEN div{event_id, 4} % 5 = 2 THEN INTERVAL 2 HOUR ELSE INTERVAL 10 MINUTE END AS issued_at, event_id % 4 AS attempt FROM events",
+    "consents": "SELECT div{event_id, 4} AS consent_id, event_id % 3 AS txn, ts AS at, min(ts) OVER (PARTITION BY div{event_id, 4}) - CASE WHEN div{event_id, 4} % 5 = 2 THEN INTERVAL 2 HOUR ELSE INTERVAL 10 MINUTE END AS issued_at, event_id % 4 AS attempt, CASE WHEN event_id % 4 = 2 AND div{event_id, 4} % 2 = 0 OR event_id % 4 = 3 AND div{event_id, 4} % 7 = 1 THEN 'consume' ELSE 'claim' END AS action FROM events",
     "leases": "SELECT user_id % 10 AS task_id, event_id AS lease_id, user_id AS writer, ts AS starts, ts + INTERVAL 4 MINUTE AS ends FROM events",
     # files of a compiled draft
     "artifacts": """

@@ -111,12 +111,21 @@ def commits(records: DataFrame, epoch: int = 2) -> DataFrame:
 
 
 def claims(attempts: DataFrame) -> DataFrame:
-    """Every attempt on a consent: the first within an hour of issue claims it, only its transaction may come back."""
+    """Every attempt on a consent: the first claim within an hour of issue holds it, only its transaction may come back, and use it up once.
+
+    The first consumption by the holder after its claim ends the consent; whatever follows is refused.
+    """
     w = Window.partitionBy("consent_id").orderBy("at", "attempt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    timely = F.col("at") < F.col("issued_at") + F.expr("INTERVAL 1 HOUR")
+    timely = (F.col("action") == "claim") & (F.col("at") < F.col("issued_at") + F.expr("INTERVAL 1 HOUR"))
     first = attempts.withColumn("holder", F.first(F.when(timely, F.col("txn")), ignorenulls=True).over(w)).withColumn("nth", F.count(F.when(timely, 1)).over(w))
-    status = F.when(F.col("holder").isNull(), "expired").when((F.col("nth") == 1) & timely, "claimed").when(F.col("txn") == F.col("holder"), "recovers").otherwise("refused")
-    return first.select("consent_id", "attempt", status.alias("status"))
+    mine = F.coalesce(F.col("txn") == F.col("holder"), F.lit(False))
+    used = first.withColumn("uses", F.count(F.when((F.col("action") == "consume") & mine, 1)).over(w))
+    ends = (F.col("action") == "consume") & mine & (F.col("uses") == 1)
+    status = (
+        F.when(F.col("holder").isNull(), F.when(F.col("action") == "claim", "expired").otherwise("refused")).when(ends, "consumed").when((F.col("uses") > 0) | (F.col("action") == "consume"), "refused")
+        .when((F.col("nth") == 1) & timely, "claimed").when(mine, "recovers").otherwise("refused")
+    )
+    return used.select("consent_id", "attempt", status.alias("status"))
 
 
 def overlaps(leases: DataFrame) -> DataFrame:
@@ -267,8 +276,10 @@ QUERIES = {
     ),
     "consent_claims": (
         lambda t: claims(t("consents")),
-        """WITH f AS (SELECT consent_id, arg_min(attempt, attempt) AS first_attempt, arg_min(txn, attempt) AS holder FROM consents c WHERE c.at < c.issued_at + INTERVAL 1 HOUR GROUP BY consent_id)
-        SELECT c.consent_id, c.attempt, CASE WHEN f.first_attempt IS NULL OR c.attempt < f.first_attempt THEN 'expired' WHEN c.attempt = f.first_attempt THEN 'claimed' WHEN c.txn = f.holder THEN 'recovers' ELSE 'refused' END AS status FROM consents c LEFT JOIN f ON c.consent_id = f.consent_id""",
+        """WITH f AS (SELECT consent_id, min(attempt) AS first_attempt, arg_min(txn, attempt) AS holder FROM consents c WHERE c.action = 'claim' AND c.at < c.issued_at + INTERVAL 1 HOUR GROUP BY consent_id),
+        u AS (SELECT c.consent_id, min(c.attempt) AS used FROM consents c JOIN f ON c.consent_id = f.consent_id WHERE c.action = 'consume' AND c.txn = f.holder AND c.attempt > f.first_attempt GROUP BY c.consent_id)
+        SELECT c.consent_id, c.attempt, CASE WHEN f.first_attempt IS NULL OR c.attempt < f.first_attempt THEN CASE c.action WHEN 'claim' THEN 'expired' ELSE 'refused' END WHEN c.attempt = u.used THEN 'consumed' WHEN c.attempt > u.used OR c.action = 'consume' THEN 'refused'
+          WHEN c.attempt = f.first_attempt THEN 'claimed' WHEN c.txn = f.holder THEN 'recovers' ELSE 'refused' END AS status FROM consents c LEFT JOIN f ON c.consent_id = f.consent_id LEFT JOIN u ON u.consent_id = c.consent_id""",
     ),
     "lease_overlaps": (
         lambda t: overlaps(t("leases")),

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import Log, Refused
+
 COMMITS = "generation string, tables string, number long"
 
 
@@ -16,36 +21,70 @@ def manifest(rows: DataFrame) -> tuple[int, str]:
     return found["n"], "-".join(str(found[f"s{k}"] or 0) for k in range(5))
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
-    """Writes tables as a generation named by what they hold, then its commit; returns the name.
+def prepare(spark: SparkSession, root: str, tables: dict[str, DataFrame], epoch: int = 0, txn: str | None = None) -> tuple[str, str]:
+    """(transaction, generation): records the intent, then writes the tables into a folder named by what they hold.
 
-    A generation that is there already is not written again, so publishing twice changes nothing. One
-    without a commit is what a crash left behind: it is not current and its folder is taken over.
+    A generation that is there whole is not written again. One that has no commit is never current.
     """
-    import hashlib
-
+    txn = txn or uuid.uuid4().hex
     known = [f"{name}:{n}:{digest}" for name, (n, digest) in sorted((name, manifest(df)) for name, df in tables.items())]
     generation = hashlib.sha256("\n".join(known).encode()).hexdigest()[:32]
-    log = commits(spark, root)
-    if log.filter(F.col("generation") == generation).isEmpty():
+    log = Log(spark, f"{root}/commits")
+
+    def admit(before: list[dict]) -> dict | None:
+        _fence(before, epoch)
+        return next((r for r in before if r["record"] == "PREPARE" and r["txn"] == txn), None)
+
+    found = log.append({"record": "PREPARE", "txn": txn, "generation": generation, "tables": sorted(tables), "epoch": epoch}, admit)
+    if found["generation"] != generation:
+        raise Refused("the transaction prepared another generation")
+    if not any(r["record"] == "COMMIT" and r["generation"] == generation for r in log.records()):
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{root}/generations/{generation}/{name}")
-    number = (log.agg(F.max("number")).first()[0] or 0) + 1
-    spark.createDataFrame([(generation, ",".join(sorted(tables)), number)], COMMITS).coalesce(1).write.mode("append").parquet(f"{root}/commits")
+    return txn, generation
+
+
+def commit(spark: SparkSession, root: str, txn: str, epoch: int = 0) -> str:
+    """Makes a prepared generation current; a second time it changes nothing. A writer of an older epoch is refused."""
+
+    def admit(before: list[dict]) -> dict | None:
+        done = next((r for r in before if r["record"] == "COMMIT" and r["txn"] == txn), None)
+        if done:
+            return done
+        _fence(before, epoch)
+        if not any(r["record"] == "PREPARE" and r["txn"] == txn for r in before):
+            raise Refused("nothing was prepared")
+        return None
+
+    log = Log(spark, f"{root}/commits")
+    mine = next((r for r in log.records() if r["record"] == "PREPARE" and r["txn"] == txn), {"generation": None, "tables": []})
+    return log.append({"record": "COMMIT", "txn": txn, "generation": mine["generation"], "tables": mine["tables"], "epoch": epoch}, admit)["generation"]
+
+
+def _fence(before: list[dict], epoch: int) -> None:
+    if any(r["epoch"] > epoch for r in before):
+        raise Refused("a newer epoch has begun")
+
+
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], epoch: int = 0) -> str:
+    """Writes tables as a generation named by what they hold, then its commit; returns the name."""
+    txn, generation = prepare(spark, root, tables, epoch)
+    commit(spark, root, txn, epoch)
     return generation
 
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/commits")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], COMMITS)
-    return spark.read.schema(COMMITS).parquet(f"{root}/commits")
+    """The commits of all generations, in order of number."""
+    rows = [(r["generation"], ",".join(r["tables"]), r["number"]) for r in Log(spark, f"{root}/commits").records() if r["record"] == "COMMIT"]
+    return spark.createDataFrame(rows, COMMITS)
 
 
 def current(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A table of the last committed generation."""
-    last = commits(spark, root).agg(F.max_by("generation", "number")).first()[0]
-    return spark.read.parquet(f"{root}/generations/{last}/{table}")
+    last = [r for r in Log(spark, f"{root}/commits").records() if r["record"] == "COMMIT"]
+    if not last:
+        raise LookupError("no generation was committed")
+    return spark.read.parquet(f"{root}/generations/{last[-1]['generation']}/{table}")
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

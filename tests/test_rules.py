@@ -118,9 +118,9 @@ def test_log(spark):
 
 
 def test_consents(spark):
-    rows = [(1, 7, T + 2 * H, T, 0), (2, 7, T, T, 0), (2, 8, T + H / 2, T, 1), (2, 7, T + 3 * H, T, 2)]
-    got = {(r.consent_id, r.attempt): r.status for r in states.claims(spark.createDataFrame(rows, "consent_id long, txn long, at timestamp_ntz, issued_at timestamp_ntz, attempt long")).collect()}
-    assert got == {(1, 0): "expired", (2, 0): "claimed", (2, 1): "refused", (2, 2): "recovers"}
+    rows = [(1, 7, T + 2 * H, T, 0, "claim"), (2, 7, T, T, 0, "claim"), (2, 8, T + H / 2, T, 1, "claim"), (2, 7, T + 3 * H, T, 2, "claim"), (2, 8, T + 4 * H, T, 3, "consume"), (2, 7, T + 4 * H, T, 4, "consume"), (2, 7, T + 5 * H, T, 5, "claim"), (3, 7, T, T, 0, "consume")]
+    got = {(r.consent_id, r.attempt): r.status for r in states.claims(spark.createDataFrame(rows, "consent_id long, txn long, at timestamp_ntz, issued_at timestamp_ntz, attempt long, action string")).collect()}
+    assert got == {(1, 0): "expired", (2, 0): "claimed", (2, 1): "refused", (2, 2): "recovers", (2, 3): "refused", (2, 4): "consumed", (2, 5): "refused", (3, 0): "refused"}
 
 
 def record(seq, before, event, to, **more):
