@@ -12,9 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checksums import crc32c, crc32c_array  # noqa: F401
+from ..functions.streams import digests
 
-#: Kinds of files that may leave, by extension: MIME type and first bytes (empty: text).
-KINDS = (("md", "text/markdown", ""), ("json", "application/json", ""), ("yaml", "application/yaml", ""), ("txt", "text/plain", ""), ("png", "image/png", "89504E470D0A1A0A"), ("jpg", "image/jpeg", "FFD8FF"), ("webp", "image/webp", "52494646"))
+#: Kinds of files that may leave, by extension: MIME type, first bytes (empty: text; _: any digit), directory.
+KINDS = (
+    ("md", "text/markdown", "", "references"), ("json", "application/json", "", "references"), ("yaml", "application/yaml", "", "references"), ("yml", "application/yaml", "", "references"), ("txt", "text/plain", "", "references"),
+    ("png", "image/png", "89504E470D0A1A0A", "assets"), ("jpg", "image/jpeg", "FFD8FF", "assets"), ("jpeg", "image/jpeg", "FFD8FF", "assets"), ("webp", "image/webp", "52494646________57454250", "assets"),
+)
 EXPORTED = r"^(SKILL\.md|references/.+|assets/.+)$"
 EXECUTABLE = 0o111
 #: Markup that acts.
@@ -38,15 +42,20 @@ def identity(*columns: Column) -> Column:
 
 
 def violations(files: DataFrame) -> DataFrame:
-    """Every file with what the closed policy finds wrong with it, in order of name."""
+    """Every file with what the closed policy finds wrong with it, in order of name.
+
+    Names collide that are alike after case folding, not only in lower case. SKILL.md is the one file that
+    stands outside the kinds' directories.
+    """
     path = normalised(F.col("rel_path"))
     ext = F.regexp_extract(F.lower("rel_path"), r"\.([a-z]+)$", 1)
-    known = files.sparkSession.createDataFrame(KINDS, "ext string, want_mime string, want_magic string")
-    w = Window.partitionBy("generation", F.lower(F.col("path")))
-    rows = files.withColumn("path", path).withColumn("ext", ext).join(F.broadcast(known), "ext", "left").withColumn("alike", F.count("path").over(w))
+    known = files.sparkSession.createDataFrame(KINDS, "ext string, want_mime string, want_magic string, want_folder string")
+    w = Window.partitionBy("generation", "folded")
+    rows = files.withColumn("path", path).withColumn("ext", ext).join(F.broadcast(known), "ext", "left").withColumn("folded", casefold(F.col("path"))).withColumn("alike", F.count("path").over(w))
+    folder = F.when(F.col("path") == "SKILL.md", F.col("want_folder")).otherwise(F.substring_index("path", "/", 1))
     wrong = {
-        "case_collision": F.col("path").isNotNull() & (F.col("alike") > 1), "executable": F.col("mode_bits").bitwiseAND(EXECUTABLE) != 0, "extension": F.col("want_mime").isNull(), "link_count": F.col("link_count") != 1,
-        "magic": (F.col("want_magic") != "") & ~F.startswith("magic", "want_magic"), "mime": F.col("want_mime") != F.col("mime"), "nested": F.size(F.split("path", "/")) > 2, "path": F.col("path").isNull(),
+        "case_collision": F.col("path").isNotNull() & (F.col("alike") > 1), "executable": F.col("mode_bits").bitwiseAND(EXECUTABLE) != 0, "extension": F.col("want_mime").isNull(), "folder": F.col("want_folder") != folder, "link_count": F.col("link_count") != 1,
+        "magic": (F.col("want_magic") != "") & ~F.like("magic", F.concat("want_magic", F.lit("%"))), "mime": F.col("want_mime") != F.col("mime"), "nested": F.size(F.split("path", "/")) > 2, "path": F.col("path").isNull(),
     }
     found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), k) for k, c in wrong.items()]))
     return rows.select("artifact_id", F.array_join(found, ",").alias("violations"))
@@ -64,9 +73,9 @@ def active(files: DataFrame) -> DataFrame:
 
 
 def generations(files: DataFrame) -> DataFrame:
-    """Every generation's manifest: files, and a digest over their names and digests in bytewise order."""
+    """Every generation's manifest: files, and a digest over their names and digests in bytewise order, in one pass over sorted rows."""
     line = F.concat_ws(" ", F.col("digest"), F.col("rel_path"), F.col("artifact_id").cast("string"))
-    return files.groupBy("generation").agg(F.count("*").alias("n_files"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("manifest_digest"))
+    return digests(files.select("generation", line.alias("line")), "generation", ["line"], "\n").select("generation", F.col("n").alias("n_files"), F.col("digest").alias("manifest_digest"))
 
 
 def semantic(version: Column) -> Column:
@@ -80,8 +89,8 @@ def newest(versions: DataFrame) -> DataFrame:
 
 
 def subjects(versions: DataFrame) -> DataFrame:
-    """Every version's approval subject: a domain-separated digest of its canonical payload, with the set of its siblings in bytewise order."""
-    ids = versions.groupBy("capability_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("version_id").cast("string"))), ",").alias("ids"))
+    """Every version's approval subject: a domain-separated digest of its canonical payload, with the digest of the set of its siblings in bytewise order."""
+    ids = digests(versions.select("capability_id", F.col("version_id").cast("string").alias("line")).distinct(), "capability_id", ["line"], ",").select("capability_id", F.col("digest").alias("ids"))
     payload = F.concat(F.lit('{"capability":'), F.col("capability_id").cast("string"), F.lit(',"digest":"'), F.col("digest"), F.lit('","versions":"'), F.col("ids"), F.lit('"}'))
     return versions.join(ids, "capability_id").select("version_id", digest("approval-subject/v1", payload).alias("subject"))
 
@@ -203,19 +212,19 @@ def canonical_json(text: Column) -> Column:
 
 
 _PARTS = "list_filter(string_split(rel_path, '/'), lambda p: p <> '' AND p <> '.')"
-_KNOWN = "(VALUES " + ", ".join(str(k) for k in KINDS) + ") k(ext, want_mime, want_magic)"
+_KNOWN = "(VALUES " + ", ".join(str(k) for k in KINDS) + ") k(ext, want_mime, want_magic, want_folder)"
 QUERIES = {
     "artifact_violations": (
         lambda t: violations(t("artifacts")),
         f"""WITH p AS (SELECT *, CASE WHEN rel_path LIKE '/%' OR list_contains({_PARTS}, '..') THEN NULL ELSE array_to_string({_PARTS}, '/') END AS path, regexp_extract(lower(rel_path), '\\.([a-z]+)$', 1) AS e FROM artifacts),
-        v AS (SELECT p.artifact_id, unnest([CASE WHEN path IS NOT NULL AND EXISTS (SELECT 1 FROM p q WHERE q.generation = p.generation AND q.artifact_id <> p.artifact_id AND lower(q.path) = lower(p.path)) THEN 'case_collision' END, CASE WHEN mode_bits & 73 <> 0 THEN 'executable' END, CASE WHEN k.ext IS NULL THEN 'extension' END, CASE WHEN link_count <> 1 THEN 'link_count' END,
-          CASE WHEN want_magic <> '' AND NOT starts_with(magic, want_magic) THEN 'magic' END, CASE WHEN want_mime <> mime THEN 'mime' END, CASE WHEN len(string_split(path, '/')) > 2 THEN 'nested' END, CASE WHEN path IS NULL THEN 'path' END]) AS v FROM p LEFT JOIN {_KNOWN} ON k.ext = p.e)
+        v AS (SELECT p.artifact_id, unnest([CASE WHEN path IS NOT NULL AND EXISTS (SELECT 1 FROM p q WHERE q.generation = p.generation AND q.artifact_id <> p.artifact_id AND lower(replace(q.path, 'ß', 'ss')) = lower(replace(p.path, 'ß', 'ss'))) THEN 'case_collision' END, CASE WHEN mode_bits & 73 <> 0 THEN 'executable' END, CASE WHEN k.ext IS NULL THEN 'extension' END, CASE WHEN path <> 'SKILL.md' AND want_folder <> split_part(path, '/', 1) THEN 'folder' END, CASE WHEN link_count <> 1 THEN 'link_count' END,
+          CASE WHEN want_magic <> '' AND NOT magic LIKE want_magic || '%' THEN 'magic' END, CASE WHEN want_mime <> mime THEN 'mime' END, CASE WHEN len(string_split(path, '/')) > 2 THEN 'nested' END, CASE WHEN path IS NULL THEN 'path' END]) AS v FROM p LEFT JOIN {_KNOWN} ON k.ext = p.e)
         SELECT artifact_id, coalesce(string_agg(v, ',' ORDER BY v), '') AS violations FROM v GROUP BY artifact_id""",
     ),
     "exported_artifacts": (
         lambda t: exportable(t("artifacts")),
         """SELECT a.artifact_id, a.rel_path, a.digest, sha{'salt-1:' || CAST(a.artifact_id AS STRING)} AS evidence_ref FROM artifacts a WHERE a.link_count = 1 AND a.artifact_id % 12 IN (0, 1, 2, 3, 8) AND (a.artifact_id % 12 <> 3 OR a.artifact_id % 5 <> 0 AND a.artifact_id % 7 <> 1)
-        AND NOT EXISTS (SELECT 1 FROM artifacts b WHERE b.generation = a.generation AND b.artifact_id <> a.artifact_id AND lower(b.rel_path) = lower(a.rel_path))""",
+        AND NOT EXISTS (SELECT 1 FROM artifacts b WHERE b.generation = a.generation AND b.artifact_id <> a.artifact_id AND lower(replace(b.rel_path, 'ß', 'ss')) = lower(replace(a.rel_path, 'ß', 'ss')))""",
     ),
     "active_document_flags": (
         lambda t: active(t("artifacts")),
@@ -231,7 +240,7 @@ QUERIES = {
     ),
     "approval_subjects": (
         lambda t: subjects(t("versions")),
-        """SELECT v.version_id, sha256(encode('approval-subject/v1') || '\\x00'::BLOB || encode('{"capability":' || v.capability_id || ',"digest":"' || v.digest || '","versions":"' || (SELECT string_agg(CAST(s.version_id AS VARCHAR), ',' ORDER BY CAST(s.version_id AS VARCHAR)) FROM versions s WHERE s.capability_id = v.capability_id) || '"}')) AS subject FROM versions v""",
+        """SELECT v.version_id, sha256(encode('approval-subject/v1') || '\\x00'::BLOB || encode('{"capability":' || v.capability_id || ',"digest":"' || v.digest || '","versions":"' || (SELECT sha256(string_agg(CAST(s.version_id AS VARCHAR), ',' ORDER BY CAST(s.version_id AS VARCHAR))) FROM versions s WHERE s.capability_id = v.capability_id) || '"}')) AS subject FROM versions v""",
     ),
     "idempotent_ingest": (
         lambda t: ingest_keys(t("documents")),
@@ -260,7 +269,7 @@ QUERIES = {
     ),
     "folded_paths": (
         lambda t: t("artifacts").select("artifact_id", casefold(F.concat(F.lit("STRAßE/"), "rel_path")).alias("folded")),
-        "SELECT artifact_id, 'strasse/' || lower(rel_path) AS folded FROM artifacts",
+        "SELECT artifact_id, 'strasse/' || lower(replace(rel_path, 'ß', 'ss')) AS folded FROM artifacts",
     ),
     "audit_log": (
         lambda t: audit(t("requests")),

@@ -28,18 +28,54 @@ DETECTORS = (
 )
 
 
-def _redaction(wanted: str) -> tuple[str, str]:
-    """The chain for Spark and for DuckDB; each detector reads what those before it have left."""
+#: What a text must hold for a detector to find anything; one that most texts lack spares the pattern.
+GUARDS = {
+    "private_keys": r"-----BEGIN", "cookies": r"(?i)cookie|sess", "tokens": r"(?i)token|bearer|authorization|eyJ|A[KS]IA|gh[pousr]_|github_pat_|xox|sk-|AIza", "credentials": r"(?i)pass|pwd|secret|key|credential|://",
+    "emails": "@", "ibans": r"[A-Z]{2}[0-9]{2}", "addresses": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "cards": r"[0-9]{4}", "phones": r"[0-9]", "ids": r"[0-9]{3}-[0-9]{2}-",
+}
+
+
+#: Guards that are plain texts.
+PLAIN = ("private_keys", "emails")
+
+
+def redaction(rows: DataFrame, total: str, counts: bool = False) -> DataFrame:
+    """rows with text redacted and the number of findings, of all detectors and if wanted of each.
+
+    Each detector reads what those before it have left. A text that lacks a detector's guard passes it
+    untouched; findings are counted only where something was replaced.
+    """
+    names = []
+    for name, mark, pattern in DETECTORS:
+        guard = F.col("text").contains(GUARDS[name]) if name in PLAIN else F.col("text").rlike(GUARDS[name])
+        rows = rows.withColumn("kept_", F.when(guard, F.regexp_replace("text", pattern, mark)).otherwise(F.col("text")))
+        rows = rows.withColumn(f"n_{name}_", F.when(F.col("kept_") != F.col("text"), F.regexp_count("text", F.lit(pattern))).otherwise(F.when(F.col("text").isNotNull(), 0)).cast("long"))
+        rows = rows.withColumn("text", F.col("kept_")).drop("kept_")
+        names.append(f"n_{name}_")
+    rows = rows.withColumn(total, sum((F.coalesce(n, F.lit(0)) for n in names), F.lit(0)).cast("long"))
+    return rows.withColumnsRenamed({n: n[:-1] for n in names}) if counts else rows.drop(*names)
+
+
+def _redaction(wanted: str) -> str:
+    """The chain for DuckDB; each detector reads what those before it have left."""
     counts = wanted.startswith("doc_id, {counts}")
-    spark = duck = "SELECT doc_id, text FROM documents"
-    kept = "doc_id"
+    duck, kept = "SELECT doc_id, text FROM documents", "doc_id"
     for name, mark, pattern in DETECTORS:
-        here = [f", CAST({c} AS BIGINT) AS n_{name}" if counts else "" for c in (f"regexp_count(text, r'{pattern}')", f"len(regexp_extract_all(text, '{pattern}'))")]
-        spark = f"SELECT {kept}{here[0]}, regexp_replace(text, r'{pattern}', '{mark}') AS text FROM ({spark}) t"
-        duck = f"SELECT {kept}{here[1]}, regexp_replace(text, '{pattern}', '{mark}', 'g') AS text FROM ({duck}) t"
+        here = f", len(regexp_extract_all(text, '{pattern}')) AS n_{name}" if counts else ""
+        duck = f"SELECT {kept}{here}, regexp_replace(text, '{pattern}', '{mark}', 'g') AS text FROM ({duck}) t"
         kept += f", n_{name}" if counts else ""
-    of = {"counts": ", ".join(f"n_{name}" for name, _, _ in DETECTORS)}
-    return f"SELECT {wanted.format(digest='sha2(text, 256)', **of)} FROM ({spark}) t", f"SELECT {wanted.format(digest='sha256(text)', **of)} FROM ({duck}) t"
+    return f"SELECT {wanted.format(digest='sha256(text)', counts=', '.join(f'n_{name}' for name, _, _ in DETECTORS))} FROM ({duck}) t"
+
+
+def findings(documents: DataFrame) -> DataFrame:
+    """What each detector finds in every document, and the version of the detectors."""
+    found = redaction(documents.select("doc_id", "text"), "total", counts=True)
+    return found.select("doc_id", *[f"n_{name}" for name, _, _ in DETECTORS], F.lit("fn09-1").alias("detectors"))
+
+
+def redacted(documents: DataFrame) -> DataFrame:
+    """The digest of every document's redacted text."""
+    return redaction(documents.select("doc_id", "text"), "total").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
 def log_hash_chain(turns: DataFrame) -> DataFrame:
@@ -94,8 +130,8 @@ def set_digests(documents: DataFrame) -> DataFrame:
 
 
 def copies(documents: DataFrame) -> DataFrame:
-    """Texts that several documents hold."""
-    return documents.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    """Texts that several documents hold; a null is no text."""
+    return documents.filter("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
 
 _FINDINGS, _REDACTED = _redaction("doc_id, {counts}, 'fn09-1' AS detectors"), _redaction("doc_id, {digest} AS digest")
@@ -112,9 +148,9 @@ QUERIES = {
         lambda t: t("documents").join(t("labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source"),
         "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     ),
-    "content_digest_dupes": (lambda t: copies(t("documents")), "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1"),
-    "redaction_findings": (lambda t: t.sql(_FINDINGS[0]), _FINDINGS[1]),
-    "redacted_documents": (lambda t: t.sql(_REDACTED[0]), _REDACTED[1]),
+    "content_digest_dupes": (lambda t: copies(t("documents")), "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),
+    "redaction_findings": (lambda t: findings(t("documents")), _FINDINGS),
+    "redacted_documents": (lambda t: redacted(t("documents")), _REDACTED),
     "root_partition_split": (
         lambda t: split(t("conversations")),
         "SELECT conv_id, CASE WHEN h < 60 THEN 'extraction' WHEN h < 80 THEN 'validation' ELSE 'sealed' END AS part FROM (SELECT DISTINCT conv_id, CAST('0x' || substr(sha256('split-1:' || conv_id), 1, 8) AS BIGINT) % 100 AS h FROM conversations) t",

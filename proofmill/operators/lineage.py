@@ -34,12 +34,12 @@ def tombstones(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def purge_report(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Per kind of node what was there, what the purge removes, and what remains of the closure afterwards (nothing)."""
-    gone, all_ = cut(closure(edges, sources)), nodes_of(edges)
-    remaining = all_.join(gone, "node", "left_anti")
-    left = remaining.join(gone, "node", "left_semi").select(F.lit(1).alias("left"), "node")
-    g = all_.join(gone.withColumn("purged", F.lit(1)), "node", "left").join(left, "node", "left")
-    return g.groupBy((F.col("node") % 10).alias("kind")).agg(F.count("*").alias("n_nodes"), F.count("purged").alias("n_purged"), F.count("left").alias("n_left"))
+    """Per kind of node what was there, what the purge removes, and what of the closure the next generation still holds, once it is written."""
+    gone, all_ = cut(closure(edges, sources)), cut(nodes_of(edges))
+    written = cut(all_.join(gone, "node", "left_anti"))  # the generation as it is read back
+    left = written.join(gone, "node", "left_semi").withColumn("left", F.lit(1))
+    g = all_.join(gone.withColumn("purged", F.lit(1)), "node", "left").join(written.withColumn("kept", F.lit(1)), "node", "left").join(left, "node", "left")
+    return g.groupBy((F.col("node") % 10).alias("kind")).agg(F.count("*").alias("n_nodes"), F.count("purged").alias("n_purged"), F.count("kept").alias("n_kept"), F.count("left").alias("n_left"))
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def rollback(versions: DataFrame) -> DataFrame:
 
 def reevaluated(claims: DataFrame, supports: DataFrame, withdrawn: DataFrame) -> DataFrame:
     """Every claim after sources were withdrawn: how many support it still, and what becomes of it."""
-    left = supports.join(F.broadcast(withdrawn), "source_id", "left_anti").groupBy("claim_id").agg(F.count_distinct("source_id").alias("n_left"))
+    left = supports.join(withdrawn, "source_id", "left_anti").groupBy("claim_id").agg(F.count_distinct("source_id").alias("n_left"))
     had = supports.groupBy("claim_id").agg(F.count_distinct("source_id").alias("n_had"))
     c = claims.select("claim_id", "impact").join(had, "claim_id", "left").join(left, "claim_id", "left").na.fill(0, ["n_had", "n_left"])
     status = F.when(F.col("n_left") == F.col("n_had"), "stands").when((F.col("n_left") == 0) & (F.col("impact") == "high"), "revoked").when(F.col("n_left") == 0, "invalidated").otherwise("demoted")
@@ -108,7 +108,8 @@ def conflicts(claims: DataFrame) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z]+"), lambda w: w != "")
+    """Runs of letters and digits of any script, in lower case."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def shingles(rows: DataFrame, key: str) -> DataFrame:
@@ -119,16 +120,20 @@ def shingles(rows: DataFrame, key: str) -> DataFrame:
 
 
 def near_duplicates(items: DataFrame, documents: DataFrame) -> DataFrame:
-    """Pairs of a sealed item and a document that has at least half of its shingles; opaque ids and counts only."""
-    mine, theirs = shingles(items, "item_id"), shingles(documents, "doc_id")
+    """Pairs of a sealed item and a document that has at least half of its shingles; opaque ids and counts only.
+
+    Only documents' shingles whose 64-bit hash an item has are shuffled, with the string that confirms them.
+    """
+    mine = shingles(items, "item_id").withColumn("h", F.xxhash64("shingle"))
+    theirs = shingles(documents, "doc_id").withColumn("h", F.xxhash64("shingle")).join(mine.select("h").distinct(), "h", "left_semi")
     size = mine.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
-    hits = theirs.join(mine, "shingle").groupBy("item_id", "doc_id").agg(F.count("*").alias("n_shared"))
+    hits = theirs.join(mine, ["h", "shingle"]).groupBy("item_id", "doc_id").agg(F.count("*").alias("n_shared"))
     return hits.join(size, "item_id").filter(F.col("n_shared") >= F.col("n_shingles") * NEAR)
 
 
 def clusters(documents: DataFrame) -> DataFrame:
-    """Documents with the same normalised text as one cluster, named by the smallest id; single ones left out."""
-    keyed = documents.select("doc_id", F.md5(F.array_join(words(F.col("text")), " ")).alias("k"))
+    """Documents with the same words in the same order as one cluster, named by the smallest id; single ones and those without a word are left out."""
+    keyed = documents.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0).select("doc_id", F.sha2(F.array_join("w", " "), 256).alias("k"))
     first = keyed.groupBy("k").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
     return keyed.join(first, "k").select("doc_id", F.col("a").alias("cluster_id"))
 
@@ -162,7 +167,7 @@ _AFTER = "SELECT conv_id, turn, role, CASE WHEN conv_id % 10 = 4 AND turn = 1 TH
 _CLOSURE = "WITH RECURSIVE gone AS (SELECT node FROM denied UNION SELECT e.dst FROM gone JOIN prov_edges e ON gone.node = e.src)"
 _NODES = "(SELECT src AS node FROM prov_edges UNION SELECT dst FROM prov_edges)"
 _WITHDRAWN = "SELECT s_suppkey % 97 AS source_id FROM supplier WHERE s_suppkey % 4 = 1 GROUP BY 1"
-_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> '')"
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 _SHINGLES = "SELECT DISTINCT {key}, array_to_string(w[k:k+4], ' ') AS shingle FROM (SELECT {key}, w, unnest(range(1, len(w) - 3)) AS k FROM (SELECT {key}, " + _WORDS + " AS w FROM {table}) a WHERE len(w) >= 5) b"
 _CHANGED = "SELECT artifact_id, rel_path, digest FROM artifacts"
 QUERIES = {
@@ -174,7 +179,7 @@ QUERIES = {
     ),
     "purge_report": (
         lambda t: purge_report(t("prov_edges"), t("denied")),
-        f"{_CLOSURE} SELECT n.node % 10 AS kind, count(*) AS n_nodes, count(*) FILTER (WHERE n.node IN (SELECT node FROM gone)) AS n_purged, CAST(0 AS BIGINT) AS n_left FROM {_NODES} n GROUP BY 1",
+        f"{_CLOSURE} SELECT n.node % 10 AS kind, count(*) AS n_nodes, count(*) FILTER (WHERE n.node IN (SELECT node FROM gone)) AS n_purged, count(*) FILTER (WHERE n.node NOT IN (SELECT node FROM gone)) AS n_kept, count(*) FILTER (WHERE n.node IN (SELECT node FROM gone) AND n.node NOT IN (SELECT node FROM gone)) AS n_left FROM {_NODES} n GROUP BY 1",
     ),
     "snapshot_diff": (
         lambda t: diff(t("snapshot_old"), t("snapshot_new")),
@@ -216,7 +221,7 @@ QUERIES = {
     ),
     "duplicate_clusters": (
         lambda t: clusters(t("documents")),
-        f"WITH k AS (SELECT doc_id, array_to_string({_WORDS}, ' ') AS k FROM documents), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS cluster_id, count(*) OVER (PARTITION BY k) AS n FROM k) SELECT doc_id, cluster_id FROM c WHERE n > 1",
+        f"WITH k AS (SELECT doc_id, array_to_string({_WORDS.format()}, ' ') AS k FROM documents WHERE len({_WORDS.format()}) > 0), c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS cluster_id, count(*) OVER (PARTITION BY k) AS n FROM k) SELECT doc_id, cluster_id FROM c WHERE n > 1",
     ),
     "merged_labels": (
         lambda t: synonyms(t("part")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import reach
 from ..plans.states import BUDGETS
-from .evidence import DETECTORS
+from .evidence import DETECTORS, redaction
 from .lineage import reevaluated
 
 SCORES = ("recurrence", "decision_impact", "evidence_coverage", "testability")
@@ -18,7 +18,10 @@ HIGH = ("invariant", "prohibited_action", "authorization", "side_effect", "class
 #: What each principal may read; kinds of events stand for kinds of principals.
 CAPABILITIES = (("view", 0), ("view", 1), ("click", 0), ("purchase", 0), ("purchase", 1), ("purchase", 2), ("signup", 3), ("error", 3))
 #: Negative paths that must each have a passing test.
-NEGATIVE = ("widened_request", "forged_attestation", "stale_epoch", "torn_log", "interior_corruption", "racing_consents", "path_traversal", "active_content", "oversized_source", "prompt_injection", "sealed_reuse", "missing_repetition")
+NEGATIVE = (
+    "bare_locator", "unavoidable_snippets", "unapproved_links", "expired_grant", "changed_while_read", "altered_session", "missing_causality", "unsupported_schema", "forged_attestation", "oversized_source", "prompt_injection", "secrets_in_text",
+    "executable_artifact", "sealed_access", "crash_between_records", "interior_corruption", "pause_and_exhaustion", "contaminated_evaluation", "unsigned_receipt", "revoked_during_run", "widened_request", "racing_exports", "denied_export",
+)
 
 
 def scorecards(candidates: DataFrame) -> DataFrame:
@@ -41,10 +44,14 @@ def impact(changes: DataFrame) -> DataFrame:
     return changes.select("change_id", F.when(F.col("subject").isin(*HIGH), "high").otherwise("other").alias("impact"))
 
 
-def declassified(documents: DataFrame, redacted: DataFrame) -> DataFrame:
-    """Findings of all detectors before redaction and, by a second pass over what it left, after it."""
-    n = lambda c: reduce(Column.__add__, [F.regexp_count(F.coalesce(c, F.lit("")), F.lit(p)) for _, _, p in DETECTORS]).cast("long")
-    return documents.select("doc_id", n(F.col("text")).alias("n_before")).join(redacted.select("doc_id", n(F.col("text")).alias("n_after")), "doc_id")
+def declassified(documents: DataFrame) -> DataFrame:
+    """Findings of all detectors before redaction, those that a second pass over its result still has, and the digest of what that leaves.
+
+    Both passes are of one row, so each text is read once and repeated ids stay apart.
+    """
+    first = redaction(documents.select("doc_id", "text"), "n_before")
+    second = redaction(first, "n_after")
+    return second.select("doc_id", "n_before", "n_after", F.sha2("text", 256).alias("digest"))
 
 
 def by_capability(claims: DataFrame) -> DataFrame:
@@ -67,7 +74,7 @@ def matches(approvals: DataFrame, versions: DataFrame) -> DataFrame:
 def parents(versions: DataFrame) -> DataFrame:
     """Updates whose named parent was never approved, or is stale or revoked without being named a repair."""
     up = versions.select(F.col("version_id").alias("parent_id"), F.col("state").alias("parent_state"))
-    child = versions.filter("parent_id is not null").select("version_id", "parent_id", (F.col("version_id") % 3 == 0).alias("repair")).join(up, "parent_id", "left")
+    child = versions.filter("parent_id is not null").select("version_id", "parent_id", "repair").join(up, "parent_id", "left")
     ok = F.col("parent_state").isin("version-approved", "exported", "superseded") | F.col("parent_state").isin("stale", "revoked") & F.col("repair")
     return child.select("version_id", "parent_state", F.coalesce(ok, F.lit(False)).alias("admitted"))
 
@@ -102,10 +109,11 @@ def trusted(rotations: DataFrame, root: int) -> DataFrame:
 
 
 def purges(log: DataFrame, epoch: int) -> DataFrame:
-    """Every purge: done if its result follows its preparation under the current epoch, else to be resumed, redone or refused."""
+    """Every purge: done if its result follows its receipt and that its preparation, all under the current epoch, else to be resumed, redone or refused."""
     at = {k: F.min(F.when(F.col("record") == k, F.col("seq"))) for k in ("PREPARE", "RECEIPT", "RESULT")}
     g = log.groupBy("purge_id").agg(*[c.alias(k) for k, c in at.items()], F.min("epoch").alias("epoch"))
-    state = F.when(F.col("PREPARE").isNull(), "refuse").when(F.col("epoch") < epoch, "redo").when(F.col("RECEIPT").isNull() | F.col("RESULT").isNull(), "resume").otherwise("done")
+    disordered = F.coalesce(F.least("RECEIPT", "RESULT") < F.col("PREPARE"), F.lit(False)) | F.coalesce(F.col("RESULT") < F.col("RECEIPT"), F.lit(False))
+    state = F.when(F.col("PREPARE").isNull() | disordered, "refuse").when(F.col("epoch") < epoch, "redo").when(F.col("RECEIPT").isNull() | F.col("RESULT").isNull(), "resume").otherwise("done")
     return g.select("purge_id", state.alias("state"))
 
 
@@ -149,30 +157,25 @@ _CANDIDATES = """SELECT doc_id AS candidate_id, doc_id % 7 AS group_id, CASE WHE
 _ACCESSES = "SELECT event_id AS access_id, event_type AS principal_kind, user_id % 4 AS data_class FROM events"
 _SUBJECTS = "CASE user_id % 12 " + " ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(HIGH)) + " ELSE 'wording' END"
 _CHANGES = f"SELECT event_id AS change_id, {_SUBJECTS} AS subject FROM events"
-_TESTS = "SELECT CASE event_id % 14 " + " ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(NEGATIVE)) + " ELSE 'other' END AS item, event_type <> 'error' AS passed, event_id % 14 <> 3 AS asserts_error, event_id % 14 <> 5 OR user_id < 0 AS asserts_no_effect FROM events"
+_TESTS = "SELECT CASE event_id % 25 " + " ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(NEGATIVE)) + " ELSE 'other' END AS item, event_type <> 'error' AS passed, event_id % 25 <> 3 AS asserts_error, event_id % 25 <> 5 OR user_id < 0 AS asserts_no_effect FROM events"
 _APPROVALS = "SELECT version_id, approved_digest, 'c' || CAST(version_id % 3 AS STRING) AS approved_compiler, CASE WHEN version_id % 17 <> 2 THEN 'e1' END AS approved_eval_set FROM versions"
 _AS_IS = "SELECT version_id, digest, 'c' || CAST(version_id % 3 + CASE WHEN version_id % 19 = 4 THEN 1 ELSE 0 END AS STRING) AS compiler, 'e1' AS eval_set FROM versions"
 _ROTATIONS = "SELECT s_suppkey AS old_key, s_suppkey * 2 + k.k AS new_key, s_suppkey % 7 <> 5 AS signed FROM supplier CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) k"
-_PURGES = "SELECT o_orderkey AS purge_id, k.record, k.seq, CASE WHEN o_orderkey % 8 = 3 THEN 1 ELSE 2 END AS epoch FROM orders CROSS JOIN (SELECT 'PREPARE' AS record, 0 AS seq UNION ALL SELECT 'RECEIPT', 1 UNION ALL SELECT 'RESULT', 2) k WHERE NOT (o_orderkey % 6 = 1 AND k.seq = 2) AND NOT (o_orderkey % 6 = 2 AND k.seq = 0)"
+_PURGES = "SELECT o_orderkey AS purge_id, k.record, CASE WHEN o_orderkey % 10 = 7 THEN 2 - k.seq WHEN o_orderkey % 10 = 9 AND k.seq > 0 THEN 3 - k.seq ELSE k.seq END AS seq, CASE WHEN o_orderkey % 8 = 3 THEN 1 ELSE 2 END AS epoch FROM orders CROSS JOIN (SELECT 'PREPARE' AS record, 0 AS seq UNION ALL SELECT 'RECEIPT', 1 UNION ALL SELECT 'RESULT', 2) k WHERE NOT (o_orderkey % 6 = 1 AND k.seq = 2) AND NOT (o_orderkey % 6 = 2 AND k.seq = 0)"
 _EXAMPLES = "SELECT doc_id AS example_id FROM documents WHERE doc_id % 10 = 3"
 _USED = "SELECT task_id, count(*) * 5000000 AS redacted_bytes, count(*) * 9500 AS events, task_id % 15 AS questions, task_id % 5 AS retries, task_id % 4 AS passes, 2 AS iterations, task_id % 7 AS pages, task_id % 120 AS candidates, count(*) * 500 AS active_seconds FROM task_log GROUP BY task_id"
 _ASSERTED = """SELECT event_id AS assertion_id, CASE event_id % 6 WHEN 0 THEN 'boolean' WHEN 1 THEN 'exact' WHEN 2 THEN 'number' WHEN 3 THEN 'contains' WHEN 4 THEN 'set' ELSE 'model' END AS scorer,
   CASE event_id % 6 WHEN 0 THEN 'true' WHEN 1 THEN 'click' WHEN 2 THEN '10' WHEN 3 THEN 'ic' ELSE 'a b c' END AS expected, CASE WHEN user_id % 10 = 3 THEN NULL ELSE CASE event_id % 6 WHEN 0 THEN CASE WHEN user_id % 2 = 0 THEN 'true' ELSE 'false' END WHEN 2 THEN CAST(user_id % 12 AS STRING) WHEN 4 THEN CASE user_id % 4 WHEN 0 THEN 'c a' WHEN 1 THEN 'x b b' WHEN 2 THEN 'c b a' ELSE '' END ELSE event_type END END AS observed FROM events"""
 _WITHDRAWN = "SELECT s_suppkey % 97 AS source_id FROM supplier WHERE s_suppkey % 4 = 1 AND s_suppkey < 60 GROUP BY 1"
-_COUNT = " + ".join("len(regexp_extract_all(coalesce({c}, ''), '" + p.replace("{", "{{").replace("}", "}}") + "'))" for _, _, p in DETECTORS)
-
-
-def _chain(column: str) -> str:
-    for _, mark, pattern in DETECTORS:
-        column = f"regexp_replace({column}, '{pattern}', '{mark}', 'g')"
-    return column
 
 
-def _redacted(documents: DataFrame) -> DataFrame:
-    text = F.col("text")
-    for _, mark, pattern in DETECTORS:
-        text = F.regexp_replace(text, pattern, mark)
-    return documents.select("doc_id", text.alias("text"))
+def _passes() -> str:
+    """Two passes in DuckDB: each detector counts and redacts what those before it have left."""
+    sql = "SELECT doc_id, text, 0 AS n_before, 0 AS n_after FROM documents"
+    for n in ("n_before", "n_after"):
+        for _, mark, pattern in DETECTORS:
+            sql = f"SELECT * REPLACE (regexp_replace(text, '{pattern}', '{mark}', 'g') AS text, {n} + len(regexp_extract_all(coalesce(text, ''), '{pattern}')) AS {n}) FROM ({sql}) t"
+    return f"SELECT doc_id, CAST(n_before AS BIGINT) AS n_before, CAST(n_after AS BIGINT) AS n_after, sha256(text) AS digest FROM ({sql}) t"
 
 
 QUERIES = {
@@ -187,8 +190,8 @@ QUERIES = {
     ),
     "change_impact": (lambda t: impact(t.sql(_CHANGES)), "SELECT event_id AS change_id, CASE WHEN user_id % 12 < 8 THEN 'high' ELSE 'other' END AS impact FROM events"),
     "declassified_documents": (
-        lambda t: declassified(t("documents"), _redacted(t("documents"))),
-        f"WITH r AS (SELECT doc_id, text, {_chain('text')} AS kept FROM documents) SELECT doc_id, {_COUNT.format(c='text')} AS n_before, {_COUNT.format(c='kept')} AS n_after FROM r",
+        lambda t: declassified(t("documents")),
+        _passes(),
     ),
     "evidence_by_capability": (
         lambda t: by_capability(t("claims")),
@@ -204,7 +207,7 @@ QUERIES = {
     ),
     "update_parents": (
         lambda t: parents(t("versions")),
-        "SELECT c.version_id, p.state AS parent_state, CASE WHEN p.state IN ('exported', 'superseded', 'version-approved') THEN true WHEN p.state IN ('revoked', 'stale') THEN c.version_id % 3 = 0 ELSE false END AS admitted FROM versions c LEFT JOIN versions p ON c.parent_id = p.version_id WHERE c.parent_id IS NOT NULL",
+        "SELECT c.version_id, p.state AS parent_state, CASE WHEN p.state IN ('exported', 'superseded', 'version-approved') THEN true WHEN p.state IN ('revoked', 'stale') THEN c.repair ELSE false END AS admitted FROM versions c LEFT JOIN versions p ON c.parent_id = p.version_id WHERE c.parent_id IS NOT NULL",
     ),
     "completion_predicates": (
         lambda t: completion(t("claims").withColumn("capability_id", F.col("claim_id") % 331), t("supports")),
@@ -226,7 +229,8 @@ QUERIES = {
     ),
     "purge_protocol": (
         lambda t: purges(t.sql(_PURGES), 2),
-        "SELECT o_orderkey AS purge_id, CASE WHEN o_orderkey % 6 = 2 THEN 'refuse' WHEN o_orderkey % 8 = 3 THEN 'redo' WHEN o_orderkey % 6 = 1 THEN 'resume' ELSE 'done' END AS state FROM orders",
+        f"""WITH p AS ({_PURGES}), g AS (SELECT purge_id, string_agg(record, ',' ORDER BY seq) AS s, min(epoch) AS epoch FROM p GROUP BY purge_id)
+        SELECT purge_id, CASE WHEN s NOT LIKE 'PREPARE%' OR s LIKE '%RESULT,RECEIPT' THEN 'refuse' WHEN epoch < 2 THEN 'redo' WHEN s = 'PREPARE,RECEIPT,RESULT' THEN 'done' ELSE 'resume' END AS state FROM g""",
     ),
     "early_releases": (lambda t: released_early(t("roots")), "SELECT case_id, root_id FROM roots WHERE NOT released_seq >= assigned_seq"),
     "leaked_examples": (lambda t: leaked_examples(t.sql(_EXAMPLES), t("cases")), "SELECT case_id AS example_id, kind FROM cases WHERE case_id % 10 = 3"),

@@ -167,10 +167,11 @@ RELATIONS: dict[str, str] = {
         FROM rubric r JOIN labels l ON r.case_id = l.doc_id CROSS JOIN (SELECT 0 AS arm UNION ALL SELECT 1) m CROSS JOIN (SELECT 1 AS repetition UNION ALL SELECT 2 UNION ALL SELECT 3) p
         WHERE NOT (r.case_id % 20 > 3 AND r.case_id % 13 = 2 AND p.repetition = 3 AND m.arm = 1)""",
     "cases": """
-        SELECT l.doc_id AS case_id, div{l.doc_id, 2} AS root_id, CASE l.doc_id % 3 WHEN 0 THEN 'holdout' WHEN 1 THEN 'boundary' ELSE 'validation' END AS kind, CASE WHEN l.doc_id % 20 = 19 THEN 100 + l.doc_id % 100 ELSE l.doc_id % 20 END AS report_group, l.quality, l.toxic FROM labels l""",
+        SELECT l.doc_id AS case_id, div{l.doc_id, 2} AS root_id, CASE l.doc_id % 3 WHEN 0 THEN 'holdout' WHEN 1 THEN 'boundary' ELSE 'validation' END AS kind, CASE WHEN l.doc_id % 20 = 19 THEN 100 + l.doc_id % 100 ELSE l.doc_id % 20 END AS report_group, l.quality, l.toxic, l.doc_id % 41 <> 5 AS has_gold FROM labels l""",
+    # two prompts a label, one that should trigger and a hard negative
     "trigger_results": """
-        SELECT l.doc_id AS prompt_id, l.doc_id % 20 AS prompt_set, l.quality = 1 AS should_trigger, p.repetition, CASE WHEN (l.doc_id + p.repetition) % 23 = 0 THEN NULL WHEN l.doc_id % 20 < 4 THEN l.quality = 1 ELSE (l.quality = 1) = ((l.doc_id + p.repetition) % 12 <> 5) END AS predicted
-        FROM labels l CROSS JOIN (SELECT 1 AS repetition UNION ALL SELECT 2 UNION ALL SELECT 3) p""",
+        SELECT l.doc_id * 2 + k.k AS prompt_id, l.doc_id % 20 AS prompt_set, (l.quality = 1) = (k.k = 0) AS should_trigger, p.repetition, CASE WHEN (l.doc_id + p.repetition) % 23 = 0 THEN NULL WHEN l.doc_id % 20 < 4 THEN (l.quality = 1) = (k.k = 0) ELSE ((l.quality = 1) = (k.k = 0)) = ((l.doc_id + p.repetition) % 12 <> 5) END AS predicted
+        FROM labels l CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) k CROSS JOIN (SELECT 1 AS repetition UNION ALL SELECT 2 UNION ALL SELECT 3) p""",
     # what each task derived: evidence from input, claims from evidence, drafts, evaluations; a chain of evidence runs through a user's events
     "derived_nodes": """
         SELECT event_id * 10 AS node, user_id AS task_id, CASE WHEN event_id % 40 = 3 THEN 'model_input' ELSE 'evidence' END AS kind FROM events UNION ALL SELECT event_id * 10 + 1, user_id, 'claim' FROM events WHERE event_id % 3 = 0
@@ -211,7 +212,7 @@ RELATIONS: dict[str, str] = {
     "leases": "SELECT user_id % 10 AS task_id, event_id AS lease_id, user_id AS writer, ts AS starts, ts + INTERVAL 4 MINUTE AS ends FROM events",
     # files of a compiled draft
     "artifacts": """
-        SELECT page_id AS artifact_id, page_id % 40 AS generation, CASE page_id % 12 WHEN 0 THEN 'SKILL.md' WHEN 1 THEN 'references/Notes' || CAST(page_id % 3 AS STRING) || '.md' WHEN 2 THEN 'references/notes' || CAST(page_id % 3 AS STRING) || '.md' WHEN 3 THEN 'assets/a' || CAST(page_id AS STRING) || '.png'
+        SELECT page_id AS artifact_id, page_id % 40 AS generation, CASE page_id % 12 WHEN 0 THEN 'SKILL.md' WHEN 1 THEN 'references/Notes' || CAST(page_id % 3 AS STRING) || '.md' WHEN 2 THEN 'references/' || CASE WHEN page_id % 5 = 2 THEN 'straße' WHEN page_id % 5 = 3 THEN 'STRASSE' ELSE 'notes' || CAST(page_id % 3 AS STRING) END || '.md' WHEN 3 THEN 'assets/a' || CAST(page_id AS STRING) || '.png'
             WHEN 4 THEN 'references/../secret.md' WHEN 5 THEN '/etc/notes.md' WHEN 6 THEN 'references/deep/er/b.md' WHEN 7 THEN 'assets/run.sh' WHEN 8 THEN 'references/x' || CAST(page_id AS STRING) || '.json' WHEN 9 THEN 'assets/p.html' WHEN 10 THEN './references//c.md' ELSE 'evidence/raw' || CAST(page_id AS STRING) || '.txt' END AS rel_path,
           CASE page_id % 12 WHEN 3 THEN CASE WHEN page_id % 5 = 0 THEN 'text/plain' ELSE 'image/png' END WHEN 8 THEN 'application/json' WHEN 9 THEN 'text/html' ELSE 'text/markdown' END AS mime,
           CASE WHEN page_id % 12 = 3 AND page_id % 7 <> 1 THEN '89504E470D0A1A0A' ELSE '3C21444F43545950' END AS magic, CASE WHEN page_id % 12 = 7 THEN 493 ELSE 420 END AS mode_bits, CASE WHEN page_id % 29 = 3 THEN 2 ELSE 1 END AS link_count, sha{html} AS digest,

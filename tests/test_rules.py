@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from proofmill.operators import evaluation, grants, lineage, sessions
+from proofmill.operators import artifacts, evaluation, evidence, grants, lineage, policies, sessions
 from proofmill.plans import durable, states
 
 T = dt.datetime(2024, 1, 1)
@@ -55,11 +55,11 @@ def test_the_greater_of_two_attestations_of_one_instant(spark):
     assert grants.attested(ops, spark.createDataFrame(rows, ATTEST)).first().attestation_id == 3
 
 
-CASES = "case_id long, root_id long, kind string, report_group long"
+CASES = "case_id long, root_id long, kind string, report_group long, has_gold boolean"
 
 
-def evaluation_set(spark, skill=10, base=5, drop=None, change=None):
-    cases = [(k, k, "holdout" if k % 2 else "boundary", 1) for k in range(6)]
+def evaluation_set(spark, skill=10, base=5, drop=None, change=None, gold=True, missed=0, false=0, negatives=10, isolated=True):
+    cases = [(k, k, "holdout" if k % 2 else "boundary", 1, gold) for k in range(6)]
     rubric = [(k, c, j, c * 10 + j, w, False, j == 1 and c == 1, j == 1) for k in range(6) for c in range(4) for j, w in ((1, 60), (2, 40))]
     results = [[k, c, j, c * 10 + j, arm, r, skill if arm else base, False, "ok"] for k in range(6) for c in range(4) for j in (1, 2) for arm in (0, 1) for r in (1, 2, 3)]
     if change:
@@ -69,7 +69,9 @@ def evaluation_set(spark, skill=10, base=5, drop=None, change=None):
         results = [r for r in results if not drop(r)]
     frames = (spark.createDataFrame(rubric, "case_id long, category long, assertion long, assertion_id long, weight long, na_frozen boolean, safety boolean, high_impact boolean"),
               spark.createDataFrame([tuple(r) for r in results], "case_id long, category long, assertion long, assertion_id long, arm long, repetition long, value long, na boolean, status string"), spark.createDataFrame(cases, CASES))
-    return evaluation.promotion(*frames, spark.createDataFrame([(1, True)], "report_group long, approved boolean")).first()
+    asked = [(1, k, k < 10, (k < 10) != (k < missed or 10 <= k < 10 + false)) for k in range(10 + negatives)]
+    triggers = spark.createDataFrame(asked, "prompt_set long, prompt_id long, should_trigger boolean, predicted boolean")
+    return evaluation.promotion(*frames, spark.createDataFrame([(1, True)], "report_group long, approved boolean"), triggers, spark.createDataFrame([(1, isolated)], "report_group long, isolated boolean")).first()
 
 
 def test_promotion(spark):
@@ -79,12 +81,57 @@ def test_promotion(spark):
     assert evaluation_set(spark, drop=lambda r: r[0] == 2 and r[4] == 0 and r[5] == 3).blocked_by == "runs"
     assert "runs" in evaluation_set(spark, drop=lambda r: r[0] == 2 and r[4] == 1 and r[5] == 3).blocked_by
     assert "runs" in evaluation_set(spark, change=(8, "timeout")).blocked_by
+    assert evaluation_set(spark, gold=None).blocked_by == "gold" and evaluation_set(spark, isolated=False).blocked_by == "isolation"
+    assert evaluation_set(spark, missed=1, false=1).promoted  # nine of ten are enough
+    assert evaluation_set(spark, missed=2).blocked_by == "recall" and evaluation_set(spark, false=2).blocked_by == "precision"
+    assert evaluation_set(spark, negatives=9).blocked_by == "prompts"
 
 
-@pytest.mark.parametrize("score, passed", [(0.8, True), (0.7999, False)])
-def test_threshold_of_a_case(spark, score, passed):
-    runs = spark.createDataFrame([(1, 1, r, score, False) for r in (1, 2, 3)], "case_id long, arm long, repetition long, score double, failed boolean")
-    assert evaluation.case_scores(runs).first().passed is passed
+@pytest.mark.parametrize("points, passed", [(240 * 10**12, True), (240 * 10**12 - 1, False)])
+def test_threshold_of_a_case(spark, points, passed):
+    """One part in 10**14 below the threshold is below it."""
+    runs = spark.createDataFrame([(1, 1, r, 0.8, False, points // 3 + (r <= points % 3), 10**12) for r in (1, 2, 3)], "case_id long, arm long, repetition long, score double, failed boolean, points long, whole long")
+    got = evaluation.case_scores(runs).first()
+    assert got.passed is passed and got.shown == 80.0
+
+
+@pytest.mark.parametrize("points, improves", [(-370, True), (-371, False)])
+def test_threshold_of_the_improvement(spark, points, improves):
+    """A third, a seventh and what makes their sum a tenth of three cases exactly; a double would not meet it."""
+    scores = [(1, 1, 300, 3), (1, 0, 0, 1), (2, 1, 300, 7), (2, 0, 0, 1), (3, 1, points, 7), (3, 0, 0, 1)]
+    cases = spark.createDataFrame([(k, k, "holdout", 1, True) for k in (1, 2, 3)], CASES)
+    assert evaluation.baseline(spark.createDataFrame(scores, "case_id long, arm long, points long, whole long"), cases).first().improves is improves
+
+
+def test_purges(spark):
+    order = {1: "PREPARE RECEIPT RESULT", 2: "RESULT RECEIPT PREPARE", 3: "PREPARE RESULT RECEIPT", 4: "PREPARE RECEIPT", 5: "RECEIPT RESULT", 6: "RECEIPT PREPARE RESULT"}
+    rows = [(k, r, at, 2) for k, v in order.items() for at, r in enumerate(v.split())] + [(7, r, at, 1) for at, r in enumerate(order[1].split())]
+    got = {r.purge_id: r.state for r in policies.purges(spark.createDataFrame(rows, "purge_id long, record string, seq long, epoch long"), 2).collect()}
+    assert got == {1: "done", 2: "refuse", 3: "refuse", 4: "resume", 5: "refuse", 6: "refuse", 7: "redo"}
+
+
+FILE = "artifact_id long, generation long, rel_path string, mime string, magic string, mode_bits int, link_count int"
+
+
+@pytest.mark.parametrize("paths, wrong", [
+    (("references/straße.md", "references/STRASSE.md"), "case_collision"), (("references/a.yml",), ""), (("assets/a.jpeg",), ""), (("assets/a.webp",), ""), (("assets/b.webp",), "magic"),
+    (("references/a.png",), "folder"), (("assets/a.md",), "folder"), (("SKILL.md",), ""), (("notes.md",), "folder"),
+])
+def test_artifacts(spark, paths, wrong):
+    mime = {"md": "text/markdown", "yml": "application/yaml", "jpeg": "image/jpeg", "webp": "image/webp", "png": "image/png"}
+    magic = {"assets/a.jpeg": "FFD8FFE0", "assets/a.webp": "524946461234567857454250", "assets/b.webp": "524946461234567857415645", "references/a.png": "89504E470D0A1A0A"}
+    rows = [(k, 1, p, mime[p.rsplit(".", 1)[1]], magic.get(p, "00"), 420, 1) for k, p in enumerate(paths)]
+    assert {r.violations for r in artifacts.violations(spark.createDataFrame(rows, FILE)).collect()} == {wrong}
+
+
+def test_words_of_any_script(spark):
+    texts = [None, "", "-- !!", "123 45", "123, 45", "привет мир", "Привет, мир!", "你好 世界", "hello", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.cluster_id) for r in lineage.clusters(docs).collect()) == [(3, 3), (4, 3), (5, 5), (6, 5)]
+    long = spark.createDataFrame([(1, "один два три четыре пять шесть"), (2, "one two")], "item_id long, text string")
+    both = spark.createDataFrame([(7, "ноль один два три четыре пять шесть"), (8, "один два")], "doc_id long, text string")
+    assert [(r.item_id, r.doc_id, r.n_shared) for r in lineage.near_duplicates(long, both).collect()] == [(1, 7, 2)]
+    assert evidence.copies(docs).isEmpty()
 
 
 @pytest.mark.parametrize("wrong, absent, recall", [(1, 0, True), (2, 0, False), (1, 1, False)])
