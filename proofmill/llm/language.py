@@ -75,7 +75,7 @@ def grams(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, table: np.nda
     letters = np.zeros(len(ids) + 1, np.int64)
     np.cumsum(ids > 0, out=letters[1:])
     letters = letters[stops] - letters[starts]
-    out = np.zeros(len(ids) + PAD * n, np.uint16)
+    out = np.zeros(len(ids) + PAD * n, np.uint32)
     owner = np.repeat(np.arange(n), stops - starts)
     out[np.arange(len(ids)) + PAD * (owner + 1)] = ids
     owner = np.repeat(np.arange(n), stops - starts + PAD)

@@ -124,3 +124,13 @@ def test_blocks_score_like_one(spark, monkeypatch):
         w = one[r.doc_id]
         assert (r.lang_pred, r.rejected) == (w.lang_pred, w.rejected)
         assert abs(r.score - w.score) < 1e-4 and abs(r.cross_entropy - w.cross_entropy) < 1e-4
+
+
+def test_an_alphabet_of_all_letters():
+    """Numbers of characters beyond 65,535 are not cut short."""
+    letters = "".join(chr(c) for c in range(0x110000) if chr(c).isalpha() and len(chr(c).lower()) == 1)
+    alphabet = language.Alphabet([letters])
+    assert alphabet.size > 1 << 16
+    raw = np.frombuffer(letters.encode(), np.uint8)
+    ids, at, _, n = language.grams(raw, np.array([0]), np.array([len(raw)]), alphabet.table)
+    assert n[0] == len(letters) and ids[at].tolist() == [int(alphabet.table[ord(c)]) for c in letters] and (ids[at] > 0).all()
