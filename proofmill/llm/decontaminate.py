@@ -169,8 +169,8 @@ def summary(n: int, found: list[tuple] | None) -> tuple:
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
-    """Benchmark items, block by block; a block holds block_bytes of text on average at most."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    """Benchmark items, block by block, repeated rows once; a block holds block_bytes of text on average at most."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-2 * total // block_bytes) if total > block_bytes else 1
     for k in range(n):

@@ -110,3 +110,10 @@ def test_query(spark):
     got = [tuple(r)[:6] for r in d.query(spark, sf).collect()]
     assert sum(r[5] for r in got) > 5
     assert sorted(got, key=key) == sorted(brute(docs, items), key=key)
+
+
+def test_repeated_items_are_one(spark):
+    """A benchmark of one item repeated past a block is a block of one item."""
+    items = spark.createDataFrame([("a", "w " * 500)] * 300, "item_id string, text string")
+    found = list(d.blocks(items, 10_000))
+    assert len(found) == 1 and len(found[0]) == 1
