@@ -20,9 +20,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Buckets of row numbering for each so many rows, within these bounds.
 ROWS_A_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 9, 1 << 14
-ROUNDS, STEPS = 6, 64
+ROUNDS, STEPS, CHUNK = 6, 64, 4096
 _M = (1 << 31) - 1
 
 
@@ -106,14 +108,24 @@ def bucket_count(n_rows: int) -> int:
 
 
 def numbered(rows: DataFrame, by: list[str], n_rows: int, to: str) -> DataFrame:
-    """Adds global row numbers from 0: by hash bucket, then by the given columns."""
+    """Rows of these columns with global row numbers from 0: by hash bucket, then by the columns.
+
+    Rows that are alike are counted before they are shuffled and numbered as one; beyond CHUNK of them they
+    are dealt to several tasks, so a table of copies is no single task's.
+    """
     buckets = bucket_count(n_rows)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    kinds = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+    kinds = Scratch(rows.sparkSession).keep(kinds)
+    counts = kinds.groupBy("_bucket").agg(F.sum("_copies").alias("_n"))
     first = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_first"))
-    inner = F.row_number().over(Window.partitionBy("_bucket").orderBy(*by)) - 1
+    before = F.coalesce(F.sum("_copies").over(Window.partitionBy("_bucket").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # at most MOST_BUCKETS rows of two numbers
-    return rows.withColumn("_row", inner).join(F.broadcast(first), "_bucket").withColumn(to, F.col("_first") + F.col("_row")).drop("_bucket", "_row", "_first")
+    placed = kinds.withColumn("_before", before).join(F.broadcast(first), "_bucket").select(*by, "_copies", (F.col("_first") + F.col("_before")).alias("_at"))
+    count = lambda upto: F.explode(F.sequence(F.lit(0).cast("long"), upto.cast("long") - 1))
+    one = placed.filter(F.col("_copies") <= CHUNK).withColumn("_k", count(F.col("_copies")))
+    many = placed.filter(F.col("_copies") > CHUNK).withColumn("_chunk", count(F.ceil(F.col("_copies") / CHUNK))).repartition(*by, "_chunk")
+    many = many.withColumn("_k", count(F.least(F.lit(CHUNK), F.col("_copies") - F.col("_chunk") * CHUNK))).withColumn("_k", F.col("_k") + F.col("_chunk") * CHUNK)
+    return one.unionByName(many.drop("_chunk")).select(*by, (F.col("_at") + F.col("_k")).alias(to))
 
 
 def shard(docs: DataFrame, n_shards: int, key: int = 0) -> DataFrame:

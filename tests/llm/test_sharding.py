@@ -48,3 +48,11 @@ def test_query(spark):
     counts = Counter(r.shard for r in rows)
     assert set(counts) == set(range(40)) and max(counts.values()) - min(counts.values()) <= 1
     assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(40) for k in range(counts[s])]
+
+
+def test_a_table_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 100)
+    texts = [(7, "same")] * 1234 + [(8, "same")] * 100 + [(9, "same")] * 101 + [(k, "x") for k in range(10, 40)]
+    rows = sharding.shard(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), 11).collect()
+    check(rows, texts, 11)
+    assert Counter(r.doc_id for r in rows) == Counter(d for d, _ in texts)
