@@ -1,27 +1,148 @@
-"""Ed25519 receipts, verified on the driver; receipts are few, one per evaluation."""
+"""Ed25519 as RFC 8032 has it, over Arrow batches on the executors; nothing goes to the driver.
+
+Points are in extended coordinates. The base point, and each key that a worker meets, get a table of
+multiples by digits of four bits, so a product is 64 additions. Keys are few: one per evaluator or rotation.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import hashlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+#: Fixed values of the curve: field, order of the base point, coefficient, square root of -1, base point's y.
+P = 2**255 - 19
+L = 2**252 + 27742317777372353535851937790883648493
+D = -121665 * pow(121666, P - 2, P) % P
+ROOT = pow(2, (P - 1) // 4, P)
+BASE_Y = 4 * pow(5, P - 2, P) % P
+ZERO = (0, 1, 1, 0)
+Point = tuple[int, int, int, int]
+
+
+def _add(p: Point, q: Point) -> Point:
+    a, b = (p[1] - p[0]) * (q[1] - q[0]) % P, (p[1] + p[0]) * (q[1] + q[0]) % P
+    c, d = 2 * p[3] * q[3] * D % P, 2 * p[2] * q[2] % P
+    e, f, g, h = b - a, d - c, d + c, b + a
+    return e * f % P, g * h % P, f * g % P, e * h % P
+
+
+def _x(y: int, odd: int) -> int | None:
+    """The x of a point with this y; None if there is none."""
+    square = (y * y - 1) * pow(D * y * y + 1, P - 2, P) % P
+    x = pow(square, (P + 3) // 8, P)
+    if (x * x - square) % P:
+        x = x * ROOT % P
+    if (x * x - square) % P or (not x and odd):
+        return None
+    return x if x & 1 == odd else P - x
+
+
+def _unpack(data: bytes) -> Point | None:
+    """The point that 32 bytes stand for; None if they are no canonical form of one."""
+    if len(data) != 32:
+        return None
+    number = int.from_bytes(data, "little")
+    y, odd = number & (1 << 255) - 1, number >> 255
+    if y >= P or (x := _x(y, odd)) is None:
+        return None
+    return x, y, 1, x * y % P
+
+
+def _pack(p: Point) -> bytes:
+    inverse = pow(p[2], P - 2, P)
+    return (p[1] * inverse % P | (p[0] * inverse % P & 1) << 255).to_bytes(32, "little")
+
+
+def _table(p: Point) -> list[list[Point]]:
+    """table[i][d] is d * 16**i times the point."""
+    out = []
+    for _ in range(64):
+        row = [ZERO]
+        for _ in range(15):
+            row.append(_add(row[-1], p))
+        out.append(row)
+        p = _add(row[15], p)
+    return out
+
+
+def _times(n: int, table: list[list[Point]], start: Point = ZERO) -> Point:
+    for row in table:
+        if n & 15:
+            start = _add(start, row[n & 15])
+        n >>= 4
+    return start
+
 
-#: What stands before the 32 bytes of a public key in its X.509 form.
-X509 = bytes.fromhex("302a300506032b6570032100")
+_BASE = _table((_x(BASE_Y, 0), BASE_Y, 1, _x(BASE_Y, 0) * BASE_Y % P))
 
 
-def verified(spark: SparkSession, public_key: bytes, message: bytes, signature: bytes) -> bool:
+@lru_cache(maxsize=256)
+def _negated(key: bytes) -> list[list[Point]] | None:
+    """The table of a key's negative; None if it is no point."""
+    p = _unpack(key)
+    return p and _table((P - p[0], p[1], 1, P - p[3]))
+
+
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.sha512(b"".join(parts)).digest(), "little")
+
+
+def _secret(seed: bytes) -> tuple[int, bytes]:
+    h = hashlib.sha512(seed).digest()
+    return int.from_bytes(h[:32], "little") & (1 << 254) - 8 | 1 << 254, h[32:]
+
+
+@lru_cache(maxsize=4096)
+def public(seed: bytes) -> bytes:
+    """The public key of a seed of 32 bytes."""
+    return _pack(_times(_secret(seed)[0], _BASE))
+
+
+def sign(seed: bytes, message: bytes) -> bytes:
+    a, prefix = _secret(seed)
+    r = _hash(prefix, message) % L
+    head = _pack(_times(r, _BASE))
+    return head + ((r + _hash(head, public(seed), message) * a) % L).to_bytes(32, "little")
+
+
+def verified(key: bytes | None, message: bytes | None, signature: bytes | None) -> bool:
     """Did the key's owner sign the message? A malformed key or signature is no."""
-    jvm = spark._jvm
-    try:
-        spec = jvm.java.security.spec.X509EncodedKeySpec(X509 + public_key)
-        key = jvm.java.security.KeyFactory.getInstance("Ed25519").generatePublic(spec)
-        check = jvm.java.security.Signature.getInstance("Ed25519")
-        check.initVerify(key)
-        check.update(message)
-        return bool(check.verify(signature))
-    except Exception:
+    if key is None or message is None or signature is None or len(signature) != 64 or len(key) != 32:
         return False
+    s = int.from_bytes(signature[32:], "little")
+    table = _negated(key)
+    if s >= L or table is None:
+        return False
+    return _pack(_times(_hash(signature[:32], key, message) % L, table, _times(s, _BASE))) == signature[:32]
+
+
+def checked(rows: DataFrame, key: str, message: str, signature: str, to: str) -> DataFrame:
+    """rows with a boolean column: is the signature (binary) the key's (binary) over the message (binary)? Null is no."""
+    at, schema = [rows.columns.index(c) for c in (key, message, signature)], StructType([*rows.schema.fields, StructField(to, BooleanType())])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [verified(*x) for x in zip(*(batch.column(k).to_pylist() for k in at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(good, pa.bool_())], names)
+
+    return rows.mapInArrow(run, schema)
+
 
+def receipts(rows: DataFrame, keys: DataFrame, epochs: DataFrame) -> DataFrame:
+    """rows (receipt, key_id, message, signature, fencing_epoch, authority_epoch) with a status.
 
-def allowed(spark: SparkSession, keys: dict[str, bytes], key_id: str, message: bytes, signature: bytes) -> bool:
-    """Is it a receipt of an allowlisted evaluator?"""
-    return key_id in keys and verified(spark, keys[key_id], message, signature)
+    keys (key_id, public_key) are the allowlisted evaluators, epochs is one row (fencing, authority). In
+    this order a receipt is of an unknown key, not signed, stale, or accepted.
+    """
+    known = rows.join(keys, "key_id", "left").crossJoin(F.broadcast(epochs))  # epochs: one row
+    found = checked(known, "public_key", "message", "signature", "signed")
+    stale = F.coalesce((F.col("fencing_epoch") < F.col("fencing")) | (F.col("authority_epoch") < F.col("authority")), F.lit(True))
+    status = F.when(F.col("public_key").isNull(), "unknown key").when(~F.col("signed"), "not signed").when(stale, "stale").otherwise("accepted")
+    return found.select("receipt", status.alias("status"))

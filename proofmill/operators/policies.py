@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import reach
+from ..functions.signatures import checked, receipts
+from ..plans import fixtures
+from ..plans.durable import cut, reach
 from ..plans.states import BUDGETS
 from .evidence import DETECTORS, redaction
 from .lineage import reevaluated
@@ -102,9 +104,10 @@ def export_states(claims: DataFrame, supports: DataFrame, withdrawn: DataFrame)
 
 
 def trusted(rotations: DataFrame, root: int) -> DataFrame:
-    """Signing keys to which an unbroken chain of signed rotations leads from the root."""
-    good = rotations.filter("signed").select("old_key", "new_key")
+    """Signing keys to which an unbroken chain of rotations leads from the root, each signed by the key that it replaces."""
+    good = checked(rotations, "public_key", "message", "signature", "good").filter("good").select("old_key", "new_key")
     step = lambda front: front.join(good, F.col("key_id") == F.col("old_key")).select(F.col("new_key").alias("key_id"))
+    good = cut(good)
     return reach(rotations.sparkSession.createDataFrame([(root,)], "key_id long"), step, ["key_id"])
 
 
@@ -224,9 +227,13 @@ QUERIES = {
         SELECT capability_id, CASE WHEN bool_or(kept < had AND kept = 0 AND impact = 'high') THEN 'revoked' WHEN bool_or(kept < had) THEN 'stale' ELSE 'exported' END AS state FROM s GROUP BY capability_id""",
     ),
     "trusted_keys": (
-        lambda t: trusted(t.sql(_ROTATIONS), 0),
+        lambda t: trusted(fixtures.rotations(t.sql(_ROTATIONS)), 0),
         f"WITH RECURSIVE k AS ({_ROTATIONS}), r AS (SELECT CAST(0 AS BIGINT) AS key_id UNION SELECT k.new_key FROM r JOIN k ON k.old_key = r.key_id WHERE k.signed) SELECT key_id FROM r",
     ),
+    "receipt_verdicts": (
+        lambda t: receipts(fixtures.receipts(t("receipts")), fixtures.evaluators(t("evaluators")), t("epochs")),
+        """SELECT receipt, CASE WHEN r.key_id NOT IN (SELECT key_id FROM evaluators) THEN 'unknown key' WHEN fault IN ('altered', 'cut') THEN 'not signed' WHEN fencing_epoch < (SELECT fencing FROM epochs) OR authority_epoch < (SELECT authority FROM epochs) THEN 'stale' ELSE 'accepted' END AS status FROM receipts r""",
+    ),
     "purge_protocol": (
         lambda t: purges(t.sql(_PURGES), 2),
         f"""WITH p AS ({_PURGES}), g AS (SELECT purge_id, string_agg(record, ',' ORDER BY seq) AS s, min(epoch) AS epoch FROM p GROUP BY purge_id)

@@ -203,6 +203,10 @@ RELATIONS: dict[str, str] = {
           CASE p_partkey % 7 WHEN 0 THEN 'draft' WHEN 1 THEN 'evaluated' WHEN 2 THEN 'version-approved' WHEN 3 THEN 'exported' WHEN 4 THEN 'stale' WHEN 5 THEN 'superseded' ELSE 'revoked' END AS state,
           sha{p_name} AS digest, sha{CASE WHEN p_partkey % 13 = 4 THEN p_name || '*' ELSE p_name END} AS approved_digest,
           CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN sha{p_name} ELSE sha{CASE WHEN p_partkey % 13 = 4 THEN p_name || '*' ELSE p_name END} END AS found_digest, p_partkey % 3 = 0 AS repair FROM part""",
+    # an evaluator's receipt per version, the evaluators that are allowed, and the epochs in force
+    "receipts": "SELECT version_id AS receipt, CASE WHEN version_id % 17 = 3 THEN 'x' ELSE 'e' || CAST(version_id % 3 AS STRING) END AS key_id, digest, CASE WHEN version_id % 19 = 4 THEN 1 ELSE 2 END AS fencing_epoch, CASE WHEN version_id % 23 = 5 THEN 6 ELSE 7 END AS authority_epoch, CASE WHEN version_id % 13 = 2 THEN 'altered' WHEN version_id % 29 = 6 THEN 'cut' ELSE '' END AS fault FROM versions",
+    "evaluators": "SELECT DISTINCT key_id FROM receipts WHERE key_id <> 'x'",
+    "epochs": "SELECT max(fencing_epoch) AS fencing, max(authority_epoch) AS authority FROM receipts",
     # one-way protocols: which records of a transaction exist
     "protocol": """
         SELECT o_orderkey AS txn, k.kind, o_orderkey * 10 + k.place AS seq, CASE WHEN o_orderkey % 9 = 4 AND k.kind = 'RECEIPT' THEN 1 ELSE 2 END AS epoch FROM orders

@@ -41,12 +41,33 @@ def test_columns(spark):
     assert folded[0][0] == "a/./b//c" and folded[3][0] is None and folded[3][1] is None and folded[4][1] == 0
 
 
-def test_signatures(spark):
-    """Known values of RFC 8032, section 7.1."""
-    from proofmill.functions.signatures import allowed, verified
-
-    key = bytes.fromhex("3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c")
-    sign = bytes.fromhex("92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00")
-    assert verified(spark, key, b"\x72", sign) and not verified(spark, key, b"\x73", sign)
-    assert not verified(spark, key[:-1], b"\x72", sign) and not verified(spark, key, b"\x72", sign[:-1])
-    assert allowed(spark, {"k1": key}, "k1", b"\x72", sign) and not allowed(spark, {"k1": key}, "k2", b"\x72", sign)
+#: Fixed values of RFC 8032, section 7.1: seed, public key, message, signature.
+VECTORS = [
+    ("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60", "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a", "", "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"),
+    ("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb", "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", "72", "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"),
+]
+
+
+@pytest.mark.parametrize("seed, key, message, signature", [tuple(map(bytes.fromhex, v)) for v in VECTORS])
+def test_signature_vectors(seed, key, message, signature):
+    from proofmill.functions import signatures as s
+
+    assert s.public(seed) == key and s.sign(seed, message) == signature and s.verified(key, message, signature)
+    assert not s.verified(key, message + b"x", signature) and not s.verified(key[:-1], message, signature) and not s.verified(key, message, signature[:-1])
+    assert not s.verified(None, message, signature) and not s.verified(key, message, signature[:32] + (int.from_bytes(signature[32:], "little") + s.L).to_bytes(32, "little"))
+    assert not s.verified(b"\xff" * 32, message, signature) and not s.verified((2).to_bytes(32, "little"), message, signature)
+    for k in range(0, 512, 37):
+        bad = bytearray(signature)
+        bad[k // 8] ^= 1 << k % 8
+        assert not s.verified(key, message, bytes(bad))
+
+
+def test_signatures_of_columns(spark):
+    from proofmill.functions import signatures as s
+
+    seed, key, message, signature = map(bytes.fromhex, VECTORS[1])
+    rows = spark.createDataFrame([(1, key, message, signature), (2, key, b"other", signature), (3, None, message, signature), (4, key, message, None)], "id long, k binary, m binary, s binary")
+    assert {r.id: r.good for r in s.checked(rows, "k", "m", "s", "good").collect()} == {1: True, 2: False, 3: False, 4: False}
+    asked = spark.createDataFrame([(1, "e", message, signature, 2, 7), (2, "x", message, signature, 2, 7), (3, "e", message, signature[:-1], 2, 7), (4, "e", message, signature, 1, 7), (5, "e", message, signature, 2, 6), (6, "e", message, signature, None, 7)], "receipt long, key_id string, message binary, signature binary, fencing_epoch int, authority_epoch int")
+    got = s.receipts(asked, spark.createDataFrame([("e", key)], "key_id string, public_key binary"), spark.createDataFrame([(2, 7)], "fencing int, authority int"))
+    assert {r.receipt: r.status for r in got.collect()} == {1: "accepted", 2: "unknown key", 3: "not signed", 4: "stale", 5: "stale", 6: "stale"}
