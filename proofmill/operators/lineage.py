@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.streams import digests
 from ..plans.durable import cut, reach, smallest_reachable
 
 #: Words of a shingle, and the share of an item's shingles from which a document is a near duplicate of it.
@@ -99,6 +100,36 @@ def chain_gaps(lines: DataFrame, orders: DataFrame, customers: DataFrame, nation
     return chain.select("l_orderkey", "l_linenumber", gap.alias("gap")).filter("gap is not null").groupBy("gap").agg(F.count("*").alias("n_lines"), F.count_distinct("l_orderkey").alias("n_orders"))
 
 
+#: The hops by which a section leads back to a grant, or to an explicit decision, as (kind, edge, kind).
+HOPS = (
+    ("section", "compiled_from", "rule"), ("rule", "confirmed_by", "claim"), ("rule", "decided_by", "decision"), ("claim", "supported_by", "span"),
+    ("span", "ingested_in", "run"), ("run", "snapshot_of", "snapshot"), ("snapshot", "granted_by", "grant"),
+)
+
+
+def chains(sections: DataFrame, edges: DataFrame, grants: DataFrame) -> DataFrame:
+    """Every section (node): does it lead back to an active grant or to a decision, what stops it, and how many snapshots stand behind it.
+
+    edges are (src, dst, edge_type), grants (node, active). One join per hop carries all sections at once;
+    a way counts only if its edges have the types of the hops in their order. One complete way is enough;
+    where there is none, gap is the hop that is missing on the longest one, or inactive for its grant.
+    """
+    at = {"section": cut(sections.select(F.col("node").alias("section"), "node").distinct())}
+    for kind, edge, to in HOPS:
+        step = at[kind].join(edges.filter(F.col("edge_type") == edge).select(F.col("src").alias("node"), "dst"), "node").select("section", F.col("dst").alias("node")).distinct()
+        at[to] = cut(step)
+    last = at["grant"].join(grants, "node").groupBy("section").agg(F.max("active").alias("active"))
+    out = at["section"].select("section").join(last, "section", "left")
+    for kind in ("rule", "claim", "decision", "span", "run", "snapshot", "grant"):
+        out = out.join(at[kind].groupBy("section").agg(F.count("*").alias(f"n_{kind}")), "section", "left")
+    whole = F.coalesce(F.col("active"), F.lit(False)) | F.col("n_decision").isNotNull()
+    gap = F.when(F.col("n_grant").isNotNull(), "inactive")
+    for kind, edge, to in reversed(HOPS):
+        if to not in ("decision", "rule"):
+            gap = gap.when(F.col(f"n_{kind}").isNotNull(), edge)
+    return out.select("section", whole.alias("complete"), F.when(~whole, gap.otherwise("compiled_from")).alias("gap"), F.coalesce("n_snapshot", F.lit(0)).cast("long").alias("n_snapshots"))
+
+
 def conflicts(claims: DataFrame) -> DataFrame:
     """Pairs of claims of which one contradicts the other, each pair once, and whether it blocks."""
     other = claims.select(F.col("claim_id").alias("contradicts"), F.col("impact").alias("other_impact"))
@@ -149,11 +180,15 @@ def synonyms(parts: DataFrame) -> DataFrame:
 
 
 def incremental(turns: DataFrame, watermark: int = 3) -> DataFrame:
-    """Every append-only session: what is read now, what waits for the next run, and the prefix that a later run must find again."""
+    """Every append-only session: what is read now, what waits for the next run, and the prefix that a later run must find again.
+
+    A session's prefix is digested as a stream, so no session is held in memory.
+    """
     kept = F.col("turn") <= watermark
-    line = F.when(kept, F.concat_ws(":", F.col("turn").cast("string"), "role", F.sha2(F.coalesce("text", F.lit("")), 256)))
-    g = turns.withColumn("line", line).groupBy("conv_id").agg(F.count("line").alias("n_now"), F.count(F.when(~kept, 1)).alias("n_next"), F.sort_array(F.collect_list(F.struct("turn", "line"))).alias("l"))
-    return g.select("conv_id", "n_now", "n_next", F.sha2(F.array_join(F.filter(F.transform("l", lambda x: x.line), lambda x: x.isNotNull()), "\n"), 256).alias("prefix_digest"))
+    line = F.concat_ws(":", F.col("turn").cast("string"), "role", F.sha2(F.coalesce("text", F.lit("")), 256))
+    n = turns.groupBy("conv_id").agg(F.count(F.when(kept, 1)).alias("n_now"), F.count(F.when(~kept, 1)).alias("n_next"))
+    found = digests(turns.filter(kept).select("conv_id", "turn", line.alias("line")), "conv_id", ["turn", "line"], "\n").select("conv_id", "digest")
+    return n.join(found, "conv_id", "left").select("conv_id", "n_now", "n_next", F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("prefix_digest"))
 
 
 def rewritten(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -210,6 +245,13 @@ QUERIES = {
           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey)
         SELECT gap, count(*) AS n_lines, count(DISTINCT l_orderkey) AS n_orders FROM g WHERE gap IS NOT NULL GROUP BY gap""",
     ),
+    "provenance_chains": (
+        lambda t: chains(t("events").filter("event_id % 10 = 0").select((F.col("event_id") * 100).alias("node")), t("chain_edges"), t("chain_grants")),
+        """WITH RECURSIVE w AS (SELECT event_id * 100 AS section, event_id * 100 AS node, 0 AS hop, '' AS last FROM events WHERE event_id % 10 = 0
+          UNION SELECT w.section, e.dst, w.hop + 1, e.edge_type FROM w JOIN chain_edges e ON e.src = w.node AND ((w.hop = 0 AND e.edge_type = 'compiled_from') OR (w.hop = 1 AND e.edge_type IN ('confirmed_by', 'decided_by')) OR (w.last = 'confirmed_by' AND e.edge_type = 'supported_by') OR (w.last = 'supported_by' AND e.edge_type = 'ingested_in') OR (w.last = 'ingested_in' AND e.edge_type = 'snapshot_of') OR (w.last = 'snapshot_of' AND e.edge_type = 'granted_by'))),
+        g AS (SELECT section, bool_or(last = 'decided_by' OR coalesce(c.active, false)) AS complete, max(CASE last WHEN 'decided_by' THEN 1 ELSE hop END) AS hops, count(DISTINCT CASE WHEN last = 'snapshot_of' THEN w.node END) AS n_snapshots FROM w LEFT JOIN chain_grants c ON last = 'granted_by' AND c.node = w.node GROUP BY section)
+        SELECT section, complete, CASE WHEN NOT complete THEN (['compiled_from', 'confirmed_by', 'supported_by', 'ingested_in', 'snapshot_of', 'granted_by', 'inactive'])[hops + 1] END AS gap, n_snapshots FROM g""",
+    ),
     "conflict_pairs": (
         lambda t: conflicts(t("claims")),
         "SELECT least(x.claim_id, y.claim_id) AS a, greatest(x.claim_id, y.claim_id) AS b, bool_or((x.impact = 'high' OR y.impact = 'high') AND NOT x.adjudicated) AS blocks FROM claims x JOIN claims y ON x.contradicts = y.claim_id GROUP BY 1, 2",

@@ -203,6 +203,15 @@ RELATIONS: dict[str, str] = {
           CASE p_partkey % 7 WHEN 0 THEN 'draft' WHEN 1 THEN 'evaluated' WHEN 2 THEN 'version-approved' WHEN 3 THEN 'exported' WHEN 4 THEN 'stale' WHEN 5 THEN 'superseded' ELSE 'revoked' END AS state,
           sha{p_name} AS digest, sha{CASE WHEN p_partkey % 13 = 4 THEN p_name || '*' ELSE p_name END} AS approved_digest,
           CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN sha{p_name} ELSE sha{CASE WHEN p_partkey % 13 = 4 THEN p_name || '*' ELSE p_name END} END AS found_digest, p_partkey % 3 = 0 AS repair FROM part""",
+    # typed derivations of sections, back to grants: two claims' ways for some, a missing hop of each kind for others
+    "chain_edges": """
+        SELECT event_id * 100 AS src, event_id * 100 + 1 AS dst, 'compiled_from' AS edge_type FROM events WHERE event_id % 10 = 0 AND event_id % 70 <> 20
+        UNION ALL SELECT event_id * 100 + 1, event_id * 100 + 2, 'confirmed_by' FROM events WHERE event_id % 10 = 0 AND event_id % 110 <> 30 UNION ALL SELECT event_id * 100 + 1, event_id * 100 + 3, 'decided_by' FROM events WHERE event_id % 60 = 0
+        UNION ALL SELECT event_id * 100 + 2, event_id * 100 + 4, 'supported_by' FROM events WHERE event_id % 10 = 0 AND event_id % 130 <> 40 UNION ALL SELECT event_id * 100 + 2, (event_id + 1) * 100 + 4, 'supported_by' FROM events WHERE event_id % 40 = 0
+        UNION ALL SELECT event_id * 100 + 4, user_id * 100 + 5, 'ingested_in' FROM events WHERE event_id % 10 < 2 AND event_id % 170 <> 50
+        UNION ALL SELECT DISTINCT user_id * 100 + 5, user_id * 100 + 6, 'snapshot_of' FROM events WHERE user_id % 13 <> 6 UNION ALL SELECT DISTINCT user_id * 100 + 6, user_id % 50 * 100 + 7, 'granted_by' FROM events WHERE user_id % 17 <> 7
+        UNION ALL SELECT event_id * 100, event_id * 100 + 4, 'supported_by' FROM events WHERE event_id % 90 = 10""",
+    "chain_grants": "SELECT DISTINCT user_id % 50 * 100 + 7 AS node, user_id % 50 % 11 <> 3 AS active FROM events",
     # an evaluator's receipt per version, the evaluators that are allowed, and the epochs in force
     "receipts": "SELECT version_id AS receipt, CASE WHEN version_id % 17 = 3 THEN 'x' ELSE 'e' || CAST(version_id % 3 AS STRING) END AS key_id, digest, CASE WHEN version_id % 19 = 4 THEN 1 ELSE 2 END AS fencing_epoch, CASE WHEN version_id % 23 = 5 THEN 6 ELSE 7 END AS authority_epoch, CASE WHEN version_id % 13 = 2 THEN 'altered' WHEN version_id % 29 = 6 THEN 'cut' ELSE '' END AS fault FROM versions",
     "evaluators": "SELECT DISTINCT key_id FROM receipts WHERE key_id <> 'x'",
