@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import cut
 from ..plans.reachability import earlier, labels
-from ..plans.relations import Reader
 
 #: Losses that leave the meaning whole; every other one quarantines the root case.
 HARMLESS = ("formatting", "token_counts", "wall_clock", "hidden_reasoning")

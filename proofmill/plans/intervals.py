@@ -58,7 +58,7 @@ def covering(points: DataFrame, intervals: DataFrame, keys: list[str], at: str,
     minute = _minute(F.col("t_"))
     level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
     ok = (F.col("t_") >= 0) & (F.col("t_") < _END * 60_000_000)
-    deep = timed.filter(ok).withColumn("level_", level).withColumn("node_", F.expr(f"shiftright(CAST(floor(t_ / 60000000) AS BIGINT), level_)"))
+    deep = timed.filter(ok).withColumn("level_", level).withColumn("node_", F.expr("shiftright(CAST(floor(t_ / 60000000) AS BIGINT), level_)"))
     whole = deep.join(inside, [*keys, "level_", "node_"]).drop("level_", "node_", "t_")
     edge = timed.withColumn("minute_", minute).join(ends, [*keys, "minute_"])
     # a minute that the whole spans have too is theirs
