@@ -57,10 +57,11 @@ def calls(nodes: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Every edge: does its end resolve, is it marked as outside, or neither?"""
-    known = nodes.select(F.col("event_id").alias("dst"), F.lit(True).alias("there")).distinct()
-    status = F.when(F.col("there"), "resolved").when(F.col("ref_state").isin("external", "missing"), "marked").otherwise("unresolved")
-    return edges.join(known, "dst", "left").select("root_id", "src", "dst", "edge_type", status.alias("status"))
+    """Every edge: do both its ends resolve, is it marked as outside, or neither?"""
+    known = nodes.select("event_id").distinct()
+    at = lambda end: known.select(F.col("event_id").alias(end), F.lit(True).alias(f"{end}_there"))
+    status = F.when(F.col("src_there") & F.col("dst_there"), "resolved").when(F.col("ref_state").isin("external", "missing"), "marked").otherwise("unresolved")
+    return edges.join(at("dst"), "dst", "left").join(at("src"), "src", "left").select("root_id", "src", "dst", "edge_type", status.alias("status"))
 
 
 def spawns(nodes: DataFrame, edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -206,7 +207,7 @@ QUERIES = {
     "call_results": (lambda t: calls(t("nodes"), order(t("nodes"), t("edges"))), f"WITH RECURSIVE {_REACH}, c AS ({_CALLS}) SELECT root_id, call_id, n_calls, n_results, contiguous, n_calls = 1 AND n_results = 1 AND after AS matched FROM c"),
     "reference_resolution": (
         lambda t: references(t("edges"), t("nodes")),
-        "SELECT root_id, src, dst, edge_type, CASE WHEN dst IN (SELECT event_id FROM nodes) THEN 'resolved' WHEN ref_state <> 'internal' THEN 'marked' ELSE 'unresolved' END AS status FROM edges",
+        "SELECT root_id, src, dst, edge_type, CASE WHEN dst IN (SELECT event_id FROM nodes) AND src IN (SELECT event_id FROM nodes) THEN 'resolved' WHEN ref_state <> 'internal' THEN 'marked' ELSE 'unresolved' END AS status FROM edges",
     ),
     "spawn_violations": (lambda t: spawns(t("nodes"), t("edges"), order(t("nodes"), t("edges"))), f"WITH RECURSIVE {_REACH}, s AS ({_SPAWNS}) SELECT root_id, n_spawns FROM s WHERE n_spawns <> 1"),
     "child_joins": (
@@ -227,7 +228,7 @@ QUERIES = {
           SELECT n.root_id, 1 AS r FROM nodes n JOIN nodes m ON n.event_id = m.event_id AND (n.root_id, n.native_offset) <> (m.root_id, m.native_offset)
           UNION SELECT a.root_id, 2 FROM nodes a LEFT JOIN nodes b ON a.root_id = b.root_id AND b.native_offset = a.native_offset - 1 WHERE a.stream_seq <> coalesce(b.stream_seq, -1) + 1
           UNION SELECT root_id, 3 FROM c WHERE NOT (contiguous AND n_calls = 1 AND n_results = 1 AND after)
-          UNION SELECT root_id, 4 FROM edges WHERE ref_state = 'internal' AND dst NOT IN (SELECT event_id FROM nodes)
+          UNION SELECT root_id, 4 FROM edges WHERE ref_state = 'internal' AND (dst NOT IN (SELECT event_id FROM nodes) OR src NOT IN (SELECT event_id FROM nodes))
           UNION SELECT root_id, 5 FROM s WHERE n_spawns <> 1
           UNION SELECT root_id, 6 FROM nodes WHERE loss = 'omitted_user_content'
           UNION SELECT root_id, 7 FROM j WHERE orphan OR early

@@ -69,6 +69,34 @@ _STEPS = ("start_discover", "search_done", "content_granted", "all_snapshotted_d
 _AT = {e: (f, t) for f, e, t in TRANSITIONS}
 
 
+def _json(**members: str) -> str:
+    """A JSON object in SQL, from SQL for the members' values in JSON."""
+    return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in members.items()) + " || '}'"
+
+
+def _quoted(text: str) -> str:
+    """SQL for a text in JSON; null is JSON's."""
+    return f"coalesce(chr(34) || replace(replace(replace({text}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n') || chr(34), 'null')"
+
+
+def _native() -> str:
+    """Session files in three formats, a file a conversation; some have a version or a member that is not known, a line that breaks off or that has no place."""
+    conv, turn, text = "CAST(conv_id AS STRING)", "CAST(turn AS STRING)", _quoted("text")
+    named = lambda *sql: _quoted(" || ".join(sql))
+    head = lambda name, version: {"format": f"""'"{name}"'""", "version": f"""CASE WHEN conv_id % 37 = 5 THEN '"9"' ELSE '"{version}"' END"""}
+    actor = named("CASE WHEN role = 'user' THEN 'u' ELSE 'a' END", conv)
+    at = named("'2024-01-01T00:00:0'", "CAST(turn % 10 AS STRING)")
+    odd = "CASE WHEN conv_id % 43 = 7 AND turn = 0 THEN ',\"more\":1' ELSE '' END"
+    place = lambda sql: f"CASE WHEN conv_id % 47 = 8 AND turn = 2 THEN 'null' ELSE CAST({sql} AS STRING) END"
+    kind = "CASE turn WHEN 1 THEN 'call' WHEN 2 THEN 'chunk' WHEN 3 THEN 'result' WHEN 5 THEN 'summary' ELSE 'message' END"
+    linear = _json(**head("linear", 1), stream=named(conv), offset=place("turn"), kind=named(kind), actor=named("role"), actor_id=actor, call=named("CASE WHEN turn BETWEEN 1 AND 3 THEN 'k' END"), chunk=f"CASE WHEN turn = 2 THEN '0' ELSE 'null' END{' || ' + odd}", at=f"CASE WHEN conv_id % 10 = 3 THEN 'null' ELSE {at} END", text=text)
+    block = _json(type=named("CASE turn WHEN 1 THEN 'tool_use' WHEN 2 THEN 'tool_result' ELSE 'text' END"), id=named("CASE WHEN turn IN (1, 2) THEN 't' END"), text=text)
+    tree = _json(**head("tree", 2), session=named(conv), id=named("'m'", turn), parent=named("CASE WHEN turn NOT IN (0, 4) THEN 'm' || CAST(turn - 1 AS STRING) END"), seq=place("CASE WHEN turn >= 4 THEN turn - 4 ELSE turn END") + " || " + odd, role=named("role"), actor_id=actor, agent=named("CASE WHEN turn >= 4 THEN 'a' END"), spawned_by=named("CASE WHEN turn = 4 THEN 'm1' END"), replaces=named("CASE WHEN turn = 3 THEN 'm0' END"), at=at, blocks=f"'[' || {block} || ']'")
+    child = lambda sql: f"CASE WHEN conv_id % 2 = 1 THEN {sql} ELSE 'null' END"
+    steps = _json(**head("steps", 1), task=named(conv), step=place("turn") + " || " + odd, from_task=child(named("CAST(conv_id - 3 AS STRING)")), from_step=child("'0'"), actor_id=actor, tool="'\"run\"'", input=text, output="'\"done\"'", ok="CASE WHEN turn % 4 = 3 THEN 'false' ELSE 'true' END", artifacts=f"CASE WHEN turn = 2 THEN '[' || {named(chr(39) + 'file:steps:' + chr(39), conv, chr(39) + ':2:call' + chr(39))} || ']' ELSE 'null' END")
+    line = f"CASE conv_id % 3 WHEN 0 THEN {linear} WHEN 1 THEN {tree} ELSE {steps} END"
+    return f"SELECT 's' || {conv} AS snapshot_id, CASE WHEN conv_id % 41 = 6 AND turn = 1 THEN substr(line, 1, 40) ELSE line END AS line FROM (SELECT conv_id, turn, {line} AS line FROM conversations) l"
+
 
 def _chained() -> str:
     """A task's records side by side: head and tail of each body, and between them the hash of the body before."""
@@ -121,6 +149,8 @@ RELATIONS: dict[str, str] = {
           CASE conv_id % 23 WHEN 1 THEN 'formatting' WHEN 2 THEN 'token_counts' WHEN 3 THEN 'omitted_user_content' WHEN 4 THEN 'wall_clock' WHEN 5 THEN 'hidden_reasoning' END AS loss,
           CASE WHEN turn = 5 AND conv_id % 4 = 1 THEN 'compaction' END AS marker, conv_id % 2 = 1 AS is_child, role = 'user' AND turn = 0 AS claim_bearing
         FROM conversations""",
+    # lines of session files as their tools write them
+    "native_lines": _native(),
     # places of a root's events in its stream, as its order edges name them
     "spots": "SELECT conv_id * 100 + turn AS event_id, conv_id AS chain, turn AS place FROM conversations",
     "edges": """

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators import artifacts, evaluation, evidence, grants, intake, lineage, policies, sessions
 from .plans import states
 from .plans.relations import Reader, duckdb
-from .sources import adapters
+from .sources import adapters, envelopes
 
-FAMILIES = (evidence, sessions, grants, evaluation, states, lineage, artifacts, policies, intake, adapters)
+FAMILIES = (evidence, sessions, grants, evaluation, states, lineage, artifacts, policies, intake, adapters, envelopes)
 
 
 def _bound(query: Callable[[Reader], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
