@@ -151,6 +151,14 @@ RELATIONS: dict[str, str] = {
         FROM conversations""",
     # lines of session files as their tools write them
     "native_lines": _native(),
+    # a task's recorded state as documents, in YAML or JSON: a repeated member, one too many, one too few, a wrong type, an anchor, a tag
+    "state_files": """
+        SELECT 'd' || CAST(event_id AS STRING) AS doc, CASE WHEN event_id % 2 = 0 THEN 'yaml' ELSE 'json' END AS format, CASE WHEN event_id % 2 = 0 THEN
+          '# state' || chr(10) || 'task_id: "t' || CAST(event_id AS STRING) || '"' || chr(10) || CASE WHEN event_id % 29 = 6 THEN '' ELSE 'phase: ' || CASE WHEN event_id % 29 = 4 THEN '&p ' WHEN event_id % 29 = 5 THEN '!t ' ELSE '' END || CASE WHEN event_id % 8 = 4 THEN '"say ' || chr(92) || '"' || event_type || chr(92) || '" twice"' ELSE event_type END || chr(10) END
+          || 'run_epoch: ' || CASE WHEN event_id % 29 = 3 THEN '"one"' ELSE CAST(user_id AS STRING) END || chr(10) || 'paused: ' || CASE WHEN event_id % 4 = 0 THEN 'true' ELSE 'false' END || chr(10) || CASE event_id % 29 WHEN 1 THEN 'paused: true' || chr(10) WHEN 2 THEN 'more: 1' || chr(10) ELSE '' END
+          || 'sources:' || chr(10) || '  - named source' || chr(10) || '  - s' || CAST(event_id % 7 AS STRING) || chr(10) || chr(10) || 'budgets:' || chr(10) || '  pages: ' || CAST(event_id % 6 AS STRING) || chr(10) || '  questions: 12'
+        ELSE '{"task_id": "t", ' || CASE WHEN event_id % 29 = 6 THEN '' ELSE '"phase": ' || CASE WHEN event_id % 29 IN (4, 5) THEN '&' ELSE '' END || '"' || event_type || '", ' END || '"run_epoch": ' || CASE WHEN event_id % 29 = 3 THEN 'null' ELSE CAST(user_id AS STRING) END || ', "paused": false, ' || CASE event_id % 29 WHEN 1 THEN '"paused": false, ' WHEN 2 THEN '"more": [], ' ELSE '' END
+          || '"sources": ["a", "s' || CAST(event_id % 7 AS STRING) || '"], "budgets": {"pages": ' || CAST(event_id % 6 AS STRING) || '}}' END AS text FROM events""",
     # places of a root's events in its stream, as its order edges name them
     "spots": "SELECT conv_id * 100 + turn AS event_id, conv_id AS chain, turn AS place FROM conversations",
     "edges": """
