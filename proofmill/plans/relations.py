@@ -151,6 +151,18 @@ RELATIONS: dict[str, str] = {
         FROM conversations""",
     # lines of session files as their tools write them
     "native_lines": _native(),
+    # reads of sources under a pinned revision: some move while read, stand elsewhere, say nothing or were staged twice
+    "source_reads": """
+        SELECT doc_id AS source_id, k.attempt, CASE WHEN doc_id % 31 = 4 THEN NULL ELSE 'r' || CAST(doc_id AS STRING) END AS pinned, CASE WHEN doc_id % 31 = 5 THEN 'q' ELSE 'r' || CAST(doc_id AS STRING) END AS before,
+          CASE WHEN doc_id % 31 = 5 THEN 'q' WHEN doc_id % 7 >= k.attempt THEN 'x' || CAST(k.attempt AS STRING) ELSE 'r' || CAST(doc_id AS STRING) END AS after, sha{coalesce(text, '') || CASE WHEN doc_id % 7 >= k.attempt THEN '+' ELSE '' END} AS digest
+        FROM documents CROSS JOIN (SELECT 1 AS attempt, 1 AS part UNION ALL SELECT 2, 1 UNION ALL SELECT 3, 1 UNION ALL SELECT 4, 1 UNION ALL SELECT 2, 2) k WHERE (k.part = 1 OR doc_id % 31 = 6) AND k.attempt <= 1 + doc_id % 7 AND NOT (doc_id % 5 = 2 AND k.attempt > 2)""",
+    # what each source of a task used, and the ceilings that tasks set for themselves
+    "source_usage": """
+        SELECT div{doc_id, 20} AS task_id, doc_id AS source_id, doc_id % 20 AS place, n_chars + CASE WHEN doc_id % 50 = 9 THEN 67108864 WHEN doc_id % 6 = 1 AND div{doc_id, 20} % 3 = 1 THEN 66000000 ELSE 0 END AS raw_bytes, (n_chars + CASE WHEN doc_id % 6 = 1 AND div{doc_id, 20} % 3 = 1 THEN 66000000 ELSE 0 END) * 10 + CASE WHEN doc_id % 50 = 11 THEN 1 ELSE 0 END AS unpacked_bytes,
+          CASE WHEN doc_id % 50 = 13 THEN 3 ELSE doc_id % 3 END AS depth, CASE WHEN doc_id % 50 = 17 THEN 10001 WHEN div{doc_id, 20} % 5 = 2 THEN 700 ELSE 12 END AS entries, CASE WHEN doc_id % 50 = 19 THEN 1048577 ELSE 1048576 END AS event_bytes, CASE WHEN doc_id % 50 = 23 THEN NULL ELSE doc_id % 61 END AS wall_seconds, doc_id % 62 AS cpu_seconds,
+          CASE WHEN doc_id % 50 = 29 THEN 536870913 ELSE 536870912 END AS memory_bytes, CASE WHEN doc_id % 50 = 31 THEN 67108865 ELSE 67108864 END AS output_bytes, CASE WHEN div{doc_id, 20} % 7 = 3 THEN 60000000 ELSE 5 END AS staged_bytes FROM documents""",
+    "source_settings": """
+        SELECT task_id, name, value FROM (SELECT DISTINCT div{doc_id, 20} AS task_id FROM documents) d CROSS JOIN (SELECT 'raw_bytes' AS name, 5000 AS value, 3 AS m UNION ALL SELECT 'raw_bytes', 67108865, 4 UNION ALL SELECT 'depth', 1, 5 UNION ALL SELECT 'depth', 9, 6 UNION ALL SELECT 'staged_files', 100, 4 UNION ALL SELECT 'other', 1, 1) k WHERE d.task_id % k.m = 0""",
     # a task's recorded state as documents, in YAML or JSON: a repeated member, one too many, one too few, a wrong type, an anchor, a tag
     "state_files": """
         SELECT 'd' || CAST(event_id AS STRING) AS doc, CASE WHEN event_id % 2 = 0 THEN 'yaml' ELSE 'json' END AS format, CASE WHEN event_id % 2 = 0 THEN

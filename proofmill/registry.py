@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import artifacts, evaluation, evidence, grants, intake, lineage, policies, sessions
+from .operators import artifacts, evaluation, evidence, grants, ingestion, intake, lineage, policies, sessions
 from .plans import states
 from .plans.relations import Reader, duckdb
 from .sources import adapters, documents, envelopes
 
-FAMILIES = (evidence, sessions, grants, evaluation, states, lineage, artifacts, policies, intake, adapters, envelopes, documents)
+FAMILIES = (evidence, sessions, grants, evaluation, states, lineage, artifacts, policies, intake, ingestion, adapters, envelopes, documents)
 
 
 def _bound(query: Callable[[Reader], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
