@@ -151,6 +151,10 @@ RELATIONS: dict[str, str] = {
         FROM conversations""",
     # lines of session files as their tools write them
     "native_lines": _native(),
+    # lines of logs; some quote a text, name a class that is not known or say a field twice
+    "log_lines": """
+        SELECT e.event_id AS line_id, 'task=' || CAST(e.user_id AS STRING) || ' record=' || CAST(e.event_id AS STRING) || ' digest=' || sha{e.props} || ' class=' || CASE WHEN e.event_id % 37 = 5 THEN 'strange' ELSE 'ok' END || CASE WHEN e.event_id % 37 = 6 THEN ' task=1' WHEN e.event_id % 37 = 4 THEN ' note=' || coalesce(substr(d.text, 1, 80), '') ELSE '' END AS line
+        FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id % 200""",
     # reads of sources under a pinned revision: some move while read, stand elsewhere, say nothing or were staged twice
     "source_reads": """
         SELECT doc_id AS source_id, k.attempt, CASE WHEN doc_id % 31 = 4 THEN NULL ELSE 'r' || CAST(doc_id AS STRING) END AS pinned, CASE WHEN doc_id % 31 = 5 THEN 'q' ELSE 'r' || CAST(doc_id AS STRING) END AS before,
