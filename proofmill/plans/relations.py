@@ -151,6 +151,18 @@ RELATIONS: dict[str, str] = {
         FROM conversations""",
     # lines of session files as their tools write them
     "native_lines": _native(),
+    # what a task recorded on its way: an item a record, or one a task; faults by task and record
+    "task_modes": "SELECT DISTINCT task_id, CASE task_id % 3 WHEN 0 THEN 'discover' WHEN 1 THEN 'distill' ELSE 'update' END AS mode FROM task_log",
+    "task_selectors": """
+        SELECT task_id, event_id AS selector, event_id % 41 <> 3 AS search_granted, event_id % 43 <> 3 AS retain_granted, event_id % 47 <> 3 AS metadata_only, CASE event_id % 53 WHEN 3 THEN 'open' WHEN 4 THEN 'budget' ELSE 'exhausted' END AS cursor, task_id % 3 <> 2 AND event_id % 59 <> 3 AS user_named,
+          event_id % 61 <> 3 AS content_granted, event_id % 67 <> 3 AS attested, event_id % 71 <> 3 AS principal_ok, CASE WHEN event_id % 73 <> 3 THEN 'r1' END AS revision, CASE event_id % 79 WHEN 3 THEN 'stale' WHEN 4 THEN 'excluded' ELSE 'valid' END AS snapshot FROM task_steps""",
+    "task_candidates": "SELECT task_id, event_id AS candidate_id, CASE WHEN event_id % 29 <> 3 THEN 'when' ELSE '' END AS trigger, CASE WHEN event_id % 31 <> 3 THEN 'then' END AS outcome, 'case' AS scenario, CASE WHEN event_id % 37 = 3 THEN 13 ELSE event_id % 13 END AS total, event_id % 41 AS n_links FROM task_steps WHERE step < 4 AND task_id % 19 <> 4",
+    "task_fields": "SELECT task_id, step AS field, CASE WHEN event_id % 5 <> 2 THEN event_type END AS value, event_id % 5 = 2 AND event_id % 23 <> 3 OR event_id % 83 = 4 AS unsupported FROM (SELECT s.task_id, s.step, s.event_id, 'said' AS event_type FROM task_steps s) f WHERE step < 6",
+    "task_claims": "SELECT task_id, event_id AS claim_id, event_id % 59 AS n_derivations, CASE event_id % 4 WHEN 0 THEN 'high' ELSE 'other' END AS impact, CASE event_id % 3 WHEN 0 THEN 'provisional' ELSE 'confirmed' END AS status, event_id % 24 <> 12 AS adjudicated, event_id % 5 = 1 AS invariant, CASE event_id % 35 WHEN 1 THEN 'low' ELSE 'high' END AS confidence FROM task_steps WHERE task_id % 23 <> 5",
+    "task_drafts": "SELECT DISTINCT task_id, CASE WHEN task_id % 11 = 2 THEN 1 ELSE 0 END AS schema_errors, CASE WHEN task_id % 13 = 2 THEN 2 ELSE 0 END AS chain_gaps, CASE WHEN task_id % 17 = 2 THEN 1 ELSE 0 END AS sensitive_findings, CASE WHEN task_id % 29 = 2 THEN 1 ELSE 0 END AS executables FROM task_log WHERE task_id % 31 <> 7",
+    "task_evaluations": "SELECT DISTINCT task_id, task_id % 7 <> 3 AS isolated, CASE task_id % 11 WHEN 3 THEN 2 WHEN 4 THEN 4 ELSE 3 END AS repetitions, task_id % 13 = 3 AS contaminated, CASE WHEN task_id % 17 <> 3 THEN task_id % 5 <> 3 END AS gates_met FROM task_log",
+    "task_approvals": "SELECT DISTINCT task_id, sha{CAST(task_id AS STRING)} AS subject, CASE WHEN task_id % 7 <> 4 THEN sha{CAST(task_id + CASE WHEN task_id % 5 = 4 THEN 1 ELSE 0 END AS STRING)} END AS approved_subject FROM task_log",
+    "task_consents": "SELECT DISTINCT task_id, 'd' AS destination, CASE WHEN task_id % 11 = 5 THEN 'e' ELSE 'd' END AS consented_destination, 'm' AS manifest, CASE WHEN task_id % 13 <> 5 THEN 'm' END AS consented_manifest, 'refuse' AS policy, CASE WHEN task_id % 17 = 5 THEN 'replace' ELSE 'refuse' END AS consented_policy, task_id AS subject, task_id AS consented_subject, 'x' AS digest, CASE WHEN task_id % 7 = 5 THEN 'y' ELSE 'x' END AS found_digest FROM task_log",
     # lines of logs; some quote a text, name a class that is not known or say a field twice
     "log_lines": """
         SELECT e.event_id AS line_id, 'task=' || CAST(e.user_id AS STRING) || ' record=' || CAST(e.event_id AS STRING) || ' digest=' || sha{e.props} || ' class=' || CASE WHEN e.event_id % 37 = 5 THEN 'strange' ELSE 'ok' END || CASE WHEN e.event_id % 37 = 6 THEN ' task=1' WHEN e.event_id % 37 = 4 THEN ' note=' || coalesce(substr(d.text, 1, 80), '') ELSE '' END AS line

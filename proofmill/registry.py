@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import artifacts, evaluation, evidence, grants, hygiene, ingestion, intake, lineage, policies, sessions
+from .operators import artifacts, completion, evaluation, evidence, grants, hygiene, ingestion, intake, lineage, policies, sessions
 from .plans import states
 from .plans.relations import Reader, duckdb
 from .sources import adapters, documents, envelopes, evaluations
 
-FAMILIES = (evidence, sessions, grants, evaluation, states, lineage, artifacts, policies, intake, ingestion, hygiene, adapters, envelopes, documents, evaluations)
+FAMILIES = (evidence, sessions, grants, evaluation, states, lineage, artifacts, policies, intake, ingestion, hygiene, completion, adapters, envelopes, documents, evaluations)
 
 
 def _bound(query: Callable[[Reader], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
