@@ -25,6 +25,8 @@ FORMATS = {
 }
 KINDS = ("message", "call", "chunk", "result", "summary")
 BLOCKS = ("text", "tool_use", "tool_result")
+#: The head of a line, format and version, as far as it can be read without the rest.
+_HEAD = r'^\s*\{\s*"format"\s*:\s*"([^"\\]*)"\s*,\s*"version"\s*:\s*"([^"\\]*)"'
 _LINE = """format string, version string, actor string, actor_id string, agent string, at timestamp_ntz, artifacts array<string>, blocks array<struct<type: string, text: string, id: string>>, call string, chunk long, from_step long, from_task string,
   id string, input string, kind string, offset long, ok boolean, output string, parent string, project string, replaces string, role string, seq long, session string, spawned_by string, step long, stream string, task string, text string, tool string, broken string"""
 #: Columns of an envelope, in order.
@@ -97,20 +99,25 @@ _ADAPTERS = {"linear": _linear, "tree": _tree, "steps": _steps}
 def parsed(lines: DataFrame) -> DataFrame:
     """snapshot_id, the record r of every line, and the reason why it is refused, if it is.
 
-    lines (snapshot_id, line); a null or empty line is malformed, as a file of lines has none.
+    lines (snapshot_id, line); a null or empty line is malformed, as a file of lines has none. A line that
+    does not parse, but whose head names a known format and a version that may not be read, is refused for
+    its version, since a version may have a syntax of its own.
     """
     r = lambda name: F.col("r")[name]
     rows = lines.select("snapshot_id", "line", F.from_json("line", _LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}).alias("r"))
     is_ = lambda f: r("format") == f
     known = reduce(lambda c, f: c.when(is_(f), F.array(*map(F.lit, ["format", "version", *FORMATS[f][1].split()]))), FORMATS, F.when(F.lit(False), F.array()))
     version = reduce(lambda c, f: c | (is_(f) & r("version").isin(*FORMATS[f][0])), FORMATS, F.lit(False))
+    head = lambda k: F.regexp_extract("line", _HEAD, k)
+    other = reduce(lambda c, f: c | ((head(1) == f) & ~head(2).isin(*FORMATS[f][0])), FORMATS, F.lit(False))
     keys = F.json_object_keys("line")
     no_place = F.when(is_("linear"), r("stream").isNull() | r("offset").isNull() | (r("offset") < 0)).when(is_("tree"), r("session").isNull() | r("id").isNull() | r("seq").isNull() | (r("seq") < 0)).otherwise(r("task").isNull() | r("step").isNull() | (r("step") < 0))
     odd = F.when(is_("linear"), ~F.coalesce(r("kind").isin(*KINDS), F.lit(False))).when(is_("tree"), F.exists(r("blocks"), lambda b: ~F.coalesce(b["type"].isin(*BLOCKS), F.lit(False)))).otherwise(False)
     calls = is_("tree") & (F.size(F.filter(r("blocks"), lambda b: b["type"] != "text")) > 1)
     no = lambda c: F.coalesce(c, F.lit(False))
+    broken = F.col("r").isNull() | r("broken").isNotNull() | keys.isNull()
     reason = (
-        F.when(F.col("r").isNull() | r("broken").isNotNull() | keys.isNull(), "malformed").when(~no(r("format").isin(*FORMATS)), "format").when(~no(version), "version").when(F.size(F.array_except(keys, known)) > 0, "member")
+        F.when(broken & no(other), "version").when(broken, "malformed").when(~no(r("format").isin(*FORMATS)), "format").when(~no(version), "version").when(F.size(F.array_except(keys, known)) > 0, "member")
         .when(no(no_place), "place").when(no(odd) | (is_("tree") & r("blocks").isNull()), "kind").when(no(calls), "calls")
     )
     return rows.select("snapshot_id", "r", reason.alias("refused"))

@@ -81,3 +81,9 @@ def test_envelopes_as_an_event_graph(spark):
 def test_an_empty_table(spark):
     none = spark.createDataFrame([], "snapshot_id string, line string")
     assert envelopes.events(none).count() == envelopes.admissions(none).count() == envelopes.links(envelopes.events(none)).count() == 0
+
+
+def test_a_broken_line_of_another_version_is_refused_for_its_version(spark):
+    cut = lambda line: json.dumps(line)[:50]
+    lines = table(spark, cut(LINEAR | {"version": "9"}), cut(TREE | {"version": "9"}), cut(LINEAR), cut(LINEAR | {"format": "other", "version": "9"}), json.dumps(LINEAR | {"text": '{"format":"linear","version":"9"'})[:-1])
+    assert [r.refused for r in envelopes.parsed(lines).orderBy("snapshot_id").collect()] == ["version", "version", "malformed", "malformed", "malformed"]
