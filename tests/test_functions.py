@@ -71,3 +71,24 @@ def test_signatures_of_columns(spark):
     asked = spark.createDataFrame([(1, "e", message, signature, 2, 7), (2, "x", message, signature, 2, 7), (3, "e", message, signature[:-1], 2, 7), (4, "e", message, signature, 1, 7), (5, "e", message, signature, 2, 6), (6, "e", message, signature, None, 7)], "receipt long, key_id string, message binary, signature binary, fencing_epoch int, authority_epoch int")
     got = s.receipts(asked, spark.createDataFrame([("e", key)], "key_id string, public_key binary"), spark.createDataFrame([(2, 7)], "fencing int, authority int"))
     assert {r.receipt: r.status for r in got.collect()} == {1: "accepted", 2: "unknown key", 3: "not signed", 4: "stale", 5: "stale", 6: "stale"}
+
+
+def test_keys_met_once_and_often_agree():
+    from proofmill.functions import signatures as s
+
+    seed, key, message, signature = map(bytes.fromhex, VECTORS[1])
+    odd = [(0).to_bytes(32, "little"), (1).to_bytes(32, "little"), (s.P - 1).to_bytes(32, "little")]  # points of small order
+    for k in [key, s.public(bytes(32)), *odd]:
+        for m, mark in [(message, signature), (b"other", signature), (message, odd[1] + bytes(32)), (message, odd[2] + bytes(32)), (message, odd[0] + signature[32:])]:
+            assert s.verified(k, m, mark) == s.verified(k, m, mark, often=True)
+
+
+def test_receipts_are_signed_and_verified_by_many_tasks(spark):
+    from proofmill.functions import signatures as s
+    from proofmill.plans import fixtures
+
+    rows = spark.range(64).coalesce(1).selectExpr("id AS receipt", "'e' AS key_id", "1 AS fencing_epoch", "1 AS authority_epoch", "CASE id % 3 WHEN 0 THEN 'altered' WHEN 1 THEN 'cut' ELSE '' END AS fault")
+    made = fixtures.receipts(rows)
+    assert made.rdd.getNumPartitions() > 1
+    got = s.receipts(made, fixtures.evaluators(rows.select("key_id").distinct()), spark.sql("SELECT 1 AS fencing, 1 AS authority"))
+    assert got.rdd.getNumPartitions() > 1 and {r.receipt: r.status for r in got.collect()} == {k: "accepted" if k % 3 == 2 else "not signed" for k in range(64)}
