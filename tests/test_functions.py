@@ -92,3 +92,16 @@ def test_receipts_are_signed_and_verified_by_many_tasks(spark):
     assert made.rdd.getNumPartitions() > 1
     got = s.receipts(made, fixtures.evaluators(rows.select("key_id").distinct()), spark.sql("SELECT 1 AS fencing, 1 AS authority"))
     assert got.rdd.getNumPartitions() > 1 and {r.receipt: r.status for r in got.collect()} == {k: "accepted" if k % 3 == 2 else "not signed" for k in range(64)}
+
+
+def test_rotations_are_signed_once_by_many_tasks(spark):
+    from proofmill.functions import signatures as s
+    from proofmill.operators.policies import trusted
+    from proofmill.plans import fixtures
+
+    rows = spark.range(40).coalesce(1).selectExpr("id AS old_key", "id + 1 AS new_key", "id <> 30 AS signed")
+    made = fixtures.rotations(rows)
+    assert made.rdd.getNumPartitions() > 1 and str(made._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
+    row = made.filter("old_key = 7").first()
+    assert s.verified(bytes(row.public_key), bytes(row.message), bytes(row.signature)) and row.public_key == s.public(fixtures.seed("7"))
+    assert {r[0] for r in trusted(made, 0).collect()} == set(range(31))
