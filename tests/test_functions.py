@@ -87,7 +87,7 @@ def test_receipts_are_signed_and_verified_by_many_tasks(spark):
     from proofmill.functions import signatures as s
     from proofmill.plans import fixtures
 
-    rows = spark.range(64).coalesce(1).selectExpr("id AS receipt", "'e' AS key_id", "1 AS fencing_epoch", "1 AS authority_epoch", "CASE id % 3 WHEN 0 THEN 'altered' WHEN 1 THEN 'cut' ELSE '' END AS fault")
+    rows = spark.range(64).coalesce(1).selectExpr("id AS receipt", "'e' AS key_id", "'d' AS digest", "1 AS fencing_epoch", "1 AS authority_epoch", "CASE id % 3 WHEN 0 THEN 'altered' WHEN 1 THEN 'cut' ELSE '' END AS fault")
     made = fixtures.receipts(rows)
     assert made.rdd.getNumPartitions() > 1
     got = s.receipts(made, fixtures.evaluators(rows.select("key_id").distinct()), spark.sql("SELECT 1 AS fencing, 1 AS authority"))
