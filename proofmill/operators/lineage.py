@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.streams import digests
-from ..plans.durable import cut, reach, smallest_reachable
+from ..plans.durable import cut, looked_up, reach, smallest_reachable
 
 #: Words of a shingle, and the share of an item's shingles from which a document is a near duplicate of it.
 SHINGLE, NEAR = 5, 0.5
@@ -60,7 +60,7 @@ def lineage(versions: DataFrame) -> DataFrame:
     now = cut(versions.select("version_id", F.col("parent_id").alias("up"), F.col("parent_id").isNotNull().cast("long").alias("depth")))
     while not now.filter("up is not null").isEmpty():
         above = now.toDF("up", "further", "more")
-        now = cut(now.join(above, "up", "left").select("version_id", F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
+        now = cut(looked_up(now, "up", "version_id", above).select("version_id", F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
     root = closure_roots(versions)
     return now.select("version_id", "depth").join(root, "version_id")
 

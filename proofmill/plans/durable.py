@@ -62,6 +62,12 @@ def smallest_reachable(links: DataFrame) -> DataFrame:
     return found
 
 
+def looked_up(rows: DataFrame, key: str, own: str, above: DataFrame) -> DataFrame:
+    """rows left-joined with above (key, ...); rows whose key is null are dealt by their own id, as they would all meet in one task."""
+    left = rows.withColumns({"at_": F.coalesce(key, own), "no_": F.col(key).isNull()})
+    return left.join(above.withColumnRenamed(key, "at_").withColumn("no_", F.lit(False)), ["at_", "no_"], "left").drop("at_", "no_")
+
+
 def _trees(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, root, hit) of every node of edges (src, dst), by doubling the pointers to parents.
 
@@ -75,7 +81,7 @@ def _trees(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     now = cut(now.select("node", "up", F.coalesce("up", "node").alias("root"), F.coalesce("hit", F.lit(False)).alias("hit")))
     for _ in range(now.filter("up is not null").count().bit_length() + 1):
         above = now.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("root").alias("top"), F.col("hit").alias("more"))
-        now = cut(now.join(above, "up", "left").select("node", F.col("further").alias("up"), F.coalesce("top", "root").alias("root"), (F.col("hit") | F.coalesce("more", F.lit(False))).alias("hit")))
+        now = cut(looked_up(now, "up", "node", above).select("node", F.col("further").alias("up"), F.coalesce("top", "root").alias("root"), (F.col("hit") | F.coalesce("more", F.lit(False))).alias("hit")))
         if now.filter("up is not null").isEmpty():
             break
     return now.select("node", F.when(F.col("up").isNull(), F.col("root")).alias("root"), "hit")

@@ -87,3 +87,20 @@ def test_descendants(spark):
     got = durable.descendants(frame, spark.createDataFrame([(700,), (3001,), (4000,), (9999,)], "node long"))
     want = {*range(700, 1001), 2000, 2001, 2002, 2003, 3000, 3001, 3002, 4000, 4001, 4002, 9999}
     assert sorted(r.node for r in got.collect()) == sorted(want)
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark):
+    from proofmill.plans.durable import looked_up
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(400).selectExpr("id AS node", "CASE WHEN id % 100 = 1 THEN id - 1 END AS up")
+        got = looked_up(rows, "up", "node", spark.range(400).selectExpr("id AS up", "id AS top"))
+        assert {r.node: (r.up, r.top) for r in got.collect()} == {k: ((k - 1,) * 2 if k % 100 == 1 else (None, None)) for k in range(400)}
+        shares = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(shares) > 1 and max(shares) < 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
