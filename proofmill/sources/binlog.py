@@ -27,6 +27,10 @@ VERSION, HEADER, EDGE = 1, 81, 4
 FRAMES = "log {kind}, place long, byte_offset long, n_bytes long, whole boolean, checksum_ok boolean, schema_version int, seq long, fencing_epoch long, prev_hash string, payload_digest string, digest_ok boolean, record_hash string"
 
 
+#: Bytes of logs that are read at once, but for one larger log.
+_AT_ONCE = 1 << 20
+
+
 def body(seq: int, epoch: int, prev_hash: bytes, payload: bytes) -> bytes:
     return bytes([VERSION]) + seq.to_bytes(8, "big") + epoch.to_bytes(8, "big") + prev_hash + hashlib.sha256(payload).digest() + payload
 
@@ -67,16 +71,28 @@ def scan(raw: bytes) -> list[tuple[int, int, bool]]:
 
 def parsed(raw: bytes) -> list[tuple]:
     """The frames of a log as rows of FRAMES, without the log's name."""
-    spans, rows = scan(raw), []
-    whole = [s for s in spans if s[2]]
-    data = np.frombuffer(raw, np.uint8)
-    crc = crc32c_spans(data, np.array([a + EDGE for a, _, _ in whole], np.int64), np.array([b - EDGE for _, b, _ in whole], np.int64)) if whole else []
+    return _parsed([raw])[0]
+
+
+def _parsed(logs: list[bytes]) -> list[list[tuple]]:
+    """The frames of each of some logs; the checksums of all are made at once."""
+    spans = [scan(raw) for raw in logs]
+    begins = np.cumsum([0, *map(len, logs)])
+    whole = [(begin + a, begin + b) for begin, found in zip(begins.tolist(), spans) for a, b, ok in found if ok]
+    data, edges = np.frombuffer(b"".join(logs), np.uint8), np.array(whole, np.int64).reshape(-1, 2)
+    crc = iter(crc32c_spans(data, edges[:, 0] + EDGE, edges[:, 1] - EDGE).tolist() if whole else [])
+    return [_rows(raw, found, crc) for raw, found in zip(logs, spans)]
+
+
+def _rows(raw: bytes, spans: list[tuple[int, int, bool]], crc: Iterator[int]) -> list[tuple]:
+    """The frames of a log, given their places and the checksums of the whole ones."""
+    rows = []
     for k, (a, b, ok) in enumerate(spans):
         if not ok:
             rows.append((k, a, b - a, False, False if not _resumes(raw, a) else None, None, None, None, None, None, None, None))
             continue
         inner = raw[a + EDGE : b - EDGE]
-        good = int(crc[k]) == int.from_bytes(raw[b - EDGE : b], "big")
+        good = next(crc) == int.from_bytes(raw[b - EDGE : b], "big")
         digest = inner[49:HEADER]
         number = lambda p: int.from_bytes(inner[p : p + 8], "big", signed=True)
         rows.append((k, a, b - a, True, good, inner[0], number(1), number(9), inner[17:49].hex(), digest.hex(), hashlib.sha256(inner[HEADER:]).digest() == digest, hashlib.sha256(inner).hexdigest()))
@@ -89,11 +105,17 @@ def frames(logs: DataFrame, name: str = "path", content: str = "content") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names, raws, size = [], [], 0
             for k in range(batch.num_rows):
-                rows = parsed(batch.column(1)[k].as_py() or b"")
-                if rows:
-                    columns = [pa.array([batch.column(0)[k].as_py()] * len(rows), batch.schema.field(0).type), *(pa.array(c, t) for c, t in zip(zip(*rows), _TYPES))]
-                    yield pa.RecordBatch.from_arrays(columns, _NAMES)
+                names.append(batch.column(0)[k].as_py())
+                raws.append(batch.column(1)[k].as_py() or b"")
+                size += len(raws[-1])
+                if size < _AT_ONCE and k + 1 < batch.num_rows:
+                    continue
+                found = [(name, *row) for name, rows in zip(names, _parsed(raws)) for row in rows]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (batch.schema.field(0).type, *_TYPES))], _NAMES)
+                names, raws, size = [], [], 0
 
     return logs.select(F.col(name).alias("log"), F.col(content).alias("content")).mapInArrow(run, FRAMES.format(kind=kind))
 

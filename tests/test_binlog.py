@@ -73,3 +73,12 @@ def test_checksums_of_batches():
 @pytest.mark.parametrize("raw", [b"", b"\x00", b"\xff" * 300, bytes(300)])
 def test_bytes_that_are_no_log(raw):
     assert all(not whole for _, _, whole in binlog.scan(raw)) and len(binlog.parsed(raw)) <= 1
+
+
+def test_logs_are_read_together(spark, monkeypatch):
+    """Checksums of many small logs take one pass; rows are those of each log alone."""
+    logs = [b"".join(binlog.frame(binlog.body(k, 1, bytes(32), b"x" * (n + k))) for k in range(n % 4)) + (b"torn" if n % 5 == 2 else b"") for n in range(12)]
+    passes, spans = [], binlog.crc32c_spans
+    monkeypatch.setattr(binlog, "crc32c_spans", lambda *a: passes.append(1) or spans(*a))
+    together = binlog._parsed(logs)
+    assert len(passes) == 1 and together == [binlog.parsed(raw) for raw in logs]
