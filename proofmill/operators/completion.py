@@ -7,14 +7,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import cut
+from ..plans.relations import Reader
+
 #: The states that have a predicate, and how often each case must have been run.
 STATES = ("SOURCE_REVIEW", "INGEST", "MAP", "CAPABILITY_REVIEW", "EXTRACT", "COMPILE", "VERSION_REVIEW", "EXPORT_REVIEW", "DONE")
 REPETITIONS = 3
+#: Steps of tasks that one partition holds.
+STEPS = 1 << 18
 
 
-def _rows(items: DataFrame, ok: Column, *states: str) -> DataFrame:
+def _each(items: DataFrame, ok: dict[str, Column]) -> DataFrame:
     """An item (task_id, state, ok) per row and state; null is not ok."""
-    return items.select("task_id", F.explode(F.array(*map(F.lit, states))).alias("state"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    said = F.array(*[F.struct(F.lit(s).alias("state"), F.coalesce(c, F.lit(False)).alias("ok")) for s, c in ok.items()])
+    return items.select("task_id", F.explode(said).alias("item")).select("task_id", "item.state", "item.ok")
+
+
+def _rows(items: DataFrame, ok: Column, *states: str) -> DataFrame:
+    return _each(items, dict.fromkeys(states, ok))
 
 
 def _said(*columns: str) -> Column:
@@ -23,11 +33,11 @@ def _said(*columns: str) -> Column:
 
 def sources(modes: DataFrame, selectors: DataFrame) -> DataFrame:
     """A search needs its grants, metadata alone and cursors that ended or were stopped by a budget; without one, sources are named by the user or have a valid snapshot."""
-    rows = selectors.join(modes, "task_id", "left")
     searched = F.col("search_granted") & F.col("retain_granted") & F.col("metadata_only") & F.col("cursor").isin("exhausted", "budget")
     direct = F.coalesce(F.col("user_named"), F.lit(False)) | F.coalesce(F.col("snapshot") == "valid", F.lit(False))
     granted = F.col("content_granted") & F.col("attested") & F.col("principal_ok") & _said("revision")
-    return _rows(rows, F.when(F.col("mode") == "discover", searched).when(F.col("mode").isin("distill", "update"), direct), "SOURCE_REVIEW").unionByName(_rows(rows, granted, "INGEST")).unionByName(_rows(rows, F.col("snapshot").isin("valid", "excluded"), "MAP", "CAPABILITY_REVIEW"))
+    reviewed, known = F.when(F.col("mode") == "discover", searched).when(F.col("mode").isin("distill", "update"), direct), F.col("snapshot").isin("valid", "excluded")
+    return _each(selectors.join(modes, "task_id", "left"), {"SOURCE_REVIEW": reviewed, "INGEST": granted, "MAP": known, "CAPABILITY_REVIEW": known})
 
 
 def mapped(candidates: DataFrame) -> DataFrame:
@@ -71,16 +81,19 @@ def exported(consents: DataFrame) -> DataFrame:
     return _rows(consents, reduce(Column.__and__, same) & (F.col("found_digest") == F.col("digest")), "DONE")
 
 
-def predicates(modes: DataFrame, selectors: DataFrame, candidates: DataFrame, fields: DataFrame, claims: DataFrame, drafts: DataFrame, evaluations: DataFrame, approvals: DataFrame, consents: DataFrame) -> DataFrame:
+def predicates(modes: DataFrame, selectors: DataFrame, candidates: DataFrame, fields: DataFrame, claims: DataFrame, drafts: DataFrame, evaluations: DataFrame, approvals: DataFrame, consents: DataFrame, parts: int = 0) -> DataFrame:
     """task_id, state, n_items, n_failed and holds of every state that a task has items for; a state without any has no row, and does not hold.
 
-    Of the two kinds of items that mapping, extracting and compiling ask for, neither may be absent.
+    Of the two kinds of items that mapping, extracting and compiling ask for, neither may be absent. Each kind is counted
+    alone; the counts are dealt by task to so many parts, if they are given.
     """
     kinds = [sources(modes, selectors), mapped(candidates), filled(fields), derived(claims), settled(claims), sound(drafts), evaluated(evaluations), approved(approvals), exported(consents)]
-    rows = reduce(DataFrame.unionByName, [k.withColumn("kind", F.lit(n)) for n, k in enumerate(kinds)])
-    need = F.when(F.col("state").isin("MAP", "CAPABILITY_REVIEW", "EXTRACT", "COMPILE"), 2).otherwise(1)
     failed = F.count(F.when(~F.col("ok"), 1))
-    g = rows.groupBy("task_id", "state").agg(F.count("*").alias("n_items"), failed.alias("n_failed"), F.bit_or(F.expr("shiftleft(1, kind)")).alias("kinds"))
+    counted = [k.groupBy("task_id", "state").agg(F.count("*").alias("n_items"), failed.alias("n_failed")).withColumn("kind", F.lit(n)) for n, k in enumerate(kinds)]
+    rows = reduce(DataFrame.unionByName, counted)
+    rows = rows.repartition(parts, "task_id") if parts else rows
+    need = F.when(F.col("state").isin("MAP", "CAPABILITY_REVIEW", "EXTRACT", "COMPILE"), 2).otherwise(1)
+    g = rows.groupBy("task_id", "state").agg(F.sum("n_items").alias("n_items"), F.sum("n_failed").alias("n_failed"), F.bit_or(F.expr("shiftleft(1, kind)")).alias("kinds"))
     return g.select("task_id", "state", "n_items", "n_failed", ((F.col("n_failed") == 0) & (F.bit_count("kinds") >= need)).alias("holds"))
 
 
@@ -90,6 +103,24 @@ def unmet(log: DataFrame, found: DataFrame) -> DataFrame:
     return at.join(found, ["task_id", "state"], "left").filter("not coalesce(holds, false)").select("task_id", "seq", "state", "n_failed")
 
 
+def numbered(t: Reader) -> int:
+    """The steps of tasks, on which all tables of items stand, are numbered once and then dealt by task; to how many parts.
+
+    There are as many as the rows need: flags of items take so few bytes in a shuffle that partitions
+    which are joined up by bytes would hold millions of rows.
+    """
+    events = t("events").select("event_id", "ts", "user_id")
+    parts = max(t.spark.sparkContext.defaultParallelism, -(-events.count() // STEPS))
+    t.known["events"] = events.repartition(parts, "user_id")
+    t.known["task_steps"] = cut(t("task_steps")).repartition(parts, "task_id")
+    return parts
+
+
+def _predicates(t: Reader) -> DataFrame:
+    parts = numbered(t)
+    return predicates(*map(t, _TABLES), parts)
+
+
 _TABLES = ("task_modes", "task_selectors", "task_candidates", "task_fields", "task_claims", "task_drafts", "task_evaluations", "task_approvals", "task_consents")
 _ITEMS = """i AS (SELECT s.task_id, 'SOURCE_REVIEW' AS state, 0 AS kind, CASE WHEN m.mode = 'discover' THEN search_granted AND retain_granted AND metadata_only AND cursor <> 'open' ELSE user_named OR snapshot = 'valid' END AS ok FROM task_selectors s JOIN task_modes m ON s.task_id = m.task_id
   UNION ALL SELECT task_id, 'INGEST', 0, content_granted AND attested AND principal_ok AND revision IS NOT NULL FROM task_selectors UNION ALL SELECT task_id, k.state, 0, snapshot <> 'stale' FROM task_selectors CROSS JOIN (SELECT 'MAP' AS state UNION ALL SELECT 'CAPABILITY_REVIEW') k
@@ -100,9 +131,9 @@ _ITEMS = """i AS (SELECT s.task_id, 'SOURCE_REVIEW' AS state, 0 AS kind, CASE WH
   UNION ALL SELECT task_id, 'DONE', 8, (consented_destination, consented_manifest, consented_policy, consented_subject, found_digest) = (destination, manifest, policy, subject, digest) FROM task_consents),
   p AS (SELECT task_id, state, count(*) AS n_items, count(*) FILTER (WHERE NOT coalesce(ok, false)) AS n_failed, count(DISTINCT kind) >= CASE WHEN state IN ('MAP', 'CAPABILITY_REVIEW', 'EXTRACT', 'COMPILE') THEN 2 ELSE 1 END AS whole FROM i GROUP BY task_id, state)"""
 QUERIES = {
-    "state_predicates": (lambda t: predicates(*map(t, _TABLES)), f"WITH {_ITEMS} SELECT task_id, state, n_items, n_failed, whole AND n_failed = 0 AS holds FROM p"),
+    "state_predicates": (_predicates, f"WITH {_ITEMS} SELECT task_id, state, n_items, n_failed, whole AND n_failed = 0 AS holds FROM p"),
     "unmet_completions": (
-        lambda t: unmet(t("task_log"), predicates(*map(t, _TABLES))),
+        lambda t: unmet(found=_predicates(t), log=t("task_log")),
         f"WITH {_ITEMS} SELECT l.task_id, l.seq, l.to_phase AS state, p.n_failed FROM task_log l LEFT JOIN p ON p.task_id = l.task_id AND p.state = l.to_phase WHERE l.to_phase IN {STATES} AND NOT coalesce(p.whole AND p.n_failed = 0, false)",
     ),
 }

@@ -1,5 +1,10 @@
+import re
+
 import pytest
 from proofmill.operators import completion
+from proofmill.plans.relations import Reader
+
+SMALLEST = "/root/testdata/sf0.001"
 
 GOOD = {
     "modes": {"mode": "discover"},
@@ -43,3 +48,11 @@ def test_each_predicate_one_change_at_a_time(found):
 def test_states_that_were_reached_too_early(spark, found):
     log = spark.createDataFrame([(0, 1, "DONE"), (0, 2, "SCOUT"), (1, 1, "SOURCE_REVIEW"), (999, 1, "MAP")], "task_id long, seq long, to_phase string")
     assert {(r.task_id, r.seq, r.state, r.n_failed) for r in completion.unmet(log, found).collect()} == {(1, 1, "SOURCE_REVIEW", 1), (999, 1, "MAP", None)}
+
+
+def test_steps_are_numbered_once_and_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(completion, "STEPS", 100)
+    plan = completion.QUERIES["state_predicates"][0](Reader(spark, SMALLEST))._jdf.queryExecution()
+    assert "Window" not in str(plan.optimizedPlan())
+    dealt = re.findall(r"Exchange hashpartitioning\(task_id#\d+L, (\d+)\), REPARTITION_BY_NUM", str(plan.executedPlan()))
+    assert set(dealt) == {"10"} and str(plan.executedPlan()).count("Exchange hashpartitioning") == len(dealt)
