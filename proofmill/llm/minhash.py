@@ -165,12 +165,18 @@ def _checked(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; a's set is sent once per SALT_ROWS partners."""
+def parts(pairs: DataFrame) -> DataFrame:
+    """(node, parts): where the set of each node of pairs (a, b) is compared; a's set goes once to each SALT_ROWS partners."""
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
-    members = pairs.join(load, "a").join(sets.toDF("b", "values", "sign"), "b").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b", "values", "sign")
-    heads = load.join(sets.toDF("a", "values", "sign"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "values", "sign")
-    dealt = heads.unionAll(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    members = pairs.join(load, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b")
+    heads = load.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
+    return heads.unionAll(members).groupBy("node").agg(F.collect_list(F.struct("a", "salt", "b")).alias("parts"))
+
+
+def verified(sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, of sets with the parts that they take."""
+    dealt = sets.select(F.explode("parts").alias("p"), "values", "sign").select("p.a", "p.salt", "p.b", "values", "sign")
+    dealt = dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
     return dealt.mapInArrow(_checked(percent), "a long, b long")
 
 
@@ -275,7 +281,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
     scratch, kind = Scratch(docs.sparkSession), dict(docs.dtypes)["doc_id"]
     slim = docs.select("doc_id", clean_text()).withColumn("name", F.md5("text"))
     rows = scratch.keep(slim.mapInArrow(_sets(size), f"doc_id {kind}, name string, n_shingles long, set_id binary, sign binary"))
-    classes = rows.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.first("sign").alias("sign"), F.first("n_shingles").alias("items"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("one")
+    classes = rows.filter("set_id is not null").groupBy("set_id").agg(one, F.first("sign").alias("sign"), F.first("n_shingles").alias("items"))
+    classes = classes.select("set_id", F.col("one.doc_id").alias("first"), F.col("one.name").alias("name"), "sign", "items")
     classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))
     entries = classes.select("node", "sign", "items").mapInArrow(_entries, "key long, node long, items long")
     found = scratch.keep(entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets, "key long, node long, items long, leader long, na long"))
@@ -290,21 +298,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
         return pairs.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
 
     tested = scratch.keep(members.filter(f"node <> leader and {near}").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
-    wanted = members.select("node").distinct().join(classes.select("node", "set_id", "first", "sign"), "node")
-    texts = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "set_id", "sign", "text")
+    # one text of each class; it is told by its MD5, and by its doc_id from most of its copies
+    wanted = members.select("node").distinct().join(parts(tested), "node", "left").join(classes.select("node", F.xxhash64("first", "name").alias("at"), "name", "sign"), "node")
+    texts = slim.filter("name is not null").select(F.xxhash64("doc_id", "name").alias("at"), "name", "text").join(wanted, ["at", "name"])
+    # both steps deal by the same columns, so texts are shuffled once, and sets not at all
+    texts = texts.dropDuplicates(["at", "name"]).select("node", "sign", "parts", "text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values, offsets = shingles(batch.column(3).to_pylist(), size)
-            full = np.flatnonzero(np.diff(offsets))
-            # another row may have the same doc_id
-            names, right = batch.column(1).to_pylist(), np.zeros(batch.num_rows, bool)
-            right[full] = [names[k] == i for k, i in zip(full.tolist(), set_ids(values, offsets[full]))]
             lists = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int64)), pa.py_buffer(values)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists.cast(pa.binary()), batch.column(2)], ["node", "values", "sign"]).filter(pa.array(right))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists.cast(pa.binary()), batch.column(1), batch.column(2)], ["node", "values", "sign", "parts"])
 
-    sets = scratch.keep(texts.mapInArrow(whole, "node long, values binary, sign binary").dropDuplicates(["node"]))
-    links = scratch.keep(verified(tested, sets, percent))
+    sets = scratch.keep(texts.mapInArrow(whole, "node long, values binary, sign binary, parts array<struct<a: long, salt: long, b: long>>"))
+    links = scratch.keep(verified(sets, percent))
+    sets_of = sets.drop("parts")
     label = components(scratch, links)
     for turn in range(1, LEADERS + 1):
         named = members.select("key", "node", "items").join(label, "node", "left").select("key", "node", "items", F.coalesce("root", "node").alias("root"))
@@ -322,7 +330,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
         pairs = pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(paired(tested), ["low", "high"], "left_anti")
         pairs = scratch.keep(pairs.select("a", "b"))
         tested = tested.unionAll(pairs)
-        links = links.unionAll(scratch.keep(verified(pairs, sets, percent)))
+        links = links.unionAll(scratch.keep(verified(sets_of.join(parts(pairs), "node"), percent)))
         scratch.drop(named)
         label = components(scratch, links)
     named = classes.select("set_id", "first", "node").join(label, "node", "left").select("set_id", "first", F.coalesce("root", "node").alias("root"))

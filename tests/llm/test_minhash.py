@@ -143,3 +143,12 @@ def test_query(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     got = [tuple(r) for r in minhash.query(spark, "/root/testdata/sf0.01").collect()]
     assert sorted(got, key=key) == sorted(brute(docs, 4), key=key)
+
+
+def test_sets_take_their_parts_along(spark):
+    """A set that is compared in several places is dealt from one row, so that sets need no shuffle by node."""
+    n = minhash.SALT_ROWS + 1
+    pairs = spark.range(2, n + 2).selectExpr("1L AS a", "id AS b").unionAll(spark.sql("SELECT 2L AS a, 3L AS b"))
+    got = {r.node: [tuple(p) for p in r.parts] for r in minhash.parts(pairs).collect()}
+    assert sorted(got) == list(range(1, n + 2)) and sorted(got[1]) == [(1, 0, None), (1, 1, None)]
+    assert {p[::2] for p in got[3]} == {(1, 3), (2, 3)} and {p[::2] for p in got[2]} == {(1, 2), (2, None)}
