@@ -98,9 +98,14 @@ def predicates(modes: DataFrame, selectors: DataFrame, candidates: DataFrame, fi
 
 
 def unmet(log: DataFrame, found: DataFrame) -> DataFrame:
-    """Records by which a task reached a state whose predicate does not hold, with the items that fail (null: it has none)."""
+    """Records by which a task reached a state whose predicate does not hold, with the items that fail (null: it has none).
+
+    A task's states, nine at most, meet its records as one row, so what is dealt by task stays where it is.
+    """
     at = log.filter(F.col("to_phase").isin(*STATES)).select("task_id", "seq", F.col("to_phase").alias("state"))
-    return at.join(found, ["task_id", "state"], "left").filter("not coalesce(holds, false)").select("task_id", "seq", "state", "n_failed")
+    said = found.groupBy("task_id").agg(F.map_from_entries(F.collect_list(F.struct("state", F.struct("n_failed", "holds")))).alias("said"))
+    own = at.join(said, "task_id", "left").select("task_id", "seq", "state", F.col("said")[F.col("state")].alias("own"))
+    return own.filter("not coalesce(own.holds, false)").select("task_id", "seq", "state", "own.n_failed")
 
 
 def numbered(t: Reader) -> int:

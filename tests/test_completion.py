@@ -63,3 +63,11 @@ def test_unmet_completions_number_steps_once(spark, monkeypatch):
     plan = completion.QUERIES["unmet_completions"][0](Reader(spark, SMALLEST))._jdf.queryExecution()
     assert "Window" not in str(plan.optimizedPlan())
     assert set(re.findall(r", (\d+)\), REPARTITION_BY_NUM", str(plan.executedPlan()))) == {"10"}
+
+
+def test_unmet_completions_meet_where_steps_were_dealt(spark, monkeypatch):
+    """Records and predicates are not dealt again, to a number of parts that does not grow with the steps."""
+    monkeypatch.setattr(completion, "STEPS", 100)
+    plan = str(completion.QUERIES["unmet_completions"][0](Reader(spark, SMALLEST))._jdf.queryExecution().executedPlan())
+    dealt = re.findall(r"Exchange hashpartitioning\(task_id#\d+L, 10\), REPARTITION_BY_NUM", plan)
+    assert dealt and plan.count("Exchange hashpartitioning(task_id") == len(dealt)
