@@ -7,7 +7,8 @@ of SIDE tuples of ROWS minhashes are computed, and every pair of a tuple of the
 other keys a table: SIDE * SIDE tables from 2 * SIDE * ROWS minhashes instead of 2 * SIDE * SIDE * ROWS.
 At a similarity of 0.8 a pair shares a table with a probability of 0.9993, at 0.9 of over 0.9999.
 
-Table entries are dealt and sorted by key once; a run of several classes is a bucket. Classes of a
+Tuples are dealt first, and tables made only of those that several classes have. Table entries are dealt
+and sorted by key once; a run of several classes is a bucket. Classes of a
 bucket are compared with its leader on their full sets, another leader follows in a second round. Of
 buckets that then still hold several components, all pairs are compared that can be similar enough:
 of two such sets, ordered by the frequency of shingles in these buckets, the first shingle that both
@@ -39,6 +40,8 @@ SHINGLE, SIDE, ROWS, LEADERS = 5, 11, 3, 2
 SALT_ROWS = 512
 #: Counters of shingles, 8 bytes each.
 COUNTERS = 1 << 20
+#: Bits of a sketch of keys, sent as at most a 64th as many rows.
+SLOTS = 1 << 24
 #: Hashes of shingles that are worked on at a time, and pairs of one shingle.
 CHUNK, PAIRS = 1 << 15, 1 << 21
 _SEEDS = mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -105,16 +108,30 @@ def _sets(size: int):
     return run
 
 
+def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, sign): a row per tuple, with its number."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 4096):
+            part = batch.slice(begin, 4096)
+            sign = buffers(part.column(1))[0].view(U64).reshape(-1, 2 * SIDE)
+            key = mix(sign * U64(0x9FB21C651E98DF25) + np.arange(2 * SIDE, dtype=U64))
+            node = np.repeat(part.column(0).to_numpy(), 2 * SIDE)
+            number = np.tile(np.arange(2 * SIDE), part.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(node, pa.int64()), pa.array(number, pa.int64())], ["key", "node", "items"])
+
+
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per table: the pair of tuples it is keyed by."""
+    """Rows (node, sign, items, shared): a row per table whose two tuples are among the shared ones: the pair that it is keyed by."""
     for batch in batches:
         for begin in range(0, batch.num_rows, 4096):
             part = batch.slice(begin, 4096)
             sign = buffers(part.column(1))[0].view(U64).reshape(-1, 2 * SIDE)
             table = np.arange(SIDE * SIDE, dtype=U64)
             key = mix(np.repeat(sign[:, :SIDE], SIDE, axis=1) * U64(0x9FB21C651E98DF25) + np.tile(sign[:, SIDE:], (1, SIDE)) + table)
-            node, items = (np.repeat(part.column(k).to_numpy(), SIDE * SIDE) for k in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(node, pa.int64()), pa.array(items, pa.int64())], ["key", "node", "items"])
+            has = (part.column(3).to_numpy()[:, None] >> np.arange(2 * SIDE)) & 1 > 0
+            both = (np.repeat(has[:, :SIDE], SIDE, axis=1) & np.tile(has[:, SIDE:], (1, SIDE))).ravel()
+            node, items = (np.repeat(part.column(k).to_numpy(), SIDE * SIDE)[both] for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()[both].view(np.int64)), pa.array(node, pa.int64()), pa.array(items, pa.int64())], ["key", "node", "items"])
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,6 +182,34 @@ def _checked(percent: int):
     return run
 
 
+def likely(rows: DataFrame, key: str, of: DataFrame) -> DataFrame:
+    """The rows whose key is in of, and a few others: those that a sketch of SLOTS bits can't tell from them.
+
+    A join on the key is to follow; the sketch spares it the shuffle of most other rows, and is all that
+    is sent to the workers.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    words = of.select(slot.alias("slot")).distinct().groupBy(F.expr("slot div 64").alias("word_")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("bits_"))
+    found = rows.withColumn("slot_", slot).withColumn("word_", F.expr("slot_ div 64")).join(F.broadcast(words), "word_")
+    return found.filter("getbit(bits_, cast(slot_ % 64 AS int)) = 1").select(*rows.columns)
+
+
+def buckets(scratch: Scratch, classes: DataFrame) -> DataFrame:
+    """key, node, items, leader, na: the tables' buckets of several of the classes (node, sign, items).
+
+    Classes of a bucket share both tuples that key it. So tuples are dealt first, 2 * SIDE a class, and of its
+    SIDE * SIDE tables only those are made whose tuples other classes have too.
+    """
+    kind, found = "key long, node long, items long", "key long, node long, items long, leader long, na long"
+    alike = classes.select("node", "sign").mapInArrow(_tuples, kind).repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets, found)
+    shared = alike.groupBy("node").agg(F.expr("bit_or(shiftleft(1L, cast(items AS int)))").alias("shared"))
+    shared = scratch.keep(shared.filter(f"shared & {(1 << SIDE) - 1} > 0 AND shared >= {1 << SIDE}"))
+    entries = likely(classes, "node", shared).join(shared, "node").select("node", "sign", "items", "shared").mapInArrow(_entries, kind)
+    out = scratch.keep(entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets, found))
+    scratch.drop(shared)
+    return out
+
+
 def parts(pairs: DataFrame) -> DataFrame:
     """(node, parts): where the set of each node of pairs (a, b) is compared; a's set goes once to each SALT_ROWS partners."""
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
@@ -186,7 +231,7 @@ def early(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Shingles are ordered by how many sets have one of the same COUNTERS-th of all hashes, then by hash;
     the counters are all that is sent to the driver and the workers.
     """
-    given = nodes.join(sets.select("node", "values"), "node")
+    given = likely(sets.select("node", "values"), "node", nodes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -205,17 +250,18 @@ def early(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                values, starts, stops = buffers(part.column(2))
+                values, starts, stops = buffers(part.column(1))
                 values, n = values.view(U64), (stops - starts) // 8
                 owner = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((values, shared.value[(values % U64(COUNTERS)).astype(np.int64)], owner))
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
                 chosen = place < np.repeat(n - -(-percent * n // 100) + 1, n)
                 rows = owner[chosen]
-                columns = [pa.array(values[order][chosen].view(np.int64)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(n[rows]), pa.array(place[chosen])]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "root", "items", "place"])
+                columns = [pa.array(values[order][chosen].view(np.int64)), part.column(0).take(pa.array(rows)), pa.array(n[rows]), pa.array(place[chosen])]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "node", "items", "place"])
 
-    return given.select("node", "root", "values").mapInArrow(heads, "token long, node long, root long, items long, place long")
+    found = given.mapInArrow(heads, "token long, node long, items long, place long")
+    return found.join(nodes, "node").select("token", "node", "root", "items", "place")
 
 
 def partners(node: np.ndarray, root: np.ndarray, items: np.ndarray, place: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -285,8 +331,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
     classes = rows.filter("set_id is not null").groupBy("set_id").agg(one, F.first("sign").alias("sign"), F.first("n_shingles").alias("items"))
     classes = classes.select("set_id", F.col("one.doc_id").alias("first"), F.col("one.name").alias("name"), "sign", "items")
     classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))
-    entries = classes.select("node", "sign", "items").mapInArrow(_entries, "key long, node long, items long")
-    found = scratch.keep(entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets, "key long, node long, items long, leader long, na long"))
+    found = buckets(scratch, classes.select("node", "sign", "items"))
     # buckets with the same members are one
     bucket = found.groupBy("key").agg(F.min("leader").alias("leader"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     bucket = bucket.groupBy("leader", "n", "x", "y").agg(F.min("key").alias("key")).select("key")
@@ -299,8 +344,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
 
     tested = scratch.keep(members.filter(f"node <> leader and {near}").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     # one text of each class; it is told by its MD5, and by its doc_id from most of its copies
-    wanted = members.select("node").distinct().join(parts(tested), "node", "left").join(classes.select("node", F.xxhash64("first", "name").alias("at"), "name", "sign"), "node")
-    texts = slim.filter("name is not null").select(F.xxhash64("doc_id", "name").alias("at"), "name", "text").join(wanted, ["at", "name"])
+    named = likely(classes.select("node", F.xxhash64("first", "name").alias("at"), "name", "sign"), "node", members.select("node"))
+    wanted = scratch.keep(members.select("node").distinct().join(parts(tested), "node", "left").join(named, "node"))
+    texts = slim.filter("name is not null").select(F.xxhash64("doc_id", "name").alias("at"), "name", "text")
+    texts = likely(texts, "at", wanted).join(wanted, ["at", "name"])
     # both steps deal by the same columns, so texts are shuffled once, and sets not at all
     texts = texts.dropDuplicates(["at", "name"]).select("node", "sign", "parts", "text")
 
@@ -311,6 +358,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), lists.cast(pa.binary()), batch.column(1), batch.column(2)], ["node", "values", "sign", "parts"])
 
     sets = scratch.keep(texts.mapInArrow(whole, "node long, values binary, sign binary, parts array<struct<a: long, salt: long, b: long>>"))
+    scratch.drop(wanted)
     links = scratch.keep(verified(sets, percent))
     sets_of = sets.drop("parts")
     label = components(scratch, links)
@@ -324,13 +372,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = 80) ->
             head = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("items").alias("na"))).alias("head")).select("key", "head.a", "head.ra", "head.na")
             pairs = named.join(head, "key").filter(f"root <> ra and {near}").select("a", F.col("node").alias("b")).distinct()
         else:
-            heads = early(named.select("node", "root").distinct(), sets, percent)
+            heads = early(scratch.keep(named.select("node", "root").distinct()), sets, percent)
             heads = heads.repartition("token").sortWithinPartitions("token", "items", "node")
             pairs = heads.mapInArrow(_partners(percent), "a long, b long").distinct()
         pairs = pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).join(paired(tested), ["low", "high"], "left_anti")
         pairs = scratch.keep(pairs.select("a", "b"))
         tested = tested.unionAll(pairs)
-        links = links.unionAll(scratch.keep(verified(sets_of.join(parts(pairs), "node"), percent)))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        links = links.unionAll(scratch.keep(verified(likely(sets_of, "node", ends).join(parts(pairs), "node"), percent)))
         scratch.drop(named)
         label = components(scratch, links)
     named = classes.select("set_id", "first", "node").join(label, "node", "left").select("set_id", "first", F.coalesce("root", "node").alias("root"))

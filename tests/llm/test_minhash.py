@@ -152,3 +152,30 @@ def test_sets_take_their_parts_along(spark):
     got = {r.node: [tuple(p) for p in r.parts] for r in minhash.parts(pairs).collect()}
     assert sorted(got) == list(range(1, n + 2)) and sorted(got[1]) == [(1, 0, None), (1, 1, None)]
     assert {p[::2] for p in got[3]} == {(1, 3), (2, 3)} and {p[::2] for p in got[2]} == {(1, 2), (2, None)}
+
+
+def test_buckets_need_only_tables_of_shared_tuples(spark):
+    rng, side = random.Random(4), minhash.SIDE
+    often = [rng.randrange(1 << 60) for _ in range(3)]
+    signs = {k: [rng.randrange(1 << 60) if rng.random() < 0.7 else rng.choice(often) for _ in range(2 * side)] for k in range(50)}
+    want = {}
+    for k, s in signs.items():
+        for i in range(side):
+            for j in range(side):
+                want.setdefault((i, j, s[i], s[side + j]), []).append(k)
+    frame = spark.createDataFrame([(k, np.array(s, np.uint64).tobytes(), 10 * k) for k, s in signs.items()], "node long, sign binary, items long")
+    got = {}
+    for r in minhash.buckets(minhash.Scratch(spark), frame).collect():
+        got.setdefault(r.key, []).append((r.node, r.items, r.leader, r.na))
+    want = sorted([(k, 10 * k, v[0], 10 * v[0]) for k in v] for v in want.values() if len(v) > 1)
+    assert sorted(map(sorted, got.values())) == want and len(want) > 100
+    # a class whose tuples nobody else has makes no table
+    batch = pa.RecordBatch.from_pylist([{"node": 1, "sign": frame.first().sign, "items": 5, "shared": m} for m in (0, 1, 1 | 1 << side, 3 | 5 << side)])
+    assert [b.num_rows for b in minhash._entries(iter([batch]))] == [1 + 2 * 2]
+
+
+def test_likely_keeps_all_that_a_join_finds(spark):
+    rows, of = spark.range(100_000).selectExpr("id AS at", "'t' AS text"), spark.range(0, 100_000, 100).selectExpr("id AS at")
+    got = {r.at for r in minhash.likely(rows, "at", of.unionAll(of)).collect()}
+    assert got >= set(range(0, 100_000, 100)) and len(got) < 1_100
+    assert minhash.likely(rows, "at", of.limit(0)).count() == 0
